@@ -85,21 +85,22 @@ def real_id(col: str = "doc_id"):
     return F.when(F.col(col) != NULL_ID, F.col(col))
 
 
-def bucketed(docs: DataFrame, bucket_bytes: int) -> DataFrame:
-    """(doc_id, text bytes, bucket): hash buckets of about ``bucket_bytes`` of text each.
+def bucketed(docs: DataFrame, least: int = 4 << 20, most: int = 64 << 20) -> tuple[DataFrame, int]:
+    """(doc_id, text bytes, bucket), hash buckets of even size, and how many there are.
 
     The buckets depend on ``doc_id`` and the corpus size only, so every pass over
-    the same table makes the same ones.
+    the same table makes the same ones.  Rows that buckets send to as many key ranges hold
+    (bucket bytes)**2 / (6.4 * corpus bytes) words, so buckets grow with the root of the corpus.
     """
     ship(docs.sparkSession)
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // bucket_bytes))
+    n = max(1, -(-total // min(most, max(least, int((400 * total) ** 0.5)))))
     key = doc_key()
     return docs.select(
         key.alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
         F.pmod(F.xxhash64(key, F.lit(7)), F.lit(n)).cast("int").alias("bucket"),
-    )
+    ), n
 
 
 # --- hashing -----------------------------------------------------------------------
@@ -153,22 +154,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of ``text``, in order."""
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of ``text``, in order, and where each starts."""
     if not text:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     data = np.frombuffer(text, np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     up, down = powers(_BYTE, len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.multiply(data.astype(np.uint64) + np.uint64(1), up[: len(data)], out=total[1:])
     np.add.accumulate(total, out=total)
     h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64))
+    return mix(h + (end - start).astype(np.uint64)), start
 
 
 def groups_of(sorted_values: np.ndarray) -> np.ndarray:
@@ -178,6 +179,11 @@ def groups_of(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
 
 
+def slices(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(start, end) of each run of :func:`groups_of` among ``n`` values."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)) if len(starts) else []
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Which of ``parts`` equal ranges of 64-bit keys each key lies in."""
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
