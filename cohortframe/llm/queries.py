@@ -33,6 +33,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortframe.llm.tokenfile import token_digest
+
+    return token_digest(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortframe.llm.passages import passages_digest
 
@@ -58,7 +64,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_passages, op5_bytes, op9_token_counts, op10_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_token_file, op4_passages, op5_bytes, op9_token_counts, op10_mix)}
 
 
 _WORDS = r"list_filter(string_split_regex(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')"
