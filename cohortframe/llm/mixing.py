@@ -10,7 +10,7 @@ from cohortframe.llm.common import materialize
 from cohortframe.llm.decontaminate import words_of
 
 
-def permuted(index: Column, n: Column, *seeds: Column, rounds: int = 24, inverse: bool = False) -> Column:
+def permuted(index: Column, n: Column, *seeds: Column, rounds: int = 12, inverse: bool = False) -> Column:
     """A pseudorandom permutation of 0..n-1 by swap-or-not rounds.
 
     In each round x is paired with (key - x) mod n, and a hash of the pair tells whether the two
@@ -19,36 +19,37 @@ def permuted(index: Column, n: Column, *seeds: Column, rounds: int = 24, inverse
 
     def step(x: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(r, *seeds), n) - x, n)
-        swap = F.xxhash64(F.greatest(x, other), r, F.lit(1), *seeds).bitwiseAND(F.lit(1).cast("long")) == 1
-        return F.when(swap, other).otherwise(x)
+        return F.when(F.xxhash64(F.greatest(x, other), -r, *seeds) % 2 == 0, other).otherwise(x)
 
     order = F.sequence(F.lit(rounds), F.lit(1)) if inverse else F.sequence(F.lit(1), F.lit(rounds))
     return F.aggregate(order, index, step)
 
 
-def placed(docs: DataFrame, *carry: str, group_rows: int = 20_000) -> DataFrame:
-    """Each row's word count and its place in the sequence of its source's words.
+def measured(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, source, the words in the text (size), the text's hash (key), and ``carry``."""
+    text = F.col("text")
+    return docs.select("doc_id", "source", F.size(words_of(text, lower=False)).cast("long").alias("size"), F.xxhash64(text).alias("key"), *carry)
+
 
-    Columns: source, salt, rn (these three name a row), doc_id, size, start and ``carry``.  A source's rows
-    are dealt into salted groups of about ``group_rows`` rows; a window gives the place within
-    a group and a window over one row per group gives the group's own place, so a hot source
-    is spread like any other.
+def placed(rows: DataFrame, base: DataFrame, n_rows: int, group_rows: int = 20_000) -> DataFrame:
+    """``rows`` of :func:`measured` with each row's place in the sequence of its source's words.
+
+    Adds salt and rn, which with source name a row, and start.  ``base`` is the measured table without
+    texts.  A source's rows are dealt into salted groups of about ``group_rows`` rows; a window gives the place
+    within a group and a window over one row per group gives the group's own place, so a hot
+    source is spread like any other.
     """
-    text = F.col("text")
-    rows = docs.select("doc_id", "source", F.size(words_of(text, lower=False)).cast("long").alias("size"), F.xxhash64(text).alias("key"), *carry)
-    salts = max(1, docs.count() // group_rows)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(salts)))
+    salt = F.pmod(F.xxhash64("doc_id", "key"), F.lit(max(1, n_rows // group_rows)))
     w = W.partitionBy("source", "salt").orderBy("doc_id", "key")
-    rows = rows.withColumn("rn", F.row_number().over(w)).withColumn("before", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    groups = docs.select("source", F.pmod(F.xxhash64("doc_id", F.xxhash64(text)), F.lit(salts)).alias("salt"), F.size(words_of(text, lower=False)).cast("long").alias("size"))
-    groups = groups.groupBy("source", "salt").agg(F.sum("size").alias("n"))
-    groups = groups.withColumn("base", F.sum("n").over(W.partitionBy("source").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)))
-    groups = groups.select(F.col("source").alias("_source"), F.col("salt").alias("_salt"), "base")
+    rows = rows.withColumn("salt", salt).withColumn("rn", F.row_number().over(w)).withColumn("before", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    groups = base.withColumn("salt", salt).groupBy("source", "salt").agg(F.sum("size").alias("n"))
+    at = F.sum("n").over(W.partitionBy("source").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
+    groups = groups.select(F.col("source").alias("_source"), F.col("salt").alias("_salt"), at.alias("base"))
     rows = rows.join(groups, F.col("source").eqNullSafe(F.col("_source")) & (F.col("salt") == F.col("_salt")))
     return rows.withColumn("start", F.coalesce("before", F.lit(0)) + F.coalesce("base", F.lit(0))).drop("before", "base", "_source", "_salt", "key")
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 32) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 64) -> DataFrame:
     """One row per source: its words, its target, its blocks and the slots it gets.
 
     Sources in code-point order, null last, take the weights in turn.  Targets share the total by
@@ -74,19 +75,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     return s.select("source", "rank", "source_size", "target", "blocks", "slots", "first", "all_slots")
 
 
-def slots(plan: DataFrame, shard_slots: int = 1024, seed: int = 0, step: int = 1 << 16) -> DataFrame:
+def slots(plan: DataFrame, shard_slots: int = 1024, seed: int = 0, step: int = 1 << 14) -> DataFrame:
     """(rank, block, epoch, shard, slot): the blocks of the mix in output order.
 
     Which source fills a slot is drawn without replacement: a permutation deals the
     sources' exact shares to all slots, so a shard's counts are multinomial given the totals, and
     the totals hold.  The k-th slot of a source reads block perm(k mod blocks) of its epoch k div blocks.
     """
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = plan.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step))))
-    rows = rows.repartition("rank", "chunk").withColumn("k", F.explode(F.sequence(F.col("chunk") * step, F.least(F.col("slots"), (F.col("chunk") + 1) * step) - 1)))
-    rows = rows.withColumn("epoch", F.floor(F.col("k") / F.col("blocks"))).withColumn("index", F.col("k") % F.col("blocks"))
-    rows = rows.withColumn("block", permuted(F.col("index"), F.col("blocks"), F.lit(seed), F.col("rank"), F.col("epoch")))
+    rows = rows.repartition(tasks, "rank", "chunk").withColumn("k", F.explode(F.sequence(F.col("chunk") * step, F.least(F.col("slots"), (F.col("chunk") + 1) * step) - 1)))
+    rows = rows.withColumn("epoch", F.floor(F.col("k") / F.col("blocks")))
+    rows = rows.withColumn("block", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("rank"), F.col("epoch")))
     rows = rows.withColumn("slot", permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.lit(seed), F.lit(-1), inverse=True))
-    return rows.select("rank", "block", "epoch", F.floor(F.col("slot") / shard_slots).alias("shard"), "slot")
+    # a table of its own: a join above would push null checks of these columns below them, to be reckoned twice
+    return materialize(rows.select("rank", "block", "epoch", F.floor(F.col("slot") / shard_slots).alias("shard"), "slot"), "slots")
 
 
 def _pieces(rows: DataFrame, block: int) -> DataFrame:
@@ -96,7 +99,7 @@ def _pieces(rows: DataFrame, block: int) -> DataFrame:
     return out.withColumn("from", F.greatest(F.col("block") * block - F.col("start"), F.lit(0))).withColumn("to", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")))
 
 
-def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 32, shard_slots: int = 1024, seed: int = 0) -> DataFrame:
+def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 64, shard_slots: int = 1024, seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``.
 
     ``taken`` is how many of the row's words the mix takes, repeats counted: at most ``most`` (a whole
@@ -104,30 +107,33 @@ def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: fl
     Null or blank texts have size 0; a null source is a source of its own; repeated rows count each;
     reruns agree because order and draws depend on contents only.  An empty table gives an empty one.
     """
-    rows = materialize(placed(docs), "placed")
-    plan = materialize(targets(rows, weights, most, block), "targets")
+    base = materialize(measured(docs), "measured")
+    rows = placed(base, base, base.count())
+    plan = materialize(targets(base, weights, most, block), "targets")
     times = slots(plan, shard_slots, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
     ranks = plan.select(F.col("source").alias("_source"), "rank", "source_size", "target")
     pieces = _pieces(rows.join(ranks, F.col("source").eqNullSafe(F.col("_source"))), block)
-    got = pieces.join(times, ["rank", "block"], "left")
+    got = pieces.hint("merge").join(times, ["rank", "block"], "left")
     got = got.groupBy("rank", "salt", "rn", "doc_id", "size", "source_size", "target").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken"))
     return got.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_texts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 32, shard_slots: int = 1024, seed: int = 0) -> DataFrame:
+def mix_texts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 64, shard_slots: int = 1024, seed: int = 0) -> DataFrame:
     """The mixed rows, in the columns of documents: one for each row and epoch that takes words of it.
 
     An epoch that takes all of a row's words gives its text as it is; else the words taken, in order,
     joined by a space.  ``n_chars`` is the new text's length.
     """
-    rows = materialize(placed(docs), "placed")
-    plan = materialize(targets(rows, weights, most, block), "targets")
+    base = materialize(measured(docs), "measured")
+    n = base.count()
+    rows = placed(base, base, n)
+    plan = materialize(targets(base, weights, most, block), "targets")
     ranks = plan.select(F.col("source").alias("_source"), "rank")
     pieces = _pieces(rows.join(ranks, F.col("source").eqNullSafe(F.col("_source"))), block).where("block is not null")
-    got = pieces.join(slots(plan, shard_slots, seed), ["rank", "block"]).groupBy("source", "salt", "rn", "epoch")
+    got = pieces.hint("merge").join(slots(plan, shard_slots, seed), ["rank", "block"]).groupBy("source", "salt", "rn", "epoch")
     got = got.agg(F.sum(F.col("to") - F.col("from")).alias("n"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("taken"))
     got = got.select(F.col("source").alias("_source"), F.col("salt").alias("_salt"), F.col("rn").alias("_rn"), "n", "taken")
-    whole = placed(docs, "text", "lang").join(got, F.col("source").eqNullSafe(F.col("_source")) & (F.col("salt") == F.col("_salt")) & (F.col("rn") == F.col("_rn")))
+    whole = placed(measured(docs, "text", "lang"), base, n).join(got.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("salt") == F.col("_salt")) & (F.col("rn") == F.col("_rn")))
     words = words_of(F.col("text"), lower=False)
     whole = whole.withColumn("_words", F.when(F.col("n") < F.col("size"), words))
     part = F.array_join(F.flatten(F.transform("taken", lambda t: F.slice(F.col("_words"), (t["from"] + 1).cast("int"), (t["to"] - t["from"]).cast("int")))), " ")
