@@ -51,6 +51,24 @@ def op5_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytes_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortframe.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortframe.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortframe.llm.epsilon import embedding_links
+
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortframe.llm.bpe import token_counts
 
@@ -64,7 +82,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_token_file, op4_passages, op5_bytes, op9_token_counts, op10_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_token_file, op4_passages, op5_bytes, op6_toxicity, op7_quality, op8_embeddings, op9_token_counts, op10_mix)}
 
 
 _WORDS = r"list_filter(string_split_regex(lower({0}), '[\x20\x09-\x0D]+'), x -> x <> '')"
