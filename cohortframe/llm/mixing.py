@@ -69,7 +69,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     s = s.withColumn("per_weight", F.min(F.when(F.col("share") <= F.col("level"), F.struct("level", "rank", "share"))).over(everything)["share"])
     s = s.withColumn("target", F.coalesce(F.least("cap", F.col("per_weight") * F.col("weight")), F.lit(0.0)))
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    wanted = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+    wanted = F.round(F.col("target") * F.col("blocks") / F.expr("nullif(source_size, 0)")).cast("long")
     s = s.withColumn("slots", F.coalesce(F.least(wanted, (F.lit(int(most)) * F.col("blocks")).cast("long")), F.lit(0)))
     s = s.withColumn("first", F.coalesce(F.sum("slots").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("all_slots", F.sum("slots").over(everything))
     return s.select("source", "rank", "source_size", "target", "blocks", "slots", "first", "all_slots")
