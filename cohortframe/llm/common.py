@@ -34,11 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{warehouse}/_shared"
 
 
+#: While this is on, Spark deletes a query's shuffle files as soon as the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    Shuffle files of the write go as soon as it ends.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation.  The write's shuffle
+    files go when it ends, so the steps of an operator do not add up on disk.
     """
     spark = df.sparkSession
     ship(spark)
@@ -46,9 +50,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     for f in schema.fields:
         f.nullable = True
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    release(spark)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     out = spark.read.schema(schema).parquet(path)
     out._cohortframe_path = path
     return out
@@ -63,18 +70,6 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that no live plan refers to.
-
-    The cleaner acts on collected references only, and a driver with a large heap
-    may not collect for hours; the steps of an operator would then add up on disk.
-    """
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def doc_key():
     """``doc_id`` as a non-null long; null becomes :data:`NULL_ID`."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
