@@ -260,7 +260,7 @@ def _cut(depth: int, parts: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, depth: int = 100, crowded: int = 4096, range_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, depth: int = 100, crowded: int = 4096, range_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row of ``docs``.
 
     Every byte goes that a string of ``depth`` bytes covers which also starts earlier: in a smaller doc_id,
