@@ -1,4 +1,7 @@
-"""The registered queries over the driver's tables, and the SQL that checks them."""
+"""The registered queries over the driver's tables, and the SQL that checks them.
+
+Doubles are rounded to eight digits on both sides, because results are compared by value.
+"""
 
 from __future__ import annotations
 
@@ -7,39 +10,360 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortframe.operators import abundance as A
+from cohortframe.operators import neighborhood as N
+from cohortframe.operators import pareto as P
+from cohortframe.operators import testing as T
+from cohortframe.operators import vectors as V
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(df: DataFrame) -> DataFrame:
+    """Doubles rounded."""
+    return df.select(*[F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- inputs ----------------------------------------------------------------------------
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations from ``events``: 12 samples in two conditions, five motifs."""
+    """Observations from ``events``: 12 samples in two conditions, five motifs, four cell types, a plane position."""
     s = F.col("user_id") % 12
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return _table(spark, sf_dir, "events").select(
         F.col("event_id").alias("obs_id"), F.lit("ds0").alias("dataset_id"), F.lit("events").alias("dataset_name"),
         F.concat(F.lit("s"), F.lpad(s.cast("string"), 2, "0")).alias("sample_id"), F.when(s < 6, "control").otherwise("tumor").alias("condition"),
         F.col("event_type").alias("motif_id"), F.col("event_type").alias("motif_label"),
+        F.concat(F.lit("ct"), (F.get_json_object("props", "$.k").cast("int") % 4).cast("string")).alias("cell_type"), F.col("value").alias("spatial_x"),
+        ((F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / 240.0).alias("spatial_y"), F.col("value").alias("n_counts"),
     )
 
 
-SPOTS = """spots AS (SELECT event_id AS obs_id, 'ds0' AS dataset_id, 'events' AS dataset_name, 's' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS sample_id,
-CASE WHEN user_id % 12 < 6 THEN 'control' ELSE 'tumor' END AS condition, event_type AS motif_id, event_type AS motif_label FROM events)"""
-
-
-def sample_motif_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cohortframe.operators.abundance import sample_motif_abundance as abundance
+_SPOTS = """spots AS (SELECT event_id AS obs_id, 'ds0' AS dataset_id, 'events' AS dataset_name, 's' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS sample_id,
+CASE WHEN user_id % 12 < 6 THEN 'control' ELSE 'tumor' END AS condition, event_type AS motif_id, event_type AS motif_label,
+'ct' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 AS VARCHAR) AS cell_type, value AS spatial_x,
+(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 240.0::DOUBLE AS spatial_y, value AS n_counts FROM events)"""
 
-    return abundance(spots(spark, sf_dir))
-
-
-ABUNDANCE = """abundance AS (
+_ABUNDANCE = """abundance AS (
 SELECT s.dataset_id, s.dataset_name, s.sample_id, s.condition, m.motif_id, m.motif_label, s.n AS sample_spots, coalesce(c.n, 0) AS motif_spots,
 CASE WHEN s.n > 0 THEN coalesce(c.n, 0) / s.n::DOUBLE ELSE 0.0 END AS motif_fraction
 FROM (SELECT dataset_id, dataset_name, sample_id, condition, count(*) AS n FROM spots GROUP BY ALL) s
 JOIN (SELECT DISTINCT dataset_id, dataset_name, motif_id, motif_label FROM spots) m USING (dataset_id, dataset_name)
 LEFT JOIN (SELECT dataset_id, dataset_name, sample_id, condition, motif_id, motif_label, count(*) AS n FROM spots GROUP BY ALL) c
 USING (dataset_id, dataset_name, sample_id, condition, motif_id, motif_label))"""
+_WITH = f"WITH {_SPOTS}, {_ABUNDANCE}"
+
+
+def fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample-level values that the tests take."""
+    return A.sample_motif_abundance(spots(spark, sf_dir)).withColumn("value", F.col("motif_fraction"))
+
+
+# --- abundance and sample-level tests ---------------------------------------------------
+
+
+@_query(f"{_WITH} SELECT * EXCLUDE (motif_fraction), round(motif_fraction, 8) AS motif_fraction FROM abundance")
+def sample_motif_abundance(spark, sf_dir):
+    return _r(A.sample_motif_abundance(spots(spark, sf_dir)))
+
+
+@_query(f"""{_WITH}, g AS (SELECT dataset_id, motif_id, 'control' AS condition_a, 'tumor' AS condition_b, avg(motif_fraction) FILTER (condition = 'control') AS mean_a, avg(motif_fraction) FILTER (condition = 'tumor') AS mean_b,
+count(*) FILTER (condition = 'control') AS n_a, count(*) FILTER (condition = 'tumor') AS n_b, stddev_samp(motif_fraction) FILTER (condition = 'control') AS sa, stddev_samp(motif_fraction) FILTER (condition = 'tumor') AS sb FROM abundance GROUP BY ALL)
+SELECT dataset_id, motif_id, condition_a, condition_b, round(mean_a, 8) AS mean_a, round(mean_b, 8) AS mean_b, n_a, n_b, round(mean_b - mean_a, 8) AS effect,
+round(log2((mean_b + 0.0001) / (mean_a + 0.0001)), 8) AS log2_fold_change, round(sa / sqrt(n_a), 8) AS sem_a, round(sb / sqrt(n_b), 8) AS sem_b FROM g""")
+def condition_effects(spark, sf_dir):
+    return _r(T.condition_effects(fractions(spark, sf_dir)))
+
+
+_PERM = f"""{_WITH}, v AS (SELECT dataset_id, motif_id, condition = 'tumor' AS is_case, motif_fraction AS x, CAST(dense_rank() OVER (ORDER BY sample_id) - 1 AS INTEGER) AS i FROM abundance),
+l AS (SELECT CAST(range AS BIGINT) AS mask FROM range(4096) WHERE bit_count(CAST(range AS BIGINT)) = 6),
+o AS (SELECT dataset_id, motif_id, avg(x) FILTER (is_case) - avg(x) FILTER (NOT is_case) AS obs FROM v GROUP BY ALL),
+e AS (SELECT dataset_id, motif_id, mask, avg(x) FILTER ((mask >> i) & 1 = 1) - avg(x) FILTER ((mask >> i) & 1 = 0) AS eff FROM v, l GROUP BY ALL),
+j AS (SELECT * FROM e JOIN o USING (dataset_id, motif_id))"""
+
+
+@_query(f"""{_PERM} SELECT dataset_id, motif_id, round(obs, 8) AS observed_effect, round(count(*) FILTER (abs(eff) >= abs(obs) - 1e-12) / count(*)::DOUBLE, 8) AS pvalue_two_sided,
+round(count(*) FILTER (CASE WHEN obs >= 0 THEN eff >= obs - 1e-12 ELSE eff <= obs + 1e-12 END) / count(*)::DOUBLE, 8) AS pvalue_one_sided,
+round((count(*) FILTER (abs(eff) > abs(obs) + 1e-12) + 0.5::DOUBLE * count(*) FILTER (abs(abs(eff) - abs(obs)) <= 1e-12)) / count(*), 8) AS pvalue_midp, count(*) AS n_permutations, 'exact' AS mode FROM j GROUP BY dataset_id, motif_id, obs""")
+def permutation_exact(spark, sf_dir):
+    return _r(T.permutation_test(fractions(spark, sf_dir)))
+
+
+@_query(f"""{_PERM}, t AS (SELECT dataset_id, mask, max(abs(eff)) AS top FROM e GROUP BY ALL)
+SELECT dataset_id, motif_id, round(obs, 8) AS observed_effect, round(count(*) FILTER (top >= abs(obs) - 1e-12) / count(*)::DOUBLE, 8) AS pvalue_max_t, count(*) AS n_permutations FROM o JOIN t USING (dataset_id) GROUP BY dataset_id, motif_id, obs""")
+def permutation_max_t(spark, sf_dir):
+    return _r(T.max_t_test(fractions(spark, sf_dir)))
+
+
+@_query(f"""{_PERM}, p AS (SELECT dataset_id, motif_id, count(*) FILTER (abs(eff) >= abs(obs) - 1e-12) / count(*)::DOUBLE AS p FROM j GROUP BY dataset_id, motif_id, obs),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY p, motif_id) AS k, count(*) OVER (PARTITION BY dataset_id) AS n FROM p)
+SELECT dataset_id, motif_id, round(p, 8) AS pvalue_two_sided, round(greatest(0.0, least(1.0, min(p * n / k) OVER (PARTITION BY dataset_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))), 8) AS q_value FROM r""")
+def bh_qvalues(spark, sf_dir):
+    p = T.permutation_test(fractions(spark, sf_dir)).select("dataset_id", "motif_id", "pvalue_two_sided")
+    return _r(T.benjamini_hochberg(p, "pvalue_two_sided", "q_value", "dataset_id"))
+
+
+@_query(f"""{_WITH}, v AS (SELECT dataset_id, motif_id, sample_id, condition = 'tumor' AS c, motif_fraction AS x FROM abundance),
+f AS (SELECT a.dataset_id, a.motif_id, b.sample_id, avg(a.x) FILTER (a.c) - avg(a.x) FILTER (NOT a.c) AS fold FROM v a JOIN (SELECT DISTINCT sample_id FROM v) b ON a.sample_id <> b.sample_id GROUP BY ALL),
+o AS (SELECT dataset_id, motif_id, avg(x) FILTER (c) - avg(x) FILTER (NOT c) AS full_effect FROM v GROUP BY ALL)
+SELECT dataset_id, motif_id, round(avg(CASE WHEN abs(full_effect) <= 1e-8 THEN (abs(fold) <= 1e-8)::INT ELSE (sign(fold) = sign(full_effect))::INT END), 8) AS loso_sign_consistency, round(median(fold), 8) AS loso_effect_median,
+round(stddev_samp(fold), 8) AS loso_effect_std, round(max(abs(fold - full_effect)), 8) AS loso_max_abs_shift, count(*) AS n_folds FROM f JOIN o USING (dataset_id, motif_id) GROUP BY dataset_id, motif_id""")
+def leave_one_sample_out(spark, sf_dir):
+    return _r(T.leave_one_out(fractions(spark, sf_dir)))
+
+
+@_query(f"""{_WITH}, g AS (SELECT dataset_id, motif_id, condition, count(*) AS n, avg(motif_fraction) AS m, var_pop(motif_fraction) AS v FROM abundance GROUP BY ALL),
+s AS (SELECT dataset_id, motif_id, max(m) FILTER (condition = 'tumor') - max(m) FILTER (condition = 'control') AS e, sqrt(sum(v * n / (1 - 1.0::DOUBLE / n) ** 2 / n ** 2)) AS se, sum(n) AS n FROM g GROUP BY ALL)
+SELECT dataset_id, motif_id, round(e, 8) AS effect_estimate, round(se, 8) AS standard_error, round(CASE WHEN se > 1e-12 THEN e / se ELSE 0.0 END, 8) AS t_statistic, CAST(n - 2 AS BIGINT) AS df FROM s""")
+def ols_hc3(spark, sf_dir):
+    return _r(T.ols_hc3(fractions(spark, sf_dir)))
+
+
+@_query(f"""{_WITH}, g AS (SELECT dataset_id, motif_id, CAST(sum(motif_spots) FILTER (condition = 'tumor') AS BIGINT) AS case_in, CAST(sum(sample_spots) FILTER (condition = 'tumor') AS BIGINT) AS case_all,
+CAST(sum(motif_spots) FILTER (condition = 'control') AS BIGINT) AS ref_in, CAST(sum(sample_spots) FILTER (condition = 'control') AS BIGINT) AS ref_all FROM abundance GROUP BY ALL)
+SELECT dataset_id, motif_id, case_in, case_all, ref_in, ref_all, round(case_in * (ref_all - ref_in) / ((case_all - case_in) * ref_in)::DOUBLE, 8) AS odds_ratio, round(case_in / case_all::DOUBLE, 8) AS case_fraction, round(ref_in / ref_all::DOUBLE, 8) AS ref_fraction FROM g""")
+def naive_contingency(spark, sf_dir):
+    return _r(T.naive_contingency(A.sample_motif_abundance(spots(spark, sf_dir))))
+
+
+@_query(f"""{_PERM}, p AS (SELECT dataset_id, motif_id, count(*) FILTER (abs(eff) >= abs(obs) - 1e-12) / count(*)::DOUBLE AS sp FROM j GROUP BY dataset_id, motif_id, obs),
+t AS (SELECT dataset_id, mask, max(abs(eff)) AS top FROM e GROUP BY ALL), m AS (SELECT dataset_id, motif_id, count(*) FILTER (top >= abs(obs) - 1e-12) / count(*)::DOUBLE AS mp FROM o JOIN t USING (dataset_id) GROUP BY dataset_id, motif_id, obs),
+w AS (SELECT dataset_id, motif_id, sample_id, is_case, x FROM (SELECT dataset_id, motif_id, sample_id, condition = 'tumor' AS is_case, motif_fraction AS x FROM abundance)),
+f AS (SELECT a.dataset_id, a.motif_id, b.sample_id, avg(a.x) FILTER (a.is_case) - avg(a.x) FILTER (NOT a.is_case) AS fold FROM w a JOIN (SELECT DISTINCT sample_id FROM w) b ON a.sample_id <> b.sample_id GROUP BY ALL),
+s AS (SELECT dataset_id, motif_id, avg((sign(fold) = sign(obs))::INT) AS loso FROM f JOIN o USING (dataset_id, motif_id) GROUP BY ALL)
+SELECT dataset_id, motif_id, CASE WHEN sp <= 0.2 AND loso >= 0.8 AND mp <= 0.2 THEN 'heldout_supported' WHEN sp <= 0.2 AND loso >= 0.8 THEN 'sample_level_supported' ELSE 'not_supported' END AS support_tier FROM p JOIN m USING (dataset_id, motif_id) JOIN s USING (dataset_id, motif_id)""")
+def support_tiers(spark, sf_dir):
+    """With the max-T p standing for the null controls, and no naive p."""
+    v = fractions(spark, sf_dir)
+    key = ["dataset_id", "motif_id"]
+    rows = T.permutation_test(v).join(T.max_t_test(v).drop("observed_effect", "n_permutations"), key).join(T.leave_one_out(v), key)
+    none = F.lit(None).cast("double")
+    return rows.select(*key, T.support_tier(F.col("pvalue_two_sided"), F.col("pvalue_max_t"), F.col("pvalue_max_t"), F.col("loso_sign_consistency"), none).alias("support_tier"))
+
+
+# --- neighbourhoods ----------------------------------------------------------------------
+
+
+def _knn_sql(k: int) -> str:
+    return f"""WITH {_SPOTS}, d AS (SELECT a.sample_id, a.obs_id AS src, b.obs_id AS dst, sqrt((a.spatial_x - b.spatial_x) * (a.spatial_x - b.spatial_x) + (a.spatial_y - b.spatial_y) * (a.spatial_y - b.spatial_y)) AS dist
+FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.obs_id <> b.obs_id),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, src ORDER BY dist, dst) AS rank FROM d) WHERE rank <= {k}),
+w AS (SELECT *, (1.0::DOUBLE / greatest(dist, 0.001::DOUBLE)) / sum(1.0::DOUBLE / greatest(dist, 0.001::DOUBLE)) OVER (PARTITION BY sample_id, src) AS weight FROM knn)"""
+
+
+def _edges(spark, sf_dir, k=6):
+    s = spots(spark, sf_dir)
+    return s, N.weighted(N.knn_edges(s, k), s)
+
+
+@_query(f"{_knn_sql(6)} SELECT sample_id, src, dst, round(dist, 8) AS dist, CAST(rank AS INTEGER) AS rank FROM knn")
+def knn6_edges(spark, sf_dir):
+    return _r(N.knn_edges(spots(spark, sf_dir), 6))
+
+
+@_query(f"{_knn_sql(18)} SELECT sample_id, count(*) AS n, round(avg(dist), 8) AS mean_distance, round(max(dist), 8) AS max_distance, CAST(sum(dst) AS BIGINT) AS dst_sum FROM knn GROUP BY ALL")
+def knn18_statistics(spark, sf_dir):
+    e = N.knn_edges(spots(spark, sf_dir), 18)
+    return _r(e.groupBy("sample_id").agg(F.count("*").alias("n"), F.avg("dist").alias("mean_distance"), F.max("dist").alias("max_distance"), F.sum("dst").alias("dst_sum")))
+
+
+@_query(f"""{_knn_sql(6)}, far AS (SELECT sample_id, src, max(dist) AS far FROM knn GROUP BY ALL HAVING max(dist) > 0) SELECT sample_id, round(median(far) * 1.6::DOUBLE, 8) AS radius FROM far GROUP BY ALL""")
+def radius_from_knn(spark, sf_dir):
+    return _r(N.typical_radius(spots(spark, sf_dir)))
+
+
+@_query(f"""WITH {_SPOTS}, d AS (SELECT a.sample_id, a.obs_id AS src, b.obs_id AS dst, sqrt((a.spatial_x - b.spatial_x) * (a.spatial_x - b.spatial_x) + (a.spatial_y - b.spatial_y) * (a.spatial_y - b.spatial_y)) AS dist
+FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.obs_id <> b.obs_id), n AS (SELECT *, row_number() OVER (PARTITION BY sample_id, src ORDER BY dist, dst) AS rank FROM d)
+SELECT sample_id, src, count(*) AS neighbors, round(avg(dist), 8) AS mean_distance FROM n WHERE dist <= 20 OR rank = 1 GROUP BY ALL""")
+def radius_neighbors(spark, sf_dir):
+    return _r(N.radius_edges(spots(spark, sf_dir), 20.0).groupBy("sample_id", "src").agg(F.count("*").alias("neighbors"), F.avg("dist").alias("mean_distance")))
+
+
+@_query(f"""{_knn_sql(6)} SELECT sample_id, src, count(*) AS neighbor_count, round(avg(dist), 8) AS mean_distance, round(max(dist), 8) AS support_radius, round(count(*) / (pi() * greatest(max(dist), 0.001::DOUBLE) ** 2), 8) AS area_density FROM knn GROUP BY ALL""")
+def neighborhood_density(spark, sf_dir):
+    return _r(N.density(N.knn_edges(spots(spark, sf_dir), 6)))
+
+
+@_query(f"""{_knn_sql(6)} SELECT w.sample_id, src, cell_type AS label, round(sum(weight), 8) AS share FROM w JOIN spots s ON s.obs_id = w.dst GROUP BY ALL""")
+def neighborhood_composition(spark, sf_dir):
+    s, e = _edges(spark, sf_dir)
+    return _r(N.composition(e, s, "cell_type"))
+
+
+@_query(f"""{_knn_sql(6)}, c AS (SELECT w.sample_id, src, cell_type AS label, greatest(1e-8, least(1.0::DOUBLE, sum(weight))) AS p FROM w JOIN spots s ON s.obs_id = w.dst GROUP BY ALL)
+SELECT sample_id, src, round((-sum(p * ln(p)) + (4 - count(*)) * 1e-8 * ln(1e8)) / ln(4), 8) AS entropy FROM c GROUP BY ALL""")
+def neighborhood_entropy(spark, sf_dir):
+    s, e = _edges(spark, sf_dir)
+    return _r(N.normalized_entropy(N.composition(e, s, "cell_type"), 4))
+
+
+@_query(f"""{_knn_sql(6)}, p AS (SELECT w.sample_id, a.motif_id, b.motif_id AS other, sum(weight) AS wt FROM w JOIN spots a ON a.obs_id = w.src JOIN spots b ON b.obs_id = w.dst GROUP BY ALL),
+n AS (SELECT sample_id, motif_id, count(*) AS n FROM spots GROUP BY ALL),
+t AS (SELECT sample_id, motif_id, other, wt FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, motif_id ORDER BY wt DESC, other) AS r FROM p WHERE other <> motif_id) WHERE r = 1)
+SELECT p.sample_id, p.motif_id, round(coalesce(sum(p.wt) FILTER (p.other = p.motif_id), 0) / any_value(n.n), 8) AS same_motif_fraction, any_value(t.other) AS top_partner, round(any_value(t.wt) / sum(p.wt), 8) AS top_partner_share
+FROM p JOIN n USING (sample_id, motif_id) LEFT JOIN t USING (sample_id, motif_id) GROUP BY p.sample_id, p.motif_id""")
+def motif_colocalization(spark, sf_dir):
+    s, e = _edges(spark, sf_dir)
+    return _r(N.colocalization(e, s))
+
+
+@_query(f"""{_knn_sql(6)} SELECT w.sample_id, round(sum(CASE WHEN a.motif_id = b.motif_id THEN weight ELSE 0 END) / count(DISTINCT src), 8) AS coherence FROM w JOIN spots a ON a.obs_id = w.src JOIN spots b ON b.obs_id = w.dst GROUP BY ALL""")
+def spatial_coherence(spark, sf_dir):
+    s, e = _edges(spark, sf_dir)
+    return _r(N.coherence(e, s))
+
+
+# --- vectors and counts -------------------------------------------------------------------
+
+
+@_query("""WITH x AS (SELECT vec_id, vec_id % 8 AS sample_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
+s AS (SELECT *, avg(v) OVER (PARTITION BY sample_id, pos) AS m, stddev_pop(v) OVER (PARTITION BY sample_id, pos) AS sd FROM x)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((v - m) / CASE WHEN sd <= 1e-6 THEN 1.0 ELSE sd END, 6) AS z FROM s""")
+def sample_zscores(spark, sf_dir):
+    x = _table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 8).alias("sample_id"), F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    return V.zscore(x, "v", "sample_id", "pos").select("vec_id", "pos", F.round("z", 6).alias("z"))
+
+
+@_query("""WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+c AS (SELECT label, pos, avg(v) AS m FROM x GROUP BY ALL), d AS (SELECT vec_id, c.label, sum((v - m) * (v - m)) AS d FROM x JOIN c USING (pos) GROUP BY vec_id, c.label)
+SELECT vec_id, centroid_id, round(d, 6) AS distance2 FROM (SELECT vec_id, label AS centroid_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS r FROM d) WHERE r = 1""")
+def nearest_centroids(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    c = e.select("label", F.posexplode("vector").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("m")).groupBy(F.col("label").alias("centroid_id"))
+    c = c.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
+    return V.nearest_centroid(e.select("vec_id", "vector"), c).select("vec_id", "centroid_id", F.round("distance2", 6).alias("distance2"))
+
+
+def _counts(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("obs"), (F.col("l_partkey") % 200).alias("gene")).agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
+
+
+_COUNTS = "counts AS (SELECT l_suppkey AS obs, l_partkey % 200 AS gene, sum(l_quantity::DOUBLE) AS value FROM lineitem GROUP BY ALL)"
+
+
+@_query(f"WITH {_COUNTS} SELECT obs, gene, round(ln(1 + value * 10000 / greatest(sum(value) OVER (PARTITION BY obs), 1)), 8) AS expression FROM counts")
+def log_expression(spark, sf_dir):
+    return _r(V.log_cp10k(_counts(spark, sf_dir)).select("obs", "gene", "expression"))
+
+
+@_query(f"""WITH {_COUNTS}, n AS (SELECT count(DISTINCT obs) AS n FROM counts), s AS (SELECT gene, sum(value) AS s, sum(value * value) AS q, count(*) FILTER (value > 0) AS k FROM counts GROUP BY ALL)
+SELECT gene, round(s / n, 6) AS mean, round((q - s * s / n) / (n - 1), 6) AS variance, round((q - s * s / n) / (n - 1) / greatest(s / n, 1e-12), 6) AS fano, round(k / n::DOUBLE, 6) AS detected FROM s, n""")
+def feature_scores(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    out = V.feature_scores(c, c.select("obs").distinct().count())
+    return out.select("gene", *[F.round(x, 6).alias(x) for x in ("mean", "variance", "fano", "detected")])
+
+
+# --- trade-offs and comparisons -------------------------------------------------------------
+
+_CONFIG = """cfg AS (SELECT o_orderpriority || '|' || o_orderstatus AS config_id, avg(o_totalprice::DOUBLE) AS price, count(*)::DOUBLE AS orders, stddev_pop(o_totalprice::DOUBLE) AS spread FROM orders GROUP BY ALL)"""
+
+
+def _configs(spark, sf_dir):
+    p = F.col("o_totalprice").cast("double")
+    return _table(spark, sf_dir, "orders").groupBy(F.concat_ws("|", "o_orderpriority", "o_orderstatus").alias("config_id")).agg(F.avg(p).alias("price"), F.count("*").cast("double").alias("orders"), (-F.stddev_pop(p)).alias("steady"))
+
+
+_DOM = f"""WITH {_CONFIG}, dom AS (SELECT a.config_id AS winner, b.config_id AS loser FROM cfg a JOIN cfg b ON a.config_id <> b.config_id AND a.price >= b.price - 1e-9 AND a.orders >= b.orders - 1e-9 AND -a.spread >= -b.spread - 1e-9
+AND (a.price > b.price + 1e-9 OR a.orders > b.orders + 1e-9 OR -a.spread > -b.spread + 1e-9))"""
+_METRICS = ["price", "orders", "steady"]
+
+
+@_query(f"{_DOM} SELECT winner, loser FROM dom")
+def pareto_dominance(spark, sf_dir):
+    return P.dominance(_configs(spark, sf_dir), _METRICS)
+
+
+@_query(f"""{_DOM} SELECT config_id, (SELECT count(*) FROM dom WHERE winner = config_id) AS dominates, (SELECT count(*) FROM dom WHERE loser = config_id) AS dominated_by, (SELECT count(*) FROM dom WHERE loser = config_id) = 0 AS is_frontier FROM cfg""")
+def pareto_frontier(spark, sf_dir):
+    return P.frontier(_configs(spark, sf_dir), _METRICS)
+
+
+@_query(f"""{_DOM.replace("WITH", "WITH RECURSIVE", 1)}, chain AS (SELECT config_id, 0 AS depth FROM cfg UNION SELECT loser, depth + 1 FROM chain JOIN dom ON winner = config_id) SELECT config_id, max(depth) AS depth FROM chain GROUP BY ALL""")
+def pareto_depth(spark, sf_dir):
+    return P.depth(_configs(spark, sf_dir), _METRICS)
+
+
+@_query(f"""WITH {_CONFIG}, allc AS (SELECT avg(price) AS p, avg(orders) AS o, avg(spread) AS s FROM cfg), d AS (SELECT config_id, price - p AS dp, orders - o AS d_o, -(spread - s) AS ds FROM cfg, allc),
+n AS (SELECT config_id, (dp > 1)::INT + (d_o > 1)::INT + (ds > 1)::INT AS wins, (dp < -1)::INT + (d_o < -1)::INT + (ds < -1)::INT AS losses, (d_o < -1)::INT AS protected_losses, (dp > 1)::INT AS target_wins, dp + d_o + ds AS net FROM d)
+SELECT config_id, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(protected_losses AS BIGINT) AS protected_losses, CAST(target_wins AS BIGINT) AS target_wins, round(net, 4) AS net_gain,
+CASE WHEN target_wins > 0 AND losses = 0 THEN 'clean_win' WHEN target_wins > 0 AND protected_losses = 0 THEN 'near_clean' WHEN wins > 0 THEN 'mixed' WHEN losses > 0 THEN 'dominated' ELSE 'flat' END AS label FROM n""")
+def pareto_classes(spark, sf_dir):
+    c = _configs(spark, sf_dir).withColumn("spread", -F.col("steady"))
+    mean = c.agg(*[F.avg(m).alias(f"m_{m}") for m in ("price", "orders", "spread")])
+    d = c.crossJoin(F.broadcast(mean)).select("config_id", *[(F.col(m) - F.col(f"m_{m}")).alias(m) for m in ("price", "orders", "spread")]).unpivot("config_id", ["price", "orders", "spread"], "metric_name", "delta")
+    reg = spark.createDataFrame([("price", True, False, True, 1.0, 1.0), ("orders", True, True, False, 1.0, 1.0), ("spread", False, False, False, 1.0, 1.0)], "metric_name string, higher_is_better boolean, protected boolean, target boolean, gain double, loss double")
+    return P.classify(d, reg).withColumn("net_gain", F.round("net_gain", 4))
+
+
+@_query(f"""WITH {_CONFIG}, r AS (SELECT config_id, CAST(row_number() OVER (ORDER BY price, config_id) AS DOUBLE) AS l, CAST(row_number() OVER (ORDER BY orders, config_id) AS DOUBLE) AS r FROM cfg), a AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha),
+b AS (SELECT config_id, alpha, (1 - alpha) * l + alpha * r AS blend FROM r, a) SELECT config_id, alpha, blend, rank() OVER (PARTITION BY alpha ORDER BY blend) + (count(*) OVER (PARTITION BY alpha, blend) - 1) / 2.0::DOUBLE AS rank FROM b""")
+def rank_blend(spark, sf_dir):
+    from pyspark.sql.window import Window as W
+
+    c = _configs(spark, sf_dir)
+    c = c.select("config_id", F.row_number().over(W.orderBy("price", "config_id")).cast("double").alias("l"), F.row_number().over(W.orderBy("orders", "config_id")).cast("double").alias("r"))
+    return P.rank_blend(c, "l", "r", [0.0, 0.25, 0.5, 0.75, 1.0], "config_id")
+
+
+_RUNS = """runs AS (SELECT l_returnflag AS dataset, l_linenumber AS seed, 'm' || CAST(l_suppkey % 5 AS VARCHAR) AS method, avg(l_discount::DOUBLE) AS ari, avg(l_tax::DOUBLE) AS nmi, avg(l_quantity::DOUBLE) AS runtime FROM lineitem GROUP BY ALL)"""
+
+
+def _mm(c: str) -> str:
+    w = "OVER (PARTITION BY dataset, seed)"
+    return f"CASE WHEN abs(max({c}) {w} - min({c}) {w}) <= 1e-8 + 1e-5 * abs(min({c}) {w}) THEN 0.0 ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"
+
+
+_SCORED = f"""WITH {_RUNS}, scored AS (SELECT dataset, seed, method, {_mm("ari")} + {_mm("nmi")} - 0.15::DOUBLE * {_mm("runtime")} AS score FROM runs)"""
+
+
+def _runs(spark, sf_dir):
+    t = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("dataset"), F.col("l_linenumber").alias("seed"), F.concat(F.lit("m"), (F.col("l_suppkey") % 5).cast("string")).alias("method"))
+    t = t.agg(F.avg(F.col("l_discount").cast("double")).alias("ari"), F.avg(F.col("l_tax").cast("double")).alias("nmi"), F.avg(F.col("l_quantity").cast("double")).alias("runtime"))
+    return P.run_scores(t, ["ari", "nmi"], "runtime", ["dataset", "seed"])
+
+
+@_query(f"{_SCORED} SELECT dataset, seed, method, round(score, 8) AS score, score >= max(score) OVER (PARTITION BY dataset, seed) - 0.0001 AS is_winner FROM scored")
+def run_scores(spark, sf_dir):
+    return _r(_runs(spark, sf_dir).select("dataset", "seed", "method", "score", "is_winner"))
+
+
+@_query(f"""{_SCORED} SELECT a.method AS method_a, b.method AS method_b, count(*) FILTER (a.score - b.score > 0.0001) AS wins, count(*) FILTER (abs(a.score - b.score) <= 0.0001) AS ties, count(*) FILTER (a.score - b.score < -0.0001) AS losses, round(avg(a.score - b.score), 8) AS mean_difference
+FROM scored a JOIN scored b ON a.dataset = b.dataset AND a.seed = b.seed AND a.method < b.method GROUP BY ALL""")
+def win_tie_loss(spark, sf_dir):
+    return _r(P.win_tie_loss(_runs(spark, sf_dir), ["dataset", "seed"]))
+
+
+@_query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT name, CASE WHEN s = '' THEN 'unknown' ELSE s END AS safe_name FROM (SELECT name, lower(trim(regexp_replace(name, '[^0-9a-zA-Z]+', '_', 'g'), '_')) AS s FROM n)""")
+def safe_feature_names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("safe_name", N.safe_feature_name(F.col("name")))
+
+
+@_query("""WITH n AS (SELECT DISTINCT p_type AS t FROM part), w AS (SELECT t, list_distinct(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM n)
+SELECT a.t AS a, b.t AS b, round(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE ELSE 0.0 END, 8) AS jaccard FROM w a JOIN w b ON a.t < b.t""")
+def label_token_jaccard(spark, sf_dir):
+    t = _table(spark, sf_dir, "part").select(F.col("p_type").alias("a")).distinct()
+    return _r(t.join(t.select(F.col("a").alias("b")), F.col("a") < F.col("b")).select("a", "b", P.label_jaccard(F.col("a"), F.col("b")).alias("jaccard")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"sample_motif_abundance": sample_motif_abundance}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"sample_motif_abundance": f"WITH {SPOTS}, {ABUNDANCE} SELECT * FROM abundance"}
+    return dict(_sql)
