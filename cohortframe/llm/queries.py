@@ -85,8 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_token_file, op4_passages, op5_bytes, op6_toxicity, op7_quality, op8_embeddings, op9_token_counts, op10_mix)}
 
 
-_WORDS = r"list_filter(string_split_regex(lower({0}), '[\x20\x09-\x0D]+'), x -> x <> '')"
-_SHINGLES = "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)"
+_WORDS = r"list_filter(string_split_regex(lower({0}), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SHINGLES = "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)"
 
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
