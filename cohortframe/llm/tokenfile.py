@@ -12,6 +12,7 @@ import hashlib
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +67,12 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Pieces:
-    """Token ids of texts, piece by piece.
+    """Token ids of texts (UTF-8 bytes), piece by piece.
 
-    The normaliser and the pre-tokeniser of the vocabulary never look across ASCII white space, so the
-    ids of a text are those of its pieces in turn.  A piece is encoded by the library once and remembered,
-    up to ``keep`` pieces.
+    The normaliser and the pre-tokeniser of the vocabulary never look across ASCII white space and put all in
+    lower case, so the ids of a text are those of its pieces in turn, and ASCII capitals may go first.  Stops after
+    a letter are pre-tokens of their own, so they are encoded apart.  A piece is encoded by the
+    library once and remembered, up to ``keep`` pieces.
     """
 
     def __init__(self, vocabulary: str, keep: int = 800_000) -> None:
@@ -78,17 +80,21 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(vocabulary)
-        special = [(i, t.content) for i, t in sorted(self.encoder.get_added_tokens_decoder().items()) if t.special]
-        self.mark_id, self.mark = special[0] if special else (None, None)
         self.keep = keep
+        #: Parts pieces that are encoded together: a control letter, if it is one token and so not part of another.
+        mark = self._ids("\x01")
+        self.mark = mark[0] if len(mark) == 1 else None
         self.clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.end = np.zeros(1 << 18, np.int64)
 
-    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, used = len(self.index), int(self.end[len(self.index)])
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
@@ -98,37 +104,58 @@ class Pieces:
         self.end[n + 1 : n + 1 + len(pieces)] = used + np.cumsum(sizes)
         self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if self.mark and self.mark not in p]
+    def _encode_pieces(self, pieces: list[bytes]) -> None:
+        plain = [p for p in pieces if self.mark is not None and b"\x01" not in p and b"<|" not in p]
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
-            ids = np.array(self.encoder.encode(self.mark.join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
+            ids = np.array(self._ids(b" \x01 ".join(part).decode()), np.uint32)
+            cut = np.flatnonzero(ids == self.mark)
             edge = np.concatenate(([-1], cut, [len(ids)]))
             self._add(part, np.delete(ids, cut), np.diff(edge) - 1)
-        for p in new if not self.mark else [p for p in new if self.mark in p]:
-            ids = np.array(self.encoder.encode(p, add_special_tokens=False).ids, np.uint32)
+        for p in set(pieces).difference(plain):
+            ids = np.array(self._ids(p.decode()), np.uint32)
             self._add([p], ids, np.array([len(ids)]))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, new: list[bytes]) -> None:
+        cores, ends, single = [], [], []
+        for p in new:
+            core = p.rstrip(_STOPS)
+            if len(core) != len(p) and core and (core[-1] in _LETTERS or (core[-1] >= 128 and core.decode()[-1].isalpha())):
+                cores.append(core)
+                ends.append(p[len(core) :])
+            else:
+                single.append(p)
+        self._encode_pieces(list(set(single).union(cores, ends).difference(self.index)))
+        if cores:
+            both = np.fromiter((self.index[x] for pair in zip(cores, ends, strict=True) for x in pair), np.int64, 2 * len(cores))
+            ids, size = self._gather(both)
+            self._add([c + e for c, e in zip(cores, ends, strict=True)], ids, size.reshape(-1, 2).sum(1))
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, size = self.end[which], self.end[which + 1] - self.end[which]
+        total = np.cumsum(size)
+        at = np.repeat(start - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
+        return self.flat[at], size
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and how many each text has."""
         if len(self.index) > self.keep:
             self.clear()
-        split = [t.translate(_BLANK).split(" ") for t in texts]
+        # capitals of what might be a special token stay as they are
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.index)
         if new:
             self._learn(list(new))
-        which = np.fromiter((j for p in split for j in map(self.index.__getitem__, p)), np.int64, sum(map(len, split)))
-        start, size = self.end[which], self.end[which + 1] - self.end[which]
-        total = np.cumsum(size)
-        at = np.repeat(start - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
-        edge = np.cumsum([len(p) for p in split])
-        sums = np.concatenate(([0], total))[np.concatenate(([0], edge))] if len(split) else np.zeros(1, np.int64)
-        return self.flat[at], np.diff(sums)
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        ids, size = self._gather(which)
+        sums = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
+        return ids, np.diff(sums)
 
 
-#: ASCII white space, where pieces end.
-_BLANK = dict.fromkeys(b"\t\n\x0b\x0c\r", " ")
+#: Stops that follow words, and the ASCII letters in lower case.
+_STOPS = b".,;:!?"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _kept: dict[str, Pieces] = {}
 
 
@@ -204,7 +231,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: i
         text = f.read()
     shared = spark.sparkContext.broadcast(text)
     size = max(Pieces(text).encoder.get_vocab_size(with_added_tokens=True), end_id + 1)
-    rows = docs.select(doc_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(doc_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
     raw = materialize(rows.mapInArrow(_tokenise(shared, end_id, block_tokens), _sql("", "ids binary")), "tokens")

@@ -49,7 +49,12 @@ _pieces, _words = tokenfile.Pieces(open(P.path("word_bpe_49k.json"), encoding="u
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_ids_of_any_text(text):
-    assert _pieces.encode([text])[0].tolist() == _words.encode(text, add_special_tokens=False).ids
+    assert _pieces.encode([text.encode()])[0].tolist() == _words.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_odd_texts():
+    for t in [*ODD, "Word, word. é, É! x'S. &&,. a1, <|STARTOFTEXT|> A", "a\x01b \x01 c", "I\u0307, K\u030a. \u0130", "don't. 'S, don'T"]:
+        assert _pieces.encode([t.encode()])[0].tolist() == _words.encode(t, add_special_tokens=False).ids
 
 
 def test_token_file(spark):
