@@ -361,6 +361,50 @@ def label_token_jaccard(spark, sf_dir):
     return _r(t.join(t.select(F.col("a").alias("b")), F.col("a") < F.col("b")).select("a", "b", P.label_jaccard(F.col("a"), F.col("b")).alias("jaccard")))
 
 
+# --- models and simulation (no SQL: tail probabilities, resampling) -----------------------------
+
+
+@_query()
+def ols_hc3_test(spark, sf_dir):
+    from cohortframe.operators.models import ols_hc3_test as test
+
+    return test(fractions(spark, sf_dir))
+
+
+@_query()
+def fisher_test(spark, sf_dir):
+    from cohortframe.operators.models import fisher_test as test
+
+    return test(A.sample_motif_abundance(spots(spark, sf_dir)))
+
+
+@_query()
+def quasi_binomial_test(spark, sf_dir):
+    from cohortframe.operators.models import quasi_binomial_test as test
+
+    return test(A.sample_motif_abundance(spots(spark, sf_dir)))
+
+
+@_query()
+def bootstrap_intervals(spark, sf_dir):
+    from cohortframe.operators.models import bootstrap_test
+
+    return bootstrap_test(fractions(spark, sf_dir))
+
+
+@_query()
+def simulation_summary(spark, sf_dir):
+    """Two small scenarios, judged by the permutation test of each replicate as a dataset of its own."""
+    from cohortframe.operators import simulation as S
+
+    grid = dict(n_case=[4], n_control=[4], n_motifs=[12], n_signal_motifs=[3], patches_per_sample=[4], spots_per_patch=[30], sample_random_effect_sd=[0.1, 0.4], patch_random_effect_sd=[0.1], effect_size=[1.2], baseline_low=[0.1], baseline_high=[0.4])
+    rows = S.simulate(S.scenarios(spark, grid), 3).withColumn("dataset_id", F.concat_ws("/", "scenario_id", F.col("replicate_id").cast("string"))).withColumn("value", F.col("motif_spots") / F.col("sample_spots"))
+    p = T.benjamini_hochberg(T.permutation_test(rows), "pvalue_two_sided", "q_value", "dataset_id")
+    truth = rows.select("dataset_id", "scenario_id", "replicate_id", "motif_id", "is_signal").distinct()
+    out = truth.join(p, ["dataset_id", "motif_id"]).select("scenario_id", "replicate_id", F.lit("sample_permutation").alias("method"), "motif_id", "is_signal", (F.col("q_value") <= 0.1).alias("discovery"), (F.col("pvalue_two_sided") <= 0.1).alias("raw_call"), F.col("pvalue_two_sided").alias("pvalue"))
+    return S.summarize(out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
