@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortframe.operators import abundance as A
+from cohortframe.operators import decisions as D
+from cohortframe.operators import hvg as H
 from cohortframe.operators import neighborhood as N
 from cohortframe.operators import pareto as P
+from cohortframe.operators import representation as R
 from cohortframe.operators import testing as T
 from cohortframe.operators import vectors as V
 
@@ -361,6 +364,107 @@ def label_token_jaccard(spark, sf_dir):
     return _r(t.join(t.select(F.col("a").alias("b")), F.col("a") < F.col("b")).select("a", "b", P.label_jaccard(F.col("a"), F.col("b")).alias("jaccard")))
 
 
+# --- scores, representation, decisions ---------------------------------------------------------
+
+
+@_query(f"""WITH {_COUNTS}, n AS (SELECT count(DISTINCT obs) AS n FROM counts), e AS (SELECT gene, ln(1 + value * 10000 / greatest(sum(value) OVER (PARTITION BY obs), 1)) AS x FROM counts),
+l AS (SELECT gene, sum(x * x) / any_value(n) - (sum(x) / any_value(n)) ** 2 AS lv FROM e, n GROUP BY gene),
+r AS (SELECT gene, sum(value) / any_value(n) AS m, (sum(value * value) - sum(value) ** 2 / any_value(n)) / (any_value(n) - 1) AS v FROM counts, n GROUP BY gene),
+f AS (SELECT gene, lv, v / greatest(m, 1e-6) AS fano FROM l JOIN r USING (gene))
+SELECT gene, round((lv - avg(lv) OVER ()) / stddev_pop(lv) OVER (), 6) AS variance_score, round((fano - avg(fano) OVER ()) / stddev_pop(fano) OVER (), 6) AS fano_score FROM f""")
+def variability_scores(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    return H.base_scores(c, c.select("obs").distinct().count()).select("gene", F.round("variance_score", 6).alias("variance_score"), F.round("fano_score", 6).alias("fano_score"))
+
+
+@_query()
+def mean_variance_residual(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    return H.base_scores(c, c.select("obs").distinct().count()).select("gene", "mv_residual")
+
+
+_GENES = f"WITH {_COUNTS}, g AS (SELECT gene, sum(value) AS total, count(*)::DOUBLE AS seen FROM counts GROUP BY ALL)"
+
+
+def _genes(spark, sf_dir):
+    return _counts(spark, sf_dir).groupBy("gene").agg(F.sum("value").alias("total"), F.count("*").cast("double").alias("seen"))
+
+
+@_query(f"""{_GENES} SELECT gene, round((row_number() OVER (ORDER BY total, gene) - 0.5) / count(*) OVER (), 8) AS percentile, rank() OVER (ORDER BY seen) + (count(*) OVER (PARTITION BY seen) - 1) / 2.0::DOUBLE AS average_rank FROM g""")
+def gene_ranks(spark, sf_dir):
+    return _r(_genes(spark, sf_dir).select("gene", H.percentile_rank("total", "gene").alias("percentile"), H.average_rank("seen").alias("average_rank")))
+
+
+@_query(f"""{_GENES}, r AS (SELECT rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY seen) + (count(*) OVER (PARTITION BY seen) - 1) / 2.0::DOUBLE AS b FROM g) SELECT round(corr(a, b), 8) AS spearman FROM r""")
+def spearman_correlation(spark, sf_dir):
+    return _r(H.spearman(_genes(spark, sf_dir), "total", "seen"))
+
+
+def _vectors(spark, sf_dir):
+    s = F.col("vec_id") % 8
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs_id"), s.alias("sample_id"), F.when(s < 4, "control").otherwise("case").alias("condition"), F.col("label").alias("motif_id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+_X = "x AS (SELECT vec_id, vec_id % 8 AS sample_id, CASE WHEN vec_id % 8 < 4 THEN 'control' ELSE 'case' END AS condition, label AS motif_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+@_query(f"""WITH {_X}, n AS (SELECT sample_id, motif_id, count(DISTINCT vec_id) AS n FROM x GROUP BY ALL HAVING count(DISTINCT vec_id) >= 2), a AS (SELECT sample_id, motif_id, i, avg(v) AS m FROM x GROUP BY ALL), g AS (SELECT motif_id, i, avg(v) AS m FROM x GROUP BY ALL)
+SELECT n.sample_id, n.motif_id, any_value(n) AS n, round(sum(a.m * g.m) / sqrt(sum(a.m * a.m)) / sqrt(sum(g.m * g.m)), 8) AS stability FROM n JOIN a USING (sample_id, motif_id) JOIN g ON g.motif_id = n.motif_id AND g.i = a.i GROUP BY n.sample_id, n.motif_id""")
+def motif_stability(spark, sf_dir):
+    return _r(R.motif_stability(_vectors(spark, sf_dir), 2))
+
+
+@_query(f"""WITH {_X}, s AS (SELECT sample_id, condition, i, avg(v) AS m FROM x GROUP BY ALL), c AS (SELECT condition, i, avg(m) AS m FROM s GROUP BY ALL), g AS (SELECT i, avg(m) AS m FROM s GROUP BY ALL),
+w AS (SELECT sum((s.m - c.m) ** 2) / count(DISTINCT sample_id) AS w FROM s JOIN c USING (condition, i)), b AS (SELECT sum((c.m - g.m) ** 2) / count(DISTINCT condition) AS b FROM c JOIN g USING (i))
+SELECT round(w, 8) AS within, round(b, 8) AS between, round(b / (b + w + 1e-6), 8) AS separability FROM w, b""")
+def condition_separability(spark, sf_dir):
+    return _r(R.condition_separability(_vectors(spark, sf_dir)))
+
+
+@_query(f"""WITH {_SPOTS} SELECT sample_id, count(*) AS n_spots, round(median(n_counts), 8) AS median_counts, count(DISTINCT cell_type) AS n_labels, string_agg(DISTINCT condition, ',' ORDER BY condition) AS conditions FROM spots GROUP BY ALL""")
+def sample_qc(spark, sf_dir):
+    return _r(D.qc_summary(spots(spark, sf_dir)))
+
+
+@_query()
+def fraction_pivot(spark, sf_dir):
+    a = A.sample_motif_abundance(spots(spark, sf_dir))
+    return _r(D.fraction_pivot(a, sorted(r[0] for r in a.select("motif_id").distinct().collect())))
+
+
+@_query(f"""WITH {_COUNTS}, gr AS (SELECT DISTINCT obs, CASE WHEN obs % 3 = 0 THEN 'a' ELSE 'b' END AS grp FROM counts), z AS (SELECT count(*) FILTER (grp = 'a') AS ni, count(*) FILTER (grp <> 'a') AS no FROM gr),
+s AS (SELECT gene, sum(value) FILTER (grp = 'a') AS si, sum(value) FILTER (grp <> 'a') AS so, count(*) FILTER (grp = 'a' AND value > 0) AS ki, count(*) FILTER (grp <> 'a' AND value > 0) AS ko FROM counts JOIN gr USING (obs) GROUP BY ALL)
+SELECT gene, round(coalesce(si, 0) / ni, 6) AS mean_in, round(coalesce(so, 0) / no, 6) AS mean_out, round(ki / ni::DOUBLE, 6) AS detected_in, round(ko / no::DOUBLE, 6) AS detected_out, round(log2((coalesce(si, 0) / ni + 1e-4) / (coalesce(so, 0) / no + 1e-4)), 6) AS log2_fold_change FROM s, z""")
+def marker_genes(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    g = c.select("obs").distinct().withColumn("group", F.when(F.col("obs") % 3 == 0, "a").otherwise("b"))
+    out = D.marker_genes(c, g, "a")
+    return out.select("gene", *[F.round(x, 6).alias(x) for x in out.columns if x != "gene"])
+
+
+@_query(f"""{_WITH}, c AS (SELECT a.motif_id AS motif_a, b.motif_id AS motif_b, corr(a.motif_fraction, b.motif_fraction) AS r, count(*) AS n FROM abundance a JOIN abundance b USING (sample_id) GROUP BY ALL)
+SELECT motif_a, motif_b, round(r, 8) AS correlation, n AS n_samples FROM (SELECT *, row_number() OVER (PARTITION BY motif_a ORDER BY r DESC NULLS LAST, motif_b) AS k FROM c WHERE motif_a <> motif_b) WHERE k = 1""")
+def motif_alignment(spark, sf_dir):
+    """Each motif's closest other motif; a run against itself would match itself."""
+    a = A.sample_motif_abundance(spots(spark, sf_dir)).select("sample_id", "motif_id", "motif_fraction")
+    from pyspark.sql.window import Window as W
+
+    x, y = a.select("sample_id", F.col("motif_id").alias("motif_a"), F.col("motif_fraction").alias("fa")), a.select("sample_id", F.col("motif_id").alias("motif_b"), F.col("motif_fraction").alias("fb"))
+    c = x.join(y, "sample_id").where("motif_a != motif_b").groupBy("motif_a", "motif_b").agg(F.corr("fa", "fb").alias("correlation"), F.count("*").alias("n_samples"))
+    return _r(c.withColumn("r", F.row_number().over(W.partitionBy("motif_a").orderBy(F.desc_nulls_last("correlation"), "motif_b"))).where("r = 1").drop("r"))
+
+
+@_query(f"""{_WITH}, e AS (SELECT motif_id, avg(motif_fraction) FILTER (condition = 'tumor') - avg(motif_fraction) FILTER (condition = 'control') AS x, avg(motif_fraction) AS m FROM abundance GROUP BY ALL)
+SELECT motif_id, CASE WHEN m > 0.3 THEN 'robust' WHEN m <= 0.05 THEN 'naive_only' ELSE 'no_signal' END AS label, round(-log10(greatest(m, 1e-12)), 8) AS neg_log10,
+CASE WHEN abs(x) <= 1e-8 AND abs(m - 0.1) <= 1e-8 THEN true WHEN abs(x) <= 1e-8 OR abs(m - 0.1) <= 1e-8 THEN false ELSE sign(x) = sign(m - 0.1) END AS same_sign FROM e""")
+def decision_columns(spark, sf_dir):
+    """The label and number rules on columns made from mean fractions."""
+    v = fractions(spark, sf_dir)
+    e = v.groupBy("motif_id").agg((F.avg(F.when(F.col("condition") == "tumor", F.col("value"))) - F.avg(F.when(F.col("condition") == "control", F.col("value")))).alias("x"), F.avg("value").alias("m"))
+    tier = F.when(F.col("m") > 0.3, "heldout_supported").otherwise("not_supported")
+    return _r(e.select("motif_id", D.decision_label(tier, F.col("m")).alias("label"), D.neg_log10(F.col("m")).alias("neg_log10"), D.sign_match(F.col("x"), F.col("m") - 0.1).alias("same_sign")))
+
+
 # --- models and simulation (no SQL: tail probabilities, resampling) -----------------------------
 
 
