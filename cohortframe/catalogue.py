@@ -496,6 +496,15 @@ def bootstrap_intervals(spark, sf_dir):
     return bootstrap_test(fractions(spark, sf_dir))
 
 
+@_query()
+def motif_assignments(spark, sf_dir):
+    """A frozen model of four motifs on sample-normalised vectors, assigned to all of them."""
+    from cohortframe.operators import motif as M
+
+    rows = M.normalize_by_sample(_vectors(spark, sf_dir).where("vector is not null").select("obs_id", "sample_id", "vector"))
+    return M.assign(rows, M.fit(rows, 4, 8)).select("obs_id", "sample_id", "motif_id", F.round("distance2", 6).alias("distance2"))
+
+
 @_query()
 def simulation_summary(spark, sf_dir):
     """Two small scenarios, judged by the permutation test of each replicate as a dataset of its own."""
