@@ -134,8 +134,8 @@ def mix_texts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: flo
     got = got.agg(F.sum(F.col("to") - F.col("from")).alias("n"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("taken"))
     got = got.select(F.col("source").alias("_source"), F.col("salt").alias("_salt"), F.col("rn").alias("_rn"), "n", "taken")
     whole = placed(measured(docs, "text", "lang"), base, n).join(got.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("salt") == F.col("_salt")) & (F.col("rn") == F.col("_rn")))
-    words = words_of(F.col("text"), lower=False)
-    whole = whole.withColumn("_words", F.when(F.col("n") < F.col("size"), words))
-    part = F.array_join(F.flatten(F.transform("taken", lambda t: F.slice(F.col("_words"), (t["from"] + 1).cast("int"), (t["to"] - t["from"]).cast("int")))), " ")
+    # the words are bound to a lambda's variable, else each slice would split the text again
+    words = F.array(words_of(F.col("text"), lower=False))
+    part = F.transform(words, lambda w: F.array_join(F.flatten(F.transform("taken", lambda t: F.slice(w, (t["from"] + 1).cast("int"), (t["to"] - t["from"]).cast("int")))), " "))[0]
     whole = whole.withColumn("text", F.when(F.col("n") < F.col("size"), part).otherwise(F.col("text")))
     return whole.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
