@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.llm import exchange as X
-from cohortframe.llm.common import _BYTE, bucketed, groups_of, materialize, part_of, real_id, slices, window_hashes
+from cohortframe.llm.common import _BYTE, bucketed, groups_of, materialize, mix, part_of, real_id, slices, window_hashes
 
 _GRAM = 24
 _OUT = "doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary"
@@ -116,7 +116,8 @@ class Runs:
         if width < span:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
         at = (low[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        key = gram[at]
+        # least values crowd at the low end: mixed again, they spread over all ranges
+        key = mix(gram[at] + np.uint64(_BYTE))
         doc = np.repeat(np.arange(len(texts)), size)
         whole = doc[:n] == doc[depth - 1 : depth - 1 + n]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:n] != doc[: n - 1]) | (whole[1:] != whole[:-1])))
