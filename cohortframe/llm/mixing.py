@@ -31,7 +31,7 @@ def measured(docs: DataFrame, *carry: str) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words_of(text, lower=False)).cast("long").alias("size"), F.xxhash64(text).alias("key"), *carry)
 
 
-def placed(rows: DataFrame, base: DataFrame, n_rows: int, group_rows: int = 20_000) -> DataFrame:
+def placed(rows: DataFrame, base: DataFrame, n_rows: int, group_rows: int = 4096) -> DataFrame:
     """``rows`` of :func:`measured` with each row's place in the sequence of its source's words.
 
     Adds salt and rn, which with source name a row, and start.  ``base`` is the measured table without

@@ -75,7 +75,7 @@ class Pieces:
     library once and remembered, up to ``keep`` pieces.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 800_000) -> None:
+    def __init__(self, vocabulary: str, keep: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
