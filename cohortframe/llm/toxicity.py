@@ -130,6 +130,41 @@ class Lexicon:
         return out
 
 
+def _tally(least: int = 4, longest: int = 7, keep: int = 300_000):
+    """Per term: texts that hold it, toxic ones among them, the first and last word it stands for; summed up before the shuffle."""
+    plain = re.compile(r"[^\W_]+")
+
+    def rows(found: dict[str, list]) -> pa.RecordBatch:
+        p, n, lo, hi = zip(*found.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(p, pa.int64()), pa.array(n, pa.int64()), pa.array(lo), pa.array(hi)], ["t", "p", "n", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+        for b in batches:
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own: dict[str, tuple[str, str]] = {}
+                for w in sorted({w for w in plain.findall(text.lower()) if len(w) >= least}):
+                    own[w] = (w, w)
+                    for k in range(least, min(longest, len(w) - 1) + 1):
+                        t = w[:k] + "*"
+                        own[t] = (own[t][0] if t in own else w, w)
+                for t, (lo, hi) in own.items():
+                    have = found.get(t)
+                    if have is None:
+                        found[t] = [y, 1, lo, hi]
+                    else:
+                        have[0] += y
+                        have[1] += 1
+                        have[2], have[3] = min(have[2], lo), max(have[3], hi)
+                if len(found) > keep:
+                    yield rows(found)
+                    found = {}
+        if found:
+            yield rows(found)
+
+    return run
+
+
 def learn_lexicon(train: DataFrame, terms: int = 2000, least: int = 3, precision: float = 0.9) -> list[str]:
     """The words and word beginnings (ended by ``*``) that mark toxic texts among labelled ones.
 
@@ -137,22 +172,17 @@ def learn_lexicon(train: DataFrame, terms: int = 2000, least: int = 3, precision
     added, ``precision`` of its texts must be toxic.  A beginning is kept if several words share it; words that a
     beginning covers are left out.
     """
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")
-    words = train.select("doc_id", "y", word).where(F.length("w") >= 4)
-    ends = F.array(F.struct(F.col("w").alias("t"), F.lit(False).alias("open")), *[F.struct(F.expr(f"substring(w, 1, {k})").alias("t"), F.lit(True).alias("open")) for k in (4, 5, 6, 7)])
-    each = words.select("doc_id", "y", "w", F.explode(ends).alias("e")).where(~F.col("e.open") | (F.length("w") > F.length("e.t")))
-    # one row for each text and term; how many words a beginning stands for, by their hashes' extremes
-    each = each.groupBy("doc_id", "y", "e").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
-    stats = each.groupBy("e").agg(F.sum("y").alias("p"), F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ship(train.sparkSession)
+    each = train.select("y", "text").mapInArrow(_tally(), "t string, p long, n long, lo string, hi string")
+    stats = each.groupBy("t").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     stats = stats.where((F.col("p") >= least) & ((F.col("p") + 1) / (F.col("n") + 2) >= precision * (1 - 1 / (F.col("p") + 2))))
-    stats = stats.where(~F.col("e.open") | (F.col("lo") != F.col("hi")))
-    best = stats.orderBy(F.desc("p"), "e").limit(terms).select("e.t", "e.open").collect()
-    begin = sorted((r.t for r in best if r.open), key=len)
+    stats = stats.where(~F.col("t").endswith("*") | (F.col("lo") != F.col("hi")))
+    best = [r.t for r in stats.orderBy(F.desc("p"), "t").limit(terms).select("t").collect()]
     kept: list[str] = []
-    for t in begin:
+    for t in sorted((t[:-1] for t in best if t.endswith("*")), key=len):
         if not any(t.startswith(k) for k in kept):
             kept.append(t)
-    return sorted({r.t for r in best if not r.open and not any(r.t.startswith(k) for k in kept)} | {k + "*" for k in kept})
+    return sorted({t for t in best if not t.endswith("*") and not any(t.startswith(k) for k in kept)} | {k + "*" for k in kept})
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
