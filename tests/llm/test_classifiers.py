@@ -24,6 +24,26 @@ def test_automaton_meets_trie(terms, word, edits):
     assert toxicity.Trie(terms).near(word, edits) == any(distance(t, word) <= edits for t in terms)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", min_size=5, max_size=8), st.booleans()), min_size=1, max_size=6), st.text("abc", min_size=1, max_size=10))
+def test_lexicon_equals_edit_distance(terms, word):
+    """Starting the automaton below matching halves loses no term within one edit."""
+    lexicon = toxicity.Lexicon([t + "*" if o else t for t, o in terms])
+    begins = [word[:k] for k in range(len(word) + 1)]
+    exact = any(word.startswith(t) if o else word == t for t, o in terms)
+    near = len(word) >= 4 and any(min(distance(t, b) for b in begins) <= 1 if o else distance(t, word) <= 1 for t, o in terms)
+    assert lexicon.kind(word) == (2 if exact else int(near))
+
+
+def test_more_terms_than_any_round_number(spark):
+    """Every learnt term is kept, however many there are."""
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(2600)]
+    rows = [(i, 1, " ".join(f"{w} x{i}y{j}" for j, w in enumerate(words))) for i in range(5)] + [(9, 0, "other text")]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, y int, text string"))
+    assert set(words) <= {w for w in words if any(w == t or t.endswith("*") and w.startswith(t[:-1]) for t in found)}
+
+
 def test_open_terms():
     lexicon = toxicity.Lexicon(["stupid", "lowei*"])
     assert [lexicon.kind(w) for w in ("stupid", "stuped", "stupids", "loweischaft", "lovei", "stone", "loweix")] == [2, 1, 1, 2, 1, 0, 2]
