@@ -9,10 +9,12 @@ the data bytes hold the ranks, lowest byte first.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,9 @@ class Pieces:
     lower case, so the ids of a text are those of its pieces in turn, and ASCII capitals may go first.  Stops after
     a letter are pre-tokens of their own, so they are encoded apart.  A piece is encoded by the
     library once and remembered, up to ``keep`` pieces.
+
+    A piece of small Latin letters only is one pre-token that the normaliser leaves as it is, so such pieces go to a second
+    encoder without those steps; the token that ends a word tells them apart.
     """
 
     def __init__(self, vocabulary: str, keep: int = 600_000) -> None:
@@ -84,8 +89,21 @@ class Pieces:
         #: Parts pieces that are encoded together: a control letter, if it is one token and so not part of another.
         mark = self._ids("\x01")
         self.mark = mark[0] if len(mark) == 1 else None
+        self.words, self.ends = self._word_encoder(json.loads(vocabulary))
         self.clear()
 
+    def _word_encoder(self, spec: dict):
+        """The encoder of plain words and which ids end one; None where the vocabulary does not mark ends of words."""
+        from tokenizers import Tokenizer
+
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None, None
+        spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        return Tokenizer.from_str(json.dumps(spec)), ends
+
     def _ids(self, text: str) -> list[int]:
         return self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -104,7 +122,23 @@ class Pieces:
         self.end[n + 1 : n + 1 + len(pieces)] = used + np.cumsum(sizes)
         self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
+    def _encode_words(self, words: list[str]) -> bool:
+        """Encode plain words together; False, and nothing done, if their ends cannot be told."""
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            return False
+        self._add([w.encode() for w in words], ids, np.diff(np.concatenate(([-1], last))))
+        return True
+
     def _encode_pieces(self, pieces: list[bytes]) -> None:
+        if self.words is not None:
+            text = [p.decode() for p in pieces]
+            simple = [t for t in text if _SMALL(t)]
+            pieces = [t.encode() for t in text if not _SMALL(t)]
+            for i in range(0, len(simple), 8192):
+                if not self._encode_words(simple[i : i + 8192]):
+                    pieces += [t.encode() for t in simple[i : i + 8192]]
         plain = [p for p in pieces if self.mark is not None and b"\x01" not in p and b"<|" not in p]
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
@@ -143,11 +177,13 @@ class Pieces:
             self.clear()
         # capitals of what might be a special token stay as they are
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*split).difference(self.index)
-        if new:
-            self._learn(list(new))
         count = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        every = list(chain.from_iterable(split))
+        which = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        unknown = np.flatnonzero(which < 0).tolist()
+        if unknown:
+            self._learn(list({every[i] for i in unknown}))
+            which[unknown] = [self.index[every[i]] for i in unknown]
         ids, size = self._gather(which)
         sums = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
         return ids, np.diff(sums)
@@ -156,6 +192,8 @@ class Pieces:
 #: Stops that follow words, and the ASCII letters in lower case.
 _STOPS = b".,;:!?"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Small letters of Latin-1, which are their own lower case and composed form.
+_SMALL = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _kept: dict[str, Pieces] = {}
 
 
@@ -218,12 +256,14 @@ def _recode(ranks: np.ndarray):
     return run
 
 
-def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: int = 1, block_tokens: int = 1 << 20) -> str:
+def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: int = 1, block_tokens: int = 1 << 20, range_bytes: int = 32 << 20) -> str:
     """Encode every text, append ``end_id`` to each, and write a token file to ``path`` in order of doc_id.
 
-    Null texts are empty; a null doc_id comes last; rows of one doc_id are in the order of their texts.
-    Texts are dealt out by ranges of doc_id, tokenised once into blocks of about ``block_tokens`` ids, counted,
-    and recoded by rank.  Counts are one number per vocabulary entry, so the driver may hold them.
+    Null texts are empty; a null doc_id comes last; rows of one doc_id are in the order of their texts' hashes, and repeated
+    rows stay repeated.  Other columns are ignored; an empty table gives a file without blocks.
+    Texts are dealt out by ranges of (doc_id, hash) of about ``range_bytes``, tokenised once into blocks of about
+    ``block_tokens`` ids, counted, and recoded by rank.  Counts are one number per vocabulary entry, so the driver
+    may hold them.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -231,9 +271,10 @@ def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: i
         text = f.read()
     shared = spark.sparkContext.broadcast(text)
     size = max(Pieces(text).encoder.get_vocab_size(with_added_tokens=True), end_id + 1)
-    rows = docs.select(doc_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    rows = docs.select(doc_key().alias("key"), F.xxhash64("text").alias("text_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes), 1)
+    rows = rows.repartitionByRange(n, "key", "text_key").sortWithinPartitions("key", "text_key", "text").select("key", "text")
     raw = materialize(rows.mapInArrow(_tokenise(shared, end_id, block_tokens), _sql("", "ids binary")), "tokens")
     counts = raw.select("ids").mapInArrow(_tally(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(size, np.int64)
@@ -273,7 +314,10 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digest(docs: DataFrame, vocabulary_file: str, path: str | None = None, end_id: int = 1) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32), read back from a token file in the shared folder."""
+    """(doc_id, start, n_tokens, ids_crc32) per row of ``docs``, read back from a token file in the shared folder.
+
+    Nulls, repeated rows, other columns and empty tables are treated as :func:`write_token_file` says.
+    """
     spark = docs.sparkSession
     path = write_token_file(docs, path or f"{shared_dir(spark)}/cohortframe-tokenfile-{uuid.uuid4().hex}", vocabulary_file, end_id)
     out = read_token_file(spark, path)
