@@ -6,70 +6,19 @@ Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, which is what
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.plans.ship import ship
+from cohortframe.plans.tables import drop, materialize, shared_dir
+
+__all__ = ["drop", "materialize", "shared_dir", "ship"]
 
 #: Stands for a null doc_id inside packed arrays: larger than every other id.
 NULL_ID = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a folder below its warehouse; on a
-    cluster there is no folder that is safe to guess, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", f"{warehouse}/_shared")
-    return f"{warehouse}/_shared"
-
-
-#: While this is on, Spark deletes a query's shuffle files as soon as the query ends.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.  The write's shuffle
-    files go when it ends, so the steps of an operator do not add up on disk.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/cohortframe-{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    for f in schema.fields:
-        f.nullable = True
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
-    out = spark.read.schema(schema).parquet(path)
-    out._cohortframe_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that :func:`materialize` wrote."""
-    path = getattr(df, "_cohortframe_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def doc_key():
     """``doc_id`` as a non-null long; null becomes :data:`NULL_ID`."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
@@ -191,3 +140,60 @@ def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     at = np.searchsorted(table, values)
     at[at == len(table)] = 0
     return table[at] == values
+
+
+# --- windows and suffixes ------------------------------------------------------------------
+
+
+def least_places(values: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each ``span`` consecutive values stands; of equal ones the first."""
+    at, low, width = np.arange(len(values)), values, 1
+
+    def merge(by: int) -> None:
+        nonlocal at, low
+        right = low[by:] < low[:-by]
+        at, low = np.where(right, at[by:], at[:-by]), np.where(right, low[by:], low[:-by])
+
+    if len(values) < span:
+        return at[:0]
+    while 2 * width <= span:
+        merge(width)
+        width *= 2
+    if width < span:
+        merge(span - width)
+    return at
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones, from 1."""
+    order = np.argsort(key)
+    rank = np.empty(len(key), np.uint64)
+    s = key[order]
+    rank[order] = np.cumsum(np.concatenate(([True], s[1:] != s[:-1]))[: len(s)]).astype(np.uint64)
+    return rank
+
+
+def depth_ranks(values: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each place's next ``depth`` values (fewer at the end), by prefix doubling; values are 1 or more.
+
+    Values below 256 are packed seven to a key first.
+    """
+    n, have = len(values), 1
+    small = n > 0 and int(values.max()) <= 256
+    if small:
+        have = min(depth, 7)
+        data = np.concatenate((values, np.zeros(7, np.uint64)))
+        key = np.zeros(n, np.uint64)
+        for i in range(have):
+            key = key * np.uint64(257) + data[i : i + n]
+        rank = _dense(key)
+    else:
+        rank = _dense(values)
+    while have < depth:
+        step = min(have, depth - have)
+        ahead = np.zeros(n, np.uint64)
+        if step < n:
+            ahead[: n - step] = rank[step:]
+        rank = _dense((rank << np.uint64(32)) | ahead)
+        have += step
+    return rank

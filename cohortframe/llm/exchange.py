@@ -18,6 +18,9 @@ from cohortframe.llm.common import groups_of, is_in, part_of, slices
 #: Bits of a key that travel besides its range.
 _REST = np.uint64((1 << 38) - 1)
 SCHEMA = "part int, bucket int, keys binary"
+#: Segments of texts on their way to a range of keys.
+SEGMENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
+SEGMENT_SQL = "part int, bucket int, ids binary, docs binary, starts binary, counts binary, text binary"
 
 
 class Bucket:

@@ -9,50 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.llm import exchange as X
-from cohortframe.llm.common import _BYTE, bucketed, groups_of, materialize, mix, part_of, real_id, slices, window_hashes
+from cohortframe.llm.common import _BYTE, bucketed, depth_ranks, groups_of, least_places, materialize, mix, part_of, real_id, slices, window_hashes
 
 _GRAM = 24
 _OUT = "doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary"
-_SEGMENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
 
 
 # --- suffix order of one text ----------------------------------------------------------
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    """The rank of each key among the distinct ones, from 1."""
-    order = np.argsort(key)
-    rank = np.empty(len(key), np.uint64)
-    s = key[order]
-    rank[order] = np.cumsum(np.concatenate(([True], s[1:] != s[:-1]))).astype(np.uint64)
-    return rank
-
-
-def _shift(rank: np.ndarray, by: int) -> np.ndarray:
-    """rank[i + by]; 0 past the end, before every rank."""
-    out = np.zeros(len(rank), np.uint64)
-    if by < len(rank):
-        out[: len(rank) - by] = rank[by:]
-    return out
-
-
-def depth_ranks(text: bytes, depth: int) -> np.ndarray:
-    """The rank of each position's next ``depth`` bytes (fewer at the end), by prefix doubling."""
-    n = len(text)
-    data = np.zeros(n + 7, np.uint64)
-    data[:n] = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-    have = min(depth, 7)
-    key = np.zeros(n, np.uint64)
-    for i in range(have):
-        key = key * np.uint64(257) + data[i : i + n]
-    rank = _dense(key)
-    while have < depth:
-        step = min(have, depth - have)
-        rank = _dense((rank << np.uint64(32)) | _shift(rank, step))
-        have += step
-    return rank
-
-
 def _smaller(pos: np.ndarray) -> np.ndarray:
     """For each place of a sequence the nearest place before it with a smaller value, or -1."""
     out = np.arange(-1, len(pos) - 1)
@@ -70,7 +35,7 @@ def previous_factors(text: bytes, starts: np.ndarray, depth: int) -> np.ndarray:
     ``depth`` bytes, ties by place); the earlier suffix with the longest common prefix is
     the nearest smaller place before or after it in that order.
     """
-    rank = depth_ranks(text, depth)[starts]
+    rank = depth_ranks(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), depth)[starts]
     order = np.argsort(rank, kind="stable")
     place, r = starts[order], rank[order]
     before = _smaller(place)
@@ -107,15 +72,7 @@ class Runs:
         if n <= 0:
             return tuple(np.empty(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, bool))
         gram = window_hashes(np.frombuffer(blob, np.uint8).astype(np.uint64) + np.uint64(1), _GRAM, _BYTE)
-        bits = np.uint64(max(1, len(blob).bit_length()))
-        low = ((gram >> bits) << bits) | np.arange(len(gram), dtype=np.uint64)
-        span, width = depth - _GRAM + 1, 1
-        while 2 * width <= span:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < span:
-            low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        at = (low[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        at = least_places(gram, depth - _GRAM + 1)
         # least values crowd at the low end: mixed again, they spread over all ranges
         key = mix(gram[at] + np.uint64(_BYTE))
         doc = np.repeat(np.arange(len(texts)), size)
@@ -181,7 +138,7 @@ def _send(depth: int, parts: int, ranges: int):
                 own = [found[i] for i in np.flatnonzero(part == p)]
                 doc = np.array([f[1] for f in own], np.int64)
                 rows.append({"part": int(p), "bucket": key[0].as_py(), "ids": b.ids[doc].tobytes(), "docs": doc.tobytes(), "starts": np.array([f[2] for f in own], np.int64).tobytes(), "counts": np.array([f[3] for f in own], np.int64).tobytes(), "text": b"".join(f[4] for f in own)})
-        return pa.Table.from_pylist(rows, schema=_SEGMENT)
+        return pa.Table.from_pylist(rows, schema=X.SEGMENT)
 
     return run
 
@@ -284,7 +241,7 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 100, crowded: int = 4096
     told = materialize(X.repeated(sent, crowded), "grams")
     keys = (told.agg(F.sum(F.length("keys"))).first()[0] or 0) // 5
     ranges = max(1, keys * 2 * depth // range_bytes)
-    parts = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_send(depth, n, ranges), "part int, bucket int, ids binary, docs binary, starts binary, counts binary, text binary")
+    parts = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_send(depth, n, ranges), X.SEGMENT_SQL)
     late = materialize(parts.groupBy("part").applyInArrow(_judge(depth), X.SCHEMA), "factors")
     out = rows.groupBy("bucket").cogroup(told.unionByName(late).groupBy("bucket")).applyInArrow(_cut(depth, n), _OUT)
     return out.withColumn("doc_id", real_id())

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cohortframe.llm import passages, suffixes
+from cohortframe.llm.common import least_places, word_hashes
 
 BIG = 1 << 62
 
@@ -46,12 +47,12 @@ def plain_bytes(rows, depth):
     return Counter(out)
 
 
-@pytest.mark.parametrize("seed,least", [(1, 1 << 30), (2, 3000), (3, 1500)])
-def test_passages(spark, monkeypatch, seed, least):
+@pytest.mark.parametrize("seed,least,crowded", [(1, 1 << 30, 256), (2, 3000, 1), (3, 1500, 256)])
+def test_passages(spark, monkeypatch, seed, least, crowded):
     real = passages.bucketed
     monkeypatch.setattr(passages, "bucketed", lambda d: real(d, least, least))
     df, rows = table(spark, seed)
-    got = Counter(map(tuple, passages.passages_digest(df, 50).collect()))
+    got = Counter(map(tuple, passages.passages_digest(df, 50, crowded, 20_000).collect()))
     assert got == plain_words(rows, 50)
     assert sum(n for (_, _, n, _), _ in got.items()) > 0
 
@@ -67,6 +68,32 @@ def test_bytes(spark, monkeypatch, seed, least, crowded):
     assert Counter(map(tuple, out.collect())) == plain_bytes(rows, 100)
 
 
+def test_words_of_equal_hash_are_told_apart(spark):
+    """Two long words that any polynomial modulo a power of two gives one hash: a Thue-Morse string and its complement."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert word_hashes(one.encode())[0] == word_hashes(other.encode())[0]
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest} end")]
+    got = {r.doc_id: r.n_removed for r in passages.passages_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_copies_of_one_id_and_long_texts(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    long = " ".join(f"v{i % 5000}" for i in range(60_000))
+    rows = [(7, text, ""), (7, text, ""), (7, "x " + text, ""), (None, text, ""), (None, text, ""), (9, long, ""), (10, long, "")]
+    df = spark.createDataFrame(rows, SCHEMA.split(", lang")[0] + ", lang string")
+    assert Counter(map(tuple, passages.passages_digest(df).collect())) == plain_words(rows, 50)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=40), st.integers(1, 9))
+def test_least_places(values, span):
+    v = np.array(values, np.uint64)
+    assert least_places(v, span).tolist() == [i + int(np.argmin(v[i : i + span])) for i in range(len(v) - span + 1)]
+
+
 def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert passages.passages_digest(df).count() == 0
