@@ -13,7 +13,7 @@ def held_out() -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, text, y): at most ``rows`` labelled rows that are not held out, the smallest by a hash of doc_id.
+    """(doc_id, text, y): at most ``rows`` labels that are not held out, the smallest by a hash of doc_id, on about twice as many rows at most.
 
     The sample is drawn among labels before texts are read, so its bound is also the bound
     of what is joined.
@@ -21,7 +21,10 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, broadca
     some = labels.select("doc_id", F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     some = some.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(rows)
     some = F.broadcast(some) if rows <= broadcast_rows else some
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(some, "doc_id")
+    # a doc_id may stand on many rows: then a share of them is drawn
+    n = docs.select(F.col("doc_id").cast("long")).join(some, "doc_id").count()
+    drawn = docs if n <= 2 * rows else docs.where(F.rand(7) < 2 * rows / n)
+    return drawn.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(some, "doc_id")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.llm.classify import Adam, Network, held_out, labelled, sigmoid
+from cohortframe.llm.common import materialize
 from cohortframe.plans.ship import ship
 
 #: Bytes by kind: lower, upper, digit, blank, stop, mark, bracket or sign, other ASCII, above ASCII.
@@ -53,6 +54,23 @@ def features(text: bytes) -> np.ndarray:
     return out
 
 
+def risk_gradients(net: Network, zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[list[np.ndarray], float]:
+    """The step's gradients on positive and unlabelled inputs, and the estimated risk of the negatives.
+
+    Of prior * R_p(+) + R_u(-) - prior * R_p(-) with the sigmoid loss, loss(+) = sigmoid(-g), loss(-) = sigmoid(g); where the
+    part of the negatives is below zero, of that part alone, uphill.
+    """
+    hu, gu = net._forward(zu)
+    hp, gp = net._forward(zp)
+    su, sp = sigmoid(gu), sigmoid(gp)
+    du, dp = su * (1 - su) / len(gu), sp * (1 - sp) / len(gp)
+    negative = float(su.mean() - prior * sp.mean())
+    of_u = net.gradients(zu, hu, du)
+    if negative >= 0:
+        return [a + b for a, b in zip(of_u, net.gradients(zp, hp, -2 * prior * dp), strict=True)], negative
+    return [b - a for a, b in zip(of_u, net.gradients(zp, hp, prior * dp), strict=True)], negative
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, rounds: int = 60, batch: int = 512, seed: int = 7) -> Network:
     """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), with the sigmoid loss.
 
@@ -68,23 +86,35 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: i
         up = r.permutation(len(u))
         for k in range(steps):
             zu, zp = u[up[k * batch : (k + 1) * batch]], p[r.integers(0, len(p), batch)]
-            hu, gu = net._forward(zu)
-            hp, gp = net._forward(zp)
-            # loss(+) = sigmoid(-g), loss(-) = sigmoid(g); both have the same slope but for the sign
-            su, sp = sigmoid(gu), sigmoid(gp)
-            du, dp = su * (1 - su) / len(gu), sp * (1 - sp) / len(gp)
-            negative = su.mean() - prior * sp.mean()
-            if negative >= 0:
-                grads = [a + b for a, b in zip(net.gradients(zu, hu, du), net.gradients(zp, hp, -2 * prior * dp), strict=True)]
-            else:
-                grads = [b - a for a, b in zip(net.gradients(zu, hu, du), net.gradients(zp, hp, prior * dp), strict=True)]
-            adam.step(grads)
+            adam.step(risk_gradients(net, zp, zu, prior)[0])
     return net
 
 
-def estimate_prior(y: np.ndarray) -> float:
-    """The share of positives among labelled rows, kept off both ends."""
-    return float(np.clip((y.sum() + 1) / (len(y) + 2), 0.05, 0.98))
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7, rounds: int = 300, risk: float = 0.1) -> float:
+    """The share of positives among the unlabelled texts, from trusted positives and unlabelled ones alone.
+
+    A logistic regression tells positives from unlabelled texts on one half of each.  On the other half, the share of
+    unlabelled texts above a threshold is at least the prior times the share of positives above it, and about that
+    where only positives are left; so the prior is the ratio of both shares at the threshold whose upper
+    confidence bound is least.  Kept off both ends.
+    """
+    r = np.random.default_rng(seed)
+    p, u = positive[r.permutation(len(positive))], unlabelled[r.permutation(len(unlabelled))]
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    mean, scale = u.mean(0), np.maximum(u.std(0), 1e-6)
+    p, u = ((np.hstack((np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))))) for x in (p, u))
+    fit_p, fit_u, p, u = p[::2], u[::2], p[1::2], u[1::2]
+    w = [np.zeros(p.shape[1])]
+    adam = Adam(w, rate=0.03, decay=1e-3)
+    for _ in range(rounds):
+        adam.step([fit_u.T @ sigmoid(fit_u @ w[0]) / len(fit_u) - fit_p.T @ (1 - sigmoid(fit_p @ w[0])) / len(fit_p)])
+    gp, gu = np.sort(p @ w[0]), np.sort(u @ w[0])
+    above_p = np.arange(len(gp), 0, -1) / len(gp)
+    above_u = 1 - np.searchsorted(gu, gp, "left") / len(gu)
+    slack = np.sqrt(np.log(4 / risk) / 2 / len(gp)) + np.sqrt(np.log(4 / risk) / 2 / len(gu))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
 def _featured(df: DataFrame) -> DataFrame:
@@ -100,44 +130,51 @@ def _featured(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in df.dtypes if c != "text"), "x array<double>"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Network | None:
-    """A network from trusted positives and unlabelled texts; None where there are no positives.
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> tuple[Network, float] | None:
+    """A network from trusted positives and unlabelled texts, and the class prior; None where there are no positives.
 
-    ``rows`` bounds the labelled rows and the unlabelled ones.  The unlabelled rows are drawn by a hash of
-    doc_id from all texts that are not held out; the class prior is the share of positives among labelled rows.
+    ``rows`` bounds the labelled rows, and in the mean the unlabelled ones, that the fit takes.  Labels only choose the positives.
+    The unlabelled rows are drawn at random from all texts that are not held out.
     """
-    got = _featured(labelled(docs, labels, "quality", rows)).select("y", "x").toArrow()
-    y = np.array(got.column("y").to_pylist(), np.int64)
-    if not y.sum():
+    got = _featured(labelled(docs, labels, "quality", rows)).where("y = 1").select("x").toArrow()
+    if not got.num_rows:
         return None
     x = np.array(got.column("x").to_pylist()).reshape(-1, WIDTH)
     free = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where(~held_out())
-    n = free.count()
-    share = min(1.0, rows / max(1, n))
-    free = free.where(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    free = free.where(F.rand(7) < rows / max(1, free.count()))
     u = np.array(_featured(free).select("x").toArrow().column("x").to_pylist()).reshape(-1, WIDTH)
-    prior = estimate_prior(y)
-    net = fit_pu(x[y == 1], u if len(u) else x, prior)
-    # the offset at which as large a share of the unlabelled texts is positive as the prior says
-    g = np.sort(net.logit(u if len(u) else x))
-    net.w[3] = net.w[3] - np.quantile(g, 1 - prior) + np.log(0.3 / 0.7)
-    return net
+    u = u if len(u) else x
+    prior = estimate_prior(x, u)
+    return fit_pu(x, u, prior), prior
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = 20_000, accept: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+def quality_rows(docs: DataFrame, labels: DataFrame, rows: int = 20_000, accept: float = 0.3) -> DataFrame:
+    """(doc_id, text_key, held_out, score, predicted) for every row of ``docs``; ``text_key`` is a hash of the text.
 
     ``score`` is 0 to 1, higher for texts like the trusted ones; ``predicted`` is 1 from ``accept`` on.  Only form
-    features of the text are inputs.  Null texts score as empty ones.  Without any positive label all scores are 0.5.
+    features of the text are inputs.  The network's outputs are shifted so that as large a share of all texts that are not
+    held out is accepted as the class prior says.  Null texts score as empty ones.  Without any positive label
+    all scores are 0.5.  Repeated rows are scored each; a null doc_id stays, with ``held_out`` null; other columns are
+    ignored; an empty table gives an empty one.
     """
-    net = train(docs, labels, rows)
+    fitted = train(docs, labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t.as_py().encode()) for t in b.column(1)]).reshape(-1, WIDTH)
-            s = sigmoid(net.logit(x)) if net is not None else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            x = np.array([features(t.as_py().encode()) for t in b.column(2)]).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fitted[0].logit(x) if fitted else np.zeros(len(x)), pa.float64())], ["doc_id", "text_key", "g"])
 
     ship(docs.sparkSession)
-    out = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+    out = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, text_key long, g double")
+    shift = 0.0
+    if fitted:
+        out = materialize(out, "logits")
+        cut = out.where(~held_out()).agg(F.percentile_approx("g", 1 - fitted[1], 100_000)).first()[0]
+        shift = float(np.log(accept / (1 - accept))) - (cut or 0.0)
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("g") + shift))))
+    return out.select("doc_id", "text_key", held_out().alias("held_out"), score.alias("score"), (score >= accept).cast("int").alias("predicted"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = 20_000, accept: float = 0.3) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs``: :func:`quality_rows` without the hash."""
+    return quality_rows(docs, labels, rows, accept).drop("text_key")

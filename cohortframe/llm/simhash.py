@@ -22,6 +22,14 @@ _OFFSET = np.arange(8) * 256
 _digest = partial(xxhash.xxh64_intdigest, seed=42)
 
 
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are set in over half of the 64-bit hashes; zero for none."""
+    if not len(h):
+        return 0
+    seen = np.bincount((h.view(np.uint8).reshape(-1, 8) + _OFFSET).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return int.from_bytes(np.packbits(2 * seen[::-1] > len(h)).tobytes(), "big")
+
+
 def simhash(text: bytes | None, shingle: int = 3) -> int:
     """The 64-bit SimHash of a text: ASCII lower case, word shingles with repeats, XXH64 seed 42.
 
@@ -33,9 +41,7 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
         return 0
     k = min(shingle, len(words))
     n = len(words) - k + 1
-    h = np.fromiter(map(_digest, map(b" ".join, zip(*(words[i : i + n] for i in range(k)), strict=True))), np.uint64, n)
-    seen = np.bincount((h.view(np.uint8).reshape(-1, 8) + _OFFSET).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits(2 * seen[::-1] > n).tobytes(), "big")
+    return majority(np.fromiter(map(_digest, map(b" ".join, zip(*(words[i : i + n] for i in range(k)), strict=True))), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

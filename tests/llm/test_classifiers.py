@@ -82,3 +82,50 @@ def test_held_out_accuracy(spark, score, which, least):
     none = score(docs, labels.where("doc_id < 0")).collect()
     assert len(none) == 403
     assert score(docs.limit(0), labels).count() == 0
+
+
+def test_prior_from_positives_and_unlabelled():
+    r = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.9):
+        good = r.normal(0, 1, (12_000, 4)) + [3, 0, 0, 0]
+        bad = r.normal(0, 1, (6_000, 4)) - [1, 0, 0, 0]
+        k = int(6000 * prior)
+        u = np.concatenate((good[6000 : 6000 + k], bad[: 6000 - k]))
+        assert abs(quality.estimate_prior(good[:3000], u) - prior) < 0.05
+
+
+def test_risk_gradients():
+    """One step of the fit against numeric gradients of the risk it states."""
+    r = np.random.default_rng(2)
+    net = quality.Network(3, 4, 1)
+    zp, zu, prior = r.normal(0, 1, (20, 3)), r.normal(0, 1, (30, 3)), 0.4
+
+    def risk():
+        gp, gu = net._forward(zp)[1], net._forward(zu)[1]
+        negative = quality.sigmoid(gu).mean() - prior * quality.sigmoid(gp).mean()
+        return prior * quality.sigmoid(-gp).mean() + max(0.0, negative), negative
+
+    grads, negative = quality.risk_gradients(net, zp, zu, prior)
+    assert negative == pytest.approx(risk()[1]) and negative > 0
+    for w, g in zip(net.w, grads):
+        for i in np.ndindex(w.shape):
+            w[i] += 1e-6
+            up = risk()[0]
+            w[i] -= 2e-6
+            down = risk()[0]
+            w[i] += 1e-6
+            assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_repeated_labelled_rows_are_bounded(spark):
+    docs = spark.range(4000).selectExpr("5L as doc_id", "cast(id as string) as text")
+    labels = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int")
+    from cohortframe.llm.classify import labelled
+
+    assert labelled(docs, labels, "quality", 100).count() < 400
+
+
+def test_clashing_columns(spark):
+    docs, labels, _ = corpus(spark, 60)
+    more = docs.selectExpr("*", "1 as y", "2 as x", "3 as g", "4 as score", "5 as text_key", "6 as held_out")
+    assert quality.quality_scores(more, labels).count() == toxicity.toxicity_scores(more, labels).count() == 63
