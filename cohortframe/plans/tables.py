@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{warehouse}/_shared"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.  The write's shuffle
@@ -43,7 +43,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     out = spark.read.schema(schema).parquet(path)
