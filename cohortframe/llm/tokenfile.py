@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 from cohortframe.llm.common import doc_key, drop, materialize, real_id, shared_dir
 from cohortframe.plans.ship import ship
 
-_RAW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+_RAW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("tally", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))])
 _BLOCK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
 _sql = "part int, seq int, {}docs binary, counts binary, {}".format
 
@@ -197,16 +197,18 @@ _SMALL = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _kept: dict[str, Pieces] = {}
 
 
-def _tokenise(shared, end_id: int, block_tokens: int):
+def _tokenise(shared, end_id: int, block_tokens: int, size: int):
+    """Blocks of token ids, and a last row of each task with how often it met each id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         name = hashlib.sha256(vocabulary.encode()).hexdigest()
         pieces = _kept.get(name) or _kept.setdefault(name, Pieces(vocabulary))
         part, seq = TaskContext.get().partitionId(), 0
-        docs, counts, ids, held = [], [], [], 0
+        docs, counts, ids, held, total = [], [], [], 0, np.zeros(size, np.int64)
 
         def block() -> pa.RecordBatch:
-            row = {"part": part, "seq": seq, "docs": np.concatenate(docs).tobytes(), "counts": np.concatenate(counts).tobytes(), "ids": np.concatenate(ids).astype("<u4").tobytes()}
+            row = {"part": part, "seq": seq, "docs": np.concatenate(docs).tobytes(), "counts": np.concatenate(counts).tobytes(), "ids": np.concatenate(ids).astype("<u4").tobytes(), "tally": None}
             return pa.RecordBatch.from_pylist([row], schema=_RAW)
 
         for b in batches:
@@ -222,6 +224,7 @@ def _tokenise(shared, end_id: int, block_tokens: int):
                 counts.append(size + 1)
                 ids.append(np.insert(got, np.cumsum(size), end_id))
                 held += len(ids[-1])
+                total += np.bincount(ids[-1], minlength=size)
                 at += n
                 if held >= block_tokens:
                     yield block()
@@ -229,18 +232,9 @@ def _tokenise(shared, end_id: int, block_tokens: int):
                     docs, counts, ids = [], [], []
         if docs:
             yield block()
-
-    return run
-
-
-def _tally(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=size)
-        which = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(total[which])], ["id", "n"])
+        seen = np.flatnonzero(total)
+        if len(seen):
+            yield pa.RecordBatch.from_pylist([{"part": part, "tally": [{"id": i, "n": n} for i, n in zip(seen.tolist(), total[seen].tolist(), strict=True)]}], schema=_RAW)
 
     return run
 
@@ -275,15 +269,15 @@ def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: i
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes), 1)
     rows = rows.repartitionByRange(n, "key", "text_key").sortWithinPartitions("key", "text_key", "text").select("key", "text")
-    raw = materialize(rows.mapInArrow(_tokenise(shared, end_id, block_tokens), _sql("", "ids binary")), "tokens")
-    counts = raw.select("ids").mapInArrow(_tally(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    raw = materialize(rows.mapInArrow(_tokenise(shared, end_id, block_tokens, size), _sql("", "ids binary, tally array<struct<id: long, n: long>>")), "tokens", "snappy")
+    counts = raw.select(F.explode("tally").alias("t")).groupBy("t.id").agg(F.sum("t.n").alias("n")).collect()
     total = np.zeros(size, np.int64)
     for r in counts:
         total[r["id"]] = r["n"]
     order = np.lexsort((np.arange(size), -total)).astype("<u4")
     ranks = np.empty(size, np.uint32)
     ranks[order] = np.arange(size, dtype=np.uint32)
-    raw.mapInArrow(_recode(ranks), _sql("n_tokens long, ", "control binary, data binary")).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.where("ids is not null").drop("tally").mapInArrow(_recode(ranks), _sql("n_tokens long, ", "control binary, data binary")).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(order.tobytes()),)], "ids binary").write.parquet(f"{path}/ranks")
     drop(raw)
     return path
