@@ -219,10 +219,10 @@ def _tokenise(shared, end_id: int, block_tokens: int, size: int):
                 while at + n < len(texts) and letters < 1 << 20:
                     letters += len(texts[at + n])
                     n += 1
-                got, size = pieces.encode(texts[at : at + n])
+                got, lengths = pieces.encode(texts[at : at + n])
                 docs.append(keys[at : at + n].astype("<i8"))
-                counts.append(size + 1)
-                ids.append(np.insert(got, np.cumsum(size), end_id))
+                counts.append(lengths + 1)
+                ids.append(np.insert(got, np.cumsum(lengths), end_id))
                 held += len(ids[-1])
                 total += np.bincount(ids[-1], minlength=size)
                 at += n
