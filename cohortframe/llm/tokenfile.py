@@ -18,6 +18,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ class Pieces:
     encoder without those steps; the token that ends a word tells them apart.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 600_000) -> None:
+    def __init__(self, vocabulary: str, keep: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -212,14 +213,13 @@ def _tokenise(shared, end_id: int, block_tokens: int, size: int):
             return pa.RecordBatch.from_pylist([row], schema=_RAW)
 
         for b in batches:
-            keys, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            keys = b.column(0).to_numpy()
+            sums = np.cumsum(pc.binary_length(b.column(1)).to_numpy())
             at = 0
-            while at < len(texts):
-                n = letters = 0
-                while at + n < len(texts) and letters < 1 << 20:
-                    letters += len(texts[at + n])
-                    n += 1
-                got, lengths = pieces.encode(texts[at : at + n])
+            while at < len(sums):
+                # texts become Python objects a megabyte at a time
+                n = max(1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + (1 << 20), "right")) - at)
+                got, lengths = pieces.encode(b.column(1).slice(at, n).to_pylist())
                 docs.append(keys[at : at + n].astype("<i8"))
                 counts.append(lengths + 1)
                 ids.append(np.insert(got, np.cumsum(lengths), end_id))
