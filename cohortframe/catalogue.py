@@ -102,13 +102,13 @@ j AS (SELECT * FROM e JOIN o USING (dataset_id, motif_id))"""
 
 @_query(f"""{_PERM} SELECT dataset_id, motif_id, round(obs, 8) AS observed_effect, round(count(*) FILTER (abs(eff) >= abs(obs) - 1e-12) / count(*)::DOUBLE, 8) AS pvalue_two_sided,
 round(count(*) FILTER (CASE WHEN obs >= 0 THEN eff >= obs - 1e-12 ELSE eff <= obs + 1e-12 END) / count(*)::DOUBLE, 8) AS pvalue_one_sided,
-round((count(*) FILTER (abs(eff) > abs(obs) + 1e-12) + 0.5::DOUBLE * count(*) FILTER (abs(abs(eff) - abs(obs)) <= 1e-12)) / count(*), 8) AS pvalue_midp, count(*) AS n_permutations, 'exact' AS mode FROM j GROUP BY dataset_id, motif_id, obs""")
+round((count(*) FILTER (abs(eff) > abs(obs) + 1e-12) + 0.5::DOUBLE * count(*) FILTER (abs(abs(eff) - abs(obs)) <= 1e-12)) / count(*), 8) AS pvalue_midp, count(*) AS n_permutations, 'exact' AS mode, CAST(count(*) AS VARCHAR) AS total_labelings FROM j GROUP BY dataset_id, motif_id, obs""")
 def permutation_exact(spark, sf_dir):
     return _r(T.permutation_test(fractions(spark, sf_dir)))
 
 
 @_query(f"""{_PERM}, t AS (SELECT dataset_id, mask, max(abs(eff)) AS top FROM e GROUP BY ALL)
-SELECT dataset_id, motif_id, round(obs, 8) AS observed_effect, round(count(*) FILTER (top >= abs(obs) - 1e-12) / count(*)::DOUBLE, 8) AS pvalue_max_t, count(*) AS n_permutations FROM o JOIN t USING (dataset_id) GROUP BY dataset_id, motif_id, obs""")
+SELECT dataset_id, motif_id, round(obs, 8) AS observed_effect, round(count(*) FILTER (top >= abs(obs) - 1e-12) / count(*)::DOUBLE, 8) AS pvalue_max_t, count(*) AS n_permutations, 'exact' AS mode, CAST(count(*) AS VARCHAR) AS total_labelings FROM o JOIN t USING (dataset_id) GROUP BY dataset_id, motif_id, obs""")
 def permutation_max_t(spark, sf_dir):
     return _r(T.max_t_test(fractions(spark, sf_dir)))
 
@@ -197,9 +197,10 @@ def radius_neighbors(spark, sf_dir):
     return _r(N.radius_edges(spots(spark, sf_dir), 20.0).groupBy("sample_id", "src").agg(F.count("*").alias("neighbors"), F.avg("dist").alias("mean_distance")))
 
 
-@_query(f"""{_knn_sql(6)} SELECT sample_id, src, count(*) AS neighbor_count, round(avg(dist), 8) AS mean_distance, round(max(dist), 8) AS support_radius, round(count(*) / (pi() * greatest(max(dist), 0.001::DOUBLE) ** 2), 8) AS area_density FROM knn GROUP BY ALL""")
+@_query(f"""{_knn_sql(6)} SELECT sample_id, src, count(*) AS neighbor_count, round(avg(dist), 8) AS mean_distance, round(max(dist), 8) AS support_radius, round(CASE WHEN max(dist) > 0 THEN count(*) / greatest(pi() * max(dist) * max(dist), 1e-6::DOUBLE) ELSE 0 END, 8) AS area_density FROM knn GROUP BY ALL""")
 def neighborhood_density(spark, sf_dir):
-    return _r(N.density(N.knn_edges(spots(spark, sf_dir), 6)))
+    s = spots(spark, sf_dir)
+    return _r(N.density(N.knn_edges(s, 6), s))
 
 
 @_query(f"""{_knn_sql(6)} SELECT w.sample_id, src, cell_type AS label, round(sum(weight), 8) AS share FROM w JOIN spots s ON s.obs_id = w.dst GROUP BY ALL""")
@@ -218,7 +219,7 @@ def neighborhood_entropy(spark, sf_dir):
 @_query(f"""{_knn_sql(6)}, p AS (SELECT w.sample_id, a.motif_id, b.motif_id AS other, sum(weight) AS wt FROM w JOIN spots a ON a.obs_id = w.src JOIN spots b ON b.obs_id = w.dst GROUP BY ALL),
 n AS (SELECT sample_id, motif_id, count(*) AS n FROM spots GROUP BY ALL),
 t AS (SELECT sample_id, motif_id, other, wt FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, motif_id ORDER BY wt DESC, other) AS r FROM p WHERE other <> motif_id) WHERE r = 1)
-SELECT p.sample_id, p.motif_id, round(coalesce(sum(p.wt) FILTER (p.other = p.motif_id), 0) / any_value(n.n), 8) AS same_motif_fraction, any_value(t.other) AS top_partner, round(any_value(t.wt) / sum(p.wt), 8) AS top_partner_share
+SELECT p.sample_id, p.motif_id, round(coalesce(sum(p.wt) FILTER (p.other = p.motif_id), 0) / any_value(n.n), 8) AS same_motif_fraction, coalesce(any_value(t.other), p.motif_id) AS top_partner, round(coalesce(any_value(t.wt), sum(p.wt) FILTER (p.other = p.motif_id)) / sum(p.wt), 8) AS top_partner_share
 FROM p JOIN n USING (sample_id, motif_id) LEFT JOIN t USING (sample_id, motif_id) GROUP BY p.sample_id, p.motif_id""")
 def motif_colocalization(spark, sf_dir):
     s, e = _edges(spark, sf_dir)
@@ -231,6 +232,40 @@ def spatial_coherence(spark, sf_dir):
     return _r(N.coherence(e, s))
 
 
+@_query(f"""{_knn_sql(6)}, p AS (SELECT sample_id, least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM w GROUP BY ALL), i AS (SELECT sample_id, i, sum(w) AS w FROM (SELECT sample_id, a AS i, w FROM p UNION ALL SELECT sample_id, b, w FROM p) GROUP BY ALL),
+s AS (SELECT sample_id, sum(w) AS s0, sum(w * w) AS s1 FROM p GROUP BY ALL), s2 AS (SELECT sample_id, sum(w * w) AS s2 FROM i GROUP BY ALL), k AS (SELECT sample_id, motif_id, count(*)::DOUBLE AS k FROM spots GROUP BY ALL),
+n AS (SELECT sample_id, sum(k) AS n, sum(k * (k - 1)) AS f2, sum(k * (k - 1) * (k - 2)) AS f3, sum(k * (k - 1) * (k - 2) * (k - 3)) AS f4, sum((k * (k - 1)) ** 2) AS g FROM k GROUP BY ALL),
+t AS (SELECT n, s0 * f2 / (n * (n - 1)) AS mu, s1 * f2 / (n * (n - 1)) + (s2 - 2 * s1) * f3 / (n * (n - 1) * (n - 2)) + (s0 * s0 - s2 + s1) * (f4 + f2 * f2 - g) / (n * (n - 1) * (n - 2) * (n - 3)) AS sq FROM n JOIN s USING (sample_id) JOIN s2 USING (sample_id)),
+u AS (SELECT sum(mu) / sum(n) AS mu, sqrt(sum(greatest(sq - mu * mu, 0))) / sum(n) AS sd, sum(n) AS n FROM t), o AS (SELECT sum(CASE WHEN a.motif_id = b.motif_id THEN weight ELSE 0 END) AS w FROM w JOIN spots a ON a.obs_id = w.src JOIN spots b ON b.obs_id = w.dst)
+SELECT round(w / n, 8) AS coherence, round(mu, 8) AS null_mean, round(sd, 6) AS null_std, round((w / n - mu) / sd, 4) AS z_score FROM o, u""")
+def coherence_test(spark, sf_dir):
+    s, e = _edges(spark, sf_dir)
+    return _r(N.coherence_test(e, s)).withColumn("null_std", F.round("null_std", 6)).withColumn("z_score", F.round("z_score", 4))
+
+
+@_query(f"{_knn_sql(6)} SELECT w.sample_id, src, f.feature, round(sum(weight * f.value), 8) AS value FROM w JOIN (SELECT obs_id, 'x' AS feature, spatial_x AS value FROM spots UNION ALL SELECT obs_id, 'count', n_counts FROM spots) f ON f.obs_id = w.dst GROUP BY ALL")
+def neighborhood_features(spark, sf_dir):
+    s, e = _edges(spark, sf_dir)
+    return _r(N.feature_means(e, s.select("obs_id", F.col("spatial_x").alias("x"), F.col("n_counts").alias("count")).unpivot("obs_id", ["x", "count"], "feature", "value")))
+
+
+def _scale_sql(name: str, edges: str, support: str) -> str:
+    return f"""SELECT '{name}' AS scale, sample_id, src, count(*) AS neighbor_count, avg(dist) AS mean_distance, {support} AS support_radius FROM {edges} GROUP BY ALL"""
+
+
+def _entropy_sql(name: str, edges: str) -> str:
+    return f"""SELECT '{name}' AS scale, src, (-sum(p * ln(p)) + (4 - count(*)) * 1e-8 * ln(1e8)) / ln(4) AS entropy FROM (SELECT src, cell_type, greatest(1e-8, least(1.0::DOUBLE, sum(wt))) AS p FROM (SELECT e.src, s.cell_type, (1.0::DOUBLE / greatest(dist, 0.001::DOUBLE)) / sum(1.0::DOUBLE / greatest(dist, 0.001::DOUBLE)) OVER (PARTITION BY e.src) AS wt FROM {edges} e JOIN spots s ON s.obs_id = e.dst) GROUP BY src, cell_type) GROUP BY src"""
+
+
+@_query(f"""WITH {_SPOTS}, d AS (SELECT a.sample_id, a.obs_id AS src, b.obs_id AS dst, sqrt((a.spatial_x - b.spatial_x) * (a.spatial_x - b.spatial_x) + (a.spatial_y - b.spatial_y) * (a.spatial_y - b.spatial_y)) AS dist FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.obs_id <> b.obs_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY sample_id, src ORDER BY dist, dst) AS rank FROM d), k6 AS (SELECT * FROM n WHERE rank <= 6), k18 AS (SELECT * FROM n WHERE rank <= 18), far AS (SELECT sample_id, src, max(dist) AS far FROM k6 GROUP BY ALL HAVING max(dist) > 0), rd AS (SELECT sample_id, median(far) * 1.6::DOUBLE AS radius FROM far GROUP BY ALL),
+rr AS (SELECT n.*, radius FROM n JOIN rd USING (sample_id) WHERE dist <= radius OR rank = 1), sc AS ({_scale_sql('knn_06', 'k6', 'max(dist)')} UNION ALL {_scale_sql('knn_18', 'k18', 'max(dist)')} UNION ALL {_scale_sql('radius', 'rr', 'greatest(max(dist), any_value(radius))')}),
+en AS ({_entropy_sql('knn_06', 'k6')} UNION ALL {_entropy_sql('knn_18', 'k18')} UNION ALL {_entropy_sql('radius', 'rr')})
+SELECT scale, sample_id, src, neighbor_count, round(mean_distance, 8) AS mean_distance, round(support_radius, 8) AS support_radius, round(CASE WHEN support_radius > 0 THEN neighbor_count / greatest(pi() * support_radius * support_radius, 1e-6::DOUBLE) ELSE 0 END, 8) AS area_density, round(entropy, 8) AS entropy FROM sc JOIN en USING (scale, src)""")
+def scale_summary(spark, sf_dir):
+    return _r(N.scale_summary(spots(spark, sf_dir)))
+
+
 # --- vectors and counts -------------------------------------------------------------------
 
 
@@ -302,26 +337,69 @@ def pareto_depth(spark, sf_dir):
     return P.depth(_configs(spark, sf_dir), _METRICS)
 
 
-@_query(f"""WITH {_CONFIG}, allc AS (SELECT avg(price) AS p, avg(orders) AS o, avg(spread) AS s FROM cfg), d AS (SELECT config_id, price - p AS dp, orders - o AS d_o, -(spread - s) AS ds FROM cfg, allc),
-n AS (SELECT config_id, (dp > 1)::INT + (d_o > 1)::INT + (ds > 1)::INT AS wins, (dp < -1)::INT + (d_o < -1)::INT + (ds < -1)::INT AS losses, (d_o < -1)::INT AS protected_losses, (dp > 1)::INT AS target_wins, dp + d_o + ds AS net FROM d)
-SELECT config_id, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(protected_losses AS BIGINT) AS protected_losses, CAST(target_wins AS BIGINT) AS target_wins, round(net, 4) AS net_gain,
-CASE WHEN target_wins > 0 AND losses = 0 THEN 'clean_win' WHEN target_wins > 0 AND protected_losses = 0 THEN 'near_clean' WHEN wins > 0 THEN 'mixed' WHEN losses > 0 THEN 'dominated' ELSE 'flat' END AS label FROM n""")
-def pareto_classes(spark, sf_dir):
+_SKY = "CASE WHEN EXISTS (SELECT 1 FROM cfg b WHERE b.price >= a.price AND b.orders >= a.orders AND b.spread <= a.spread AND (b.price > a.price OR b.orders > a.orders OR b.spread < a.spread)) THEN 0 ELSE 1 END"
+
+
+@_query(f"WITH {_CONFIG} SELECT config_id FROM cfg a WHERE {_SKY} = 1")
+def pareto_skyline(spark, sf_dir):
+    return P.skyline(_configs(spark, sf_dir), _METRICS)
+
+
+_DELTAS = f"""WITH {_CONFIG}, allc AS (SELECT avg(price) AS p, avg(orders) AS o, avg(spread) AS s FROM cfg), dl AS (SELECT config_id, price - p AS price, orders - o AS orders, -(spread - s) AS spread FROM cfg, allc)"""
+
+
+def _registry(spark):
+    return P.metric_registry(spark, ["orders"], ["price", "spread"], {"spread": "lower_is_better"}, {"orders": 1.0, "price": 1.0, "spread": 1.0}, {"price": 500.0, "spread": 800.0}, {"orders": 40.0, "price": 2000.0, "spread": 900.0})
+
+
+def _deltas(spark, sf_dir):
     c = _configs(spark, sf_dir).withColumn("spread", -F.col("steady"))
-    mean = c.agg(*[F.avg(m).alias(f"m_{m}") for m in ("price", "orders", "spread")])
-    d = c.crossJoin(F.broadcast(mean)).select("config_id", *[(F.col(m) - F.col(f"m_{m}")).alias(m) for m in ("price", "orders", "spread")]).unpivot("config_id", ["price", "orders", "spread"], "metric_name", "delta")
-    reg = spark.createDataFrame([("price", True, False, True, 1.0, 1.0), ("orders", True, True, False, 1.0, 1.0), ("spread", False, False, False, 1.0, 1.0)], "metric_name string, higher_is_better boolean, protected boolean, target boolean, gain double, loss double")
-    return P.classify(d, reg).withColumn("net_gain", F.round("net_gain", 4))
+    names = ["price", "orders", "spread"]
+    base = c.agg(*[F.avg(m).alias(m) for m in names]).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric_name"), F.col(m).alias("value")) for m in names])).alias("b")).select("b.*")
+    return P.metric_deltas(c.select("config_id", *names).unpivot("config_id", names, "metric_name", "value"), base, _registry(spark))
+
 
+@_query(f"{_DELTAS} SELECT config_id, metric_name, round(delta, 6) AS delta FROM dl UNPIVOT (delta FOR metric_name IN (price, orders, spread))")
+def metric_deltas(spark, sf_dir):
+    return _deltas(spark, sf_dir).withColumn("delta", F.round("delta", 6))
 
-@_query(f"""WITH {_CONFIG}, r AS (SELECT config_id, CAST(row_number() OVER (ORDER BY price, config_id) AS DOUBLE) AS l, CAST(row_number() OVER (ORDER BY orders, config_id) AS DOUBLE) AS r FROM cfg), a AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha),
-b AS (SELECT config_id, alpha, (1 - alpha) * l + alpha * r AS blend FROM r, a) SELECT config_id, alpha, blend, rank() OVER (PARTITION BY alpha ORDER BY blend) + (count(*) OVER (PARTITION BY alpha, blend) - 1) / 2.0::DOUBLE AS rank FROM b""")
+
+@_query(f"""{_DELTAS}, n AS (SELECT *, (price > 1)::INT + (orders > 1)::INT + (spread > 1)::INT AS win, (price < -1)::INT + (orders < -1)::INT + (spread < -1)::INT AS loss, (price > 1)::INT + (spread > 1)::INT AS tg, (price < -1)::INT + (spread < -1)::INT AS tl FROM dl),
+f AS (SELECT *, tg > 0 AND loss = 0 AS clean_win, (price >= 500 OR spread >= 800) AND orders >= -40 AND price >= -2000 AND spread >= -900 AND NOT (tg > 0 AND loss = 0) AS near_clean FROM n)
+SELECT config_id, CAST(win AS BIGINT) AS win_count, CAST(loss AS BIGINT) AS loss_count, CAST((orders < -1)::INT AS BIGINT) AS protected_loss_count, CAST(tg AS BIGINT) AS target_gain_count, CAST(tl AS BIGINT) AS target_loss_count,
+concat_ws(',', CASE WHEN orders > 1 THEN 'orders' END, CASE WHEN price > 1 THEN 'price' END, CASE WHEN spread > 1 THEN 'spread' END) AS win_metrics, concat_ws(',', CASE WHEN orders < -1 THEN 'orders' END, CASE WHEN price < -1 THEN 'price' END, CASE WHEN spread < -1 THEN 'spread' END) AS loss_metrics,
+concat_ws(',', CASE WHEN orders < -1 THEN 'orders' END) AS protected_loss_metrics, concat_ws(',', CASE WHEN price > 1 THEN 'price' END, CASE WHEN spread > 1 THEN 'spread' END) AS target_gain_metrics, concat_ws(',', CASE WHEN price < -1 THEN 'price' END, CASE WHEN spread < -1 THEN 'spread' END) AS target_loss_metrics,
+clean_win, near_clean, win > 0 AND loss > 0 AS mixed_tradeoff, win = 0 AND loss > 0 AS dominated,
+CASE WHEN clean_win THEN 'clean_win' WHEN near_clean THEN 'near_clean' WHEN win > 0 AND loss > 0 THEN 'mixed_tradeoff' WHEN loss > 0 THEN 'dominated' ELSE 'flat_or_tied' END AS pareto_label FROM f""")
+def pareto_classes(spark, sf_dir):
+    return P.classify(_deltas(spark, sf_dir), _registry(spark))
+
+
+@_query(f"""WITH {_CONFIG}, g AS (SELECT *, substr(config_id, 1, 1) AS priority, CAST(round(price / 100000) AS INTEGER) AS budget FROM cfg), dom AS (SELECT a.priority, a.config_id AS winner, b.config_id AS loser FROM g a JOIN g b ON a.priority = b.priority AND a.config_id <> b.config_id
+AND a.price >= b.price - 1e-9 AND a.orders >= b.orders - 1e-9 AND -a.spread >= -b.spread - 1e-9 AND (a.price > b.price + 1e-9 OR a.orders > b.orders + 1e-9 OR -a.spread > -b.spread + 1e-9)),
+f AS (SELECT priority, budget FROM g WHERE config_id NOT IN (SELECT loser FROM dom)) SELECT priority, count(*) AS frontier_budget_count, string_agg(CAST(budget AS VARCHAR), ',' ORDER BY budget) AS frontier_budgets FROM f GROUP BY ALL""")
+def replacement_summary(spark, sf_dir):
+    """Configurations of a priority compete; a rounded price stands for the budget."""
+    c = _configs(spark, sf_dir).withColumn("priority", F.substring("config_id", 1, 1))
+    f = P.group_frontier(c, _METRICS, "priority").join(c.select("config_id", F.round(F.col("price") / 100000).cast("int").alias("budget")), "config_id")
+    return P.replacement_summary(f, "priority")
+
+
+@_query(f"""WITH {_CONFIG}, r AS (SELECT config_id, CAST(dense_rank() OVER (ORDER BY round(price / 5000)) AS DOUBLE) AS l, CAST(row_number() OVER (ORDER BY orders, config_id) AS DOUBLE) AS r FROM cfg), a AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha),
+b AS (SELECT config_id, alpha, (1 - alpha) * l + alpha * r AS blend FROM r, a) SELECT config_id, alpha, blend, CAST(dense_rank() OVER (PARTITION BY alpha ORDER BY blend) AS DOUBLE) AS rank FROM b""")
 def rank_blend(spark, sf_dir):
     from pyspark.sql.window import Window as W
 
     c = _configs(spark, sf_dir)
-    c = c.select("config_id", F.row_number().over(W.orderBy("price", "config_id")).cast("double").alias("l"), F.row_number().over(W.orderBy("orders", "config_id")).cast("double").alias("r"))
-    return P.rank_blend(c, "l", "r", [0.0, 0.25, 0.5, 0.75, 1.0], "config_id")
+    c = c.select("config_id", F.dense_rank().over(W.orderBy(F.round(F.col("price") / 5000))).cast("double").alias("l"), F.row_number().over(W.orderBy("orders", "config_id")).cast("double").alias("r"))
+    return P.rank_blend(c, "l", "r", P.alpha_grid(), "config_id")
+
+
+@_query(f"""WITH {_CONFIG}, r AS (SELECT config_id, round(price / 5000) AS v FROM cfg) SELECT config_id, CAST(dense_rank() OVER (ORDER BY v DESC) AS DOUBLE) AS dense, CAST(rank() OVER (ORDER BY v DESC) AS DOUBLE) AS low,
+rank() OVER (ORDER BY v DESC) + count(*) OVER (PARTITION BY v) - 1.0::DOUBLE AS high, rank() OVER (ORDER BY v DESC) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS mean FROM r""")
+def rank_methods(spark, sf_dir):
+    c = _configs(spark, sf_dir).select("config_id", F.round(F.col("price") / 5000).alias("v"), F.lit(0).alias("g"))
+    return c.select("config_id", *[P.rank_by("v", "g", method=m, ascending=False).alias(n) for m, n in (("dense", "dense"), ("min", "low"), ("max", "high"), ("average", "mean"))])
 
 
 _RUNS = """runs AS (SELECT l_returnflag AS dataset, l_linenumber AS seed, 'm' || CAST(l_suppkey % 5 AS VARCHAR) AS method, avg(l_discount::DOUBLE) AS ari, avg(l_tax::DOUBLE) AS nmi, avg(l_quantity::DOUBLE) AS runtime FROM lineitem GROUP BY ALL)"""
@@ -332,7 +410,8 @@ def _mm(c: str) -> str:
     return f"CASE WHEN abs(max({c}) {w} - min({c}) {w}) <= 1e-8 + 1e-5 * abs(min({c}) {w}) THEN 0.0 ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"
 
 
-_SCORED = f"""WITH {_RUNS}, scored AS (SELECT dataset, seed, method, {_mm("ari")} + {_mm("nmi")} - 0.15::DOUBLE * {_mm("runtime")} AS score FROM runs)"""
+_SCORED = f"""WITH {_RUNS}, plain AS (SELECT dataset, seed, method, runtime, {_mm("ari")} + {_mm("nmi")} - 0.15::DOUBLE * {_mm("runtime")} AS overall_score FROM runs),
+scored AS (SELECT *, abs(overall_score - max(overall_score) OVER (PARTITION BY dataset, seed)) <= 1e-12 AS is_winner, row_number() OVER (PARTITION BY dataset, seed ORDER BY overall_score DESC, runtime, method) AS overall_rank FROM plain)"""
 
 
 def _runs(spark, sf_dir):
@@ -341,15 +420,27 @@ def _runs(spark, sf_dir):
     return P.run_scores(t, ["ari", "nmi"], "runtime", ["dataset", "seed"])
 
 
-@_query(f"{_SCORED} SELECT dataset, seed, method, round(score, 8) AS score, score >= max(score) OVER (PARTITION BY dataset, seed) - 0.0001 AS is_winner FROM scored")
+@_query(f"{_SCORED} SELECT dataset, seed, method, round(overall_score, 8) AS overall_score, CAST(overall_rank AS INTEGER) AS overall_rank, is_winner FROM scored")
 def run_scores(spark, sf_dir):
-    return _r(_runs(spark, sf_dir).select("dataset", "seed", "method", "score", "is_winner"))
+    return _r(_runs(spark, sf_dir).select("dataset", "seed", "method", "overall_score", "overall_rank", "is_winner"))
+
 
+@_query(f"""{_SCORED}, t AS (SELECT method, avg(overall_score) AS overall_score, avg(overall_rank) AS overall_rank, avg(runtime) AS runtime, stddev_pop(overall_score) AS s1, stddev_pop(overall_rank) AS s2, stddev_pop(runtime) AS s3, count(*) AS run_count, count(*) FILTER (is_winner) AS win_count, count(DISTINCT seed) AS seed_count FROM scored GROUP BY ALL)
+SELECT method, round(overall_score, 8) AS overall_score, round(overall_rank, 8) AS overall_rank, round(runtime, 8) AS runtime, round(s1, 8) AS overall_score_std, round(s2, 8) AS overall_rank_std, round(s3, 8) AS runtime_std, run_count, win_count, round(win_count / run_count::DOUBLE, 8) AS win_rate, seed_count,
+CAST(row_number() OVER (ORDER BY overall_rank, win_count / run_count::DOUBLE DESC, overall_score DESC, runtime, method) AS INTEGER) AS position FROM t""")
+def method_ranking(spark, sf_dir):
+    return _r(P.method_ranking(P.run_summary(_runs(spark, sf_dir), ["method"], ["overall_score", "overall_rank", "runtime"])))
 
-@_query(f"""{_SCORED} SELECT a.method AS method_a, b.method AS method_b, count(*) FILTER (a.score - b.score > 0.0001) AS wins, count(*) FILTER (abs(a.score - b.score) <= 0.0001) AS ties, count(*) FILTER (a.score - b.score < -0.0001) AS losses, round(avg(a.score - b.score), 8) AS mean_difference
+
+@_query(f"""{_SCORED} SELECT a.method AS method_a, b.method AS method_b, count(*) FILTER (a.overall_score - b.overall_score > 1e-12) AS wins, count(*) FILTER (abs(a.overall_score - b.overall_score) <= 1e-12) AS ties, count(*) FILTER (a.overall_score - b.overall_score < -1e-12) AS losses, round(avg(a.overall_score - b.overall_score), 8) AS mean_difference
 FROM scored a JOIN scored b ON a.dataset = b.dataset AND a.seed = b.seed AND a.method < b.method GROUP BY ALL""")
 def win_tie_loss(spark, sf_dir):
-    return _r(P.win_tie_loss(_runs(spark, sf_dir), ["dataset", "seed"]))
+    return _r(P.win_tie_loss(_runs(spark, sf_dir), ["dataset", "seed"]).drop("wilcoxon_p"))
+
+
+@_query()
+def win_tie_loss_test(spark, sf_dir):
+    return P.win_tie_loss(_runs(spark, sf_dir), ["dataset", "seed"])
 
 
 @_query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT name, CASE WHEN s = '' THEN 'unknown' ELSE s END AS safe_name FROM (SELECT name, lower(trim(regexp_replace(name, '[^0-9a-zA-Z]+', '_', 'g'), '_')) AS s FROM n)""")
@@ -357,7 +448,7 @@ def safe_feature_names(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("safe_name", N.safe_feature_name(F.col("name")))
 
 
-@_query("""WITH n AS (SELECT DISTINCT p_type AS t FROM part), w AS (SELECT t, list_distinct(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM n)
+@_query("""WITH n AS (SELECT DISTINCT p_type AS t FROM part), w AS (SELECT t, list_distinct(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'dense', 'sparse', 'mixed', 'high', 'low', 'mide', 'highe', 'lowe', 'mid'))) AS w FROM n)
 SELECT a.t AS a, b.t AS b, round(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE ELSE 0.0 END, 8) AS jaccard FROM w a JOIN w b ON a.t < b.t""")
 def label_token_jaccard(spark, sf_dir):
     t = _table(spark, sf_dir, "part").select(F.col("p_type").alias("a")).distinct()
@@ -367,20 +458,79 @@ def label_token_jaccard(spark, sf_dir):
 # --- scores, representation, decisions ---------------------------------------------------------
 
 
-@_query(f"""WITH {_COUNTS}, n AS (SELECT count(DISTINCT obs) AS n FROM counts), e AS (SELECT gene, ln(1 + value * 10000 / greatest(sum(value) OVER (PARTITION BY obs), 1)) AS x FROM counts),
-l AS (SELECT gene, sum(x * x) / any_value(n) - (sum(x) / any_value(n)) ** 2 AS lv FROM e, n GROUP BY gene),
-r AS (SELECT gene, sum(value) / any_value(n) AS m, (sum(value * value) - sum(value) ** 2 / any_value(n)) / (any_value(n) - 1) AS v FROM counts, n GROUP BY gene),
-f AS (SELECT gene, lv, v / greatest(m, 1e-6) AS fano FROM l JOIN r USING (gene))
-SELECT gene, round((lv - avg(lv) OVER ()) / stddev_pop(lv) OVER (), 6) AS variance_score, round((fano - avg(fano) OVER ()) / stddev_pop(fano) OVER (), 6) AS fano_score FROM f""")
+_LOGS = f"""WITH {_COUNTS}, n AS (SELECT count(DISTINCT obs) AS n FROM counts), e AS (SELECT gene, ln(1 + value * 10000 / greatest(sum(value) OVER (PARTITION BY obs), 1)) AS x FROM counts),
+lg AS (SELECT gene, sum(x) / any_value(n) AS m, greatest(sum(x * x) / any_value(n) - (sum(x) / any_value(n)) ** 2, 0) AS v FROM e, n GROUP BY gene)"""
+
+
+def _z(c: str) -> str:
+    return f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6)"
+
+
+def _parabola(source: str, x: str, y: str) -> str:
+    """CTEs that end in ``fitted``: the rows of ``source`` with fit, the least-squares parabola of y on x, by Cramer's rule."""
+    det = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+    rows = [["s0", "s1", "s2"], ["s1", "s2", "s3"], ["s2", "s3", "s4"]]
+    parts = [[[f"t{i}" if j == k else rows[i][k] for k in range(3)] for i in range(3)] for j in range(3)]
+    b = ", ".join(f"{det(*p)} / {det(*rows)} AS b{j}" for j, p in enumerate(parts))
+    sums = ", ".join([*(f"sum(px ** {i}) AS s{i}" for i in range(5)), *(f"sum(px ** {i} * py) AS t{i}" for i in range(3))])
+    return f"pc AS (SELECT *, {x} - avg({x}) OVER () AS px, {y} AS py FROM {source}), ps AS (SELECT {sums} FROM pc), pb AS (SELECT {b} FROM ps), fitted AS (SELECT pc.*, b0 + b1 * px + b2 * px * px AS fit FROM pc, pb)"
+
+
+@_query(f"{_LOGS}, f AS (SELECT gene, v, v / greatest(m, 1e-6) AS fano FROM lg) SELECT gene, {_z('v')} AS variance_score, {_z('fano')} AS fano_score FROM f")
 def variability_scores(spark, sf_dir):
     c = _counts(spark, sf_dir)
     return H.base_scores(c, c.select("obs").distinct().count()).select("gene", F.round("variance_score", 6).alias("variance_score"), F.round("fano_score", 6).alias("fano_score"))
 
 
-@_query()
+@_query(f"{_LOGS}, {_parabola('lg', 'ln(1 + m)', 'ln(1 + v)')}, d AS (SELECT gene, py - fit AS r FROM fitted) SELECT gene, {_z('r')} AS mv_residual FROM d")
 def mean_variance_residual(spark, sf_dir):
     c = _counts(spark, sf_dir)
-    return H.base_scores(c, c.select("obs").distinct().count()).select("gene", "mv_residual")
+    return H.base_scores(c, c.select("obs").distinct().count()).select("gene", F.round("mv_residual", 6).alias("mv_residual"))
+
+
+@_query(f"""{_LOGS}, o AS (SELECT gene, ln(1 + greatest(m, 1e-8)) AS x, ln(1 + greatest(v, 1e-8)) AS y FROM lg), k AS (SELECT *, row_number() OVER (ORDER BY x, gene) AS i, count(*) OVER () AS n FROM o),
+s AS (SELECT a.gene, a.y - avg(b.y) AS r FROM k a CROSS JOIN range(-5, 6) w(j) JOIN k b ON b.i = greatest(1, least(a.n, a.i + w.j)) GROUP BY a.gene, a.y) SELECT gene, {_z('r')} AS scran_score FROM s""")
+def scran_scores(spark, sf_dir):
+    """200 genes: a window of eleven."""
+    c = _counts(spark, sf_dir)
+    return H.scran_scores(c, c.select("obs").distinct().count()).select("gene", F.round("scran_score", 6).alias("scran_score"))
+
+
+_DENSE = f"""WITH {_COUNTS}, o AS (SELECT obs, sum(value) AS r FROM counts GROUP BY ALL), g AS (SELECT gene, sum(value) AS g FROM counts GROUP BY ALL), tt AS (SELECT sum(value) AS t FROM counts), nn AS (SELECT count(*) AS n FROM o),
+d AS (SELECT o.obs, g.gene, r, g, t, n, coalesce(value, 0) AS c FROM o CROSS JOIN g CROSS JOIN tt CROSS JOIN nn LEFT JOIN counts USING (obs, gene))"""
+
+
+@_query(f"""{_DENSE}, e AS (SELECT gene, c, n, r * g / t AS e FROM d), z AS (SELECT gene, greatest(-sqrt(n), least(sqrt(n), (c - e) / greatest(sqrt(e + e * e / 100), 1e-6))) AS z FROM e), v AS (SELECT gene, var_pop(z) AS v FROM z GROUP BY ALL)
+SELECT gene, round(v, 6) AS residual_variance, {_z('v')} AS pearson_score FROM v""")
+def pearson_scores(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    return H.pearson_scores(c, c.select("obs").distinct().count()).select("gene", F.round("residual_variance", 6).alias("residual_variance"), F.round("pearson_score", 6).alias("pearson_score"))
+
+
+@_query(f"""{_DENSE}, m AS (SELECT gene, avg(c) AS mean, log10(greatest(avg(c), 1e-6)) AS x, log10(greatest(var_pop(c), 1e-6)) AS y FROM d GROUP BY ALL), {_parabola('m', 'x', 'y')}, sd AS (SELECT gene, mean, sqrt(greatest(10 ** fit, 1e-6)) AS sd FROM fitted),
+z AS (SELECT d.gene, greatest(-greatest(sd * sqrt(n), 1e-6), least(greatest(sd * sqrt(n), 1e-6), c - mean)) / greatest(sd, 1e-6) AS z FROM d JOIN sd USING (gene)), v AS (SELECT gene, var_pop(z) AS v FROM z GROUP BY ALL) SELECT gene, round(v, 6) AS standardized_variance, {_z('v')} AS seurat_score FROM v""")
+def seurat_scores(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    return H.seurat_scores(c, c.select("obs").distinct().count()).select("gene", F.round("standardized_variance", 6).alias("standardized_variance"), F.round("seurat_score", 6).alias("seurat_score"))
+
+
+@_query(f"""{_DENSE}, p AS (SELECT *, greatest(1e-6, least(1 - 1e-6, g / t)) AS p, greatest(r - c, 0) AS rest FROM d), q AS (SELECT gene, sum(2 * (CASE WHEN c > 0 THEN c * ln(greatest(c, 1e-6) / greatest(r * p, 1e-6)) ELSE 0 END + CASE WHEN rest > 0 THEN rest * ln(greatest(rest, 1e-6) / greatest(r * greatest(1 - p, 1e-6), 1e-6)) ELSE 0 END)) AS v FROM p GROUP BY ALL)
+SELECT gene, round(v, 4) AS deviance, {_z('v')} AS deviance_score FROM q""")
+def deviance_scores(spark, sf_dir):
+    return H.deviance_scores(_counts(spark, sf_dir)).select("gene", F.round("deviance", 4).alias("deviance"), F.round("deviance_score", 6).alias("deviance_score"))
+
+
+@_query(f"""WITH {_SPOTS}, t AS (SELECT motif_id AS a, cell_type AS b, count(*)::DOUBLE AS n FROM spots GROUP BY ALL), ra AS (SELECT a, sum(n) AS ma FROM t GROUP BY ALL), rb AS (SELECT b, sum(n) AS mb FROM t GROUP BY ALL), w AS (SELECT sum(n) AS w FROM t),
+j AS (SELECT sum(n * (n - 1) / 2) AS same, sum(n / w * ln(n * w / (ma * mb))) AS mi FROM t JOIN ra USING (a) JOIN rb USING (b), w), x AS (SELECT sum(ma * (ma - 1) / 2) AS pa, sum(-ma / w * ln(ma / w)) AS ha FROM ra, w), y AS (SELECT sum(mb * (mb - 1) / 2) AS pb, sum(-mb / w * ln(mb / w)) AS hb FROM rb, w)
+SELECT round((same - pa * pb / (w * (w - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (w * (w - 1) / 2)), 8) AS ari, round(greatest(mi, 0) / ((ha + hb) / 2), 8) AS nmi FROM j, x, y, w""")
+def cluster_agreement(spark, sf_dir):
+    return _r(H.cluster_agreement(spots(spark, sf_dir), "motif_id", "cell_type"))
+
+
+@_query()
+def selection_stability(spark, sf_dir):
+    """The 20 most variable genes over five bootstrap draws."""
+    return H.selection_stability(_counts(spark, sf_dir), lambda c, n: H.base_scores(c, n), "variance_score", 20)
 
 
 _GENES = f"WITH {_COUNTS}, g AS (SELECT gene, sum(value) AS total, count(*)::DOUBLE AS seen FROM counts GROUP BY ALL)"
@@ -414,19 +564,57 @@ def motif_stability(spark, sf_dir):
     return _r(R.motif_stability(_vectors(spark, sf_dir), 2))
 
 
-@_query(f"""WITH {_X}, s AS (SELECT sample_id, condition, i, avg(v) AS m FROM x GROUP BY ALL), c AS (SELECT condition, i, avg(m) AS m FROM s GROUP BY ALL), g AS (SELECT i, avg(m) AS m FROM s GROUP BY ALL),
-w AS (SELECT sum((s.m - c.m) ** 2) / count(DISTINCT sample_id) AS w FROM s JOIN c USING (condition, i)), b AS (SELECT sum((c.m - g.m) ** 2) / count(DISTINCT condition) AS b FROM c JOIN g USING (i))
+_CENTRES = f"""WITH {_X}, s AS (SELECT sample_id, condition, i, avg(v) AS m FROM x GROUP BY ALL), c AS (SELECT condition, i, avg(m) AS m FROM s GROUP BY ALL), g AS (SELECT i, avg(m) AS m FROM s GROUP BY ALL),
+own AS (SELECT sample_id, sqrt(sum((s.m - c.m) ** 2)) AS d FROM s JOIN c USING (condition, i) GROUP BY ALL), every AS (SELECT sample_id, sqrt(sum((s.m - g.m) ** 2)) AS d FROM s JOIN g USING (i) GROUP BY ALL)"""
+
+
+@_query(f"""{_CENTRES}, w AS (SELECT avg(d) AS w FROM own), b AS (SELECT avg(d) AS b FROM (SELECT sqrt(sum((p.m - q.m) ** 2)) AS d FROM c p JOIN c q ON p.i = q.i AND p.condition < q.condition GROUP BY p.condition, q.condition))
 SELECT round(w, 8) AS within, round(b, 8) AS between, round(b / (b + w + 1e-6), 8) AS separability FROM w, b""")
 def condition_separability(spark, sf_dir):
     return _r(R.condition_separability(_vectors(spark, sf_dir)))
 
 
+@_query(f"{_CENTRES} SELECT round((SELECT avg(d) FROM own) / ((SELECT avg(d) FROM every) + 1e-6), 8) AS leakage")
+def sample_leakage(spark, sf_dir):
+    return _r(R.sample_leakage(_vectors(spark, sf_dir)))
+
+
+@_query(f"""{_WITH}, m AS (SELECT motif_id, avg(motif_fraction) FILTER (condition = 'tumor') - avg(motif_fraction) FILTER (condition = 'control') AS delta FROM abundance GROUP BY ALL)
+SELECT motif_id, round(delta, 8) AS delta, CAST(row_number() OVER (ORDER BY abs(delta) DESC, delta DESC, motif_id) AS INTEGER) AS position FROM m""")
+def ranked_motifs(spark, sf_dir):
+    return _r(R.ranked_motifs(A.sample_motif_abundance(spots(spark, sf_dir)), "control", "tumor"))
+
+
+@_query()
+def motif_reproducibility(spark, sf_dir):
+    return R.reproducibility(A.sample_motif_abundance(spots(spark, sf_dir)))
+
+
+@_query()
+def label_conservation(spark, sf_dir):
+    return R.label_conservation(_vectors(spark, sf_dir).where("vector is not null"), "motif_id")
+
+
+@_query("""WITH n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS len FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE / greatest(len, 1e-8) AS v FROM n),
+e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM n a JOIN n b ON a.vec_id // 4 = b.vec_id // 4 AND a.vec_id <> b.vec_id), c AS (SELECT src, count(*) AS n FROM e GROUP BY ALL),
+m AS (SELECT src, i, sum(v / n) AS v FROM e JOIN c USING (src) JOIN u ON u.vec_id = e.dst GROUP BY ALL), w AS (SELECT src, sqrt(sum(v * v)) AS len FROM m GROUP BY ALL),
+d AS (SELECT u.vec_id, coalesce(sum(u.v * m.v / greatest(w.len, 1e-8)), 0) AS d FROM u LEFT JOIN m ON m.src = u.vec_id AND m.i = u.i LEFT JOIN w ON w.src = u.vec_id GROUP BY ALL) SELECT round(avg(d), 8) AS smoothness FROM d""")
+def embedding_smoothness(spark, sf_dir):
+    """Vectors of four consecutive ids are neighbours of equal weight."""
+    v = _vectors(spark, sf_dir).where("vector is not null")
+    k = v.select(F.floor(F.col("obs_id") / 4).alias("k"), F.col("obs_id").alias("src"))
+    e = k.join(k.withColumnRenamed("src", "dst"), "k").where("src != dst")
+    e = e.join(e.groupBy("src").agg(F.count("*").alias("n")), "src").select("src", "dst", (1.0 / F.col("n")).alias("weight"))
+    return _r(R.spatial_smoothness(v, e))
+
+
 @_query(f"""WITH {_SPOTS} SELECT sample_id, count(*) AS n_spots, round(median(n_counts), 8) AS median_counts, count(DISTINCT cell_type) AS n_labels, string_agg(DISTINCT condition, ',' ORDER BY condition) AS conditions FROM spots GROUP BY ALL""")
 def sample_qc(spark, sf_dir):
     return _r(D.qc_summary(spots(spark, sf_dir)))
 
 
-@_query()
+@_query(f"{_WITH} SELECT sample_id, round(coalesce(avg(motif_fraction) FILTER (motif_id = 'click'), 0), 8) AS click, round(coalesce(avg(motif_fraction) FILTER (motif_id = 'error'), 0), 8) AS error, round(coalesce(avg(motif_fraction) FILTER (motif_id = 'purchase'), 0), 8) AS purchase, round(coalesce(avg(motif_fraction) FILTER (motif_id = 'signup'), 0), 8) AS signup, round(coalesce(avg(motif_fraction) FILTER (motif_id = 'view'), 0), 8) AS view FROM abundance GROUP BY ALL")
 def fraction_pivot(spark, sf_dir):
     a = A.sample_motif_abundance(spots(spark, sf_dir))
     return _r(D.fraction_pivot(a, sorted(r[0] for r in a.select("motif_id").distinct().collect())))
@@ -442,27 +630,130 @@ def marker_genes(spark, sf_dir):
     return out.select("gene", *[F.round(x, 6).alias(x) for x in out.columns if x != "gene"])
 
 
-@_query(f"""{_WITH}, c AS (SELECT a.motif_id AS motif_a, b.motif_id AS motif_b, corr(a.motif_fraction, b.motif_fraction) AS r, count(*) AS n FROM abundance a JOIN abundance b USING (sample_id) GROUP BY ALL)
-SELECT motif_a, motif_b, round(r, 8) AS correlation, n AS n_samples FROM (SELECT *, row_number() OVER (PARTITION BY motif_a ORDER BY r DESC NULLS LAST, motif_b) AS k FROM c WHERE motif_a <> motif_b) WHERE k = 1""")
-def motif_alignment(spark, sf_dir):
-    """Each motif's closest other motif; a run against itself would match itself."""
-    a = A.sample_motif_abundance(spots(spark, sf_dir)).select("sample_id", "motif_id", "motif_fraction")
-    from pyspark.sql.window import Window as W
+_OTHER = _ABUNDANCE.replace("abundance AS (", "other AS (").replace("FROM spots", "FROM (SELECT * REPLACE (cell_type AS motif_id, CASE cell_type WHEN 'ct0' THEN 'click view dense' ELSE cell_type END AS motif_label) FROM spots)")
+
 
-    x, y = a.select("sample_id", F.col("motif_id").alias("motif_a"), F.col("motif_fraction").alias("fa")), a.select("sample_id", F.col("motif_id").alias("motif_b"), F.col("motif_fraction").alias("fb"))
-    c = x.join(y, "sample_id").where("motif_a != motif_b").groupBy("motif_a", "motif_b").agg(F.corr("fa", "fb").alias("correlation"), F.count("*").alias("n_samples"))
-    return _r(c.withColumn("r", F.row_number().over(W.partitionBy("motif_a").orderBy(F.desc_nulls_last("correlation"), "motif_b"))).where("r = 1").drop("r"))
+def _second(spark, sf_dir):
+    """The same spots under other motifs: their cell types."""
+    s = spots(spark, sf_dir)
+    return s.withColumn("motif_id", F.col("cell_type")).withColumn("motif_label", F.when(F.col("cell_type") == "ct0", "click view dense").otherwise(F.col("cell_type")))
+
+
+@_query(f"""{_WITH}, {_OTHER}, c AS (SELECT a.motif_id AS motif_a, b.motif_id AS motif_b, a.motif_label AS label_a, b.motif_label AS label_b, corr(a.motif_fraction, b.motif_fraction) AS r, count(*) AS n FROM abundance a JOIN other b USING (sample_id) GROUP BY ALL),
+w AS (SELECT *, list_filter(string_split_regex(lower(label_a), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'dense')) AS la, list_filter(string_split_regex(lower(label_b), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'dense')) AS lb FROM c), j AS (SELECT *, len(list_intersect(la, lb)) / len(list_distinct(list_concat(la, lb)))::DOUBLE AS lj FROM w)
+SELECT motif_a, motif_b, label_a, label_b, round(r, 8) AS correlation, n AS n_samples, round(lj, 8) AS label_jaccard, round(0.8::DOUBLE * greatest(r, 0) + 0.2::DOUBLE * lj, 8) AS alignment_score
+FROM (SELECT *, row_number() OVER (PARTITION BY motif_a ORDER BY 0.8::DOUBLE * greatest(r, 0) + 0.2::DOUBLE * lj DESC, r DESC, lj DESC, motif_b) AS k FROM j) WHERE k = 1""")
+def motif_alignment(spark, sf_dir):
+    """Motifs of the spots matched with those that their cell types make."""
+    return _r(D.align_motifs(A.sample_motif_abundance(spots(spark, sf_dir)), A.sample_motif_abundance(_second(spark, sf_dir))))
 
 
 @_query(f"""{_WITH}, e AS (SELECT motif_id, avg(motif_fraction) FILTER (condition = 'tumor') - avg(motif_fraction) FILTER (condition = 'control') AS x, avg(motif_fraction) AS m FROM abundance GROUP BY ALL)
-SELECT motif_id, CASE WHEN m > 0.3 THEN 'robust' WHEN m <= 0.05 THEN 'naive_only' ELSE 'no_signal' END AS label, round(-log10(greatest(m, 1e-12)), 8) AS neg_log10,
-CASE WHEN abs(x) <= 1e-8 AND abs(m - 0.1) <= 1e-8 THEN true WHEN abs(x) <= 1e-8 OR abs(m - 0.1) <= 1e-8 THEN false ELSE sign(x) = sign(m - 0.1) END AS same_sign FROM e""")
+SELECT motif_id, CASE WHEN m > 0.3 THEN 'robust_biological_signal' WHEN m <= 0.05 THEN 'naive_only_signal' ELSE 'no_signal' END AS label, round(-log10(greatest(m, 1e-12)), 8) AS neg_log10,
+CASE WHEN abs(m - 0.2) <= 1e-8 THEN (abs(x) <= 1e-8)::INT ELSE (sign(x) = sign(m - 0.2))::INT END::DOUBLE AS same_sign, CASE WHEN abs(x) <= 1e-8 AND abs(m - 0.2) <= 1e-8 THEN true WHEN abs(x) <= 1e-8 OR abs(m - 0.2) <= 1e-8 THEN false ELSE sign(x) = sign(m - 0.2) END AS same_sign_strict FROM e""")
 def decision_columns(spark, sf_dir):
     """The label and number rules on columns made from mean fractions."""
     v = fractions(spark, sf_dir)
     e = v.groupBy("motif_id").agg((F.avg(F.when(F.col("condition") == "tumor", F.col("value"))) - F.avg(F.when(F.col("condition") == "control", F.col("value")))).alias("x"), F.avg("value").alias("m"))
     tier = F.when(F.col("m") > 0.3, "heldout_supported").otherwise("not_supported")
-    return _r(e.select("motif_id", D.decision_label(tier, F.col("m")).alias("label"), D.neg_log10(F.col("m")).alias("neg_log10"), D.sign_match(F.col("x"), F.col("m") - 0.1).alias("same_sign")))
+    x, y = F.col("x"), F.col("m") - 0.2
+    return _r(e.select("motif_id", D.decision_label(tier, F.col("m")).alias("label"), D.neg_log10(F.col("m")).alias("neg_log10"), D.sign_match(x, y).alias("same_sign"), D.sign_match_strict(x, y).alias("same_sign_strict")))
+
+
+# --- the differential workflow -----------------------------------------------------------------
+
+
+def _sample_sql(source: str) -> str:
+    """CTEs that end in ``stats``: sample-level statistics of an abundance table of six against six samples, with its decision."""
+    return f"""v AS (SELECT dataset_id, dataset_name, motif_id, motif_label, sample_id, condition = 'tumor' AS c, motif_fraction AS x, CAST(dense_rank() OVER (ORDER BY sample_id) - 1 AS INTEGER) AS i FROM {source}),
+l AS (SELECT CAST(range AS BIGINT) AS mask FROM range(4096) WHERE bit_count(CAST(range AS BIGINT)) = 6), o AS (SELECT dataset_id, dataset_name, motif_id, any_value(motif_label) AS motif_label, avg(x) FILTER (NOT c) AS ma, avg(x) FILTER (c) AS mb, avg(x) FILTER (c) - avg(x) FILTER (NOT c) AS obs FROM v GROUP BY ALL),
+e AS (SELECT motif_id, mask, avg(x) FILTER ((mask >> i) & 1 = 1) - avg(x) FILTER ((mask >> i) & 1 = 0) AS eff FROM v, l GROUP BY ALL), t AS (SELECT mask, max(abs(eff)) AS top FROM e GROUP BY ALL),
+p AS (SELECT motif_id, count(*) FILTER (abs(eff) >= abs(obs) - 1e-12) / count(*)::DOUBLE AS sp, count(*) FILTER (CASE WHEN obs >= 0 THEN eff >= obs - 1e-12 ELSE eff <= obs + 1e-12 END) / count(*)::DOUBLE AS op FROM e JOIN o USING (motif_id) GROUP BY ALL),
+m AS (SELECT motif_id, count(*) FILTER (top >= abs(obs) - 1e-12) / count(*)::DOUBLE AS mp FROM o, t GROUP BY ALL),
+f AS (SELECT a.motif_id, b.sample_id, avg(a.x) FILTER (a.c) - avg(a.x) FILTER (NOT a.c) AS fold FROM v a JOIN (SELECT DISTINCT sample_id FROM v) b ON a.sample_id <> b.sample_id GROUP BY ALL),
+s AS (SELECT motif_id, avg(CASE WHEN abs(obs) <= 1e-8 THEN (abs(fold) <= 1e-8)::INT ELSE (sign(fold) = sign(obs))::INT END) AS lc, median(fold) AS lm, stddev_samp(fold) AS ls, max(abs(fold - obs)) AS lx FROM f JOIN o USING (motif_id) GROUP BY ALL),
+stats AS (SELECT *, 'tumor_vs_control' AS comparison_name, mp AS np, sp / 10 AS vp FROM o JOIN p USING (motif_id) JOIN m USING (motif_id) JOIN s USING (motif_id))"""
+
+
+_STATS = """dataset_id, dataset_name, comparison_name, 'control' AS condition_a, 'tumor' AS condition_b, motif_id, motif_label, CAST(6 AS BIGINT) AS n_samples_a, CAST(6 AS BIGINT) AS n_samples_b, round(ma, 8) AS mean_fraction_a, round(mb, 8) AS mean_fraction_b, round(obs, 8) AS delta_fraction, round(log2((mb + 0.0001) / (ma + 0.0001)), 8) AS log2_fold_change,
+round(sp, 8) AS sample_permutation_pvalue_two_sided, round(op, 8) AS sample_permutation_pvalue_one_sided, 'exact' AS sample_permutation_mode, CAST(924 AS BIGINT) AS sample_permutation_n_permutations, '924' AS sample_permutation_total_labelings, round(mp, 8) AS label_max_t_pvalue, 'exact' AS label_max_t_mode, CAST(924 AS BIGINT) AS label_max_t_n_permutations, '924' AS label_max_t_total_labelings,
+round(lc, 8) AS loso_sign_consistency, round(lm, 8) AS loso_delta_median, round(ls, 8) AS loso_delta_std, round(lx, 8) AS loso_max_abs_shift"""
+
+
+@_query(f"{_WITH}, {_sample_sql('abundance')} SELECT {_STATS} FROM stats")
+def sample_statistics(spark, sf_dir):
+    from cohortframe.operators import differential as X
+
+    return _r(X.sample_statistics(A.sample_motif_abundance(spots(spark, sf_dir))))
+
+
+def _scope(abundance: DataFrame) -> DataFrame:
+    """Sample-level statistics with stand-ins that SQL can follow: max-T for the null control, a tenth of the permutation p for the naive one."""
+    from cohortframe.operators import differential as X
+
+    t = X.sample_statistics(abundance).withColumn("synthetic_null_effect_pvalue", F.col("label_max_t_pvalue")).withColumn("naive_spot_pvalue", F.col("sample_permutation_pvalue_two_sided") / 10)
+    return X.with_tier(t)
+
+
+def _later(spark, sf_dir):
+    """A second scope: the spots with an odd id."""
+    return A.sample_motif_abundance(spots(spark, sf_dir).where("obs_id % 2 = 1"))
+
+
+_LATER = _ABUNDANCE.replace("abundance AS (", "later AS (").replace("FROM spots", "FROM (SELECT * FROM spots WHERE obs_id % 2 = 1)")
+_TIER = "CASE WHEN sp <= 0.2 AND lc >= 0.8 AND mp <= 0.2 THEN 'heldout_supported' WHEN sp <= 0.2 AND lc >= 0.8 THEN 'sample_level_supported' WHEN vp <= 1e-4 AND sp > 0.2 THEN 'naive_only' ELSE 'not_supported' END"
+_LATER_STATS = f"{_WITH}, {_LATER}, {_sample_sql('later')}, tiers AS (SELECT *, {_TIER} AS tier FROM stats)"
+_SCORE = "(CASE tier WHEN 'heldout_supported' THEN 0 WHEN 'sample_level_supported' THEN 1 WHEN 'not_supported' THEN 2 ELSE 3 END + sp + mp + np + 1 - lc - abs(obs))"
+
+
+@_query(f"""{_LATER_STATS} SELECT dataset_id, dataset_name, comparison_name, motif_id, motif_label, round(obs, 8) AS loso_delta_fraction, round(sp, 8) AS sample_p_two_sided, round(op, 8) AS sample_p_one_sided, round(mp, 8) AS max_t_p, round(vp, 8) AS naive_spot_p, round(lc, 8) AS loso_sign_consistency, round(np, 8) AS synthetic_null_effect_p,
+round(log10(greatest(sp, 1e-12)) - log10(greatest(vp, 1e-12)), 8) AS naive_minus_controlled_log10p, tier AS controlled_support_tier, CASE WHEN tier IN ('heldout_supported', 'sample_level_supported') THEN 'robust_biological_signal' WHEN vp <= 0.05 THEN 'naive_only_signal' ELSE 'no_signal' END AS decision_label, round({_SCORE}, 8) AS primary_rank_score FROM tiers""")
+def decision_matrix(spark, sf_dir):
+    merged = D.merge_scopes(_scope(A.sample_motif_abundance(spots(spark, sf_dir))), _scope(_later(spark, sf_dir)))
+    return _r(D.decision_matrix(merged))
+
+
+@_query(f"""{_LATER_STATS}, d AS (SELECT coalesce(a.dataset_id, b.dataset_id) AS dataset_id, coalesce(a.motif_id, b.motif_id) AS motif_id, coalesce(a.motif_fraction, 0) AS fa, coalesce(b.motif_fraction, 0) AS fb FROM abundance a FULL JOIN later b USING (dataset_id, sample_id, motif_id)),
+ef AS (SELECT motif_id, avg(motif_fraction) FILTER (condition = 'tumor') - avg(motif_fraction) FILTER (condition = 'control') AS fx FROM abundance GROUP BY ALL)
+SELECT d.dataset_id, d.motif_id, round(any_value(fx), 8) AS full_delta_fraction, round(any_value(obs), 8) AS loso_delta_fraction, CASE WHEN abs(any_value(fx)) <= 1e-8 AND abs(any_value(obs)) <= 1e-8 THEN true WHEN abs(any_value(fx)) <= 1e-8 OR abs(any_value(obs)) <= 1e-8 THEN false ELSE sign(any_value(fx)) = sign(any_value(obs)) END AS effect_direction_consistent, round(abs(any_value(obs) - any_value(fx)), 8) AS abs_delta_shift,
+round(any_value(sp), 8) AS loso_sample_p_two_sided, any_value(tier) AS loso_controlled_support_tier, round(corr(fa, fb), 8) AS motif_abundance_correlation, round(avg(abs(fa - fb)), 8) AS mean_abs_fraction_shift, round(max(abs(fa - fb)), 8) AS max_abs_fraction_shift, round(avg(((fa > 0) = (fb > 0))::INT), 8) AS sample_presence_agreement
+FROM d JOIN ef USING (motif_id) JOIN tiers USING (motif_id) GROUP BY d.dataset_id, d.motif_id""")
+def scope_consistency(spark, sf_dir):
+    full, later = A.sample_motif_abundance(spots(spark, sf_dir)), _later(spark, sf_dir)
+    out = D.scope_consistency(full, later, D.merge_scopes(_scope(full), _scope(later)))
+    return _r(out.drop("full_sample_p_two_sided", "pvalue_shift_log10", "full_controlled_support_tier"))
+
+
+@_query(f"""{_LATER_STATS}, x AS (SELECT dataset_id, CASE WHEN tier IN ('heldout_supported', 'sample_level_supported') THEN 'robust' WHEN vp <= 0.05 THEN 'naive' ELSE 'none' END AS k FROM tiers)
+SELECT dataset_id, count(*) FILTER (k = 'naive') AS first_naive_only_count, count(*) FILTER (k = 'robust') AS first_robust_count, count(*) FILTER (k = 'none') AS first_no_signal_count, count(*) FILTER (k = 'naive') AS second_naive_only_count, count(*) FILTER (k = 'robust') AS second_robust_count, count(*) FILTER (k = 'none') AS second_no_signal_count, CAST(0 AS BIGINT) AS naive_only_count_delta FROM x GROUP BY ALL""")
+def decision_counts(spark, sf_dir):
+    """A decision matrix against itself."""
+    later = _scope(_later(spark, sf_dir))
+    m = D.decision_matrix(D.merge_scopes(later, later))
+    return D.decision_counts(m, m)
+
+
+@_query()
+def differential_statistics(spark, sf_dir):
+    from cohortframe.operators import differential as X
+
+    s, e = _edges(spark, sf_dir)
+    return X.differential_statistics(s, e, null_iterations=50, bootstrap_iterations=500)[0]
+
+
+@_query()
+def null_controls(spark, sf_dir):
+    from cohortframe.operators import differential as X
+
+    s, e = _edges(spark, sf_dir)
+    return X.null_controls(s, e, A.sample_motif_abundance(s), iterations=50)
+
+
+@_query()
+def motif_analysis(spark, sf_dir):
+    from cohortframe.operators import differential as X
+
+    return X.motif_analysis(spots(spark, sf_dir))
 
 
 # --- models and simulation (no SQL: tail probabilities, resampling) -----------------------------

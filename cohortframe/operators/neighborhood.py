@@ -5,68 +5,194 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cohortframe.plans.ship import ship
 from cohortframe.plans.tables import materialize
 
 
-def _gridded(spots: DataFrame, per_cell: int) -> DataFrame:
-    """Points with the cell of a square grid, sized for about ``per_cell`` points of the sample's bounding box."""
+#: Turns the plane before strips are cut, so that rows and columns of a lattice are spread over strips.
+_TURN = 0.6180339887498949
+
+
+def _points(spots: DataFrame) -> DataFrame:
+    """sample_id, id, x, y and the turned position u, v; spots without a position have no neighbours."""
     p = spots.select("sample_id", F.col("obs_id").alias("id"), F.col("spatial_x").cast("double").alias("x"), F.col("spatial_y").cast("double").alias("y"))
-    box = p.groupBy("sample_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    side = F.greatest(F.sqrt((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * per_cell / F.col("n")), (F.col("x1") - F.col("x0")) * per_cell / F.col("n") / 8, (F.col("y1") - F.col("y0")) * per_cell / F.col("n") / 8)
-    box = box.withColumn("h", F.when(side > 0, side).otherwise(1.0))
-    p = p.join(box, "sample_id")
-    return p.withColumn("cx", F.floor((F.col("x") - F.col("x0")) / F.col("h"))).withColumn("cy", F.floor((F.col("y") - F.col("y0")) / F.col("h")))
+    p = p.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    c, d = float(np.cos(_TURN)), float(np.sin(_TURN))
+    return p.withColumn("u", F.col("x") * c + F.col("y") * d).withColumn("v", F.col("y") * c - F.col("x") * d)
+
+
+def _strip_cuts(points: DataFrame, width: int) -> dict:
+    """Where each sample's strips end: about sqrt(n) / ``width`` strips of equal counts, so that they suit any density.
+
+    The driver holds a few numbers for each sample of over 16 * width ** 2 spots, the root of its size.
+    """
+    sizes = points.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") > 16 * width * width)
+    most = sizes.agg(F.max("n")).first()[0]
+    if most is None:
+        return {}
+    k = max(2, int(np.sqrt(most) / width))
+    cuts = points.join(sizes, "sample_id").groupBy("sample_id").agg(F.max("n").alias("n"), F.percentile_approx("u", [i / k for i in range(1, k)], 100 * k).alias("cuts"))
+    out = {}
+    for r in cuts.collect():
+        own = max(2, int(np.sqrt(r["n"]) / width))
+        out[r["sample_id"]] = np.unique(np.array(r["cuts"])[(np.arange(1, own) * k // own) - 1])
+    return out
+
+
+class _Strip:
+    """The spots of a strip in order of v (ties by id)."""
+
+    def __init__(self, t: pa.Table) -> None:
+        ids = t.column("id").to_numpy()
+        order = np.lexsort((np.argsort(np.argsort(ids, kind="stable")), t.column("v").to_numpy()))
+        self.id, self.x, self.y, self.v = (t.column(c).to_numpy()[order] for c in ("id", "x", "y", "v"))
+        self.u = t.column("u").to_numpy()[order] if "u" in t.column_names else None
+        self.place = np.argsort(np.argsort(self.id, kind="stable"))
+
+    def nearest(self, x: np.ndarray, y: np.ndarray, v: np.ndarray, k: int, own: np.ndarray, reach: np.ndarray):
+        """(places, distances) of each query's ``k`` nearest spots no further than ``reach``, ties by id, in order; queries ascend in v.
 
+        ``own``: the place of the query itself, to leave out, or -1.  Queries go in batches against the spots within
+        reach in v; where that is not known, against some spots about them first.
+        """
+        n, out = len(self.v), [None] * len(v)
+        a = 0
+        while a < len(v):
+            z = min(len(v), a + 64)
+            lo, hi = np.searchsorted(self.v, v[a] - reach[a:z].max()), np.searchsorted(self.v, v[z - 1] + reach[a:z].max(), "right")
+            while (z - a) * (hi - lo) > 1 << 22 and z - a > 1:
+                z = a + (z - a) // 2
+                lo, hi = np.searchsorted(self.v, v[a] - reach[a:z].max()), np.searchsorted(self.v, v[z - 1] + reach[a:z].max(), "right")
+            dx, dy = x[a:z, None] - self.x[lo:hi], y[a:z, None] - self.y[lo:hi]
+            d = np.sqrt(dx * dx + dy * dy)
+            for i in range(z - a):
+                row = d[i]
+                if own[a + i] >= 0:
+                    row[own[a + i] - lo] = np.inf
+                near = np.arange(hi - lo) if hi - lo <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
+                near = near[(row[near] <= reach[a + i]) & np.isfinite(row[near])]
+                near = near[np.lexsort((self.place[lo + near], row[near]))][:k]
+                out[a + i] = (lo + near, row[near])
+            a = z
+        return out
 
-def _near(queries: DataFrame, points: DataFrame, ring: int) -> DataFrame:
-    """Pairs of a query and every other point in the cells up to ``ring`` away, with the distance."""
-    step = F.sequence(F.lit(-ring), F.lit(ring))
-    q = queries.withColumn("cx", F.explode(F.transform(step, lambda d: d + F.col("cx")))).withColumn("cy", F.explode(F.transform(step, lambda d: d + F.col("cy"))))
-    p = points.select("sample_id", "cx", "cy", F.col("id").alias("dst"), F.col("x").alias("px"), F.col("y").alias("py"))
-    pairs = q.join(p, ["sample_id", "cx", "cy"]).where("id != dst")
-    return pairs.withColumn("dist", F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))))
+    def reaches(self, k: int) -> np.ndarray:
+        """For each spot a distance that holds ``k`` others: that of the farthest of the k before and k after it, at least."""
+        n = len(self.v)
+        out = np.full(n, np.inf)
+        if n > k:
+            at = np.arange(n)
+            first = np.clip(at - (k + 1) // 2, 0, n - k - 1)
+            d = np.zeros((n, k + 1))
+            for j in range(k + 1):
+                other = first + j
+                dx, dy = self.x - self.x[other], self.y - self.y[other]
+                d[:, j] = np.sqrt(dx * dx + dy * dy)
+            out = d.max(1)
+        return out
 
 
-def knn_edges(spots: DataFrame, k: int, per_cell: int = 32) -> DataFrame:
+def knn_edges(spots: DataFrame, k: int, only: DataFrame | None = None, width: int = 32) -> DataFrame:
     """(sample_id, src, dst, dist, rank): each spot's ``k`` nearest others of its sample, ties by obs_id.
 
-    Spots meet in the cells of a grid.  A spot is done when its k-th neighbour is no further than the edge of
-    the cells that were searched, or those cover the sample; the others search twice as far, so the
-    result is exact and no sample is gathered in one task.
+    A sample is cut into strips of about ``width * sqrt(n)`` spots by quantiles of a turned axis, whatever its density.
+    Each strip is searched along the other axis in one Arrow call, and only spots whose k-th neighbour lies beyond the
+    strip's border visit the strips in reach, so n * k rows and a few visitors are shuffled.  A distant spot visits all
+    strips, which costs a list of k rows each.  ``only`` (sample_id, obs_id) restricts the spots that ask.  Spots that stand
+    on one point by the thousands are compared with one another.
+    """
+    spark = spots.sparkSession
+    ship(spark)
+    points = _points(spots)
+    if only is None:
+        points = points.withColumn("ask", F.lit(True))
+    else:
+        asks = only.select("sample_id", F.col("obs_id").alias("id"), F.lit(True).alias("ask")).distinct()
+        points = points.join(asks, ["sample_id", "id"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+    cuts = _strip_cuts(points, width)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, strip = b.column("u").to_numpy(), np.zeros(b.num_rows, np.int64)
+            if cuts:
+                sample = np.array(b.column("sample_id").to_pylist(), object)
+                for name in set(sample.tolist()) & cuts.keys():
+                    here = sample == name
+                    strip[here] = np.searchsorted(cuts[name], u[here], "right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(strip)], [*b.schema.names, "strip"])
+
+    placed = materialize(points.mapInArrow(place, ", ".join(f"{c} {kinds[c]}" for c in points.columns) + ", strip long"), "strips")
+
+    def search(t: pa.Table) -> pa.Table:
+        s, name, own = _Strip(t), t.column("sample_id")[0].as_py(), int(t.column("strip")[0].as_py())
+        asked = dict(zip(t.column("id").to_pylist(), t.column("ask").to_pylist(), strict=True))
+        q = np.flatnonzero([asked[i] for i in s.id.tolist()])
+        got = s.nearest(s.x[q], s.y[q], s.v[q], k, q, s.reaches(k)[q])
+        edges = cuts.get(name, np.empty(0))
+        far = np.array([d[-1] if len(d) == k else np.inf for _, d in got])
+        first, last = np.searchsorted(edges, s.u[q] - far - 1e-9 * np.abs(s.u[q]), "right"), np.searchsorted(edges, s.u[q] + far + 1e-9 * np.abs(s.u[q]), "right")
+        visits = [[j for j in range(a, z + 1) if j != own] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+        flat = np.concatenate([p for p, _ in got]) if len(q) else np.empty(0, np.int64)
+        sizes = np.cumsum([0, *(len(p) for p, _ in got)])
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+        ids = pa.array(s.id, t.schema.field("id").type)
+        return pa.table({"sample_id": pa.array([name] * len(q), t.schema.field("sample_id").type), "src": ids.take(pa.array(q)), "x": s.x[q], "y": s.y[q], "v": s.v[q], "far": far, "dst": lists(ids.take(pa.array(flat))), "dist": lists(pa.array(np.concatenate([d for _, d in got]) if len(q) else np.empty(0))), "visits": pa.array(visits, pa.list_(pa.int64()))})
+
+    kind, of = kinds["id"], kinds["sample_id"]
+    found = placed.groupBy("sample_id", "strip").applyInArrow(search, f"sample_id {of}, src {kind}, x double, y double, v double, far double, dst array<{kind}>, dist array<double>, visits array<long>")
+    found = materialize(found, "knn")
+    inside = found.select("sample_id", "src", F.size("visits").alias("n"), F.posexplode(F.arrays_zip("dst", "dist")).alias("p", "e")).select("sample_id", "src", F.col("e.dst").alias("dst"), F.col("e.dist").alias("dist"), (F.col("p") + 1).alias("rank"), "n")
+    if not cuts:
+        return inside.drop("n")
+    guests = found.select("sample_id", "src", "x", "y", "v", "far", F.explode("visits").alias("strip"))
+
+    def visit(hosts: pa.Table, t: pa.Table) -> pa.Table:
+        src, ids, dist = [], [], []
+        if hosts.num_rows and t.num_rows:
+            s = _Strip(hosts)
+            order = np.argsort(t.column("v").to_numpy(), kind="stable")
+            x, y, v, far = (t.column(c).to_numpy()[order] for c in ("x", "y", "v", "far"))
+            for i, (p, d) in zip(order.tolist(), s.nearest(x, y, v, k, np.full(len(v), -1), far), strict=True):
+                src.append(np.full(len(p), i))
+                ids.append(p)
+                dist.append(d)
+            src, ids, dist = np.concatenate(src), np.concatenate(ids), np.concatenate(dist)
+            return pa.table({"sample_id": t.column("sample_id").take(pa.array(src)), "src": t.column("src").take(pa.array(src)), "dst": pa.array(s.id, hosts.schema.field("id").type).take(pa.array(ids)), "dist": dist})
+        return pa.table({"sample_id": t.column("sample_id").slice(0, 0), "src": t.column("src").slice(0, 0), "dst": t.column("src").slice(0, 0), "dist": pa.array([], pa.float64())})
+
+    hosts = placed.select("sample_id", "id", "x", "y", "v", "strip")
+    more = hosts.groupBy("sample_id", "strip").cogroup(guests.groupBy("sample_id", "strip")).applyInArrow(visit, f"sample_id {of}, src {kind}, dst {kind}, dist double")
+    every = inside.where("n > 0").select("sample_id", "src", "dst", "dist").unionByName(more)
+    rank = F.row_number().over(W.partitionBy("sample_id", "src").orderBy("dist", "dst"))
+    return inside.where("n = 0").drop("n").unionByName(every.withColumn("rank", rank).where(F.col("rank") <= k))
+
+
+def radius_edges(spots: DataFrame, radius: float | DataFrame) -> DataFrame:
+    """(sample_id, src, dst, dist): the spots of a sample within its radius; a spot without any gets its nearest one.
+
+    ``radius``: one number, or a table (sample_id, radius) as :func:`typical_radius` gives it.  Spots meet in cells as wide as the
+    radius, so what is compared grows with what is found.
     """
-    points = materialize(_gridded(spots, per_cell), "grid")
-    left, ring, done = points, 1, None
-    w = W.partitionBy("sample_id", "id").orderBy("dist", "dst")
-    while True:
-        found = _near(left, points, ring).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        r = F.lit(float(ring))
-        x, y, h = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("h")
-        cx, cy = F.floor(x / h), F.floor(y / h)
-        edge = F.least(x - (cx - r) * h, (cx + r + 1) * h - x, y - (cy - r) * h, (cy + r + 1) * h - y)
-        whole = (cx - r <= 0) & (cy - r <= 0) & ((cx + r + 1) * h > F.col("x1") - F.col("x0")) & ((cy + r + 1) * h > F.col("y1") - F.col("y0"))
-        rows = materialize(found.withColumn("_edge", edge).withColumn("_whole", whole).select("sample_id", F.col("id").alias("src"), "dst", "dist", "rank", "_edge", "_whole"), "knn")
-        ready = rows.groupBy("sample_id", "src").agg(F.max("rank").alias("n"), F.max("dist").alias("far"), F.max("_edge").alias("e"), F.max("_whole").alias("all")).where((F.col("all")) | ((F.col("n") == k) & (F.col("far") <= F.col("e"))))
-        good = rows.join(ready.select("sample_id", "src"), ["sample_id", "src"]).drop("_edge", "_whole")
-        done = good if done is None else done.unionByName(good)
-        alone = left.where("n > 1")
-        rest = alone.join(ready.select("sample_id", F.col("src").alias("id")), ["sample_id", "id"], "left_anti").select(*points.columns)
-        rest = materialize(rest, "rest")
-        if rest.isEmpty():
-            return done
-        left, ring = rest, ring * 2
-
-
-def radius_edges(spots: DataFrame, radius: float, per_cell: int = 32) -> DataFrame:
-    """(sample_id, src, dst, dist): the spots of a sample within ``radius``; a spot without any gets its nearest one."""
     p = spots.select("sample_id", F.col("obs_id").alias("id"), F.col("spatial_x").cast("double").alias("x"), F.col("spatial_y").cast("double").alias("y"))
-    p = p.withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
-    near = _near(p, p, 1).where(F.col("dist") <= radius).select("sample_id", F.col("id").alias("src"), "dst", "dist")
-    first = knn_edges(spots, 1, per_cell).select("sample_id", "src", "dst", "dist")
-    return near.unionByName(first.where(F.col("dist") > radius))
+    p = p.join(radius.select("sample_id", "radius"), "sample_id") if isinstance(radius, DataFrame) else p.withColumn("radius", F.lit(float(radius)))
+    p = p.withColumn("cx", F.floor(F.col("x") / F.col("radius"))).withColumn("cy", F.floor(F.col("y") / F.col("radius")))
+    step = F.sequence(F.lit(-1), F.lit(1))
+    q = p.withColumn("cx", F.explode(F.transform(step, lambda d: d + F.col("cx")))).withColumn("cy", F.explode(F.transform(step, lambda d: d + F.col("cy"))))
+    other = p.select("sample_id", "cx", "cy", F.col("id").alias("dst"), F.col("x").alias("px"), F.col("y").alias("py"))
+    dist = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
+    near = q.join(other, ["sample_id", "cx", "cy"]).where("id != dst").withColumn("dist", dist).where("dist <= radius")
+    near = materialize(near.select("sample_id", F.col("id").alias("src"), "dst", "dist"), "radius")
+    alone = spots.select("sample_id", "obs_id").join(near.select("sample_id", F.col("src").alias("obs_id")).distinct(), ["sample_id", "obs_id"], "left_anti")
+    return near.unionByName(knn_edges(spots, 1, alone).select("sample_id", "src", "dst", "dist"))
 
 
 def typical_radius(spots: DataFrame, k: int = 6, scale: float = 1.6) -> DataFrame:
@@ -84,10 +210,46 @@ def weighted(edges: DataFrame, spots: DataFrame, floor: float = 1e-3) -> DataFra
     return out.unionByName(alone.select("sample_id", "src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"), F.lit(1.0).alias("weight")))
 
 
-def density(edges: DataFrame) -> DataFrame:
-    """Per spot: neighbours, mean distance and neighbours per area of the circle that holds them."""
+def density(edges: DataFrame, spots: DataFrame, radius: DataFrame | None = None) -> DataFrame:
+    """Per spot: neighbours, mean distance, the radius that holds them and neighbours per area of its circle.
+
+    ``radius`` (sample_id, radius) is the least support of a radius graph.  A spot without neighbours counts itself, at support 1;
+    where the support is zero, so is the density; an area counts as 1e-6 at least.
+    """
     out = edges.groupBy("sample_id", "src").agg(F.count("*").alias("neighbor_count"), F.avg("dist").alias("mean_distance"), F.max("dist").alias("support_radius"))
-    return out.withColumn("area_density", F.col("neighbor_count") / (F.pi() * F.pow(F.greatest("support_radius", F.lit(1e-3)), F.lit(2.0))))
+    if radius is not None:
+        out = out.join(radius, "sample_id").withColumn("support_radius", F.greatest("support_radius", "radius")).drop("radius")
+    out = spots.select("sample_id", F.col("obs_id").alias("src")).join(out, ["sample_id", "src"], "left")
+    out = out.select("sample_id", "src", F.coalesce("neighbor_count", F.lit(1)).alias("neighbor_count"), F.coalesce("mean_distance", F.lit(0.0)).alias("mean_distance"), F.coalesce("support_radius", F.lit(1.0)).alias("support_radius"))
+    area = F.greatest(F.pi() * F.col("support_radius") * F.col("support_radius"), F.lit(1e-6))
+    return out.withColumn("area_density", F.when(F.col("support_radius") > 0, F.col("neighbor_count") / area).otherwise(0.0))
+
+
+def feature_means(edges: DataFrame, features: DataFrame) -> DataFrame:
+    """(sample_id, src, feature, value): the weighted sum of each feature over a spot's neighbours.
+
+    ``features``: obs_id, feature, value; what has no row is zero.
+    """
+    to = features.select(F.col("obs_id").alias("dst"), "feature", F.col("value").cast("double").alias("value"))
+    return edges.join(to, "dst").groupBy("sample_id", "src", "feature").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+
+
+def scale_summary(spots: DataFrame, label: str = "cell_type", ks: tuple[int, ...] = (6, 18), radius_factor: float = 1.6, radius_k: int = 6) -> DataFrame:
+    """(scale, sample_id, src, neighbor_count, mean_distance, support_radius, area_density, entropy) over every kNN scale and the radius scale.
+
+    One search of the largest k serves all smaller ones.  Scales are named knn_06, knn_18, radius.
+    """
+    top = materialize(knn_edges(spots, max(*ks, radius_k)), "scales")
+    far = top.where(F.col("rank") <= radius_k).groupBy("sample_id", "src").agg(F.max("dist").alias("far")).where("far > 0").groupBy("sample_id").agg((F.percentile("far", 0.5) * radius_factor).alias("radius"))
+    radius = materialize(spots.select("sample_id").distinct().join(far, "sample_id", "left").select("sample_id", F.coalesce("radius", F.lit(1.0)).alias("radius")), "radii")
+    categories = spots.agg(F.count_distinct(F.coalesce(F.col(label).cast("string"), F.lit("unassigned")))).first()[0]
+    named = spots.withColumn("_label", F.coalesce(F.col(label).cast("string"), F.lit("unassigned")))
+    out = None
+    for name, edges, least in [*((f"knn_{k:02d}", top.where(F.col("rank") <= k).drop("rank"), None) for k in sorted(set(ks))), ("radius", radius_edges(spots, radius), radius)]:
+        shares = composition(weighted(edges, spots), named, "_label")
+        one = density(edges, spots, least).join(normalized_entropy(shares, categories), ["sample_id", "src"]).withColumn("scale", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("scale", "sample_id", "src", "neighbor_count", "mean_distance", "support_radius", "area_density", "entropy")
 
 
 def composition(edges: DataFrame, spots: DataFrame, label: str) -> DataFrame:
@@ -106,7 +268,10 @@ def normalized_entropy(shares: DataFrame, categories: int, floor: float = 1e-8)
 
 
 def colocalization(edges: DataFrame, spots: DataFrame, motif: str = "motif_id") -> DataFrame:
-    """Per sample and motif: mean share of same-motif neighbours, the other motif with most weight (ties: the smallest), its share."""
+    """Per sample and motif: mean share of same-motif neighbours, the other motif with most weight (ties: the smallest), its share.
+
+    A motif without another beside it is its own partner.
+    """
     a = spots.select("sample_id", F.col("obs_id").alias("src"), F.col(motif).alias("motif_id"))
     b = spots.select("sample_id", F.col("obs_id").alias("dst"), F.col(motif).alias("other"))
     pair = edges.join(a, ["sample_id", "src"]).join(b, ["sample_id", "dst"]).groupBy("sample_id", "motif_id", "other").agg(F.sum("weight").alias("w"))
@@ -116,7 +281,7 @@ def colocalization(edges: DataFrame, spots: DataFrame, motif: str = "motif_id")
     tot = pair.groupBy("sample_id", "motif_id").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("motif_id") == F.col("other"), F.col("w")).otherwise(0.0)).alias("own"), best)
     ties = pair.where("motif_id != other").join(tot.select("sample_id", "motif_id", F.col("top.w").alias("tw")), ["sample_id", "motif_id"]).where("w = tw").groupBy("sample_id", "motif_id").agg(F.min("other").alias("top_partner"))
     out = n.join(tot, ["sample_id", "motif_id"]).join(ties, ["sample_id", "motif_id"], "left")
-    return out.select("sample_id", "motif_id", (F.col("own") / F.col("n")).alias("same_motif_fraction"), "top_partner", (F.col("top.w") / F.col("all")).alias("top_partner_share"))
+    return out.select("sample_id", "motif_id", (F.col("own") / F.col("n")).alias("same_motif_fraction"), F.coalesce("top_partner", "motif_id").alias("top_partner"), (F.coalesce("top.w", "own") / F.col("all")).alias("top_partner_share"))
 
 
 def coherence(edges: DataFrame, spots: DataFrame, motif: str = "motif_id") -> DataFrame:
@@ -127,6 +292,41 @@ def coherence(edges: DataFrame, spots: DataFrame, motif: str = "motif_id") -> Da
     return both.groupBy("sample_id").agg((F.sum(F.when(F.col("m1") == F.col("m2"), F.col("weight")).otherwise(0.0)) / F.count_distinct("src")).alias("coherence"))
 
 
+def coherence_test(edges: DataFrame, spots: DataFrame, motif: str = "motif_id") -> DataFrame:
+    """One row: the mean weight of same-motif neighbours, and its mean, deviation and z if motifs are shuffled within samples.
+
+    The first two moments over all permutations follow from the samples' motif counts and three sums of weights, so nothing
+    is drawn.  z is zero where the deviation is at most 1e-8.
+    """
+    e = edges.where("src != dst").groupBy("sample_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
+    ends = e.select("sample_id", F.explode(F.array("a", "b")).alias("i"), "w").groupBy("sample_id", "i").agg(F.sum("w").alias("w"))
+    sums = e.groupBy("sample_id").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("w")).alias("s1")).join(ends.groupBy("sample_id").agg(F.sum(F.col("w") * F.col("w")).alias("s2")), "sample_id")
+    fixed = edges.where("src = dst").groupBy("sample_id").agg(F.sum("weight").alias("fixed"))
+
+    def falling(c: Column, k: int) -> Column:
+        out = F.lit(1.0)
+        for i in range(k):
+            out = out * (c - i)
+        return out
+
+    n = spots.groupBy("sample_id", F.col(motif).alias("m")).agg(F.count("*").cast("double").alias("k")).groupBy("sample_id")
+    n = n.agg(F.sum("k").alias("n"), *[F.sum(falling(F.col("k"), i)).alias(f"f{i}") for i in (2, 3, 4)], F.sum(falling(F.col("k"), 2) * falling(F.col("k"), 2)).alias("g"))
+
+    def share(value: Column, k: int) -> Column:
+        every = falling(F.col("n"), k)
+        return F.when(every > 0, value / every).otherwise(0.0)
+
+    p2, p3, p22 = share(F.col("f2"), 2), share(F.col("f3"), 3), share(F.col("f4") + F.col("f2") * F.col("f2") - F.col("g"), 4)
+    t = n.join(sums, "sample_id", "left").join(fixed, "sample_id", "left").fillna(0.0)
+    square = F.col("s1") * p2 + (F.col("s2") - 2 * F.col("s1")) * p3 + (F.col("s0") * F.col("s0") - F.col("s2") + F.col("s1")) * p22
+    t = t.select("n", (F.col("s0") * p2 + F.col("fixed")).alias("mean"), F.greatest(square - F.pow(F.col("s0") * p2, F.lit(2.0)), F.lit(0.0)).alias("var"))
+    t = t.agg((F.sum("mean") / F.sum("n")).alias("null_mean"), (F.sqrt(F.sum("var")) / F.sum("n")).alias("null_std"), F.sum("n").alias("n"))
+    a, b = (spots.select("sample_id", F.col("obs_id").alias(c), F.col(motif).alias(m)) for c, m in (("src", "m1"), ("dst", "m2")))
+    seen = edges.join(a, ["sample_id", "src"]).join(b, ["sample_id", "dst"]).agg(F.sum(F.when(F.col("m1") == F.col("m2"), F.col("weight")).otherwise(0.0)).alias("w"))
+    out = seen.crossJoin(t).select((F.col("w") / F.col("n")).alias("coherence"), "null_mean", "null_std")
+    return out.withColumn("z_score", F.when(F.col("null_std") <= 1e-8, 0.0).otherwise((F.col("coherence") - F.col("null_mean")) / F.col("null_std")))
+
+
 def safe_feature_name(name: Column) -> Column:
     """Lower-case letters and digits, other runs as one underscore, none at the ends; ``unknown`` if nothing is left."""
     out = F.lower(F.btrim(F.regexp_replace(name.cast("string"), "[^0-9a-zA-Z]+", "_"), F.lit("_")))

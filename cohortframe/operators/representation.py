@@ -6,10 +6,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cohortframe.operators.vectors import squared_distance
+from cohortframe.plans.ship import ship
 
 
 def mean_vectors(rows: DataFrame, *by: str, out: str = "center") -> DataFrame:
@@ -37,11 +41,116 @@ def motif_stability(rows: DataFrame, least: int = 25) -> DataFrame:
     return own.join(mean_vectors(rows, "motif_id", out="all"), "motif_id").select("sample_id", "motif_id", "n", cosine(F.col("center"), F.col("all")).alias("stability"))
 
 
+def _distance(a: str, b: str) -> Column:
+    return F.sqrt(squared_distance(F.col(a), F.col(b)))
+
+
 def condition_separability(rows: DataFrame) -> DataFrame:
-    """between / (between + within + 1e-6) of the samples' means about the conditions' means."""
+    """One row: between / (between + within + 1e-6), null unless there are two conditions or more.
+
+    within: the mean distance of samples' means to their condition's mean; between: the mean distance of all pairs of
+    conditions' means.
+    """
     s = mean_vectors(rows, "sample_id", "condition").withColumnRenamed("center", "vector")
     c = mean_vectors(s, "condition")
-    g = mean_vectors(s, out="all")
-    within = s.join(c, "condition").agg(F.avg(squared_distance(F.col("vector"), F.col("center"))).alias("within"))
-    between = c.crossJoin(g).agg(F.avg(squared_distance(F.col("center"), F.col("all"))).alias("between"))
-    return within.crossJoin(between).select("within", "between", (F.col("between") / (F.col("between") + F.col("within") + 1e-6)).alias("separability"))
+    within = s.join(c, "condition").agg(F.avg(_distance("vector", "center")).alias("within"))
+    pairs = c.join(c.select(F.col("condition").alias("other"), F.col("center").alias("second")), F.col("condition") < F.col("other"))
+    between = pairs.agg(F.avg(_distance("center", "second")).alias("between"))
+    ratio = F.col("between") / (F.col("between") + F.col("within") + 1e-6)
+    return within.crossJoin(between).select(F.when(F.col("between").isNotNull(), F.col("within")).alias("within"), "between", ratio.alias("separability"))
+
+
+def sample_leakage(rows: DataFrame) -> DataFrame:
+    """One row: the samples' mean distance to their condition's mean over that to the mean of all samples; null for one sample."""
+    s = mean_vectors(rows, "sample_id", "condition").withColumnRenamed("center", "vector")
+    out = s.join(mean_vectors(s, "condition"), "condition").crossJoin(F.broadcast(mean_vectors(s, out="all")))
+    out = out.agg(F.count("*").alias("n"), F.avg(_distance("vector", "center")).alias("own"), F.avg(_distance("vector", "all")).alias("every"))
+    return out.select(F.when(F.col("n") > 1, F.col("own") / (F.col("every") + 1e-6)).alias("leakage"))
+
+
+def _unit(v: Column) -> Column:
+    n = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: x / F.greatest(n, F.lit(1e-8)))
+
+
+def spatial_smoothness(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: the mean cosine of each unit vector and the weighted mean of its neighbours' unit vectors.
+
+    ``edges``: src, dst, weight.  A row without neighbours counts as zero.
+    """
+    unit = rows.select("obs_id", _unit(F.col("vector")).alias("u"))
+    parts = edges.join(unit.withColumnRenamed("obs_id", "dst"), "dst").select("src", "weight", F.posexplode("u").alias("i", "v"))
+    near = parts.groupBy("src", "i").agg(F.sum(F.col("weight") * F.col("v")).alias("v")).groupBy(F.col("src").alias("obs_id"))
+    near = near.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("m"))
+    both = unit.join(near, "obs_id", "left")
+    return both.agg(F.avg(F.coalesce(dot(F.col("u"), _unit(F.col("m"))), F.lit(0.0))).alias("smoothness"))
+
+
+def label_conservation(rows: DataFrame, label: str, k: int = 15, most: int = 5000, seed: int = 0) -> DataFrame:
+    """One row: the mean share of a row's ``k`` nearest others (by vector) that have its label.
+
+    At most about ``most`` rows, chosen by a hash, stand for all; they are compared with one another in one task.
+    """
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("obs_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
+
+    def run(t: pa.Table) -> pa.Table:
+        x, names = np.array(t.column("vector").to_pylist(), np.float64), np.array(t.column("label").to_pylist(), object)
+        out = []
+        for a in range(0, len(x), 256):
+            d = ((x[a : a + 256, None] - x[None]) ** 2).sum(2) if x.shape[1] < 8 else (x[a : a + 256] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[a : a + 256] @ x.T
+            d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+            out.append((names[near] == names[a : a + 256, None]).mean(1) if near.shape[1] else np.full(len(d), np.nan))
+        return pa.table({"share": np.concatenate(out)})
+
+    ship(rows.sparkSession)
+    got = some.select(F.lit(0).alias("g"), "vector", F.col(label).cast("string").alias("label")).groupBy("g").applyInArrow(run, "share double")
+    return got.agg(F.avg(F.when(~F.isnan("share"), F.col("share"))).alias("conservation"))
+
+
+def ranked_motifs(abundance: DataFrame, condition_a: str, condition_b: str, weight: str | None = None) -> DataFrame:
+    """(motif_id, delta, position): weighted mean fractions of condition b less those of a, largest change first (ties: the larger delta, then id)."""
+    w = F.col(weight) if weight else F.lit(1.0)
+
+    def mean(c: str) -> Column:
+        own = F.col("condition") == c
+        return F.coalesce(F.sum(F.when(own, w * F.col("motif_fraction"))) / F.sum(F.when(own, w)), F.lit(0.0))
+
+    out = abundance.groupBy("motif_id").agg((mean(condition_b) - mean(condition_a)).alias("delta"))
+    order = W.orderBy(F.desc(F.abs("delta")), F.desc("delta"), "motif_id")  # one row per motif
+    return out.withColumn("position", F.row_number().over(order))
+
+
+def reproducibility(abundance: DataFrame, seed: int = 7, draws: int = 128) -> DataFrame:
+    """One row: the mean Jaccard similarity of the leading motifs of all samples and of samples drawn again within conditions.
+
+    The draws are weights per sample, joined to the abundance table; all of them are ranked in one pass.  Null unless
+    there are two conditions.
+    """
+    spark = abundance.sparkSession
+    meta = [(r["sample_id"], r["condition"]) for r in abundance.select("sample_id", "condition").distinct().orderBy("condition", "sample_id").collect()]
+    names = sorted({c for _, c in meta})
+    if len(names) != 2:
+        return spark.createDataFrame([(None,)], "reproducibility double")
+    a, b = names
+    k = max(2, min(4, abundance.select("motif_id").distinct().count() // 2))
+    r, rows = np.random.default_rng(seed), []
+    for d in range(draws):
+        for c in names:
+            own = [s for s, x in meta if x == c]
+            picked, times = np.unique(r.choice(len(own), len(own)), return_counts=True)
+            rows += [(d, own[i], float(t)) for i, t in zip(picked.tolist(), times.tolist(), strict=True)]
+    weights = spark.createDataFrame(rows, "draw int, sample_id string, weight double")
+    drawn = abundance.select(F.col("sample_id").cast("string"), "condition", "motif_id", "motif_fraction").join(F.broadcast(weights), "sample_id")
+
+    def mean(c: str) -> Column:
+        own = F.col("condition") == c
+        return F.coalesce(F.sum(F.when(own, F.col("weight") * F.col("motif_fraction"))) / F.sum(F.when(own, F.col("weight"))), F.lit(0.0))
+
+    delta = drawn.groupBy("draw", "motif_id").agg((mean(b) - mean(a)).alias("delta"))
+    place = F.row_number().over(W.partitionBy("draw").orderBy(F.desc(F.abs("delta")), F.desc("delta"), "motif_id"))
+    top = delta.withColumn("place", place).where(F.col("place") <= k)
+    whole = ranked_motifs(abundance, a, b).where(F.col("position") <= k).select("motif_id", F.lit(1).alias("hit"))
+    shared = top.join(F.broadcast(whole), "motif_id", "left").groupBy("draw").agg(F.count("hit").alias("both"), F.count("*").alias("n"))
+    return shared.crossJoin(F.broadcast(whole.agg(F.count("*").alias("m")))).agg(F.avg(F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("reproducibility"))

@@ -1,20 +1,26 @@
 """Sample-level tests of motif differences between two conditions.
 
 The unit of a test is the sample: ``values`` has one row per (dataset_id, motif_id, sample_id, condition, value).  Samples
-are few, so a motif's values travel as one array in the order of sample_id, and the labelings, of which
-there may be thousands, are the distributed side.
+are few, so a motif's values travel as one array in the order of sample_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cohortframe.plans.ship import ship
+
 TOLERANCE = 1e-12
 _KEY = ["dataset_id", "motif_id"]
+_TEST = pa.schema([("dataset_id", pa.string()), ("motif_id", pa.string()), ("observed_effect", pa.float64()), ("pvalue_two_sided", pa.float64()), ("pvalue_one_sided", pa.float64()), ("pvalue_midp", pa.float64()), ("n_permutations", pa.int64()), ("mode", pa.string()), ("total_labelings", pa.string())])
 
 
 def condition_score(name: Column) -> Column:
@@ -50,85 +56,105 @@ def motif_arrays(values: DataFrame) -> DataFrame:
     return out.withColumn("n_case", F.size(F.filter("c", lambda x: x))).withColumn("total", F.aggregate("v", F.lit(0.0), lambda s, x: s + x))
 
 
-def _case_sum(values: Column, mask: Column) -> Column:
-    return F.aggregate(F.transform(values, lambda x, i: F.when(F.getbit(mask, i) == 1, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-
-
-def labelings(spark, n: int, n_case: int, most: int, seed: int = 0) -> tuple[DataFrame, str]:
-    """(draw, mask): every choice of ``n_case`` of ``n`` samples, or ``most`` random ones if there are more than that.
+def labelings(n: int, n_case: int, most: int, seed: int = 0) -> tuple[np.ndarray, str]:
+    """Which samples are cases, one row per labeling: every choice, or ``most`` random ones if there are more than that.
 
-    Up to 20 samples are enumerated as bit masks; a larger design with few choices is built one sample at a time.
+    Designs are of any size.  The draws follow the order of numpy's generator, so a seed gives the same ones everywhere.
     """
-    if n > 62:
-        raise ValueError("designs of more than 62 samples need a second mask word")
     if comb(n, n_case) <= most:
-        if n <= 20:
-            return spark.range(1 << n).where(F.bit_count("id") == n_case).select(F.col("id").alias("draw"), F.col("id").alias("mask")), "exact"
-        made = spark.range(1).select(F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("last"))
-        for k in range(n_case):
-            made = made.select("mask", F.explode(F.sequence(F.col("last") + 1, F.lit(n - n_case + k))).alias("next")).select(F.col("mask").bitwiseOR(F.expr("shiftleft(1L, next)")).alias("mask"), F.col("next").alias("last"))
-        return made.select(F.col("mask").alias("draw"), "mask"), "exact"
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.xxhash64("id", i, F.lit(seed)).alias("h"), i.alias("i"))))
-    mask = F.aggregate(F.slice(order, 1, n_case), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), x["i"]).cast("long")))
-    return spark.range(most).select(F.col("id").alias("draw"), mask.alias("mask")), "approx_monte_carlo"
-
-
-def _effects(values: DataFrame, most: int, seed: int) -> tuple[DataFrame, str] | None:
-    """Each motif's effect under each labeling, for datasets of one design; the designs are taken one by one."""
-    motifs = motif_arrays(values)
-    designs = motifs.select("n", "n_case").distinct().collect()
-    parts, modes = [], {}
-    for d in designs:
-        draws, mode = labelings(values.sparkSession, d.n, d.n_case, most, seed)
-        modes[d.n, d.n_case] = mode
-        own = motifs.where((F.col("n") == d.n) & (F.col("n_case") == d.n_case))
-        parts.append(own.crossJoin(draws).withColumn("mode", F.lit(mode)))
-    if not parts:
-        return None
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    seen = F.aggregate(F.zip_with("v", "c", lambda x, y: F.when(y, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-
-    def effect(s: Column) -> Column:
-        return s / F.col("n_case") - (F.col("total") - s) / (F.col("n") - F.col("n_case"))
-
-    return rows.withColumn("observed", effect(seen)).withColumn("effect", effect(_case_sum(F.col("v"), F.col("mask"))))
+        picked, mode = list(combinations(range(n), n_case)), "exact"
+    else:
+        r = np.random.default_rng(seed)
+        picked, mode = [r.choice(n, size=n_case, replace=False) for _ in range(most)], "approx_monte_carlo"
+    out = np.zeros((len(picked), n), bool)
+    np.put_along_axis(out, np.array(picked, np.int64).reshape(len(picked), n_case), True, axis=1)
+    return out, mode
+
+
+_drawn: dict[tuple[int, int, int, int], tuple[np.ndarray, str]] = {}
+
+
+def _of_design(n: int, n_case: int, most: int, seed: int) -> tuple[np.ndarray, str]:
+    """:func:`labelings`, kept for the tasks that follow in this worker."""
+    key = (n, n_case, most, seed)
+    if key not in _drawn:
+        if len(_drawn) > 16:
+            _drawn.clear()
+        _drawn[key] = labelings(*key)
+    return _drawn[key]
+
+
+def _effects(b: pa.RecordBatch, most: int, seed: int):
+    """(row of the batch, effects under every labeling, mode) for each motif."""
+    for i, (v, n_case) in enumerate(zip(b.column("v").to_pylist(), b.column("n_case").to_pylist(), strict=True)):
+        x = np.array(v, np.float64)
+        if 0 < n_case < len(x):
+            masks, mode = _of_design(len(x), n_case, most, seed)
+            cases = masks @ x
+            yield i, cases / n_case - (x.sum() - cases) / (len(x) - n_case), mode
+
+
+def _with_observed(values: DataFrame) -> DataFrame:
+    """:func:`motif_arrays` and each motif's effect as it is."""
+    cases = F.aggregate(F.zip_with("v", "c", lambda x, y: F.when(y, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    return motif_arrays(values).withColumn("observed_effect", cases / F.col("n_case") - (F.col("total") - cases) / (F.col("n") - F.col("n_case")))
+
+
+def total_labelings(n: int, n_case: int) -> str:
+    """How many labelings a design has, in digits, as they may exceed any number type."""
+    return str(comb(n, n_case))
 
 
 def permutation_test(values: DataFrame, most: int = 8192, seed: int = 0) -> DataFrame:
-    """Sample-label permutation of each motif: observed effect, two- and one-sided p, mid-p, draws and mode.
+    """Sample-label permutation of each motif: observed effect, two- and one-sided p, mid-p, draws, mode and all labelings.
 
     Exact where there are at most ``most`` labelings; else that many draws, whose two- and one-sided p add one to hits and draws.
-    Datasets without exactly two conditions are left out.
+    Datasets without exactly two conditions are left out.  Motifs are the distributed side; the labelings of a design are one
+    matrix of at most ``most`` rows per worker.
     """
-    rows = _effects(values, most, seed)
-    if rows is None:
-        return values.sparkSession.createDataFrame([], "dataset_id string, motif_id string, observed_effect double, pvalue_two_sided double, pvalue_one_sided double, pvalue_midp double, n_permutations long, mode string")
-    gap = F.abs("effect") - F.abs("observed")
-    side = F.when(F.col("observed") >= 0, F.col("effect") - F.col("observed")).otherwise(F.col("observed") - F.col("effect"))
+    ship(values.sparkSession)
 
-    def n(c: Column) -> Column:
-        return F.sum(F.when(c, 1).otherwise(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            seen = b.column("observed_effect").to_pylist()
+            sizes = list(zip(b.column("n").to_pylist(), b.column("n_case").to_pylist(), strict=True))
+            for i, e, mode in _effects(b, most, seed):
+                gap = np.abs(e) - abs(seen[i])
+                side = e - seen[i] if seen[i] >= 0 else seen[i] - e
+                more, same, extra = int((gap > TOLERANCE).sum()), int((np.abs(gap) <= TOLERANCE).sum()), int(mode != "exact")
+                rows.append((b.column("dataset_id")[i].as_py(), b.column("motif_id")[i].as_py(), seen[i], (more + same + extra) / (len(e) + extra), (int((side >= -TOLERANCE).sum()) + extra) / (len(e) + extra), (more + 0.5 * same) / len(e), len(e), mode, total_labelings(*sizes[i])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 9, _TEST.types, strict=True)], schema=_TEST)
 
-    out = rows.groupBy(*_KEY, "observed", "mode").agg(F.count("*").alias("n"), n(gap > TOLERANCE).alias("more"), n(F.abs(gap) <= TOLERANCE).alias("same"), n(side >= -TOLERANCE).alias("one"))
-    extra = F.when(F.col("mode") == "exact", 0).otherwise(1)
-    return out.select(
-        *_KEY, F.col("observed").alias("observed_effect"), ((F.col("more") + F.col("same") + extra) / (F.col("n") + extra)).alias("pvalue_two_sided"),
-        ((F.col("one") + extra) / (F.col("n") + extra)).alias("pvalue_one_sided"), ((F.col("more") + 0.5 * F.col("same")) / F.col("n")).alias("pvalue_midp"), F.col("n").alias("n_permutations"), "mode",
-    )
+    # one row per motif: spread over all tasks, for each is thousands of sums
+    motifs = _with_observed(values).repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_KEY)
+    return motifs.select(*_KEY, "v", "n", "n_case", "observed_effect").mapInArrow(run, "dataset_id string, motif_id string, observed_effect double, pvalue_two_sided double, pvalue_one_sided double, pvalue_midp double, n_permutations long, mode string, total_labelings string")
 
 
 def max_t_test(values: DataFrame, most: int = 4096, seed: int = 0) -> DataFrame:
-    """Family-wise p: the share of labelings whose largest absolute effect over a dataset's motifs reaches the motif's."""
-    rows = _effects(values, most, seed)
-    if rows is None:
-        return values.sparkSession.createDataFrame([], "dataset_id string, motif_id string, observed_effect double, pvalue_max_t double, n_permutations long")
-    top = rows.groupBy("dataset_id", "draw").agg(F.max(F.abs("effect")).alias("top"))
-    seen = rows.select(*_KEY, "observed", "mode").distinct()
-    hits = seen.join(top, "dataset_id").groupBy(*_KEY, "observed", "mode").agg(F.count("*").alias("n"), F.sum(F.when(F.col("top") >= F.abs("observed") - TOLERANCE, 1).otherwise(0)).alias("h"))
+    """Family-wise p: the share of labelings whose largest absolute effect over a dataset's motifs reaches the motif's.
+
+    Each task gives its motifs' largest effect per labeling; the largest of those are one array per dataset.
+    """
+    ship(values.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[tuple[str, int, int], tuple[np.ndarray, str]] = {}
+        for b in batches:
+            data, sizes = b.column("dataset_id").to_pylist(), list(zip(b.column("n").to_pylist(), b.column("n_case").to_pylist(), strict=True))
+            for i, e, mode in _effects(b, most, seed):
+                key = (data[i], *sizes[i])
+                top[key] = (np.maximum(top[key][0], np.abs(e)) if key in top else np.abs(e), mode)
+        for (d, n, k), (t, mode) in top.items():
+            yield pa.RecordBatch.from_pydict({"dataset_id": [d] * len(t), "draw": np.arange(len(t)), "top": t, "mode": [mode] * len(t), "total_labelings": [total_labelings(n, k)] * len(t)})
+
+    motifs = _with_observed(values)
+    tops = motifs.select("dataset_id", "v", "n", "n_case").mapInArrow(run, "dataset_id string, draw long, top double, mode string, total_labelings string")
+    tops = tops.groupBy("dataset_id", "draw").agg(F.max("top").alias("top"), F.max("mode").alias("mode"), F.max("total_labelings").alias("total_labelings"))
+    tops = tops.groupBy("dataset_id").agg(F.collect_list("top").alias("tops"), F.max("mode").alias("mode"), F.max("total_labelings").alias("total_labelings"))
+    hits, n = F.size(F.filter("tops", lambda t: t >= F.abs("observed_effect") - TOLERANCE)), F.size("tops")
     extra = F.when(F.col("mode") == "exact", 0).otherwise(1)
-    return hits.select(*_KEY, F.col("observed").alias("observed_effect"), ((F.col("h") + extra) / (F.col("n") + extra)).alias("pvalue_max_t"), F.col("n").alias("n_permutations"))
+    return motifs.join(tops, "dataset_id").select(*_KEY, "observed_effect", ((hits + extra) / (n + extra)).alias("pvalue_max_t"), n.cast("long").alias("n_permutations"), "mode", "total_labelings")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *by: str, order: str = "motif_id") -> DataFrame:
@@ -209,13 +235,24 @@ def naive_contingency(abundance: DataFrame) -> DataFrame:
     return out.select(*_KEY, "case_in", "case_all", "ref_in", "ref_all", (a * d / F.when(b * c > 0, b * c)).alias("odds_ratio"), (a / F.when(F.col("case_all") > 0, F.col("case_all"))).alias("case_fraction"), (c / F.when(F.col("ref_all") > 0, F.col("ref_all"))).alias("ref_fraction"))
 
 
+def _is(c: Column) -> Column:
+    """A comparison that fails on null and, as in IEEE arithmetic and unlike Spark's order, on NaN."""
+    return F.coalesce(c, F.lit(False))
+
+
+def _number(c: Column) -> Column:
+    return F.when(~F.isnan(c), c)
+
+
 def support_tier(sample_p: Column, max_t_p: Column, null_p: Column, loso: Column, naive_p: Column) -> Column:
-    """The support tier; a comparison with null fails, as it should with a missing number."""
-    steady = (sample_p <= 0.20) & (loso >= 0.80)
-    return F.when(steady & (max_t_p <= 0.20) & (null_p <= 0.20), "heldout_supported").when(steady, "sample_level_supported").when((naive_p <= 1e-4) & (sample_p > 0.20), "naive_only").otherwise("not_supported")
+    """The support tier; a comparison with null or NaN fails, as it should with a missing number."""
+    sample_p, max_t_p, null_p, loso, naive_p = map(_number, (sample_p, max_t_p, null_p, loso, naive_p))
+    steady = _is(sample_p <= 0.20) & _is(loso >= 0.80)
+    return F.when(steady & _is(max_t_p <= 0.20) & _is(null_p <= 0.20), "heldout_supported").when(steady, "sample_level_supported").when(_is(naive_p <= 1e-4) & _is(sample_p > 0.20), "naive_only").otherwise("not_supported")
 
 
 def evidence_tier(mixed_p: Column, permutation_p: Column, q: Column, low: Column, high: Column) -> Column:
-    """strong, moderate, weak or none."""
-    away = F.coalesce(low > 0, F.lit(False)) | F.coalesce(high < 0, F.lit(False))
-    return F.when((q <= 0.10) & away, "strong").when(away & (F.coalesce(permutation_p <= 0.20, F.lit(False)) | F.coalesce(mixed_p <= 0.05, F.lit(False))), "moderate").when(F.coalesce(mixed_p <= 0.10, F.lit(False)) | F.coalesce(permutation_p <= 0.20, F.lit(False)), "weak").otherwise("none")
+    """strong, moderate, weak or none; a comparison with null or NaN fails."""
+    mixed_p, permutation_p, q, low, high = map(_number, (mixed_p, permutation_p, q, low, high))
+    away = _is(low > 0) | _is(high < 0)
+    return F.when(_is(q <= 0.10) & away, "strong").when(away & (_is(permutation_p <= 0.20) | _is(mixed_p <= 0.05)), "moderate").when(_is(mixed_p <= 0.10) | _is(permutation_p <= 0.20), "weak").otherwise("none")

@@ -35,20 +35,26 @@ def read_matrix_market(spark: SparkSession, path: str, genes: str, barcodes: str
     """(obs, gene, value) of a coordinate file with one name per line in two side files; explicit zeros are dropped.
 
     Lines of a text file have no number, so names are numbered by their place in the file; side files are one per feature or
-    cell and are read as whole files.
+    cell and are read as whole files.  A coordinate occurs once in a file, so at most one entry reads like the line of sizes.
     """
 
     def names(p: str, label: str) -> DataFrame:
         lines = spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("i", "line"))
         return lines.select((F.col("i") + 1).cast("long").alias(f"_{label}"), F.split("line", "\t")[0].alias(label))
 
-    body = spark.read.text(path).where(~F.col("value").startswith("%"))
-    e = body.select(F.split(F.btrim("value"), r"\s+").alias("p")).where(F.size("p") == 3).select(F.col("p")[0].cast("long").alias("_gene"), F.col("p")[1].cast("long").alias("_obs"), F.col("p")[2].cast("double").alias("value"))
+    body = spark.read.text(path).where(~F.col("value").startswith("%")).select(F.split(F.btrim("value"), r"\s+").alias("p")).where(F.size("p") >= 2)
+    e = body.select(F.col("p")[0].cast("long").alias("_gene"), F.col("p")[1].cast("long").alias("_obs"), F.get("p", F.lit(2)).cast("double").alias("value"))
+    e = e.withColumn("value", F.coalesce("value", F.lit(1.0)))  # a pattern file names places only
     g, b = names(genes, "gene"), names(barcodes, "obs")
-    # the size line has no names of its own unless the matrix is square and full, so it is known by its third number
-    size = g.agg(F.max("_gene").alias("ng")).crossJoin(b.agg(F.max("_obs").alias("nb")))
-    first = body.select("value").limit(1).select(F.split(F.btrim("value"), r"\s+").alias("h")).select(F.col("h")[2].cast("double").alias("nnz"))
-    e = e.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(first)).where(~((F.col("_gene") == F.col("ng")) & (F.col("_obs") == F.col("nb")) & (F.col("value") == F.col("nnz"))))
+    # the first line that is no comment holds the sizes; it comes first by its place in the file, not by what it says
+    head = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")).where(~F.col("value").startswith("%") & (F.btrim("value") != ""))
+    head = head.agg(F.min_by("value", "at").alias("v")).select(F.split(F.btrim("v"), r"\s+").alias("h")).first()["h"]
+    size = [F.lit(int(head[0])), F.lit(int(head[1])), F.lit(float(head[2]))]
+    same = (F.col("_gene") == size[0]) & (F.col("_obs") == size[1]) & (F.col("value") == size[2])
+    # an entry that reads like the line of sizes stays: of such lines one is dropped
+    twins = e.where(same).count() - 1
+    rest = e.where(~same)
+    e = rest.unionByName(e.where(same).limit(twins)) if twins > 0 else rest
     return e.join(g, "_gene").join(b, "_obs").where("value != 0").select("obs", "gene", "value")
 
 
