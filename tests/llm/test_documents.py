@@ -165,3 +165,49 @@ def test_permutations(spark, n):
     df = spark.range(n).withColumn("p", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(1)))
     rows = df.withColumn("q", mixing.permuted(F.col("p"), F.lit(n).cast("long"), F.lit(1), inverse=True)).collect()
     assert sorted(r.p for r in rows) == list(range(n)) and all(r.q == r.id for r in rows)
+
+
+def test_shard_counts_and_packed_blocks(spark):
+    """Counts per shard add up and vary as draws do; quotas are met exactly; blocks hold the sources' words end to end."""
+    import random
+
+    r = random.Random(2)
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{i}_{j}" for j in range(r.randint(0, 90))), "en", "abc"[i % 3] if i % 7 else None, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    base = mixing.measured(df)
+    plan = mixing.targets(base, block=8)
+    quota = {p["rank"]: p.slots for p in plan.collect()}
+    n = sum(quota.values())
+    counts = mixing.drawn_counts(plan, 32).collect()
+    per_shard = Counter()
+    for c in counts:
+        per_shard[c.shard] += c.n
+    assert all(v == 32 for k, v in per_shard.items() if k < n // 32) and sum(per_shard.values()) == n
+    top = max(quota, key=quota.get)
+    p, own = quota[top] / n, {c.shard: c.n for c in counts if c["rank"] == top}
+    seen = np.array([own.get(k, 0) for k in range(n // 32)])
+    assert abs(seen.mean() - 32 * p) < 4 * np.sqrt(32 * p * (1 - p) / len(seen)) and 0.5 < seen.var() / (32 * p * (1 - p)) < 1.7
+    got = mixing.slots(plan, 32).collect()
+    assert sorted(x.slot for x in got) == list(range(n)) and all(x.shard == x.slot // 32 for x in got)
+    assert Counter(x["rank"] for x in got) == Counter({k: v for k, v in quota.items() if v})
+    blocks = {p["rank"]: p.blocks for p in plan.collect()}
+    for k in quota:
+        times = Counter(x.block for x in got if x["rank"] == k)
+        assert max(times.values()) - min(times[b] for b in range(blocks[k])) <= 1
+    packed = mixing.mix_blocks(df, block=8, shard_slots=32).collect()
+    assert sorted(x.slot for x in packed) == list(range(n))
+    words = {s: {w for q in rows if q[3] == s for w in q[1].split()} for s in ("a", "b", "c", None)}
+    size = {s: len(w) for s, w in words.items()}
+    for x in packed:
+        assert set(x.words) <= words[x.source] and (len(x.words) == 8 or len(x.words) == size[x.source] % 8)
+    whole = {s: set() for s in words}
+    for x in packed:
+        whole[x.source] |= set(x.words)
+    assert all(whole[s] == words[s] for k, s in enumerate(("a", "b", "c", None)) if quota[k] >= blocks[k])
+
+
+def test_mixing_ignores_other_columns(spark):
+    df, _ = table(spark, 3, 20)
+    more = df.selectExpr("*", "1 as size", "2 as key", "3 as salt", "4 as rank", "5 as taken")
+    assert sorted(map(str, mixing.mix_counts(more).collect())) == sorted(map(str, mixing.mix_counts(df).collect()))
+    assert mixing.mix_texts(df.limit(0)).count() == 0 and mixing.mix_blocks(df.limit(0)).count() == 0
