@@ -32,17 +32,20 @@ def _rows(b: pa.RecordBatch, name: str) -> list[np.ndarray]:
     return [np.array(v.as_py()) for v in b.column(name)]
 
 
-def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length the leading principal axes of the unit vectors, from sums over all of them.
+def principal_axes(classes: DataFrame, lengths: int = 8, longest: int = 4096) -> dict[int, np.ndarray]:
+    """The leading principal axes of the unit vectors, for the ``lengths`` most frequent vector lengths up to ``longest``.
 
-    Executors add up products; as many numbers as a covariance matrix has come to the driver.
+    Executors add up products; as many numbers as these covariance matrices have come to the driver, a fixed bound.
+    Vectors of other lengths are projected on their first components, which are axes like any other.
     """
+    usual = classes.groupBy(F.size("vector").alias("d")).count().where(F.col("d") <= longest).orderBy(F.desc("count"), "d").limit(lengths)
+    wanted = frozenset(r["d"] for r in usual.collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             rows = _rows(b, "vector")
-            for d in {len(r) for r in rows}:
+            for d in {len(r) for r in rows} & wanted:
                 u = unit(np.array([r for r in rows if len(r) == d]))
                 u = np.hstack((u, np.ones((len(u), 1))))
                 sums[d] = sums.get(d, 0) + u.T @ u
@@ -63,6 +66,12 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
+def project(u: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """The places of unit vectors on the axes of their length."""
+    own = axes.get(u.shape[1])
+    return u @ own if own is not None else u[:, :AXES]
+
+
 def _label(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least id each row and column reaches through the links of one leaf."""
     rows, cols = rows.copy(), cols.copy()
@@ -81,7 +90,7 @@ class Sequence:
     def __init__(self, r: dict, side: str, axes: dict[int, np.ndarray]) -> None:
         self.ids, self.sizes = np.frombuffer(r[f"ids{side}"], np.int64), np.frombuffer(r[f"sizes{side}"], np.int64)
         self.unit = np.frombuffer(r[f"unit{side}"], np.float64).reshape(len(self.ids), -1)
-        self.at = self.unit @ axes[self.unit.shape[1]]
+        self.at = project(self.unit, axes)
         self.links, self.root = np.zeros(len(self.ids), np.int64), self.ids.copy()
         self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -136,7 +145,8 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
 
     Equal vectors of a label are one class, so a vector that a third of the rows share is one row with a weight.
     Classes are put in grid order, by label and by cells of side sqrt(2 - 2 * least) on the leading principal axes
-    of all vectors, and cut into blocks.  Pairs of blocks whose boxes may be in reach are joined by recursion.
+    of all vectors, and cut into blocks.  Blocks meet in the cells of the first axis; pairs whose boxes may be in reach are
+    joined by recursion.  A class is known by two 64-bit hashes of its vector.
     A pair of blocks gives at most one count and a few spanning edges per vector, not its pairs.
     A null vec_id comes after all others; other columns are ignored; an empty table gives an empty one.
     """
@@ -146,7 +156,9 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
     good = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("label").cast("string").alias("label"), v.alias("vector"), F.coalesce(good, F.lit(False)).alias("good"))
     usable = rows.where("good").select("id", F.concat_ws("|", F.size("vector").cast("string"), "label").alias("group"), "vector")
-    classes = materialize(usable.groupBy("group", "vector").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
+    # -0.0 and 0.0 are one number; two hashes name a class, so that vectors need not be shuffled again
+    usable = usable.withColumn("vector", F.transform("vector", lambda x: x + 0.0)).withColumn("h1", F.xxhash64("group", "vector")).withColumn("h2", F.xxhash64(F.lit(1), "group", "vector"))
+    classes = materialize(usable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("group", "id").alias("group"), F.min_by("vector", "id").alias("vector")), "classes")
     axes = principal_axes(classes)
     cell = float(np.sqrt(max(1e-12, 2 - 2 * least)))
 
@@ -156,7 +168,8 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
             cells, units = [], []
             for x in vectors:
                 u = unit(x[None])[0]
-                cells.append(np.floor(u @ axes[len(u)] / cell).astype(np.int64).tolist() + [float(u @ axes[len(u)][:, 0])])
+                at = project(u[None], axes)[0]
+                cells.append(np.floor(at / cell).astype(np.int64).tolist() + [float(at[0])])
                 units.append(u.tobytes())
             key = pa.array([[float(c) for c in row] for row in cells], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), key, pa.array(units, pa.binary())], ["group", "id", "n", "cells", "unit"])
@@ -171,7 +184,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
 
         def block() -> pa.RecordBatch:
             u = np.frombuffer(b"".join(units), np.float64).reshape(len(ids), -1)
-            at = u @ axes[u.shape[1]]
+            at = project(u, axes)
             return pa.RecordBatch.from_pylist([{"group": group, "block": (part << 32) + made, "lo": at.min(0).tolist(), "hi": at.max(0).tolist(), "ids": np.array(ids, np.int64).tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "unit": b"".join(units)}], schema=_BLOCK)
 
         for b in batches:
@@ -187,10 +200,13 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
             yield block()
 
     blocks = materialize(ordered.select("group", "id", "n", "unit").mapInArrow(cut, _BLOCK_SQL), "blocks")
-    boxes = blocks.select("group", "block", "lo", "hi")
-    left, right = boxes.toDF("group", "block1", "lo1", "hi1"), boxes.toDF("group", "block2", "lo2", "hi2")
+    # blocks follow the grid order, so each spans few cells of the first axis: blocks meet in the cells that one spans and the other,
+    # widened by one cell, reaches; the first common cell makes the pair
+    boxes = blocks.select("group", "block", "lo", "hi").withColumn("from", F.floor(F.col("lo")[0] / cell)).withColumn("upto", F.floor(F.col("hi")[0] / cell))
+    left = boxes.toDF("group", "block1", "lo1", "hi1", "from1", "upto1").withColumn("x", F.explode(F.sequence(F.col("from1") - 1, F.col("upto1") + 1)))
+    right = boxes.toDF("group", "block2", "lo2", "hi2", "from2", "upto2").withColumn("x", F.explode(F.sequence("from2", "upto2")))
     gap = F.aggregate(F.arrays_zip("lo1", "hi1", "lo2", "hi2"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z["lo2"] - z["hi1"], z["lo1"] - z["hi2"]), F.lit(2.0)))
-    pairs = left.join(right, "group").where((F.col("block1") <= F.col("block2")) & (gap <= cell * cell + 1e-9)).select("block1", "block2")
+    pairs = left.join(right, ["group", "x"]).where((F.col("block1") <= F.col("block2")) & (F.col("x") == F.greatest(F.col("from1") - 1, F.col("from2"))) & (gap <= cell * cell + 1e-9)).select("block1", "block2")
     for k in "12":
         pairs = pairs.join(blocks.select(F.col("block").alias(f"block{k}"), F.col("ids").alias(f"ids{k}"), F.col("sizes").alias(f"sizes{k}"), F.col("unit").alias(f"unit{k}")).hint("merge"), f"block{k}")
     pairs = pairs.repartition(tasks, "block1", "block2")
@@ -214,9 +230,9 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
     found = materialize(pairs.mapInArrow(match, "id long, links long, to long"), "links")
     counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("`to` is not null"), "id", "to").withColumnRenamed("node", "id")
-    named = classes.join(counts, "id", "left").join(roots, "id", "left")
-    named = named.select("group", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
-    out = usable.join(named, ["group", "vector"]).select("id", "links", "root").unionByName(rows.where(~F.col("good")).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("root")))
+    named = classes.select("h1", "h2", "id", "n").join(counts, "id", "left").join(roots, "id", "left")
+    named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
+    out = usable.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("id", "links", "root").unionByName(rows.where(~F.col("good")).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("root")))
 
     def real(c: str):
         return F.when(F.col(c) != NULL_ID, F.col(c))
