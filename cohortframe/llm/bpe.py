@@ -44,11 +44,12 @@ class Merger:
         key = left * self.size + right
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.made = key[order], order, made
-        # a merge may act on all its places at once if nothing that uses its result ranks before it
+        # the first rank that uses a merge's result: a merge may act on all its places at once if that comes after it
         use = np.full(self.size, len(pairs), np.int64)
         np.minimum.at(use, left, np.arange(len(pairs)))
         np.minimum.at(use, right, np.arange(len(pairs)))
-        self.safe = use[made] > np.arange(len(pairs))
+        self.use = use[made]
+        self.safe = self.use > np.arange(len(pairs))
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
         self.seen: dict[str, int] = {}
         self.find = regex.compile(PATTERN).findall
@@ -61,7 +62,12 @@ class Merger:
         return np.where(self.key[at] == key, self.rank[at], _NONE)
 
     def count(self, words: list[bytes]) -> np.ndarray:
-        """How many symbols are left of each word when no pair can be merged."""
+        """How many symbols are left of each word when no pair can be merged.
+
+        Each round merges in every word the pairs of its lowest rank, and beside them those of higher ranks that no merge of this
+        round can forestall: up to the rank below the least one that any present pair's result could give rise to.
+        Of overlapping pairs the lower rank goes first, so the others wait.
+        """
         length = np.fromiter(map(len, words), np.int64, len(words))
         out = np.zeros(len(words), np.int64)
         sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
@@ -74,22 +80,36 @@ class Merger:
             start = np.flatnonzero(np.concatenate(([True], ~same)))
             n = np.diff(np.append(start, len(sym)))
             low = np.minimum.reduceat(rank, start)
+            some = rank != _NONE
+            later = np.full(len(sym), _NONE)
+            later[some] = np.maximum(rank[some], self.use[rank[some]])
+            top = np.maximum(low, np.minimum.reduceat(later, start) - 1)
             done = low == _NONE
             out[word[start[done]]] = n[done]
             live = np.repeat(~done, n)
-            target = np.repeat(low, n)
-            hit = live & (rank == target)
-            p = np.flatnonzero(hit)
+            p = np.flatnonzero(live & (rank <= np.repeat(top, n)) & some)
             if not len(p):
                 break
-            # of places that overlap, every second one from the left; of unsafe merges the leftmost only
-            run = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (word[p[1:]] != word[p[:-1]])))
-            begin = np.maximum.accumulate(np.where(run, np.arange(len(p)), 0))
-            p = p[(np.arange(len(p)) - begin) % 2 == 0]
-            unsafe = ~self.safe[rank[p]]
+            r = rank[p]
+            # runs of one rank at places that follow one another: of these every second one from the left
+            joined = np.concatenate(([False], (p[1:] == p[:-1] + 1) & (word[p[1:]] == word[p[:-1]])))
+            begins = ~joined | np.concatenate(([True], r[1:] != r[:-1]))
+            run = np.cumsum(begins) - 1
+            first = np.flatnonzero(begins)
+            last = np.append(first[1:] - 1, len(p) - 1)
+            # a run waits if a lower rank overlaps it on the left; on the right only its last place does
+            waits = joined[first] & (r[np.maximum(first - 1, 0)] < r[first])
+            after = np.minimum(last + 1, len(p) - 1)
+            cut = (last + 1 < len(p)) & joined[after] & (r[after] < r[last])
+            go = ((np.arange(len(p)) - first[run]) % 2 == 0) & ~waits[run]
+            go[last[cut]] = False
+            # of the lowest rank, where its result ranks before it, the leftmost place only
+            unsafe = ~self.safe[r] & go
             if unsafe.any():
-                new = np.concatenate(([True], word[p[1:]] != word[p[:-1]]))
-                p = p[~unsafe | new]
+                here = np.flatnonzero(unsafe)
+                again = np.concatenate(([False], word[p[here[1:]]] == word[p[here[:-1]]]))
+                go[here[again]] = False
+            p = p[go]
             sym[p] = self.made[rank[p]]
             live[p + 1] = False
             sym, word = sym[live], word[live]
@@ -126,20 +146,33 @@ def chunks(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
         yield out
 
 
+#: One merger per Python worker, by its vocabulary: tasks that follow find its pieces counted.
+_kept: dict[int, Merger] = {}
+
+
+def _merger(vocabulary: str) -> Merger:
+    name = hash(vocabulary)
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Merger(vocabulary)
+    return _kept[name]
+
+
 def token_counts(docs: DataFrame, vocabulary_file: str, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
     Counts equal those of the vocabulary's own library without added special tokens; a
     special token's string inside a text is one token.  Null texts count as empty.
     Whole texts are counted, row by row, in one pass without a shuffle; the vocabulary
-    (a file of fixed size) goes to the executors once.
+    (a file of fixed size) goes to the executors once.  Repeated rows are counted each; a null doc_id stays; other
+    columns are ignored; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     with open(vocabulary_file, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(shared.value)
+        merger = _merger(shared.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             n = list(chain.from_iterable(map(merger.texts, chunks(texts))))

@@ -60,14 +60,20 @@ def signatures(items: DataFrame, threshold: float, size: int) -> DataFrame:
 
 
 def containment(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment): documents that hold a benchmark item.
+    """:func:`held_items` without the hash of the text."""
+    return held_items(docs, items, threshold, shingle, broadcast_rows).drop("text_key")
+
+
+def held_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, text_key, item_id, n_shingles, n_shared, containment): documents that hold a benchmark item.
 
     Texts are compared in lower case by the set of their ``shingle``-word shingles; an item is
     held if ``n_shared / n_shingles >= threshold``.  An item of fewer words is one shingle of all its
     words.  Candidates come from the signatures, which miss nothing; each candidate document is then
     compared shingle by shingle.  Items or documents that are null or blank match nothing.
     One row comes out for each pair of distinct (doc_id, text) and (item_id, text).
-    Tables of more than ``broadcast_rows`` rows are shuffled instead of broadcast.
+    Tables of more than ``broadcast_rows`` rows are shuffled instead of broadcast.  A null doc_id or item_id is a value;
+    other columns are ignored; an empty table on either side gives an empty one.
     """
     items = items.select(F.col("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     items = items.withColumn("item_key", F.struct("item_id", F.xxhash64("words"))).withColumn("shingles", _strings(F.col("words"), shingle)).withColumn("n", F.size("shingles").cast("long"))
@@ -92,11 +98,14 @@ def containment(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shing
     total = items.select(F.sum("n")).first()[0] or 0
     shared = near.join(_small(listed, broadcast_rows, total), "s").groupBy("doc_id", "doc_key", "item_id", "item_key", "n").agg(F.count("*").alias("n_shared"))
     out = shared.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
-    return out.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
+    return out.select("doc_id", F.col("doc_key").alias("text_key"), "item_id", F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; columns as given."""
-    found = materialize(containment(docs, items, threshold, shingle, broadcast_rows).select("doc_id").distinct(), "leaks")
-    found = _small(found.withColumnRenamed("doc_id", "_leak"), broadcast_rows, found.count())
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of ``docs`` whose own text holds no benchmark item; columns as given, whatever their names."""
+    found = materialize(held_items(docs, items, threshold, shingle, broadcast_rows).select("doc_id", "text_key").distinct(), "leaks")
+    names = ["_id", "_key"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    few = _small(found.toDF(*names), broadcast_rows, found.count())
+    return docs.join(few, F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.xxhash64("text") == F.col(names[1])), "left_anti")

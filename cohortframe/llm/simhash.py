@@ -11,7 +11,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from cohortframe.llm.common import materialize
 from cohortframe.llm.components import connected_components
@@ -71,24 +70,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _hub_edges(members: DataFrame, masks: list[int]) -> DataFrame:
+def _hub_edges(members: DataFrame, masks: list[int], distance: int) -> DataFrame:
     """Links within crowded blocks without comparing pairs.
 
-    If x is within one bit of a and within two bits of b, then a and b differ in at
-    most three bits; and every pair within three bits has such an x between them.
-    So each member is listed under its neighbours x, and all of a group
-    with a member at one bit or less link to that member: rows grow with the members.
+    If x is within half the distance of a and within the rest of it of b, then a and b differ in at most ``distance`` bits; and
+    every pair within the distance has such an x between them.  So each member is listed under its neighbours x, and all
+    of a group with a member at half the distance or less link to that member: rows grow with the members.
     """
     free = [[i for i in range(64) if not m >> i & 1] for m in masks]
+    half = distance // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which = b.column(0).to_numpy(zero_copy_only=False)
             fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for c in np.unique(which):
-                one = [1 << i for i in free[c]]
-                flips = np.array([0, *one, *(x | y for x, y in combinations(one, 2))], np.uint64)
-                near = np.arange(len(flips)) <= len(one)
+                picks = [p for k in range(distance - half + 1) for p in combinations(free[c], k)]
+                flips = np.array([sum(1 << i for i in p) for p in picks], np.uint64)
+                near = np.array([len(p) <= half for p in picks])
                 for x in fp[which == c]:
                     n = len(flips)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array((x ^ flips).view(np.int64)), pa.array(near), pa.array(np.full(n, x).view(np.int64))], ["c", "hub", "near", "fp"])
@@ -100,26 +99,25 @@ def _hub_edges(members: DataFrame, masks: list[int]) -> DataFrame:
     return rows.join(to, ["c", "hub"]).where("fp != `to`").select(F.col("fp").alias("a"), F.col("to").alias("b"))
 
 
-def links(fps: DataFrame, distance: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, blocks: int | None = None, crowded: int = 1024) -> DataFrame:
     """Links (a, b) that join the same components as all pairs within ``distance`` bits.
 
     ``fps`` has one row per distinct fingerprint.  Each row goes under every
-    choice of ``blocks - distance`` blocks; rows that share a choice are candidates and
-    the Hamming distance decides inside the join.  A block of more than
-    ``crowded`` members is linked by :func:`_hub_edges` instead (``distance`` 3 only).
+    choice of ``blocks - distance`` blocks (``blocks``: twice the distance if not given); rows that share a choice are
+    candidates and the Hamming distance decides inside the join.  A block of more than
+    ``crowded`` members is linked by :func:`_hub_edges` instead.
     """
-    masks = block_masks(distance, blocks)
+    masks = block_masks(distance, blocks or max(2 * distance, 1))
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("c", "k"))
-    keyed = keyed.withColumn("n", F.count("*").over(W.partitionBy("c", "k"))).where("n > 1")
-    usual = keyed if distance != 3 else keyed.where(F.col("n") <= crowded)
+    sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = keyed.join(sizes.hint("merge"), ["c", "k"])
+    usual = keyed.where(F.col("n") <= crowded)
     x, y = usual.select("c", "k", F.col("fp").alias("a")), usual.select("c", "k", F.col("fp").alias("b"))
     out = x.join(y, ["c", "k"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
-    if distance == 3:
-        out = out.unionByName(_hub_edges(keyed.where(F.col("n") > crowded), masks))
-    return out.distinct()
+    return out.unionByName(_hub_edges(keyed.where(F.col("n") > crowded), masks, distance)).distinct()
 
 
-def simhash_dedup(docs: DataFrame, distance: int = 3, shingle: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
+def simhash_dedup(docs: DataFrame, distance: int = 3, shingle: int = 3, blocks: int | None = None, crowded: int = 1024) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept) for every row of ``docs``.
 
     ``fingerprint`` is 16 hexadecimal digits; ``component_id`` is the smallest doc_id that

@@ -42,6 +42,28 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90, 60: 60, 61: 60}
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2, 4, 5])
+def test_crowded_blocks_at_any_distance(spark, distance):
+    r = np.random.default_rng(distance)
+    base = [int(x) for x in r.integers(0, 1 << 62, 3)]
+    fps = sorted({b ^ sum(1 << int(i) for i in r.choice(62, r.integers(0, 5), replace=False)) for b in base for _ in range(20)})
+    root = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= distance])
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    blocks = distance + 2 if distance > 3 else None
+    for crowded in (1024, 1) if distance < 5 else (1024,):
+        got = dict(map(tuple, connected_components(simhash.links(df, distance, blocks, crowded)).collect()))
+        assert [got.get(f, f) for f in fps] == [fps[c] for c in root]
+
+
+def test_decontaminate_by_row_with_clashing_columns(spark):
+    leak = " ".join(f"l{i}" for i in range(9))
+    rows = [(1, "x " + leak, 0), (1, "clean text here it is", 0), (None, leak, 0), (None, "clean", 0), (2, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").selectExpr("*", "1 as _key", "2 as _leak", "3 as words", "4 as h")
+    items = spark.createDataFrame([(5, leak, 1)], "item_id long, text string, n int")
+    got = decontaminate.decontaminate(docs, items)
+    assert got.columns == docs.columns and sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == [(0, "clean"), (1, "clean text here it is"), (2, "")]
+
+
 @pytest.mark.parametrize("crowded", [1024, 2])
 def test_simhash(spark, crowded):
     df, rows = table(spark, 5, 80)
@@ -211,3 +233,10 @@ def test_mixing_ignores_other_columns(spark):
     more = df.selectExpr("*", "1 as size", "2 as key", "3 as salt", "4 as rank", "5 as taken")
     assert sorted(map(str, mixing.mix_counts(more).collect())) == sorted(map(str, mixing.mix_counts(df).collect()))
     assert mixing.mix_texts(df.limit(0)).count() == 0 and mixing.mix_blocks(df.limit(0)).count() == 0
+
+
+def test_fingerprints_ignore_other_columns(spark):
+    df, _ = table(spark, 6, 30)
+    more = df.selectExpr("*", "1 as fp", "2 as first", "3 as root", "4 as component_id")
+    assert sorted(map(str, simhash.simhash_dedup(more).collect())) == sorted(map(str, simhash.simhash_dedup(df).collect()))
+    assert simhash.simhash_dedup(df.limit(0)).count() == 0

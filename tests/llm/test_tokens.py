@@ -69,3 +69,25 @@ def test_token_file(spark):
     got = tokenfile.token_digest(df, P.path("word_bpe_49k.json"))
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
     assert tokenfile.token_digest(spark.createDataFrame([], SCHEMA), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_long_runs_without_a_break(spark):
+    """A megabyte of letters: rounds merge what no other merge can forestall, so they stay few."""
+    import random
+    import time
+
+    r = random.Random(1)
+    for n in (3000, 40_000):
+        text = "".join(r.choices("etaoinshrdlu", k=n))
+        assert _merger.count([text.encode()]).tolist() == [len(_library.encode(text, add_special_tokens=False).ids)]
+    began = time.thread_time()
+    long = "".join(r.choices("etaoinshrdlu", k=1_000_000))
+    got = bpe.token_counts(spark.createDataFrame([(1, long, 0)], "doc_id long, text string, n_bytes int"), P.path("byte_bpe_50k.json")).first()
+    assert got.n_bytes == 1_000_000 and 300_000 < got.n_tokens < 700_000 and time.thread_time() - began < 60
+    assert bpe.token_counts(spark.createDataFrame([], SCHEMA), P.path("byte_bpe_50k.json")).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abcdeh ", max_size=200))
+def test_counts_of_few_letters(text):
+    assert _merger.texts([text]) == [len(_library.encode(text, add_special_tokens=False).ids)]
