@@ -29,6 +29,7 @@ from cohortframe.plans.ship import ship
 
 _RAW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("tally", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))])
 _BLOCK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _sql = "part int, seq int, {}docs binary, counts binary, {}".format
 
 
@@ -81,7 +82,7 @@ class Pieces:
     encoder without those steps; the token that ends a word tells them apart.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 300_000) -> None:
+    def __init__(self, vocabulary: str, keep: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -250,7 +251,7 @@ def _recode(ranks: np.ndarray):
     return run
 
 
-def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: int = 1, block_tokens: int = 1 << 20, range_bytes: int = 32 << 20) -> str:
+def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: int = 1, block_tokens: int = 1 << 18, range_bytes: int = 32 << 20) -> str:
     """Encode every text, append ``end_id`` to each, and write a token file to ``path`` in order of doc_id.
 
     Null texts are empty; a null doc_id comes last; rows of one doc_id are in the order of their texts' hashes, and repeated
@@ -269,7 +270,13 @@ def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: i
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes), 1)
     rows = rows.repartitionByRange(n, "key", "text_key").sortWithinPartitions("key", "text_key", "text").select("key", "text")
-    raw = materialize(rows.mapInArrow(_tokenise(shared, end_id, block_tokens, size), _sql("", "ids binary, tally array<struct<id: long, n: long>>")), "tokens", "snappy")
+    # texts go to Python a few at a time: two tasks of an executor hold two batches each
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "500")
+    try:
+        raw = materialize(rows.mapInArrow(_tokenise(shared, end_id, block_tokens, size), _sql("", "ids binary, tally array<struct<id: long, n: long>>")), "tokens", "snappy")
+    finally:
+        spark.conf.set(_BATCH, before)
     counts = raw.select(F.explode("tally").alias("t")).groupBy("t.id").agg(F.sum("t.n").alias("n")).collect()
     total = np.zeros(size, np.int64)
     for r in counts:
