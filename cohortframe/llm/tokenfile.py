@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cohortframe.llm.bpe import byte_letters
 from cohortframe.llm.common import doc_key, drop, materialize, real_id, shared_dir
 from cohortframe.plans.ship import ship
 
@@ -101,7 +102,7 @@ class Pieces:
         suffix = spec["model"].get("end_of_word_suffix")
         if not suffix:
             return None, None
-        spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         return Tokenizer.from_str(json.dumps(spec)), ends
@@ -124,23 +125,22 @@ class Pieces:
         self.end[n + 1 : n + 1 + len(pieces)] = used + np.cumsum(sizes)
         self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
-    def _encode_words(self, words: list[str]) -> bool:
+    def _encode_words(self, words: list[bytes]) -> bool:
         """Encode plain words together; False, and nothing done, if their ends cannot be told."""
-        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        text = b" ".join(words).decode("latin-1")
+        for byte, letter in _LETTER_OF_BYTE:
+            text = text.replace(byte, letter)
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(words):
             return False
-        self._add([w.encode() for w in words], ids, np.diff(np.concatenate(([-1], last))))
+        self._add(words, ids, np.diff(np.concatenate(([-1], last))))
         return True
 
-    def _encode_pieces(self, pieces: list[bytes]) -> None:
-        if self.words is not None:
-            text = [p.decode() for p in pieces]
-            simple = [t for t in text if _SMALL(t)]
-            pieces = [t.encode() for t in text if not _SMALL(t)]
-            for i in range(0, len(simple), 8192):
-                if not self._encode_words(simple[i : i + 8192]):
-                    pieces += [t.encode() for t in simple[i : i + 8192]]
+    def _encode_pieces(self, words: list[bytes], pieces: list[bytes]) -> None:
+        for i in range(0, len(words), 8192):
+            if self.words is None or not self._encode_words(words[i : i + 8192]):
+                pieces = pieces + words[i : i + 8192]
         plain = [p for p in pieces if self.mark is not None and b"\x01" not in p and b"<|" not in p]
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
@@ -152,18 +152,23 @@ class Pieces:
             ids = np.array(self._ids(p.decode()), np.uint32)
             self._add([p], ids, np.array([len(ids)]))
 
-    def _learn(self, new: list[bytes]) -> None:
-        cores, ends, single = [], [], []
-        for p in new:
+    def _learn(self, new: set[bytes]) -> None:
+        words = set(filter(_SMALL, new))
+        single, cores, ends = [], [], []
+        for p in new - words:
             core = p.rstrip(_STOPS)
             if len(core) != len(p) and core and (core[-1] in _LETTERS or (core[-1] >= 128 and core.decode()[-1].isalpha())):
                 cores.append(core)
                 ends.append(p[len(core) :])
             else:
                 single.append(p)
-        self._encode_pieces(list(set(single).union(cores, ends).difference(self.index)))
+        more = set(cores).difference(self.index, words)
+        words.update(filter(_SMALL, more))
+        self._encode_pieces(list(words), list(set(single).union(more, ends).difference(self.index, words)))
         if cores:
-            both = np.fromiter((self.index[x] for pair in zip(cores, ends, strict=True) for x in pair), np.int64, 2 * len(cores))
+            at = self.index.__getitem__
+            both = np.empty(2 * len(cores), np.int64)
+            both[0::2], both[1::2] = np.fromiter(map(at, cores), np.int64, len(cores)), np.fromiter(map(at, ends), np.int64, len(ends))
             ids, size = self._gather(both)
             self._add([c + e for c, e in zip(cores, ends, strict=True)], ids, size.reshape(-1, 2).sum(1))
 
@@ -184,7 +189,7 @@ class Pieces:
         which = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
         unknown = np.flatnonzero(which < 0).tolist()
         if unknown:
-            self._learn(list({every[i] for i in unknown}))
+            self._learn({every[i] for i in unknown})
             which[unknown] = [self.index[every[i]] for i in unknown]
         ids, size = self._gather(which)
         sums = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
@@ -194,8 +199,10 @@ class Pieces:
 #: Stops that follow words, and the ASCII letters in lower case.
 _STOPS = b".,;:!?"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
-#: Small letters of Latin-1, which are their own lower case and composed form.
-_SMALL = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Small letters of Latin-1, in UTF-8, which are their own lower case and composed form.
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Bytes of such letters that stand for other letters in a byte-level vocabulary, and those.
+_LETTER_OF_BYTE = [(chr(b), c) for b, c in enumerate(byte_letters()) if 0x9F <= b <= 0xC3 and chr(b) != c]
 _kept: dict[str, Pieces] = {}
 
 
@@ -235,7 +242,8 @@ def _tokenise(shared, end_id: int, block_tokens: int, size: int):
             yield block()
         seen = np.flatnonzero(total)
         if len(seen):
-            yield pa.RecordBatch.from_pylist([{"part": part, "tally": [{"id": i, "n": n} for i, n in zip(seen.tolist(), total[seen].tolist(), strict=True)]}], schema=_RAW)
+            tally = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.StructArray.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"]))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.nulls(1, f.type) for f in list(_RAW)[1:5]), tally], schema=_RAW)
 
     return run
 
