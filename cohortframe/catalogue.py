@@ -756,6 +756,172 @@ def motif_analysis(spark, sf_dir):
     return X.motif_analysis(spots(spark, sf_dir))
 
 
+# --- what motifs are made of -----------------------------------------------------------------
+
+
+@_query(f"""{_knn_sql(6)}, sh AS (SELECT src, cell_type AS label, sum(weight) AS share FROM w JOIN spots s ON s.obs_id = w.dst GROUP BY ALL), n AS (SELECT motif_id, count(*) AS n FROM spots GROUP BY ALL),
+t AS (SELECT a.motif_id, label, round(sum(share) / any_value(n.n), 12) AS s FROM sh JOIN spots a ON a.obs_id = sh.src JOIN n USING (motif_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY motif_id ORDER BY s DESC, label) AS r FROM t),
+en AS (SELECT src, (-sum(greatest(1e-8, least(1.0::DOUBLE, share)) * ln(greatest(1e-8, least(1.0::DOUBLE, share)))) + (4 - count(*)) * 1e-8 * ln(1e8)) / ln(4) AS e FROM sh GROUP BY ALL), de AS (SELECT src, CASE WHEN max(dist) > 0 THEN count(*) / greatest(pi() * max(dist) * max(dist), 1e-6::DOUBLE) ELSE 0 END AS d FROM knn GROUP BY ALL),
+m AS (SELECT motif_id, avg(e) AS e, avg(d) AS d FROM spots JOIN en ON en.src = obs_id JOIN de ON de.src = obs_id GROUP BY ALL), q AS (SELECT quantile_cont(e, 0.33) AS e1, quantile_cont(e, 0.66) AS e2, quantile_cont(d, 0.33) AS d1, quantile_cont(d, 0.66) AS d2 FROM m)
+SELECT m.motif_id, max(label) FILTER (r = 1) || ' + ' || coalesce(max(label) FILTER (r = 2), max(label) FILTER (r = 1)) || ' | ' || any_value(CASE WHEN d <= d1 THEN 'sparse' WHEN d <= d2 THEN 'mixed' ELSE 'dense' END) || ' ' || any_value(CASE WHEN e <= e1 THEN 'lowE' WHEN e <= e2 THEN 'midE' ELSE 'highE' END) AS motif_label
+FROM m, q, r WHERE r.motif_id = m.motif_id GROUP BY m.motif_id""")
+def motif_labels(spark, sf_dir):
+    from cohortframe.operators import programs as G
+
+    s, e = _edges(spark, sf_dir)
+    shares = N.composition(e, s, "cell_type")
+    return G.motif_labels(s, shares, N.normalized_entropy(shares, 4), N.density(e.select("sample_id", "src", "dst", "dist"), s))
+
+
+@_query(f"""WITH {_COUNTS}, n AS (SELECT count(DISTINCT obs) AS n FROM counts), v AS (SELECT gene, greatest(sum(value * value) / any_value(n) - (sum(value) / any_value(n)) ** 2, 0) AS v FROM counts, n GROUP BY gene) SELECT gene, round(v, 6) AS variance FROM v ORDER BY v DESC, gene LIMIT 40""")
+def variable_genes(spark, sf_dir):
+    """The 40 most variable genes: a top-k report."""
+    from cohortframe.operators import programs as G
+
+    c = _counts(spark, sf_dir)
+    return G.variable_genes(c, c.select("obs").distinct().count(), 40).withColumn("variance", F.round("variance", 6))
+
+
+@_query()
+def expression_programs(spark, sf_dir):
+    from cohortframe.operators import programs as G
+
+    x = V.log_cp10k(_counts(spark, sf_dir)).select("obs", "gene", F.col("expression").alias("value"))
+    return G.expression_programs(x, x.select("obs").distinct().count(), top=64)[1]
+
+
+_MARKED = f"""WITH {_COUNTS}, gr AS (SELECT DISTINCT obs, CASE WHEN obs % 3 = 0 THEN 'a' ELSE 'b' END AS grp FROM counts), z AS (SELECT count(*) FILTER (grp = 'a') AS ni, count(*) FILTER (grp <> 'a') AS no FROM gr),
+sm AS (SELECT gene, coalesce(sum(value) FILTER (grp = 'a'), 0) AS si, coalesce(sum(value) FILTER (grp <> 'a'), 0) AS so, count(*) FILTER (grp = 'a' AND value > 0) AS ki, count(*) FILTER (grp <> 'a' AND value > 0) AS ko FROM counts JOIN gr USING (obs) GROUP BY ALL),
+mk AS (SELECT gene, si / ni AS mi, ki / ni::DOUBLE AS di, ki / ni::DOUBLE - ko / no::DOUBLE AS dd, log2((si / ni + 1e-4) / (so / no + 1e-4)) AS lf FROM sm, z), ok AS (SELECT *, lf + 0.6 * dd + 0.15 * ln(1 + mi) AS sc FROM mk WHERE mi >= 0.05 AND di >= 0.1 AND dd >= 0.02),
+top AS (SELECT *, row_number() OVER (ORDER BY sc DESC, gene::VARCHAR) AS r FROM ok), best AS (SELECT *, row_number() OVER (ORDER BY sc DESC, gene::VARCHAR) AS position FROM top WHERE r <= 64 AND lf > 0)"""
+
+
+def _markers(spark, sf_dir):
+    from cohortframe.operators import programs as G
+
+    c = _counts(spark, sf_dir)
+    return G.top_markers(c, c.select("obs").distinct().withColumn("group", F.when(F.col("obs") % 3 == 0, "a").otherwise("b")), "a")
+
+
+@_query(f"{_MARKED} SELECT gene, round(lf, 6) AS log2_fold_change, round(dd, 6) AS delta_detected_fraction, CAST(position AS INTEGER) AS position FROM best WHERE position <= 8")
+def top_markers(spark, sf_dir):
+    """The eight leading markers of a third of the observations: a top-k report."""
+    m = _markers(spark, sf_dir)
+    return m.select("gene", *[F.round(c, 6).alias(c) for c in ("log2_fold_change", "delta_detected_fraction")], "position")
+
+
+_SETS = "st AS (SELECT DISTINCT 'set' || (l_partkey % 7) AS pathway, l_partkey % 200 AS gene FROM lineitem WHERE l_partkey % 200 % 5 < 3)"
+
+
+@_query(f"""{_MARKED}, {_SETS}, u AS (SELECT count(DISTINCT gene) AS u FROM counts), q AS (SELECT count(*) AS q FROM best WHERE position <= 8), t AS (SELECT pathway, count(*) AS k, count(*) FILTER (gene IN (SELECT gene FROM best WHERE position <= 8)) AS a, string_agg(CASE WHEN gene IN (SELECT gene FROM best WHERE position <= 8) THEN gene::VARCHAR END, ',' ORDER BY gene::VARCHAR) AS names FROM st WHERE gene IN (SELECT gene FROM counts) GROUP BY ALL),
+p AS (SELECT pathway, sum(exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(u - k + 1) - lgamma(q - x + 1) - lgamma(u - k - q + x + 1) - lgamma(u + 1) + lgamma(q + 1) + lgamma(u - q + 1))) AS p FROM t, u, q, range(0, 9) g(x) WHERE x >= a AND x <= least(k, q) GROUP BY ALL)
+SELECT pathway, names AS overlap_genes, a AS n_overlap, round(a * (u - k - q + a) / nullif(((q - a) * (k - a))::DOUBLE, 0), 6) AS odds_ratio, round(p, 6) AS pvalue FROM t JOIN p USING (pathway), u, q WHERE a > 0""")
+def enrichment(spark, sf_dir):
+    """The leading markers against seven made-up gene sets."""
+    from cohortframe.operators import programs as G
+
+    t = _table(spark, sf_dir, "lineitem")
+    sets = t.where(F.col("l_partkey") % 200 % 5 < 3).select(F.concat(F.lit("set"), (F.col("l_partkey") % 7).cast("string")).alias("pathway"), (F.col("l_partkey") % 200).cast("string").alias("gene")).distinct()
+    out = G.enrichment(_markers(spark, sf_dir), _counts(spark, sf_dir).select("gene").distinct(), sets)
+    return out.withColumn("odds_ratio", F.round("odds_ratio", 6)).withColumn("pvalue", F.round("pvalue", 6))
+
+
+# --- reports on methods and runs -----------------------------------------------------------------
+
+_GLOBAL = f"{_SCORED}, gl AS (SELECT method, avg(overall_score) AS overall_score, avg(runtime) AS runtime FROM scored GROUP BY ALL)"
+
+
+@_query(f"""{_GLOBAL} SELECT method, round(overall_score, 8) AS overall_score, round(runtime, 8) AS runtime, round((SELECT max(overall_score) FROM gl) - overall_score, 8) AS score_gap_to_best, round(runtime / (SELECT min(runtime) FROM gl), 8) AS runtime_ratio_to_fastest, round(overall_score / runtime, 8) AS score_per_second,
+NOT EXISTS (SELECT 1 FROM gl o WHERE o.method <> g.method AND o.overall_score >= g.overall_score - 1e-4 AND o.runtime <= g.runtime + 1e-4 AND (o.overall_score > g.overall_score + 1e-4 OR o.runtime < g.runtime - 1e-4)) AS pareto_optimal FROM gl g""")
+def runtime_tradeoff(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    return _r(Q.runtime_tradeoff(_runs(spark, sf_dir).groupBy("method").agg(F.avg("overall_score").alias("overall_score"), F.avg("runtime").alias("runtime"))))
+
+
+_WTL = f"""{_SCORED}, wtl AS (SELECT a.method AS a, b.method AS b, count(*) FILTER (a.overall_score - b.overall_score > 1e-12) AS wins, count(*) FILTER (abs(a.overall_score - b.overall_score) <= 1e-12) AS ties, count(*) FILTER (a.overall_score - b.overall_score < -1e-12) AS losses, avg(a.overall_score - b.overall_score) AS d
+FROM scored a JOIN scored b ON a.dataset = b.dataset AND a.seed = b.seed AND a.method <> b.method GROUP BY ALL)"""
+
+
+@_query(f"{_WTL} SELECT b AS method, wins, ties, losses, round(d, 8) AS mean_difference FROM wtl WHERE a = 'm2'")
+def pairwise_row(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    return _r(Q.pairwise_row(P.win_tie_loss(_runs(spark, sf_dir), ["dataset", "seed"]).drop("wilcoxon_p"), "m2"))
+
+
+@_query(f"""{_WTL}, g AS (SELECT method, row_number() OVER (ORDER BY avg(overall_rank), avg(is_winner::INT) DESC, avg(overall_score) DESC, avg(runtime), method) AS r FROM scored GROUP BY method)
+SELECT method AS best_method, 3 AS dataset_count, NOT EXISTS (SELECT 1 FROM wtl WHERE a = method AND wins <= losses) AS is_supported, false AS data_gap FROM g WHERE r = 1""")
+def method_lead(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    runs = _runs(spark, sf_dir)
+    return Q.lead(P.method_ranking(P.run_summary(runs, ["method"], ["overall_score", "overall_rank", "runtime"])), P.win_tie_loss(runs, ["dataset", "seed"]), 3)
+
+
+@_query(f"""WITH {_RUNS}, m AS (SELECT dataset, method, avg(ari) AS ari, avg(nmi) AS nmi, avg(runtime) / 50 AS leak FROM runs GROUP BY ALL), j AS (SELECT m.*, m.ari - b.ari AS d1, m.nmi - b.nmi AS d2, m.leak - b.leak AS d3 FROM m JOIN m b ON m.dataset = b.dataset AND b.method = 'm0')
+SELECT dataset, method, round(ari, 8) AS ari, round(nmi, 8) AS nmi, round(leak, 8) AS leak, round(d1, 8) AS delta_ari_vs_baseline, round(d2, 8) AS delta_nmi_vs_baseline, round(d3, 8) AS delta_leak_vs_baseline, method <> 'm0' AND d1 > 0.01 AND d3 <= 0.05 AND d2 >= -0.02 AS success_candidate FROM j""")
+def baseline_deltas(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    m = _runs(spark, sf_dir).groupBy("dataset", "method").agg(F.avg("ari").alias("ari"), F.avg("nmi").alias("nmi"), (F.avg("runtime") / 50).alias("leak"))
+    return _r(Q.baseline_deltas(m, ["ari"], "leak", "nmi", "m0", "dataset"))
+
+
+@_query(f"""{_GENES}, r AS (SELECT *, row_number() OVER (ORDER BY total DESC, gene) AS o FROM g), c AS (SELECT *, row_number() OVER (ORDER BY seen DESC, gene) AS n FROM r WHERE o > 25) SELECT gene FROM r WHERE o <= 25 UNION ALL SELECT gene FROM c WHERE n <= 5""")
+def replaced_selection(spark, sf_dir):
+    """30 genes by total, of which five give way to the best others by another score."""
+    from cohortframe.operators import reports as Q
+
+    return Q.replaced_selection(_genes(spark, sf_dir), "total", "seen", 30, 5)
+
+
+@_query(f"""{_GENES} SELECT gene, round((row_number() OVER (ORDER BY total, gene) - 1) / (count(*) OVER () - 1)::DOUBLE, 8) AS spaced FROM g""")
+def spaced_ranks(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    return _r(_genes(spark, sf_dir).select("gene", Q.spaced_rank("total", "gene").alias("spaced")))
+
+
+@_query(f"WITH {_SPOTS} SELECT sample_id, " + ", ".join(f"count(*) FILTER (motif_id = '{m}') AS {m}" for m in ("click", "view", "none")) + " FROM spots GROUP BY ALL")
+def label_counts(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    return Q.label_counts(spots(spark, sf_dir), "sample_id", "motif_id", ["click", "view", "none"])
+
+
+@_query("""SELECT o_orderstatus AS status, round(sum(o_totalprice::DOUBLE * (o_custkey % 7)) FILTER (o_custkey % 7 > 0) / sum(o_custkey % 7) FILTER (o_custkey % 7 > 0), 4) AS price, min_by(o_orderpriority, o_orderkey) AS first_priority FROM orders GROUP BY ALL""")
+def weighted_means(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    t = _table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_totalprice").cast("double").alias("x"), (F.col("o_custkey") % 7).cast("double").alias("w"), "o_orderpriority", "o_orderkey")
+    return t.groupBy(F.col("o_orderstatus").alias("status")).agg(F.round(Q.weighted_mean("x", "w"), 4).alias("price"), Q.first_filled("o_orderpriority", "o_orderkey").alias("first_priority"))
+
+
+@_query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def last_rows(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    return Q.keep_last(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@_query()
+def method_evaluation(spark, sf_dir):
+    from cohortframe.operators import reports as Q
+
+    return Q.evaluate_methods(A.sample_motif_abundance(spots(spark, sf_dir)))
+
+
+@_query(f"""{_PERM}, p AS (SELECT dataset_id, motif_id, obs, count(*) FILTER (abs(eff) >= abs(obs) - 1e-12) / count(*)::DOUBLE AS sample_permutation, (count(*) FILTER (abs(eff) > abs(obs) + 1e-12) + 0.5::DOUBLE * count(*) FILTER (abs(abs(eff) - abs(obs)) <= 1e-12)) / count(*) AS sample_permutation_midp FROM j GROUP BY dataset_id, motif_id, obs),
+lg AS (SELECT dataset_id, motif_id, obs, method, p FROM p UNPIVOT (p FOR method IN (sample_permutation, sample_permutation_midp))), r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY p, motif_id) AS k, count(*) OVER (PARTITION BY method) AS n FROM lg),
+q AS (SELECT *, greatest(0.0, least(1.0, min(p * n / k) OVER (PARTITION BY method ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS q FROM r) SELECT dataset_id, motif_id, method, round(obs, 8) AS effect_estimate, round(p, 8) AS pvalue, round(q, 8) AS qvalue, q <= 0.1 AS discovery, p <= 0.1 AS raw_call FROM q""")
+def permutation_methods(spark, sf_dir):
+    """The permutation methods of :func:`method_evaluation`, which SQL can follow."""
+    from cohortframe.operators import reports as Q
+
+    return _r(Q.evaluate_methods(A.sample_motif_abundance(spots(spark, sf_dir))).where(F.col("method").startswith("sample_permutation")))
+
+
 # --- models and simulation (no SQL: tail probabilities, resampling) -----------------------------
 
 
