@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortframe.plans.ship import ship
 
-#: While this is on, Spark deletes a query's shuffle files as soon as the query ends.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files are deleted as soon as the query ends, and rows, which may hold whole texts, go to
+#: Python a few at a time, for every task of an executor holds a batch on either side.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +41,14 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     schema = df.schema
     for f in schema.fields:
         f.nullable = True
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.read.schema(schema).parquet(path)
     out._cohortframe_path = path
     return out
