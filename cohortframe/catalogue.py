@@ -962,6 +962,15 @@ def motif_assignments(spark, sf_dir):
     return M.assign(rows, M.fit(rows, 4, 8)).select("obs_id", "sample_id", "motif_id", F.round("distance2", 6).alias("distance2"))
 
 
+@_query()
+def held_out_folds(spark, sf_dir):
+    """Each of four samples assigned by a model of the others."""
+    from cohortframe.operators import motif as M
+
+    rows = M.normalize_by_sample(_vectors(spark, sf_dir).where("vector is not null").select("obs_id", (F.col("sample_id") % 4).alias("sample_id"), "vector"))
+    return M.held_out_motifs(rows, M.fit(rows, 4, 8), 8)[1]
+
+
 @_query()
 def simulation_summary(spark, sf_dir):
     """Two small scenarios, judged by the permutation test of each replicate as a dataset of its own."""

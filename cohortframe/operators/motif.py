@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortframe.operators.vectors import nearest_centroid
+from cohortframe.plans.tables import drop, materialize
 
 
 @dataclass
 class MotifModel:
-    """Centre and scale of the features, projection rows and centroids in the projected space."""
+    """Centre and scale of the features, projection rows, centroids in the projected space, and the clusters' mean feature vectors."""
 
     mean: np.ndarray
     scale: np.ndarray
     components: np.ndarray
     centroids: np.ndarray
+    feature_centroids: np.ndarray
 
 
 def normalize_by_sample(rows: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -40,10 +42,17 @@ def normalize_by_sample(rows: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 
 def balanced_training(rows: DataFrame, most: int = 2048, seed: int = 7) -> DataFrame:
-    """As many rows of each sample as the smallest one has, ``most`` at the most, in order of a hash of obs_id."""
-    least = rows.groupBy("sample_id").count().agg(F.min("count")).first()[0] or 0
-    r = F.row_number().over(W.partitionBy("sample_id").orderBy(F.xxhash64("obs_id", F.lit(seed)), "obs_id"))
-    return rows.withColumn("_r", r).where(F.col("_r") <= min(least, most)).drop("_r")
+    """As many rows of each sample as the smallest one has, ``most`` at the most, in order of a hash of obs_id.
+
+    A threshold on the hash, six deviations above what is needed, lets few more rows than those into the window.
+    """
+    sizes = rows.groupBy("sample_id").agg(F.count("*").alias("_n"))
+    take = min(sizes.agg(F.min("_n")).first()[0] or 0, most)
+    share = (take + 6 * take**0.5 + 20) / F.col("_n")
+    hashed = rows.join(F.broadcast(sizes), "sample_id").withColumn("_h", F.xxhash64("obs_id", F.lit(seed)))
+    few = hashed.where(F.pmod("_h", F.lit(1 << 40)) < share * float(1 << 40))
+    r = F.row_number().over(W.partitionBy("sample_id").orderBy(F.pmod("_h", F.lit(1 << 40)), "obs_id"))
+    return few.withColumn("_r", r).where(F.col("_r") <= take).drop("_r", "_n", "_h")
 
 
 def fit(rows: DataFrame, clusters: int, dimensions: int = 12, most: int = 2048, seed: int = 7) -> MotifModel:
@@ -52,7 +61,7 @@ def fit(rows: DataFrame, clusters: int, dimensions: int = 12, most: int = 2048,
     The covariance is summed on the executors, as many numbers as features squared; its eigenvectors have their largest
     element positive, so that a run repeats.
     """
-    train = balanced_training(rows, most, seed).select("vector").cache()
+    train = materialize(balanced_training(rows, most, seed).select("vector"), "training")
     try:
         each = train.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
         mean, scale = np.array([r.m for r in each]), np.array([1.0 if r.s <= 1e-6 else r.s for r in each])
@@ -67,9 +76,13 @@ def fit(rows: DataFrame, clusters: int, dimensions: int = 12, most: int = 2048,
         comp = comp * np.sign(comp[np.arange(len(comp)), np.abs(comp).argmax(1)])[:, None]
         low = z.select(array_to_vector(_project("z", comp)).alias("features"))
         centers = KMeans(k=clusters, seed=seed, initMode="k-means||", maxIter=50).fit(low).clusterCenters()
+        model = MotifModel(mean, scale, comp, np.array(sorted(map(tuple, centers))), np.zeros((clusters, len(mean))))
+        means = assign(train, model).select("motif_id", F.posexplode("vector").alias("i", "v")).groupBy("motif_id", "i").agg(F.avg("v").alias("m"))
+        for r in means.collect():
+            model.feature_centroids[int(r["motif_id"][6:]), r["i"]] = r["m"]
     finally:
-        train.unpersist()
-    return MotifModel(mean, scale, comp, np.array(sorted(map(tuple, centers))))
+        drop(train)
+    return model
 
 
 def _project(column: str, components: np.ndarray):
@@ -115,10 +128,30 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 
 
 def align(model: MotifModel, reference: MotifModel) -> tuple[dict[str, str], float]:
-    """The reference motif of each motif, one to one, by centroids in normalised feature space, and the mean cost."""
-    a, b = (m.centroids @ m.components * m.scale + m.mean for m in (model, reference))
+    """The reference motif of each motif, one to one, by the clusters' mean feature vectors, and the mean cost."""
+    a, b = model.feature_centroids, reference.feature_centroids
     if len(a) != len(b):
         raise ValueError("models have different numbers of motifs")
     cost = ((a[:, None] - b[None]) ** 2).sum(2)
     to = assignment(cost)
     return {f"motif_{i:02d}": f"motif_{j:02d}" for i, j in enumerate(to)}, float(cost[np.arange(len(a)), to].mean())
+
+
+def held_out_motifs(rows: DataFrame, reference: MotifModel, dimensions: int = 12, most: int = 2048, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Every row's motif by a model that has not seen its sample, in the names of ``reference``, and one row per fold.
+
+    Folds are samples, of which there are few; each is fitted on the others, aligned, and assigned.  A fold tells the agreement with the
+    reference's own assignment, the mean cost of the alignment and the mean squared distance.
+    """
+    samples = [r["sample_id"] for r in rows.select("sample_id").distinct().orderBy("sample_id").collect()]
+    whole = assign(rows, reference).select("obs_id", F.col("motif_id").alias("_full"))
+    out = folds = None
+    for i, held in enumerate(samples):
+        model = fit(rows.where(F.col("sample_id") != held), len(reference.centroids), dimensions, most, seed + i + 1)
+        names, cost = align(model, reference)
+        renamed = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("motif_id"))
+        own = materialize(assign(rows.where(F.col("sample_id") == held), model).withColumn("motif_id", renamed), "fold")
+        agree = own.join(whole, "obs_id").agg(F.count("*").alias("n_test"), F.avg((F.col("motif_id") == F.col("_full")).cast("double")).alias("agreement"), F.avg("distance2").alias("distance_mean"))
+        one = agree.select(F.lit(held).alias("held_out_sample"), F.lit(len(samples) - 1).alias("n_train_samples"), "n_test", "agreement", F.lit(cost).alias("alignment_cost_mean"), "distance_mean")
+        out, folds = (own, one) if out is None else (out.unionByName(own), folds.unionByName(one))
+    return out, folds

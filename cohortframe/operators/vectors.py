@@ -8,10 +8,17 @@ from pyspark.sql.window import Window as W
 
 
 def zscore(df: DataFrame, value: str, *by: str, eps: float = 1e-6, out: str = "z") -> DataFrame:
-    """``value`` centred and scaled within the groups ``by``; a deviation (of the population) up to ``eps`` counts as one."""
-    w = W.partitionBy(*by)
-    sd = F.stddev_pop(value).over(w)
-    return df.withColumn(out, (F.col(value) - F.avg(value).over(w)) / F.when(sd <= eps, 1.0).otherwise(sd))
+    """``value`` centred and scaled within the groups ``by``; a deviation (of the population) up to ``eps`` counts as one.
+
+    Groups are summed up first and joined, so no group is held in one task.
+    """
+    names = [f"_by{i}" for i in range(len(by))]
+    stat = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    same = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    z = (F.col(value) - F.col("_m")) / F.when(F.col("_s") <= eps, 1.0).otherwise(F.col("_s"))
+    return df.join(stat, same).withColumn(out, z).drop(*names, "_m", "_s")
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -21,7 +28,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, vector: str = "vector") -> DataFrame:
     """Each row's nearest centroid (ties: the smallest id) and the squared distance.
 
-    Centroids are few: they travel as one array, so rows are read once and nothing is shuffled.
+    Centroids are a model's, tens or hundreds: they travel as one array, so rows are read once and nothing is shuffled.
     """
     table = centroids.agg(F.array_sort(F.collect_list(F.struct("centroid_id", F.col("centroid")))).alias("_c"))
     best = F.array_min(F.transform("_c", lambda c: F.struct(squared_distance(F.col(vector), c["centroid"]).alias("d"), c["centroid_id"].alias("i"))))

@@ -25,3 +25,19 @@ def test_fit_and_assign(spark):
     assert len(got) == 300 and len({(i % 3, m) for i, m in got.items()}) == 3
     same, cost = motif.align(model, model)
     assert all(a == b for a, b in same.items()) and cost < 1e-9
+    vectors = {x.obs_id: x.vector for x in df.collect()}
+    for m in set(got.values()):
+        own = np.mean([v for i, v in vectors.items() if got[i] == m], axis=0)
+        assert np.allclose(model.feature_centroids[int(m[6:])], own)  # every row is a training row here
+    table, folds = motif.held_out_motifs(df, model, 3)
+    assert table.count() == 300 and {x.obs_id: x.motif_id for x in table.collect()} == got
+    assert all(f.agreement == 1.0 and f.n_test == 75 and f.n_train_samples == 3 for f in folds.collect()) and folds.count() == 4
+
+
+def test_balanced_training(spark):
+    rows = [(i, "a" if i < 40 else "b" if i < 1000 else "c", [1.0]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "obs_id int, sample_id string, vector array<double>")
+    for most, want in ((2048, 40), (25, 25)):
+        got = motif.balanced_training(df, most)
+        assert got.columns == df.columns or set(got.columns) == set(df.columns)
+        assert {r["sample_id"]: r["count"] for r in got.groupBy("sample_id").count().collect()} == {"a": want, "b": want, "c": want}
