@@ -106,8 +106,8 @@ def drawn_counts(plan: DataFrame, shard_slots: int = 1024, seed: int = 0, broadc
     return rows.groupBy("shard", "rank").agg(F.count("*").alias("n"))
 
 
-def slots(plan: DataFrame, shard_slots: int = 1024, seed: int = 0) -> DataFrame:
-    """(rank, block, epoch, shard, slot): the blocks of the mix in output order.
+def slots(plan: DataFrame, shard_slots: int = 1024, seed: int = 0, ordered: bool = True) -> DataFrame:
+    """(rank, block, epoch, shard, slot): the blocks of the mix in output order; ``slot`` is null unless ``ordered``.
 
     Shards draw their sources' counts (:func:`drawn_counts`), so a source's slots over all shards come near its quota.  To
     meet it exactly, what a source drew beyond its quota, chosen by a permutation, goes to the sources that fell short.  The
@@ -125,9 +125,12 @@ def slots(plan: DataFrame, shard_slots: int = 1024, seed: int = 0) -> DataFrame:
     w = W.partitionBy("shard").orderBy("rank")
     rows = rows.withColumn("at", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("width", F.sum("n").over(W.partitionBy("shard")))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    place = permuted(F.col("at") + F.col("i"), F.col("width"), F.lit(seed), F.lit(-1), F.col("shard"))
-    rows = rows.select("rank", "shard", (F.col("shard") * shard_slots + place).alias("slot"), (F.col("k0") + F.col("i")).alias("k"))
-    rows = rows.join(quota.select("rank", "got", F.col("slots").alias("own"), "over_at", "moved"), "rank").withColumn("k", permuted(F.col("k"), F.col("got"), F.lit(seed), F.lit(-3), F.col("rank")))
+    place = F.col("shard") * shard_slots + permuted(F.col("at") + F.col("i"), F.col("width"), F.lit(seed), F.lit(-1), F.col("shard"))
+    rows = rows.select("rank", "shard", (place if ordered else F.lit(None).cast("long")).alias("slot"), (F.col("k0") + F.col("i")).alias("k"))
+    rows = rows.join(quota.select("rank", "got", F.col("slots").alias("own"), "over_at", "moved"), "rank")
+    # where nothing is to move, the order of a source's slots may stay
+    moved = permuted(F.col("k"), F.col("got"), F.lit(seed), F.lit(-3), F.col("rank"))
+    rows = rows.withColumn("k", F.when(F.col("got") > F.col("own"), moved).otherwise(F.col("k")))
     # written once: below the joins that follow, the permutations would be reckoned again and again
     rows = materialize(rows, "placed")
     stay = rows.where("k < own").select("rank", "shard", "slot", "k")
@@ -162,7 +165,7 @@ def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: fl
     base = materialize(measured(docs), "measured")
     rows = placed(base, base, base.count())
     plan = materialize(targets(base, weights, most, block), "targets")
-    times = slots(plan, shard_slots, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    times = slots(plan, shard_slots, seed, ordered=False).groupBy("rank", "block").agg(F.count("*").alias("times"))
     ranks = plan.select(F.col("source").alias("_source"), "rank", "source_size", "target")
     pieces = _pieces(rows.join(ranks, F.col("source").eqNullSafe(F.col("_source"))), block)
     got = pieces.hint("merge").join(times, ["rank", "block"], "left")
@@ -183,7 +186,7 @@ def mix_texts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: flo
     plan = materialize(targets(base, weights, most, block), "targets")
     ranks = plan.select(F.col("source").alias("_source"), "rank")
     pieces = _pieces(rows.join(ranks, F.col("source").eqNullSafe(F.col("_source"))), block).where("block is not null")
-    got = pieces.hint("merge").join(slots(plan, shard_slots, seed), ["rank", "block"]).groupBy("source", "salt", "rn", "epoch")
+    got = pieces.hint("merge").join(slots(plan, shard_slots, seed, ordered=False), ["rank", "block"]).groupBy("source", "salt", "rn", "epoch")
     got = got.agg(F.sum(F.col("to") - F.col("from")).alias("n"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("taken"))
     got = got.select(F.col("source").alias("_source"), F.col("salt").alias("_salt"), F.col("rn").alias("_rn"), "n", "taken")
     whole = placed(measured(docs, "text", "lang"), base, n).join(got.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("salt") == F.col("_salt")) & (F.col("rn") == F.col("_rn")))
