@@ -45,7 +45,7 @@ def _sum_before(rows: DataFrame, value: str, key: str, place: str, out: str, ste
     return rows.withColumn(out, F.col("_own") + F.col("_base")).drop("_run", "_own", "_key", "_at", "_base")
 
 
-def placed(rows: DataFrame, base: DataFrame, n_rows: int, group_rows: int = 256) -> DataFrame:
+def placed(rows: DataFrame, base: DataFrame, n_rows: int, group_rows: int = 256, broadcast_rows: int = 500_000) -> DataFrame:
     """``rows`` of :func:`measured` with each row's place in the sequence of its source's words.
 
     Adds salt and rn, which with source name a row, and start.  ``base`` is the measured table without
@@ -56,7 +56,9 @@ def placed(rows: DataFrame, base: DataFrame, n_rows: int, group_rows: int = 256)
     w = W.partitionBy("source", "salt").orderBy("doc_id", "key")
     rows = rows.withColumn("salt", salt).withColumn("rn", F.row_number().over(w)).withColumn("before", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)))
     groups = _sum_before(base.withColumn("salt", salt).groupBy("source", "salt").agg(F.sum("size").alias("n")), "n", "source", "salt", "base")
-    groups = groups.select(F.col("source").alias("_source"), F.col("salt").alias("_salt"), "base")
+    groups = materialize(groups.select(F.col("source").alias("_source"), F.col("salt").alias("_salt"), "base"), "groups")
+    # a list of this many groups fits any executor; beyond it rows are shuffled once more
+    groups = F.broadcast(groups) if groups.count() <= broadcast_rows else groups
     rows = rows.join(groups, F.col("source").eqNullSafe(F.col("_source")) & (F.col("salt") == F.col("_salt")))
     return rows.withColumn("start", F.coalesce("before", F.lit(0)) + F.col("base")).drop("before", "base", "_source", "_salt", "key")
 
