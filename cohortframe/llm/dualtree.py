@@ -15,6 +15,8 @@ from cohortframe.llm.common import NULL_ID, drop, materialize, real_id, ship
 #: Coordinates beyond this are set to it: squared distances then fit 64 bits.
 LARGEST = 1 << 26
 _EXACT = 1 << 22
+#: Centres in turn with few vectors, after which the rest of a node counts as scattered.
+MISSES = 32
 _BLOCK = pa.schema([("ids", pa.binary()), ("points", pa.binary()), ("nodes", pa.binary()), ("radii", pa.binary())])
 _BLOCK_SQL = "ids binary, points binary, nodes binary, radii binary"
 
@@ -34,7 +36,7 @@ class CoverTree:
 
     ``nodes`` has a row (first vector, end, first child, end of children) per node and ``radii`` how far its vectors lie from its centre,
     the first of its range.  The centres below a node stand further apart than the level's radius, a power of two, and every vector lies within that of
-    its centre; centres with few vectors share one leaf.
+    its centre; centres with few vectors share one leaf, and so do vectors left when :data:`MISSES` centres in turn had few.
     """
 
     def __init__(self, points: np.ndarray, order: np.ndarray, nodes: np.ndarray, radii: np.ndarray) -> None:
@@ -43,7 +45,8 @@ class CoverTree:
 
     @classmethod
     def build(cls, points: np.ndarray, leaf: int) -> CoverTree:
-        order, nodes, radii = np.arange(len(points)), [[0, len(points), 0, 0]], [0.0]
+        # centres are drawn in an order that does not depend on how rows are sorted
+        order, nodes, radii = np.random.default_rng(0).permutation(len(points)), [[0, len(points), 0, 0]], [0.0]
         todo = [0] if len(points) else []
         while todo:
             k = todo.pop()
@@ -54,13 +57,17 @@ class CoverTree:
             if z - a <= leaf or radii[k] == 0:
                 continue
             level = 2.0 ** (np.ceil(np.log2(radii[k])) - 1)
-            groups, few, left = [], [], np.arange(len(own))
-            while len(left):
+            groups, few, left, missed = [], [], np.arange(len(own)), 0
+            while len(left) and missed < MISSES:
                 # the node's centre is the first centre below it, then the first vector no centre covers
                 near = far[left] if not groups and not few else np.sqrt(squared(points[own[left]], points[own[left[:1]]])[:, 0].astype(np.float64))
                 inside = near <= level
-                (groups if inside.sum() * 2 > leaf else few).append(left[inside])
+                many = inside.sum() * 2 > leaf
+                missed = 0 if many else missed + 1
+                (groups if many else few).append(left[inside])
                 left = left[~inside]
+            if len(left):
+                few.append(left)
             if len(groups) + bool(few) < 2:
                 continue
             at, child = a, len(nodes)
