@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.tokenfile import Pieces, _kept
+from cohortframe.llm.tokenfile import CHUNK, Pieces, _kept
 from cohortframe.plans.ship import ship
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -155,9 +155,9 @@ def pack_documents(docs: DataFrame, vocabulary_file: str, window: int = 4096, en
         for b in batches:
             keys, sums, at = b.column(0).to_pylist(), np.cumsum(pc.binary_length(b.column(1)).to_numpy()), 0
             while at < len(sums):
-                # texts become Python objects a megabyte at a time
-                n = max(1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + (1 << 20), "right")) - at)
-                got, lengths = pieces.encode(b.column(1).slice(at, n).to_pylist())
+                # a few megabytes of text at a time
+                n = max(1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + CHUNK, "right")) - at)
+                got, lengths = pieces.encode(b.column(1).slice(at, n))
                 cut = np.cumsum(lengths)
                 ids = np.insert(got, cut, end_id).astype("<u4")
                 ends = cut + np.arange(1, n + 1)

@@ -14,7 +14,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,13 +76,13 @@ class Pieces:
     The normaliser and the pre-tokeniser of the vocabulary never look across ASCII white space and put all in
     lower case, so the ids of a text are those of its pieces in turn, and ASCII capitals may go first.  Stops after
     a letter are pre-tokens of their own, so they are encoded apart.  A piece is encoded by the
-    library once and remembered, up to ``keep`` pieces.
+    library once and remembered; beyond ``keep`` pieces those are forgotten that were not met again.
 
     A piece of small Latin letters only is one pre-token that the normaliser leaves as it is, so such pieces go to a second
     encoder without those steps; the token that ends a word tells them apart.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 200_000) -> None:
+    def __init__(self, vocabulary: str, keep: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -113,6 +113,15 @@ class Pieces:
         self.index: dict[bytes, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.end = np.zeros(1 << 18, np.int64)
+        self.again = np.zeros(1 << 18, bool)
+
+    def _forget(self) -> None:
+        met = np.flatnonzero(self.again[: len(self.index)])
+        names = list(self.index)
+        ids, size = self._gather(met)
+        self.clear()
+        if len(met) <= self.keep // 2:
+            self._add([names[i] for i in met.tolist()], ids, size)
 
     def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, used = len(self.index), int(self.end[len(self.index)])
@@ -120,6 +129,7 @@ class Pieces:
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while n + len(pieces) >= len(self.end):
             self.end = np.concatenate((self.end, np.zeros_like(self.end)))
+            self.again = np.concatenate((self.again, np.zeros_like(self.again)))
         self.flat[used : used + len(ids)] = ids
         self.end[n + 1 : n + 1 + len(pieces)] = used + np.cumsum(sizes)
         self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
@@ -177,24 +187,42 @@ class Pieces:
         at = np.repeat(start - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
         return self.flat[at], size
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _split(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different pieces of the texts, which of them stand where, and how many each text has."""
+        letters = texts.view(pa.string())
+        # capitals of what might be a special token stay as they are
+        if not pc.any(pc.match_substring(letters, "<|")).as_py():
+            letters = pc.ascii_lower(letters)
+        else:
+            letters = pa.array([t if b"<|" in t else t.lower() for t in texts.to_pylist()], pa.binary()).view(pa.string())
+        parts = pc.ascii_split_whitespace(letters)
+        coded, count = parts.flatten().dictionary_encode(), parts.value_lengths().to_numpy()
+        pieces, which = coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        if b"" in pieces:  # before the first piece of a text or after its last
+            blank = which == pieces.index(b"")
+            sums = np.concatenate(([0], np.cumsum(blank)))[np.concatenate(([0], np.cumsum(count)))]
+            which, count = which[~blank], count - np.diff(sums)
+        return pieces, which, count
+
+    def encode(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and how many each text has."""
+        texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
         if len(self.index) > self.keep:
-            self.clear()
-        # capitals of what might be a special token stay as they are
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        every = list(chain.from_iterable(split))
-        which = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
-        unknown = np.flatnonzero(which < 0).tolist()
+            self._forget()
+        pieces, places, count = self._split(texts)
+        known = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        self.again[known[known >= 0]] = True
+        unknown = np.flatnonzero(known < 0).tolist()
         if unknown:
-            self._learn({every[i] for i in unknown})
-            which[unknown] = [self.index[every[i]] for i in unknown]
-        ids, size = self._gather(which)
+            self._learn({pieces[i] for i in unknown if pieces[i]})
+            known[unknown] = [self.index.get(pieces[i], 0) for i in unknown]
+        ids, size = self._gather(known[places])
         sums = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
         return ids, np.diff(sums)
 
 
+#: Bytes of text that are encoded together.
+CHUNK = 4 << 20
 #: Stops that follow words, and the ASCII letters in lower case.
 _STOPS = b".,;:!?"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -224,9 +252,9 @@ def _tokenise(shared, end_id: int, block_tokens: int, size: int):
             sums = np.cumsum(pc.binary_length(b.column(1)).to_numpy())
             at = 0
             while at < len(sums):
-                # texts become Python objects a megabyte at a time
-                n = max(1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + (1 << 20), "right")) - at)
-                got, lengths = pieces.encode(b.column(1).slice(at, n).to_pylist())
+                # a few megabytes of text at a time
+                n = max(1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + CHUNK, "right")) - at)
+                got, lengths = pieces.encode(b.column(1).slice(at, n))
                 docs.append(keys[at : at + n].astype("<i8"))
                 counts.append(lengths + 1)
                 ids.append(np.insert(got, np.cumsum(lengths), end_id))
