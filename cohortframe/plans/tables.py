@@ -12,6 +12,9 @@ from cohortframe.plans.ship import ship
 #: Python a few at a time, for every task of an executor holds a batch on either side.
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
+#: Bytes of a row group: a writer holds one for every task.
+ROW_GROUP = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share, from ``spark.checkpoint.dir``.
@@ -45,7 +48,7 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     for k, v in _WHILE_WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
