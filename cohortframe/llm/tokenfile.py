@@ -82,7 +82,7 @@ class Pieces:
     encoder without those steps; the token that ends a word tells them apart.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 300_000) -> None:
+    def __init__(self, vocabulary: str, keep: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -161,10 +161,12 @@ class Pieces:
             ids = np.array(self._ids(p.decode()), np.uint32)
             self._add([p], ids, np.array([len(ids)]))
 
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         words = set(filter(_SMALL, new))
         single, cores, ends = [], [], []
-        for p in new - words:
+        for p in new:
+            if p in words:
+                continue
             core = p.rstrip(_STOPS)
             if len(core) != len(p) and core and (core[-1] in _LETTERS or (core[-1] >= 128 and core.decode()[-1].isalpha())):
                 cores.append(core)
@@ -214,13 +216,15 @@ class Pieces:
         self.again[known[known >= 0]] = True
         unknown = np.flatnonzero(known < 0).tolist()
         if unknown:
-            self._learn({pieces[i] for i in unknown if pieces[i]})
+            self._learn([pieces[i] for i in unknown if pieces[i]])
             known[unknown] = [self.index.get(pieces[i], 0) for i in unknown]
         ids, size = self._gather(known[places])
         sums = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
         return ids, np.diff(sums)
 
 
+#: Bytes of a row group: a writer holds one for every task.
+ROW_GROUP = 16 << 20
 #: Bytes of text that are encoded together.
 CHUNK = 4 << 20
 #: Stops that follow words, and the ASCII letters in lower case.
@@ -313,7 +317,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: i
     order = np.lexsort((np.arange(size), -total)).astype("<u4")
     ranks = np.empty(size, np.uint32)
     ranks[order] = np.arange(size, dtype=np.uint32)
-    raw.where("ids is not null").drop("tally").mapInArrow(_recode(ranks), _sql("n_tokens long, ", "control binary, data binary")).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.where("ids is not null").drop("tally").mapInArrow(_recode(ranks), _sql("n_tokens long, ", "control binary, data binary")).write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(order.tobytes()),)], "ids binary").write.parquet(f"{path}/ranks")
     drop(raw)
     return path
