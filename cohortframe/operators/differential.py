@@ -6,17 +6,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cohortframe.operators import models as M
 from cohortframe.operators import testing as T
 from cohortframe.operators.abundance import sample_motif_abundance
 from cohortframe.plans.ship import ship
-from cohortframe.plans.tables import materialize
+from cohortframe.plans.tables import drop, materialize
 
 _KEY = ["dataset_id", "motif_id"]
 
@@ -99,34 +102,101 @@ def _effect_controls(abundance: DataFrame, iterations: int, seed: int) -> DataFr
     return rows.groupBy(*_KEY).applyInPandas(run, "dataset_id string, motif_id string, observed_value double, null_mean double, null_std double, empirical_pvalue double")
 
 
-def _spatial_controls(spots: DataFrame, edges: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """How much a motif's spots neighbour one another, beside random sets of about its size.
+def _numbers(h: np.ndarray, iterations: int) -> np.ndarray:
+    """A random 64-bit number for each hash (rows) and round (columns)."""
+    x = h.view(np.uint64)[:, None] + np.arange(1, iterations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in (30, 27):
+        x = (x ^ (x >> np.uint64(k))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
 
-    In each iteration a spot has one random number, from a hash, and belongs to the random set of every motif whose share of the
-    spots exceeds it.  So all motifs are drawn in one pass over spots and one over edges, and only sums are kept.
+def _thresholds(spots: DataFrame, sizes: dict[str, dict[str, int]], iterations: int) -> dict[str, dict[str, np.ndarray]]:
+    """By dataset, motif and round: the number that exactly as many spots do not exceed as the motif has.
+
+    ``spots``: dataset_id, h.  One pass counts what lies below a range around the expected place, six deviations wide, and
+    ranks the few numbers inside; a round whose number is not inside (one in 10**8) makes a wider pass.
     """
-    rounds = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it")
+    width, found = 6.0, {}
+    while width:
+        ranges = {}
+        for d, motifs in sizes.items():
+            n = sum(motifs.values())
+            for m, k in motifs.items():
+                p, spread = k / n, (width * (k * (n - k) / n) ** 0.5 + 20) / n
+                if k < n:
+                    ranges[d, m] = (int(max(0.0, p - spread) * 2.0**63) * 2, min(int((p + spread) * 2.0**63) * 2, (1 << 64) - 1))
+
+        def run(batches: Iterator[pa.RecordBatch], ranges=ranges) -> Iterator[pa.RecordBatch]:
+            below = {k: np.zeros(iterations, np.int64) for k in ranges}
+            for b in batches:
+                names, h = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
+                for at in range(0, len(h), 4096):
+                    u, own = _numbers(h[at : at + 4096], iterations), names[at : at + 4096]
+                    for (d, m), (lo, hi) in ranges.items():
+                        x = u if (own == d).all() else u[own == d]
+                        less = x < np.uint64(lo)
+                        below[d, m] += less.sum(0)
+                        row, it = np.nonzero(~less & (x <= np.uint64(hi)))
+                        if len(row):
+                            yield _told(d, m, it, None, x[row, it])
+            for (d, m), c in below.items():
+                yield _told(d, m, np.arange(iterations), c, None)
+
+        rows = materialize(spots.select("dataset_id", "h").mapInArrow(run, "dataset_id string, motif_id string, it int, below long, x long"), "draws")
+        count = rows.where("below is not null").groupBy(*_KEY, "it").agg(F.sum("below").alias("below"))
+        # numbers are unsigned: their order is that of the values with the highest bit turned over
+        place = F.row_number().over(W.partitionBy(*_KEY, "it").orderBy(F.col("x").bitwiseXOR(F.lit(-(1 << 63)))))
+        want = spots.sparkSession.createDataFrame([(d, m, k) for d, motifs in sizes.items() for m, k in motifs.items() if (d, m) in ranges], "dataset_id string, motif_id string, k long")
+        ranked = rows.where("x is not null").drop("below").withColumn("place", place).join(count, [*_KEY, "it"]).join(F.broadcast(want), _KEY)
+        found = {}
+        for r in ranked.where("below + place = k").select(*_KEY, "it", "x").collect():
+            found.setdefault(r["dataset_id"], {}).setdefault(r["motif_id"], np.zeros(iterations, np.uint64))[r["it"]] = np.int64(r["x"]).view(np.uint64)
+        drop(rows)
+        complete = all((found.get(d, {}).get(m, np.zeros(1)) > 0).all() for d, m in ranges)
+        width = 0.0 if complete or width > 1e6 else width * 1e3
+    return found
+
+
+def _told(d: str, m: str, it: np.ndarray, below: np.ndarray | None, x: np.ndarray | None) -> pa.RecordBatch:
+    n = len(it)
+    whole = [pa.nulls(n, pa.int64()) if v is None else pa.array(v.view(np.int64)) for v in (below, x)]
+    return pa.RecordBatch.from_arrays([pa.array([d] * n, pa.string()), pa.array([m] * n, pa.string()), pa.array(it.astype(np.int32)), *whole], ["dataset_id", "motif_id", "it", "below", "x"])
 
-    def number(c: str):
-        return F.pmod(F.xxhash64(c, F.col("it"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
 
-    sizes = spots.groupBy(*_KEY).agg(F.count("*").alias("m"))
-    share = sizes.join(sizes.groupBy("dataset_id").agg(F.sum("m").alias("n")), "dataset_id").where("m < n").groupBy("dataset_id")
-    share = share.agg(F.collect_list(F.struct("motif_id", (F.col("m") / F.col("n")).alias("p"))).alias("motifs"))
-    named = spots.select("obs_id", "dataset_id", "motif_id")
-    e = edges.select("src", "dst", "weight").join(named.select(F.col("obs_id").alias("src"), "dataset_id", F.col("motif_id").alias("m1")), "src")
-    e = materialize(e.join(named.select(F.col("obs_id").alias("dst"), F.col("motif_id").alias("m2")), "dst"), "edges")
-    seen = e.groupBy("dataset_id", F.col("m1").alias("motif_id")).agg(F.sum(F.when(F.col("m1") == F.col("m2"), F.col("weight")).otherwise(0.0)).alias("w"))
-    seen = seen.join(sizes, _KEY).select(*_KEY, (F.col("w") / F.col("m")).alias("observed_value"))
+def _spatial_controls(spots: DataFrame, edges: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """How much a motif's spots neighbour one another, beside random sets of exactly its size.
 
-    def summed(rows: DataFrame, top, value) -> DataFrame:
-        held = F.explode(F.filter("motifs", lambda x: x["p"] > F.col("u"))).alias("h")
-        return rows.withColumn("u", top).select("dataset_id", "it", held, value.alias("x")).groupBy("dataset_id", "it", F.col("h.motif_id").alias("motif_id")).agg(F.sum("x").alias("x"))
+    In each round a spot has one random number, from a hash, and the random set of a motif holds the spots with the smallest ones, as
+    many as the motif has.  So all motifs and rounds are drawn in one pass over spots and one over edges, and only sums are kept: motifs times
+    rounds of them.  A set without inner edges counts as zero.
+    """
+    ship(spots.sparkSession)
+    named = spots.select("obs_id", F.col("dataset_id").cast("string").alias("dataset_id"), F.col("motif_id").cast("string").alias("motif_id"), F.xxhash64("obs_id", F.lit(seed)).alias("h"))
+    sizes: dict[str, dict[str, int]] = {}
+    for r in named.groupBy(*_KEY).agg(F.count("*").alias("m")).collect():
+        sizes.setdefault(r["dataset_id"], {})[r["motif_id"]] = r["m"]
+    tops = _thresholds(named, sizes, iterations)
+    e = edges.select("src", "dst", "weight").join(named.select(F.col("obs_id").alias("src"), "dataset_id", F.col("motif_id").alias("m1"), F.col("h").alias("h1")), "src")
+    e = materialize(e.join(named.select(F.col("obs_id").alias("dst"), F.col("motif_id").alias("m2"), F.col("h").alias("h2")), "dst").select("dataset_id", "h1", "h2", "weight", "m1", "m2"), "edges")
+    seen = e.groupBy("dataset_id", F.col("m1").alias("motif_id")).agg(F.sum(F.when(F.col("m1") == F.col("m2"), F.col("weight")).otherwise(0.0)).alias("w"))
 
-    drawn = summed(named.join(F.broadcast(share), "dataset_id").select("obs_id", "dataset_id", "motifs", rounds), number("obs_id"), F.lit(1.0))
-    linked = summed(e.join(F.broadcast(share), "dataset_id").select("src", "dst", "weight", "dataset_id", "motifs", rounds), F.greatest(number("src"), number("dst")), F.col("weight"))
-    null = drawn.withColumnRenamed("x", "n").join(linked, ["dataset_id", "it", "motif_id"], "left").select(*_KEY, (F.coalesce("x", F.lit(0.0)) / F.col("n")).alias("v"))
-    both = seen.join(null, _KEY)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {(d, m): np.zeros(iterations) for d, motifs in tops.items() for m in motifs}
+        for b in batches:
+            names, h1, h2, weight = np.array(b.column(0).to_pylist(), object), *(b.column(c).to_numpy() for c in (1, 2, 3))
+            for at in range(0, len(h1), 4096):
+                cut = slice(at, at + 4096)
+                u = np.maximum(_numbers(h1[cut], iterations), _numbers(h2[cut], iterations))
+                for d, m in sums:
+                    own = names[cut] == d
+                    sums[d, m] += weight[cut][own] @ (u[own] <= tops[d][m])
+        for (d, m), x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d] * iterations), pa.array([m] * iterations), pa.array(np.arange(iterations, dtype=np.int32)), pa.array(x)], ["dataset_id", "motif_id", "it", "w"])
+
+    null = e.select("dataset_id", "h1", "h2", F.col("weight").cast("double")).mapInArrow(run, "dataset_id string, motif_id string, it int, w double").groupBy(*_KEY, "it").agg(F.sum("w").alias("w"))
+    size = spots.sparkSession.createDataFrame([(d, m, k) for d, motifs in sizes.items() for m, k in motifs.items() if m in tops.get(d, {})], "dataset_id string, motif_id string, m long")
+    rounds = size.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).join(null, [*_KEY, "it"], "left")
+    both = rounds.join(seen, _KEY, "left").select(*_KEY, (F.coalesce(seen["w"], F.lit(0.0)) / F.col("m")).alias("observed_value"), (F.coalesce(null["w"], F.lit(0.0)) / F.col("m")).alias("v"))
     hits = F.sum(F.when(F.col("v") >= F.col("observed_value") - T.TOLERANCE, 1).otherwise(0))
     return both.groupBy(*_KEY, "observed_value").agg(F.avg("v").alias("null_mean"), F.stddev_pop("v").alias("null_std"), ((hits + 1) / (iterations + 1.0)).alias("empirical_pvalue"))
 

@@ -6,16 +6,20 @@ assigning is a map over all rows with the model in the closure.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cohortframe.operators.clustering import bounded_sample, choose_cluster_count, lloyd, moments, projection, squared, whole
 from cohortframe.operators.vectors import nearest_centroid
+from cohortframe.plans.ship import ship
 from cohortframe.plans.tables import drop, materialize
 
 
@@ -55,28 +59,20 @@ def balanced_training(rows: DataFrame, most: int = 2048, seed: int = 7) -> DataF
     return few.withColumn("_r", r).where(F.col("_r") <= take).drop("_r", "_n", "_h")
 
 
-def fit(rows: DataFrame, clusters: int, dimensions: int = 12, most: int = 2048, seed: int = 7) -> MotifModel:
-    """Fit on the balanced rows of samples already normalised.
+def fit(rows: DataFrame, clusters: int | None = None, dimensions: int = 12, most: int = 2048, seed: int = 7, balanced: bool = True) -> MotifModel:
+    """Fit on the balanced rows of samples already normalised, or, for a pooled model, on all rows as they are.
 
-    The covariance is summed on the executors, as many numbers as features squared; its eigenvectors have their largest
-    element positive, so that a run repeats.
+    Means, deviations and covariances come from moments that executors sum up, as many numbers as features squared; eigenvectors have their
+    largest element positive, so that a run repeats.  Without ``clusters`` their number is chosen on a bounded sample.
     """
-    train = materialize(balanced_training(rows, most, seed).select("vector"), "training")
+    train = materialize((balanced_training(rows, most, seed) if balanced else rows).select("obs_id", "vector"), "training")
     try:
-        each = train.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
-        mean, scale = np.array([r.m for r in each]), np.array([1.0 if r.s <= 1e-6 else r.s for r in each])
-        t = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, scale)])
-        z = train.select(F.zip_with("vector", t, lambda x, y: (x - y["m"]) / y["s"]).alias("z"))
-        pairs = z.select(F.posexplode("z").alias("i", "a"), "z").select("i", "a", F.posexplode("z").alias("j", "b")).where("i <= j").groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("c")).collect()
-        cov = np.zeros((len(mean), len(mean)))
-        for p in pairs:
-            cov[p.i, p.j] = cov[p.j, p.i] = p.c
-        _, vectors = np.linalg.eigh(cov)
-        comp = vectors[:, ::-1][:, :dimensions].T
-        comp = comp * np.sign(comp[np.arange(len(comp)), np.abs(comp).argmax(1)])[:, None]
-        low = z.select(array_to_vector(_project("z", comp)).alias("features"))
-        centers = KMeans(k=clusters, seed=seed, initMode="k-means||", maxIter=50).fit(low).clusterCenters()
-        model = MotifModel(mean, scale, comp, np.array(sorted(map(tuple, centers))), np.zeros((clusters, len(mean))))
+        _, mean, covariance = whole(moments(train.withColumn("key", F.lit("all")), "key").where("key is null").first())
+        scale, comp = projection(mean, covariance, dimensions)
+        low = train.select("obs_id", "vector", _project(_standard("vector", mean, scale), comp).alias("low"))
+        clusters = clusters or choose_cluster_count(low, "low", seed=seed)
+        centers = KMeans(k=clusters, seed=seed, initMode="k-means||", maxIter=50).fit(low.select(array_to_vector("low").alias("features"))).clusterCenters()
+        model = MotifModel(mean, scale, comp, np.array(sorted(map(tuple, centers))), np.zeros((len(centers), len(mean))))
         means = assign(train, model).select("motif_id", F.posexplode("vector").alias("i", "v")).groupBy("motif_id", "i").agg(F.avg("v").alias("m"))
         for r in means.collect():
             model.feature_centroids[int(r["motif_id"][6:]), r["i"]] = r["m"]
@@ -85,15 +81,19 @@ def fit(rows: DataFrame, clusters: int, dimensions: int = 12, most: int = 2048,
     return model
 
 
+def _standard(column: str, mean: np.ndarray, scale: np.ndarray):
+    t = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, scale, strict=True)])
+    return F.zip_with(column, t, lambda x, y: (x - y["m"]) / y["s"])
+
+
 def _project(column: str, components: np.ndarray):
     rows = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in components])
-    return F.transform(rows, lambda c: F.aggregate(F.zip_with(F.col(column), c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+    return F.transform(rows, lambda c: F.aggregate(F.zip_with(column, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
 
 
 def assign(rows: DataFrame, model: MotifModel) -> DataFrame:
     """Every row's motif (``motif_00``, ...) and its squared distance to the centroid."""
-    t = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(model.mean, model.scale)])
-    z = rows.withColumn("_z", F.zip_with("vector", t, lambda x, y: (x - y["m"]) / y["s"])).withColumn("_p", _project("_z", model.components))
+    z = rows.withColumn("_z", _standard("vector", model.mean, model.scale)).withColumn("_p", _project("_z", model.components))
     c = rows.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(model.centroids)], "centroid_id int, centroid array<double>")
     out = nearest_centroid(z, c, "_p").drop("_z", "_p")
     return out.withColumn("motif_id", F.format_string("motif_%02d", "centroid_id")).drop("centroid_id")
@@ -137,21 +137,145 @@ def align(model: MotifModel, reference: MotifModel) -> tuple[dict[str, str], flo
     return {f"motif_{i:02d}": f"motif_{j:02d}" for i, j in enumerate(to)}, float(cost[np.arange(len(a)), to].mean())
 
 
+@dataclass
+class Folds:
+    """Models of many folds side by side: a fold is named by the sample it leaves out.  Axis 0 is the fold everywhere."""
+
+    names: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    components: np.ndarray
+    centers: np.ndarray
+
+    def project(self, f: int, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean[f]) / self.scale[f]) @ self.components[f].T
+
+    def nearest(self, f: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which center of fold ``f``, given in features, is nearest to each row once projected, and the squared distance."""
+        d = squared(self.project(f, x), self.project(f, self.centers[f]))
+        return d.argmin(1), d.min(1)
+
+
+def _started(total, sample: list[tuple[str, list[float]]], clusters: int, dimensions: int, starts: int, seed: int):
+    """Per fold: its projection, from all moments less its own, and starting centers from a sample without its own rows."""
+    keys, x = np.array([k for k, _ in sample], object), np.array([v for _, v in sample], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                _, mean, covariance = whole(total, r)
+                scale, comp = projection(mean, covariance, dimensions)
+                own = x[keys != r["key"]]
+                low = ((own - mean) / scale) @ comp.T
+                _, label, _ = min((lloyd(low, clusters, seed + i) for i in range(starts)), key=lambda t: t[2])
+                centers = np.array([own[label == c].mean(0) if (label == c).any() else own[c % len(own)] for c in range(clusters)])
+                yield pa.RecordBatch.from_pylist([{"key": r["key"], **{c: v.astype(np.float64).tobytes() for c, v in (("mean", mean), ("scale", scale), ("components", comp), ("centers", centers))}}])
+
+    return run
+
+
+def _moved(train: DataFrame, folds: Folds) -> float:
+    """One round for every fold at once; how far any center moved."""
+    f_n, k, d = folds.centers.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, sizes = np.zeros((f_n, k, d)), np.zeros((f_n, k))
+        for b in batches:
+            keys, x = np.array(b.column(0).to_pylist(), object), np.array(b.column(1).to_pylist(), np.float64)
+            for f in range(f_n if len(x) else 0):
+                own = x[keys != folds.names[f]]
+                label, _ = folds.nearest(f, own)
+                one = np.zeros((len(own), k))
+                one[np.arange(len(own)), label] = 1.0
+                sums[f] += one.T @ own
+                sizes[f] += one.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(f_n)), pa.array([s.tobytes() for s in sums], pa.binary()), pa.array([s.tobytes() for s in sizes], pa.binary())], ["f", "sums", "sizes"])
+
+    def add(t: pa.Table) -> pa.Table:
+        a, z = (sum(np.frombuffer(v, np.float64) for v in t.column(c).to_pylist()) for c in ("sums", "sizes"))
+        return pa.table({"f": t.column("f").slice(0, 1), "sums": pa.array([a.tobytes()], pa.binary()), "sizes": pa.array([z.tobytes()], pa.binary())})
+
+    far = 0.0
+    for r in train.mapInArrow(run, "f long, sums binary, sizes binary").groupBy("f").applyInArrow(add, "f long, sums binary, sizes binary").collect():
+        n = np.frombuffer(r["sizes"], np.float64)[:, None]
+        new = np.where(n > 0, np.frombuffer(r["sums"], np.float64).reshape(k, d) / np.maximum(n, 1), folds.centers[r["f"]])
+        far = max(far, float(np.abs(new - folds.centers[r["f"]]).max()))
+        folds.centers[r["f"]] = new
+    return far
+
+
+def fold_models(rows: DataFrame, clusters: int, dimensions: int = 12, most: int = 2048, seed: int = 7, starts: int = 6, rounds: int = 30, sample_rows: int = 2000, block: int = 1000) -> list[Folds]:
+    """A model for each sample, fitted on the balanced rows of all others.
+
+    Counts, sums and products are summed once per sample; a fold's are all of them less its own.  Its centers start from a sample of
+    at most ``sample_rows`` rows, without its own, and move over all training rows; a round is one job for all folds.  So the
+    number of jobs does not grow with samples, but for blocks of ``block`` folds, whose models travel to every task.
+    """
+    ship(rows.sparkSession)
+    train = materialize(balanced_training(rows, most, seed).select(F.col("sample_id").cast("string").alias("sample_id"), "vector"), "training")
+    sums = materialize(moments(train, "sample_id"), "moments")
+    total = sums.where("key is null").first()
+    out: list[Folds] = []
+    if total is None:
+        return out
+    some = [(r["sample_id"], r["vector"]) for r in bounded_sample(train, total["n"], sample_rows, seed, "sample_id", "vector").collect()]
+    made = sums.where("key is not null").mapInArrow(_started(total.asDict(), some, clusters, dimensions, starts, seed), "`key` string, mean binary, scale binary, components binary, centers binary")
+    made = materialize(made, "folds")
+    n = made.count()
+    for b in range(-(-n // block)):
+        part = made.where(F.pmod(F.xxhash64("key"), F.lit(-(-n // block))) == b).orderBy("key").collect()
+        if not part:
+            continue
+        d = len(np.frombuffer(part[0]["mean"], np.float64))
+        folds = Folds([r["key"] for r in part], *(np.array([np.frombuffer(r[c], np.float64).reshape(shape) for r in part]) for c, shape in (("mean", (d,)), ("scale", (d,)), ("components", (-1, d)), ("centers", (-1, d)))))
+        for _ in range(rounds):
+            if _moved(train, folds) <= 1e-9:
+                break
+        out.append(folds)
+    for t in (train, sums, made):
+        drop(t)
+    return out
+
+
 def held_out_motifs(rows: DataFrame, reference: MotifModel, dimensions: int = 12, most: int = 2048, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Every row's motif by a model that has not seen its sample, in the names of ``reference``, and one row per fold.
 
-    Folds are samples, of which there are few; each is fitted on the others, aligned, and assigned.  A fold tells the agreement with the
-    reference's own assignment, the mean cost of the alignment and the mean squared distance.
+    Models are those of :func:`fold_models`, aligned one to one by their centers.  A fold tells the agreement with the
+    reference's own assignment, the mean cost of the alignment and the mean squared distance.  A null sample is no fold.
     """
-    samples = [r["sample_id"] for r in rows.select("sample_id").distinct().orderBy("sample_id").collect()]
-    whole = assign(rows, reference).select("obs_id", F.col("motif_id").alias("_full"))
-    out = folds = None
-    for i, held in enumerate(samples):
-        model = fit(rows.where(F.col("sample_id") != held), len(reference.centroids), dimensions, most, seed + i + 1)
-        names, cost = align(model, reference)
-        renamed = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("motif_id"))
-        own = materialize(assign(rows.where(F.col("sample_id") == held), model).withColumn("motif_id", renamed), "fold")
-        agree = own.join(whole, "obs_id").agg(F.count("*").alias("n_test"), F.avg((F.col("motif_id") == F.col("_full")).cast("double")).alias("agreement"), F.avg("distance2").alias("distance_mean"))
-        one = agree.select(F.lit(held).alias("held_out_sample"), F.lit(len(samples) - 1).alias("n_train_samples"), "n_test", "agreement", F.lit(cost).alias("alignment_cost_mean"), "distance_mean")
-        out, folds = (own, one) if out is None else (out.unionByName(own), folds.unionByName(one))
-    return out, folds
+    spark = rows.sparkSession
+    blocks = fold_models(rows.where("sample_id is not null"), len(reference.centroids), dimensions, most, seed)
+    whole_rows = assign(rows, reference).select("obs_id", F.col("sample_id").cast("string").alias("sample_id"), "vector", F.col("motif_id").alias("full_motif_id"))
+    count, costs, parts = sum(len(b.names) for b in blocks), [], []
+    for folds in blocks:
+        names = []
+        for f, held in enumerate(folds.names):
+            cost = squared(folds.centers[f], reference.feature_centroids)
+            to = assignment(cost)
+            names.append([f"motif_{j:02d}" for j in to])
+            costs.append((held, count - 1, float(cost[np.arange(len(to)), to].mean())))
+        parts.append(whole_rows.where(F.col("sample_id").isin(folds.names) if len(blocks) > 1 else F.col("sample_id").isNotNull()).mapInArrow(_assigned(folds, names), "obs_id string, sample_id string, motif_id string, full_motif_id string, distance2 double"))
+    schema = "sample_id string, n_train_samples int, alignment_cost_mean double"
+    out = parts[0] if parts else spark.createDataFrame([], "obs_id string, sample_id string, motif_id string, full_motif_id string, distance2 double")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = materialize(out.withColumn("obs_id", F.col("obs_id").cast(rows.schema["obs_id"].dataType)), "held-out")
+    one = out.groupBy("sample_id").agg(F.count("*").alias("n_test"), F.avg((F.col("motif_id") == F.col("full_motif_id")).cast("double")).alias("agreement"), F.avg("distance2").alias("distance_mean"))
+    one = one.join(spark.createDataFrame(costs, schema), "sample_id")
+    return out, one.select(F.col("sample_id").alias("held_out_sample"), "n_train_samples", "n_test", "agreement", "alignment_cost_mean", "distance_mean")
+
+
+def _assigned(folds: Folds, names: list[list[str]]):
+    place = {s: f for f, s in enumerate(folds.names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, x = np.array(b.column(1).to_pylist(), object), np.array(b.column(2).to_pylist(), np.float64)
+            motif, far = np.empty(len(keys), object), np.zeros(len(keys))
+            for s in dict.fromkeys(keys.tolist()):
+                own = np.flatnonzero(keys == s)
+                label, far[own] = folds.nearest(place[s], x[own])
+                motif[own] = np.array(names[place[s]], object)[label]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(motif, pa.string()), b.column(3), pa.array(far)], ["obs_id", "sample_id", "motif_id", "full_motif_id", "distance2"])
+
+    return run
