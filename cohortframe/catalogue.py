@@ -590,11 +590,6 @@ def motif_reproducibility(spark, sf_dir):
     return R.reproducibility(A.sample_motif_abundance(spots(spark, sf_dir)))
 
 
-@_query()
-def label_conservation(spark, sf_dir):
-    return R.label_conservation(_vectors(spark, sf_dir).where("vector is not null"), "motif_id")
-
-
 @_query("""WITH n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS len FROM embeddings WHERE embedding IS NOT NULL),
 u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE / greatest(len, 1e-8) AS v FROM n),
 e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM n a JOIN n b ON a.vec_id // 4 = b.vec_id // 4 AND a.vec_id <> b.vec_id), c AS (SELECT src, count(*) AS n FROM e GROUP BY ALL),
@@ -985,8 +980,12 @@ def simulation_summary(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from cohortframe import model_queries  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from cohortframe import model_queries  # noqa: F401
+
     return dict(_sql)

@@ -7,13 +7,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortframe.operators.vectors import squared_distance
-from cohortframe.plans.ship import ship
 
 
 def mean_vectors(rows: DataFrame, *by: str, out: str = "center") -> DataFrame:
@@ -86,29 +84,6 @@ def spatial_smoothness(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return both.agg(F.avg(F.coalesce(dot(F.col("u"), _unit(F.col("m"))), F.lit(0.0))).alias("smoothness"))
 
 
-def label_conservation(rows: DataFrame, label: str, k: int = 15, most: int = 5000, seed: int = 0) -> DataFrame:
-    """One row: the mean share of a row's ``k`` nearest others (by vector) that have its label.
-
-    At most about ``most`` rows, chosen by a hash, stand for all; they are compared with one another in one task.
-    """
-    n = rows.count()
-    some = rows.where(F.pmod(F.xxhash64("obs_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
-
-    def run(t: pa.Table) -> pa.Table:
-        x, names = np.array(t.column("vector").to_pylist(), np.float64), np.array(t.column("label").to_pylist(), object)
-        out = []
-        for a in range(0, len(x), 256):
-            d = ((x[a : a + 256, None] - x[None]) ** 2).sum(2) if x.shape[1] < 8 else (x[a : a + 256] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[a : a + 256] @ x.T
-            d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-            out.append((names[near] == names[a : a + 256, None]).mean(1) if near.shape[1] else np.full(len(d), np.nan))
-        return pa.table({"share": np.concatenate(out)})
-
-    ship(rows.sparkSession)
-    got = some.select(F.lit(0).alias("g"), "vector", F.col(label).cast("string").alias("label")).groupBy("g").applyInArrow(run, "share double")
-    return got.agg(F.avg(F.when(~F.isnan("share"), F.col("share"))).alias("conservation"))
-
-
 def ranked_motifs(abundance: DataFrame, condition_a: str, condition_b: str, weight: str | None = None) -> DataFrame:
     """(motif_id, delta, position): weighted mean fractions of condition b less those of a, largest change first (ties: the larger delta, then id)."""
     w = F.col(weight) if weight else F.lit(1.0)

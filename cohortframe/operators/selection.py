@@ -50,13 +50,13 @@ def _order_value(place: str):
     return F.coalesce(F.max(F.when(F.col("r") == F.col(place) - F.col("zeros"), F.col("x"))), F.lit(0.0))
 
 
-def state_information(expression: DataFrame, states: DataFrame) -> DataFrame:
+def state_information(expression: DataFrame, states: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """(gene, information, entropy, gain, score): what a gene, cut at its quantiles 0.33 and 0.67, tells of the observations' states.
 
     Values above neither, one or both quantiles (linear between order values, zeros included) make three bins.  Information and
     entropy are in bits; gain is the information over the states' entropy.  The score takes z of the gain, less 0.32 z of the
     entropy, less 0.45 z of the absolute correlation with log library size, plus 0.15 z of the variance, and z of that.  Zeros are in the lowest
-    bin and are counted from what is not stored.
+    bin and are counted from what is not stored.  ``totals`` (obs, total) are the library sizes, by default the sums of the values.
     """
     n = states.count()
     x = materialize(expression.select("obs", "gene", F.col("value").cast("double").alias("x")), "expression")
@@ -80,7 +80,7 @@ def state_information(expression: DataFrame, states: DataFrame) -> DataFrame:
     ps = F.col("ns") / F.lit(float(n))
     whole = F.broadcast(sizes.agg(F.greatest(F.sum(-ps * F.log2(ps + 1e-12)), F.lit(1e-8)).alias("h")))
     told = told.crossJoin(whole).withColumn("gain", F.col("information") / F.col("h"))
-    both = told.join(depth_correlation(x, states, n), "gene")
+    both = told.join(depth_correlation(x, states, n, totals), "gene")
     raw = z_all(F.col("gain")) - 0.32 * z_all(F.col("entropy")) - 0.45 * z_all(F.col("depth_correlation")) + 0.15 * z_all(F.col("variance"))
     return both.withColumn("raw", raw).select("gene", "information", "entropy", "gain", z_all(F.col("raw")).alias("score"))
 
