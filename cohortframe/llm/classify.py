@@ -12,19 +12,25 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def drawn(rows: DataFrame, share: float, *columns: str) -> DataFrame:
+    """About ``share`` of the different rows by ``columns``, by their hash: the same ones however the table is dealt out."""
+    h = F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(1 << 40))
+    return rows.where(h < int(min(1.0, share) * (1 << 40))).dropDuplicates(list(columns))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, text, y): at most ``rows`` labels that are not held out, the smallest by a hash of doc_id, on about twice as many rows at most.
 
     The sample is drawn among labels before texts are read, so its bound is also the bound
-    of what is joined.
+    of what is joined.  Repeated rows count once; it does not depend on partitions.
     """
     some = labels.select("doc_id", F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     some = some.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(rows)
     some = F.broadcast(some) if rows <= broadcast_rows else some
     # a doc_id may stand on many rows: then a share of them is drawn
-    n = docs.select(F.col("doc_id").cast("long")).join(some, "doc_id").count()
-    drawn = docs if n <= 2 * rows else docs.where(F.rand(7) < 2 * rows / n)
-    return drawn.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(some, "doc_id")
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    n = own.select("doc_id").join(some, "doc_id").count()
+    return drawn(own.join(some, "doc_id"), 2 * rows / max(n, 1), "doc_id", "text")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.classify import Adam, Network, held_out, labelled, sigmoid
+from cohortframe.llm.classify import Adam, Network, drawn, held_out, labelled, sigmoid
 from cohortframe.llm.common import materialize
 from cohortframe.plans.ship import ship
 
@@ -130,25 +130,29 @@ def _featured(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in df.dtypes if c != "text"), "x array<double>"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> tuple[Network, float] | None:
+def _collected(df: DataFrame) -> np.ndarray:
+    """The features of a bounded table, in an order of their own, so that a fit does not depend on partitions."""
+    x = np.array(df.select("x").toArrow().column("x").to_pylist(), np.float64).reshape(-1, WIDTH)
+    return x[np.lexsort(x.T[::-1])]
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, unlabelled_rows: int = 20_000) -> tuple[Network, float] | None:
     """A network from trusted positives and unlabelled texts, and the class prior; None where there are no positives.
 
-    ``rows`` bounds the labelled rows, and in the mean the unlabelled ones, that the fit takes.  Labels only choose the positives.
-    The unlabelled rows are drawn at random from all texts that are not held out.
+    ``rows`` bounds the labelled rows that the fit takes, ``unlabelled_rows``, in the mean, the unlabelled ones.  Labels only choose the positives.
+    The unlabelled rows are drawn by a hash of (doc_id, text) from all different rows that are not held out.
     """
-    got = _featured(labelled(docs, labels, "quality", rows)).where("y = 1").select("x").toArrow()
-    if not got.num_rows:
+    x = _collected(_featured(labelled(docs, labels, "quality", rows)).where("y = 1"))
+    if not len(x):
         return None
-    x = np.array(got.column("x").to_pylist()).reshape(-1, WIDTH)
     free = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where(~held_out())
-    free = free.where(F.rand(7) < rows / max(1, free.count()))
-    u = np.array(_featured(free).select("x").toArrow().column("x").to_pylist()).reshape(-1, WIDTH)
+    u = _collected(_featured(drawn(free, unlabelled_rows / max(1, free.count()), "doc_id", "text")))
     u = u if len(u) else x
     prior = estimate_prior(x, u)
     return fit_pu(x, u, prior), prior
 
 
-def quality_rows(docs: DataFrame, labels: DataFrame, rows: int = 20_000, accept: float = 0.3) -> DataFrame:
+def quality_rows(docs: DataFrame, labels: DataFrame, rows: int = 20_000, accept: float = 0.3, unlabelled_rows: int = 20_000) -> DataFrame:
     """(doc_id, text_key, held_out, score, predicted) for every row of ``docs``; ``text_key`` is a hash of the text.
 
     ``score`` is 0 to 1, higher for texts like the trusted ones; ``predicted`` is 1 from ``accept`` on.  Only form
@@ -157,7 +161,7 @@ def quality_rows(docs: DataFrame, labels: DataFrame, rows: int = 20_000, accept:
     all scores are 0.5.  Repeated rows are scored each; a null doc_id stays, with ``held_out`` null; other columns are
     ignored; an empty table gives an empty one.
     """
-    fitted = train(docs, labels, rows)
+    fitted = train(docs, labels, rows, unlabelled_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

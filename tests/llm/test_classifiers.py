@@ -129,3 +129,14 @@ def test_clashing_columns(spark):
     docs, labels, _ = corpus(spark, 60)
     more = docs.selectExpr("*", "1 as y", "2 as x", "3 as g", "4 as score", "5 as text_key", "6 as held_out")
     assert quality.quality_scores(more, labels).count() == toxicity.toxicity_scores(more, labels).count() == 63
+
+
+@pytest.mark.parametrize("score", [quality.quality_scores, toxicity.toxicity_scores])
+def test_scores_do_not_depend_on_partitions(spark, score):
+    docs, labels, _ = corpus(spark, 200)
+    docs = docs.unionByName(docs.limit(20))  # repeated rows
+
+    def scores(n):
+        return sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 9)) for r in score(docs.repartition(n, "text" if n > 3 else "doc_id"), labels).collect())
+
+    assert scores(2) == scores(7)
