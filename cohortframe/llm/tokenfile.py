@@ -82,7 +82,7 @@ class Pieces:
     encoder without those steps; the token that ends a word tells them apart.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 400_000) -> None:
+    def __init__(self, vocabulary: str, keep: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,7 +115,8 @@ class Pieces:
         self.end = np.zeros(1 << 18, np.int64)
         self.again = np.zeros(1 << 18, bool)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Keep only pieces that were met again."""
         met = np.flatnonzero(self.again[: len(self.index)])
         names = list(self.index)
         ids, size = self._gather(met)
@@ -210,7 +211,7 @@ class Pieces:
         """All ids of the texts in turn, and how many each text has."""
         texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
         if len(self.index) > self.keep:
-            self._forget()
+            self.forget()
         pieces, places, count = self._split(texts)
         known = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         self.again[known[known >= 0]] = True
@@ -271,6 +272,8 @@ def _tokenise(shared, end_id: int, block_tokens: int, size: int):
                     docs, counts, ids = [], [], []
         if docs:
             yield block()
+        # the worker may serve other operators next
+        pieces.forget()
         seen = np.flatnonzero(total)
         if len(seen):
             tally = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.StructArray.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"]))
