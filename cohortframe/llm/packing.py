@@ -167,8 +167,6 @@ def pack_documents(docs: DataFrame, vocabulary_file: str, window: int = 4096, en
                 if full := packer.taken():
                     yield _rows(full, made)
                     made += len(full)
-        # the worker may serve other operators next
-        pieces.forget()
         if rest := packer.taken() + packer.finish():
             yield _rows(rest, made)
 

@@ -221,6 +221,8 @@ class Pieces:
             known[unknown] = [self.index.get(pieces[i], 0) for i in unknown]
         ids, size = self._gather(known[places])
         sums = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
+        # what splitting has used goes back to the system, not to a pool
+        pa.default_memory_pool().release_unused()
         return ids, np.diff(sums)
 
 
@@ -272,8 +274,6 @@ def _tokenise(shared, end_id: int, block_tokens: int, size: int):
                     docs, counts, ids = [], [], []
         if docs:
             yield block()
-        # the worker may serve other operators next
-        pieces.forget()
         seen = np.flatnonzero(total)
         if len(seen):
             tally = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.StructArray.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"]))
