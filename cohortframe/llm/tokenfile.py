@@ -221,8 +221,6 @@ class Pieces:
             known[unknown] = [self.index.get(pieces[i], 0) for i in unknown]
         ids, size = self._gather(known[places])
         sums = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
-        # what splitting has used goes back to the system, not to a pool
-        pa.default_memory_pool().release_unused()
         return ids, np.diff(sums)
 
 
