@@ -13,8 +13,9 @@ from pyspark.sql.window import Window as W
 
 from cohortframe.functions import special
 from cohortframe.operators.decisions import marker_genes
+from cohortframe.operators.decomposition import scores, sparse_rows, truncated_svd
+from cohortframe.operators.vectors import variable_genes
 from cohortframe.plans.ship import ship
-from cohortframe.plans.tables import materialize
 
 
 def quantile_state(value: Column, low: Column, high: Column, labels: tuple[str, str, str]) -> Column:
@@ -39,39 +40,20 @@ def motif_labels(spots: DataFrame, shares: DataFrame, entropy: DataFrame, densit
     return out.select("motif_id", F.concat(F.col("one"), F.lit(" + "), F.coalesce("two", "one"), F.lit(" | "), state).alias("motif_label"))
 
 
-def variable_genes(expression: DataFrame, n_obs: int, top: int = 256) -> DataFrame:
-    """(gene, variance): the ``top`` genes of the largest population variance, zeros included, ties by name."""
-    s = expression.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    var = F.greatest(F.col("q") / n_obs - F.pow(F.col("s") / n_obs, F.lit(2.0)), F.lit(0.0))
-    return s.select("gene", var.alias("variance")).orderBy(F.desc("variance"), "gene").limit(max(8, top))
-
-
 def expression_programs(expression: DataFrame, n_obs: int, components: int = 6, top: int = 256, loadings: int = 12) -> tuple[DataFrame, DataFrame]:
     """((obs, component, score), (component, explained_variance_ratio, top_genes)): the leading singular vectors over the most variable genes.
 
-    The products of all pairs of chosen genes are summed by Spark, one row per pair; their matrix, no larger than
-    ``top`` squared, is decomposed on the driver.  A component's sign makes its largest loading positive.
+    Observations without values of those genes have no scores.  A component's sign makes its largest loading positive.  The ratio
+    is the variance of a component's scores over that of all chosen genes.
     """
     spark = expression.sparkSession
-    genes = materialize(variable_genes(expression, n_obs, top), "genes")
-    rows = materialize(expression.join(F.broadcast(genes.select("gene")), "gene").select("obs", "gene", "value"), "expression")
-    names = sorted(r["gene"] for r in genes.select("gene").collect())
-    at = {g: i for i, g in enumerate(names)}
-    pairs = rows.select("obs", F.col("gene").alias("g"), F.col("value").alias("x")).join(rows.select("obs", F.col("gene").alias("h"), F.col("value").alias("y")), "obs").where("g <= h")
-    gram, sums = np.zeros((len(names), len(names))), np.zeros(len(names))
-    for r in pairs.groupBy("g", "h").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect():
-        gram[at[r["g"]], at[r["h"]]] = gram[at[r["h"]], at[r["g"]]] = r["s"]
-    for r in rows.groupBy("gene").agg(F.sum("value").alias("s")).collect():
-        sums[at[r["gene"]]] = r["s"]
-    k = max(2, min(components, n_obs - 1, len(names) - 1))
-    vectors = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(k)])
-    covariance = gram / n_obs - np.outer(sums, sums) / n_obs**2
-    ratio = np.einsum("ik,ij,jk->k", vectors, covariance, vectors) / max(np.trace(covariance), 1e-300)
-    table = spark.createDataFrame([(g, f"program_{c:02d}", float(vectors[i, c])) for g, i in at.items() for c in range(k)], f"gene {dict(expression.dtypes)['gene']}, component string, loading double")
-    scores = rows.join(F.broadcast(table), "gene").groupBy("obs", "component").agg(F.sum(F.col("value") * F.col("loading")).alias("score"))
-    lead = [";".join(str(names[i]) for i in np.argsort(-np.abs(vectors[:, c]), kind="stable")[:loadings]) for c in range(k)]
-    return scores, spark.createDataFrame([(f"program_{c:02d}", float(ratio[c]), lead[c]) for c in range(k)], "component string, explained_variance_ratio double, top_genes string")
+    rows = sparse_rows(expression, n_obs, genes=variable_genes(expression, n_obs, top))
+    svd = truncated_svd(rows, max(2, min(components, n_obs - 1, len(rows.genes) - 1)))
+    # the table of rows stays: the scores are read from it
+    out = scores(rows, svd).select("obs", F.posexplode("vector").alias("c", "score")).select("obs", F.format_string("program_%02d", "c").alias("component"), "score")
+    ratio = np.maximum(svd.values**2 / n_obs - (svd.means @ svd.loadings) ** 2, 0.0) / max(svd.variances.sum(), 1e-300)
+    lead = [";".join(str(rows.genes[i]) for i in np.argsort(-np.abs(v), kind="stable")[:loadings]) for v in svd.loadings.T]
+    return out, spark.createDataFrame([(f"program_{c:02d}", float(x), g) for c, (x, g) in enumerate(zip(ratio, lead, strict=True))], "component string, explained_variance_ratio double, top_genes string")
 
 
 #: Beginnings of gene names that tell little.
