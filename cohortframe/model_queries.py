@@ -153,6 +153,130 @@ def diverse_genes(spark, sf_dir):
     return _r(S.diverse_selection(H.base_scores(c, n).select("gene", F.col("variance_score").alias("score")), x, n, 40))
 
 
+# --- singular vectors and scores made from them -------------------------------------------------
+
+_EX = f"{_LOGS.split(', e AS')[0]}, ex AS (SELECT obs, gene, ln(1 + value * 10000 / greatest(sum(value) OVER (PARTITION BY obs), 1)) AS x FROM counts)"
+_DENSE = f"{_EX}, o AS (SELECT DISTINCT obs FROM counts), gn AS (SELECT DISTINCT gene FROM counts), dn AS (SELECT obs, gene, coalesce(x, 0) AS x FROM o CROSS JOIN gn LEFT JOIN ex USING (obs, gene))"
+_MOMENTS = "mo AS (SELECT gene, avg(x) AS mean, var_pop(x) AS variance, avg((x > 0)::INT) AS prevalence, sum(x) / (count(*) FILTER (x > 0) + 1e-8) AS separation FROM dn GROUP BY gene)"
+
+
+def _bump(c: str, center: float, width: float) -> str:
+    return f"exp(-(((({c}) - {center}) / {width}) ** 2))"
+
+
+def _rounded(df, places: int = 6):
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@_query(f"{_EX} SELECT gene, round(sum(x * x), 5) AS energy FROM ex GROUP BY gene")
+def svd_energy(spark, sf_dir):
+    """What all singular values and vectors tell of each gene: its sum of squares."""
+    from cohortframe.operators import decomposition as D
+
+    x = _logs(spark, sf_dir)
+    obs = x.select("obs").distinct()
+    rows = D.sparse_rows(x, obs.count(), obs)
+    svd = D.truncated_svd(rows, len(rows.genes))
+    energy = (svd.loadings**2 @ svd.values**2).tolist()
+    return spark.createDataFrame(list(zip(svd.genes, energy, strict=True)), f"gene {dict(x.dtypes)['gene']}, energy double").withColumn("energy", F.round("energy", 5))
+
+
+@_query()
+def singular_values(spark, sf_dir):
+    """The ten leading singular values of the rows as they are and of the centred ones."""
+    from cohortframe.operators import decomposition as D
+
+    x = _logs(spark, sf_dir)
+    obs = x.select("obs").distinct()
+    rows = D.sparse_rows(x, obs.count(), obs)
+    found = [(c, i, float(v)) for c in (False, True) for i, v in enumerate(D.truncated_svd(rows, 10, c).values)]
+    return _rounded(spark.createDataFrame(found, "centered boolean, component int, value double"))
+
+
+@_query()
+def basic_clusters(spark, sf_dir):
+    """Suppliers clustered by their scores on singular vectors of the most variable genes."""
+    from cohortframe.operators import decomposition as D
+
+    x = _logs(spark, sf_dir)
+    return D.basic_clusters(x, x.select("obs").distinct())
+
+
+@_query()
+def metagene_redundancy(spark, sf_dir):
+    from cohortframe.operators import scorers as S
+
+    x = _logs(spark, sf_dir)
+    return _rounded(S.metagene_redundancy(x, x.select("obs").distinct()))
+
+
+@_query()
+def marker_anti_hub(spark, sf_dir):
+    """Genes that mark one of the clusters found among the suppliers."""
+    from cohortframe.operators import scorers as S
+
+    x = _logs(spark, sf_dir)
+    return _rounded(S.marker_anti_hub(x, x.select("obs").distinct()))
+
+
+@_query(f"""{_DENSE}, {_MOMENTS}, st AS (SELECT obs, obs % 4 AS c FROM o), cs AS (SELECT gene, c, avg(x) AS a, count(*) AS m, sum(x) AS s FROM dn JOIN st USING (obs) GROUP BY ALL), al AS (SELECT gene, sum(x) AS s, count(*) AS n FROM dn GROUP BY ALL),
+ct AS (SELECT gene, max((a - (al.s - cs.s) / nullif(n - m, 0)) / (sqrt(variance) + 1e-6)) FILTER (m >= 5 AND n - m >= 5) AS contrast FROM cs JOIN al USING (gene) JOIN mo USING (gene) GROUP BY gene),
+t AS (SELECT gene, contrast, prevalence, variance, (row_number() OVER (ORDER BY round(mean, 10), gene) - 1) / greatest(count(*) OVER () - 1, 1) * {_bump('prevalence', 0.55, 0.33)} AS hub, coalesce(contrast, variance) AS mark FROM mo JOIN ct USING (gene)),
+r AS (SELECT *, {_z('mark')} + 0.3 * {_z('variance')} - 0.45 * {_z('hub')} AS raw FROM t) SELECT gene, round(contrast, 6) AS contrast, round(prevalence, 6) AS prevalence, round({_z('raw')}, 6) AS score FROM r""")
+def state_markers(spark, sf_dir):
+    """Genes that mark a given state (suppliers' keys modulo 4)."""
+    from cohortframe.operators import scorers as S
+
+    x = _logs(spark, sf_dir)
+    obs = x.select("obs").distinct()
+    return _rounded(S.marker_anti_hub(x, obs, groups=obs.withColumn("cluster", F.col("obs") % 4)))
+
+
+@_query(f"{_DENSE} SELECT gene, round(quantile_cont(x, 0.1), 8) AS q0, round(quantile_cont(x, 0.5), 8) AS q1, round(quantile_cont(x, 0.9), 8) AS q2 FROM dn GROUP BY gene")
+def gene_quantiles(spark, sf_dir):
+    from cohortframe.operators import scorers as S
+
+    x = _logs(spark, sf_dir)
+    return _r(S.gene_quantiles(x, x.select("obs").distinct().count(), 0.1, 0.5, 0.9))
+
+
+@_query(f"""{_DENSE}, {_MOMENTS}, q AS (SELECT gene, quantile_cont(x, 0.95) AS a, quantile_cont(x, 0.75) AS b, quantile_cont(x, 0.5) AS c FROM dn GROUP BY gene),
+t AS (SELECT gene, prevalence, a - c AS lift, a - b AS width, {_bump('prevalence', 0.12, 0.16)} AS rare, (prevalence > 0.75)::INT::DOUBLE AS often FROM mo JOIN q USING (gene)),
+r AS (SELECT *, {_z('lift')} + 0.65 * {_z('width')} + 0.45 * {_z('rare')} - 0.2 * {_z('often')} AS raw FROM t)
+SELECT gene, round(prevalence, 6) AS prevalence, round(lift, 6) AS tail_lift, round(width, 6) AS tail_width, round({_z('raw')}, 6) AS score FROM r""")
+def rare_state_tail(spark, sf_dir):
+    from cohortframe.operators import scorers as S
+
+    x = _logs(spark, sf_dir)
+    return _rounded(S.rare_state_tail(x, x.select("obs").distinct().count()))
+
+
+@_query(f"""{_DENSE}, {_MOMENTS}, t AS (SELECT gene, prevalence, separation, variance, -(prevalence * ln(prevalence + 1e-8) + (1 - prevalence) * ln(1 - prevalence + 1e-8)) AS h FROM mo), g AS (SELECT *, h * {_bump('prevalence', 0.35, 0.28)} AS gate FROM t),
+r AS (SELECT *, 0.75 * {_z('separation')} + 0.65 * {_z('gate')} + 0.2 * {_z('variance')} AS raw FROM g)
+SELECT gene, round(prevalence, 6) AS prevalence, round(separation, 6) AS separation, round(h, 6) AS detection_entropy, round({_z('raw')}, 6) AS score FROM r""")
+def bimodality_gate(spark, sf_dir):
+    from cohortframe.operators import scorers as S
+
+    x = _logs(spark, sf_dir)
+    return _rounded(S.bimodality_gate(x, x.select("obs").distinct().count()))
+
+
+@_query("""WITH m AS (SELECT l_suppkey AS run, avg(l_discount::DOUBLE) AS ari, avg(l_tax::DOUBLE) AS nmi, CASE WHEN l_suppkey % 5 > 0 THEN 2 * avg((l_returnflag = 'A')::INT) - 1 END AS label_silhouette, avg((l_linestatus = 'O')::INT) AS neighbor_preservation, max(l_discount::DOUBLE) AS stability FROM lineitem GROUP BY l_suppkey),
+s AS (SELECT *, 0.19 * (coalesce(label_silhouette, 0) + 1) + 0.135 + 0.35 * neighbor_preservation AS structure FROM m)
+SELECT run, round(structure, 6) AS structure_score, round(0.38 * ari + 0.28 * nmi + 0.2 * structure + 0.06 * stability, 6) AS reward FROM s""")
+def selection_reward(spark, sf_dir):
+    """Rewards of runs (suppliers) from stand-in metrics; some silhouettes are null, two metrics are absent."""
+    from cohortframe.operators import scorers as S
+
+    share = lambda c: F.avg(c.cast("double"))
+    m = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(
+        share(F.col("l_discount")).alias("ari"), share(F.col("l_tax")).alias("nmi"), (2 * share(F.col("l_returnflag") == "A") - 1).alias("label_silhouette"),
+        share(F.col("l_linestatus") == "O").alias("neighbor_preservation"), F.max(F.col("l_discount").cast("double")).alias("stability"),
+    )
+    m = m.withColumn("label_silhouette", F.when(F.col("run") % 5 > 0, F.col("label_silhouette")))
+    return _rounded(S.selection_reward(m).select("run", "structure_score", "reward"))
+
+
 # --- the selector ---------------------------------------------------------------------------------
 
 
