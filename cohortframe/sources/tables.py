@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortframe.sources.annotations import read_names
+
 #: Columns of observations and what stands in for a missing one.
 OBSERVATIONS = {"obs_id": ("string", None), "sample_id": ("string", "sample_0"), "condition": ("string", "unknown"), "cell_type": ("string", "unassigned"), "cluster": ("string", ""), "spatial_x": ("double", None), "spatial_y": ("double", None), "n_counts": ("double", 0.0), "n_genes_by_counts": ("double", 0.0)}
 
@@ -34,13 +36,11 @@ def read_observations(spark: SparkSession, path: str, kind: str = "parquet") ->
 def read_matrix_market(spark: SparkSession, path: str, genes: str, barcodes: str) -> DataFrame:
     """(obs, gene, value) of a coordinate file with one name per line in two side files; explicit zeros are dropped.
 
-    Lines of a text file have no number, so names are numbered by their place in the file; side files are one per feature or
-    cell and are read as whole files.  A coordinate occurs once in a file, so at most one entry reads like the line of sizes.
+    Names are numbered by their place in the file; blank lines of side files do not count.  A coordinate occurs once in a file, so at most one entry reads like the line of sizes.
     """
 
     def names(p: str, label: str) -> DataFrame:
-        lines = spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("i", "line"))
-        return lines.select((F.col("i") + 1).cast("long").alias(f"_{label}"), F.split("line", "\t")[0].alias(label))
+        return read_names(spark, p).select((F.col("_position") + 1).alias(f"_{label}"), F.col("obs").alias(label))
 
     body = spark.read.text(path).where(~F.col("value").startswith("%")).select(F.split(F.btrim("value"), r"\s+").alias("p")).where(F.size("p") >= 2)
     e = body.select(F.col("p")[0].cast("long").alias("_gene"), F.col("p")[1].cast("long").alias("_obs"), F.get("p", F.lit(2)).cast("double").alias("value"))
