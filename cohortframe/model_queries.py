@@ -277,6 +277,23 @@ def selection_reward(spark, sf_dir):
     return _rounded(S.selection_reward(m).select("run", "structure_score", "reward"))
 
 
+# --- side tables ------------------------------------------------------------------------------------
+
+
+@_query("SELECT 'c' || c_custkey AS obs, c_mktsegment AS label, c_nationkey::VARCHAR AS batch FROM customer")
+def sidecar_labels(spark, sf_dir):
+    """Labels and batches of customers from a CSV table that Spark writes of them, its columns found by their names."""
+    from uuid import uuid4
+
+    from cohortframe.plans.tables import shared_dir
+    from cohortframe.sources import annotations as N
+
+    c = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("obs"), "c_mktsegment", "c_nationkey")
+    path = f"{shared_dir(spark)}/cohortframe-annotations-{uuid4().hex}"
+    c.select(F.col("obs").alias("name"), F.col("c_nationkey").alias("the donor"), F.col("c_mktsegment").alias("Cell.Type")).write.csv(path, header=True)
+    return N.sidecars(c.select("obs"), N.read_annotations(spark, path, ","))
+
+
 # --- the selector ---------------------------------------------------------------------------------
 
 
