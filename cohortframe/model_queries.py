@@ -369,3 +369,20 @@ def coverage_frontier(spark, sf_dir):
     return _r(S.risk_frontier(S.coverage_sweep(S.held_out_decisions(*_selector(spark, sf_dir)))))
 
 
+
+
+# --- graph embedding -----------------------------------------------------------------------------
+
+
+@_query()
+def graph_embedding(spark, sf_dir):
+    """Vectors are nodes, joined to the next and the last of their sample by number; no SQL, as the fit draws views."""
+    from cohortframe.operators import contrast as C
+
+    nodes = _vectors(spark, sf_dir).where("vector is not null").select("sample_id", "obs_id", "condition", F.col("vector").alias("features"))
+    ends = nodes.select("sample_id", F.col("obs_id").alias("src"), F.explode(F.array(F.col("obs_id") - 8, F.col("obs_id") + 8)).alias("dst"))
+    known = nodes.select("sample_id", F.col("obs_id").alias("dst"))
+    edges = ends.join(known, ["sample_id", "dst"], "left_semi")
+    edges = edges.join(edges.groupBy("sample_id", "src").agg(F.count("*").alias("n")), ["sample_id", "src"]).select("sample_id", "src", "dst", (1.0 / F.col("n")).alias("weight"))
+    out, _ = C.graph_embedding(nodes, edges)
+    return out.select("sample_id", "obs_id", F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
