@@ -16,6 +16,9 @@ from cohortframe.plans.ship import ship
 
 #: Leading principal dimensions that the grid has.
 AXES = 6
+#: Axes whose cells blocks meet in, and the side of a tile of pairs, in blocks.
+KEYS = 3
+TILE = 8
 _LEAF = 256
 _BLOCK = pa.schema([("group", pa.string()), ("block", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("sizes", pa.binary()), ("unit", pa.binary())])
 _BLOCK_SQL = "`group` string, block long, lo array<double>, hi array<double>, ids binary, sizes binary, unit binary"
@@ -87,9 +90,9 @@ def _label(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.n
 class Sequence:
     """An interval of the grid order: unit vectors, their projections, ids and how many vectors each stands for."""
 
-    def __init__(self, r: dict, side: str, axes: dict[int, np.ndarray]) -> None:
-        self.ids, self.sizes = np.frombuffer(r[f"ids{side}"], np.int64), np.frombuffer(r[f"sizes{side}"], np.int64)
-        self.unit = np.frombuffer(r[f"unit{side}"], np.float64).reshape(len(self.ids), -1)
+    def __init__(self, r: dict, axes: dict[int, np.ndarray]) -> None:
+        self.ids, self.sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int64)
+        self.unit = np.frombuffer(r["unit"], np.float64).reshape(len(self.ids), -1)
         self.at = project(self.unit, axes)
         self.links, self.root = np.zeros(len(self.ids), np.int64), self.ids.copy()
         self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -135,7 +138,40 @@ def join_sequences(s: Sequence, t: Sequence, least: float, edges: list[tuple[np.
             edges.append((ids[moved], root[moved]))
 
 
-def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4096) -> DataFrame:
+def near_blocks(boxes: DataFrame, reach: float) -> DataFrame:
+    """(block1, block2), block1 <= block2, once each: blocks of a group whose boxes (group, block, lo, hi) are within ``reach``.
+
+    Boxes meet in cells on the leading axes: those that one spans and the other, widened by a cell, reaches; the first common
+    cell makes the pair.  Cells have a side of ``reach`` or a quarter at least, so a box within [-1, 1] spans a bounded number.
+    """
+    side = max(reach, 0.25)
+    ends = [(f"from{k}", f"upto{k}") for k in range(KEYS)]
+    for k, (a, z) in enumerate(ends):
+        # vectors shorter than that have one cell on the axes they lack
+        boxes = boxes.withColumn(a, F.floor(F.coalesce(F.try_element_at("lo", F.lit(k + 1)), F.lit(0.0)) / side)).withColumn(z, F.floor(F.coalesce(F.try_element_at("hi", F.lit(k + 1)), F.lit(0.0)) / side))
+    left, right = (boxes.select("group", *[F.col(c).alias(f"{c}_{n}") for c in boxes.columns if c != "group"]) for n in "12")
+    meets = F.lit(True)
+    for k, (a, z) in enumerate(ends):
+        left = left.withColumn(f"x{k}", F.explode(F.sequence(F.col(f"{a}_1") - 1, F.col(f"{z}_1") + 1)))
+        right = right.withColumn(f"x{k}", F.explode(F.sequence(f"{a}_2", f"{z}_2")))
+        meets = meets & (F.col(f"x{k}") == F.greatest(F.col(f"{a}_1") - 1, F.col(f"{a}_2")))
+    gap = F.aggregate(F.arrays_zip("lo_1", "hi_1", "lo_2", "hi_2"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z["lo_2"] - z["hi_1"], z["lo_1"] - z["hi_2"]), F.lit(2.0)))
+    out = left.join(right, ["group", *[f"x{k}" for k in range(KEYS)]]).where((F.col("block_1") <= F.col("block_2")) & meets & (gap <= reach * reach + 1e-9))
+    return out.select(F.col("block_1").alias("block1"), F.col("block_2").alias("block2"))
+
+
+def tiles(pairs: DataFrame, width: int) -> DataFrame:
+    """(c1, c2, block, pairs): every block once for each tile of ``width`` by ``width`` blocks that a pair of it lies in, with the tile's pairs.
+
+    Blocks are numbered in grid order, so those of a tile are neighbours; a block is sent to as many tiles as its pairs lie in,
+    not once for each pair.
+    """
+    c1, c2 = (F.floor(F.col(c) / width).cast("long").alias(n) for c, n in (("block1", "c1"), ("block2", "c2")))
+    own = pairs.groupBy(c1, c2).agg(F.collect_list(F.struct("block1", "block2")).alias("pairs"))
+    return own.select("c1", "c2", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["block1"], p["block2"]))))).alias("block"), "pairs")
+
+
+def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4096, block_bytes: int = 2 << 20) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Vectors link when their labels are equal and not null and their cosine, in double precision, is ``least`` or more.
@@ -145,9 +181,10 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
 
     Equal vectors of a label are one class, so a vector that a third of the rows share is one row with a weight.
     Classes are put in grid order, by label and by cells of side sqrt(2 - 2 * least) on the leading principal axes
-    of all vectors, and cut into blocks.  Blocks meet in the cells of the first axis; pairs whose boxes may be in reach are
-    joined by recursion.  A class is known by two 64-bit hashes of its vector.
-    A pair of blocks gives at most one count and a few spanning edges per vector, not its pairs.
+    of all vectors, and cut into blocks of ``block_rows`` rows or ``block_bytes`` bytes.  Blocks meet in cells on three axes; pairs whose
+    boxes may be in reach are dealt into tiles of eight by eight blocks, and a task joins the pairs of a tile by recursion, so that
+    it holds sixteen blocks.  A class is known by two 64-bit hashes of its vector.
+    A tile gives at most one count and a few spanning edges per vector and pair of blocks, not pairs of vectors.
     A null vec_id comes after all others; other columns are ignored; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
@@ -189,7 +226,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
 
         for b in batches:
             for g, i, n, u in zip(*(b.column(c).to_pylist() for c in ("group", "id", "n", "unit")), strict=True):
-                if ids and (g != group or len(ids) >= block_rows):
+                if ids and (g != group or len(ids) >= block_rows or (len(ids) + 1) * len(u) > block_bytes):
                     yield block()
                     made, ids, sizes, units = made + 1, [], [], []
                 group = g
@@ -200,34 +237,21 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, block_rows: int = 4
             yield block()
 
     blocks = materialize(ordered.select("group", "id", "n", "unit").mapInArrow(cut, _BLOCK_SQL), "blocks")
-    # blocks follow the grid order, so each spans few cells of the first axis: blocks meet in the cells that one spans and the other,
-    # widened by one cell, reaches; the first common cell makes the pair
-    boxes = blocks.select("group", "block", "lo", "hi").withColumn("from", F.floor(F.col("lo")[0] / cell)).withColumn("upto", F.floor(F.col("hi")[0] / cell))
-    left = boxes.toDF("group", "block1", "lo1", "hi1", "from1", "upto1").withColumn("x", F.explode(F.sequence(F.col("from1") - 1, F.col("upto1") + 1)))
-    right = boxes.toDF("group", "block2", "lo2", "hi2", "from2", "upto2").withColumn("x", F.explode(F.sequence("from2", "upto2")))
-    gap = F.aggregate(F.arrays_zip("lo1", "hi1", "lo2", "hi2"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z["lo2"] - z["hi1"], z["lo1"] - z["hi2"]), F.lit(2.0)))
-    pairs = left.join(right, ["group", "x"]).where((F.col("block1") <= F.col("block2")) & (F.col("x") == F.greatest(F.col("from1") - 1, F.col("from2"))) & (gap <= cell * cell + 1e-9)).select("block1", "block2")
-    for k in "12":
-        pairs = pairs.join(blocks.select(F.col("block").alias(f"block{k}"), F.col("ids").alias(f"ids{k}"), F.col("sizes").alias(f"sizes{k}"), F.col("unit").alias(f"unit{k}")).hint("merge"), f"block{k}")
-    pairs = pairs.repartition(tasks, "block1", "block2")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                r = {c: b.column(c)[k].as_py() for c in b.schema.names}
-                s = Sequence(r, "1", axes)
-                t = s if r["block1"] == r["block2"] else Sequence(r, "2", axes)
-                edges: list[tuple[np.ndarray, np.ndarray]] = []
-                join_sequences(s, t, least, edges)
-                for q in (s,) if s is t else (s, t):
-                    some = q.links > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(q.ids[some]), pa.array(q.links[some]), pa.nulls(int(some.sum()), pa.int64())], ["id", "links", "to"])
-                if edges:
-                    a, z = (np.concatenate(x) for x in zip(*edges, strict=True))
-                    both = np.unique(np.stack((a, z), 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.nulls(len(both), pa.int64()), pa.array(both[:, 1].copy())], ["id", "links", "to"])
-
-    found = materialize(pairs.mapInArrow(match, "id long, links long, to long"), "links")
+    pairs = materialize(near_blocks(blocks.select("group", "block", "lo", "hi"), cell), "pairs")
+    dealt = tiles(pairs, TILE).join(blocks.select("block", "ids", "sizes", "unit").hint("merge"), "block")
+
+    def match(tile: pa.Table) -> pa.Table:
+        wanted = tile.column("pairs")[0].as_py()
+        found = {r["block"]: Sequence(r, axes) for r in tile.select(["block", "ids", "sizes", "unit"]).to_pylist()}
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        for p in wanted:
+            join_sequences(found[p["block1"]], found[p["block2"]], least, edges)
+        ids, links = (np.concatenate([getattr(q, c)[q.links > 0] for q in found.values()]) for c in ("ids", "links"))
+        both = np.unique(np.stack([np.concatenate(x) for x in zip(*edges, strict=True)], 1), axis=0) if edges else np.zeros((0, 2), np.int64)
+        none = pa.nulls(len(both), pa.int64()), pa.nulls(len(ids), pa.int64())
+        return pa.table({"id": pa.array(np.concatenate((ids, both[:, 0]))), "links": pa.chunked_array([pa.array(links), none[0]]), "to": pa.chunked_array([none[1], pa.array(both[:, 1].copy())])})
+
+    found = materialize(dealt.groupBy("c1", "c2").applyInArrow(match, "id long, links long, to long"), "links")
     counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("`to` is not null"), "id", "to").withColumnRenamed("node", "id")
     named = classes.select("h1", "h2", "id", "n").join(counts, "id", "left").join(roots, "id", "left")
