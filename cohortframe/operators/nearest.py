@@ -57,6 +57,45 @@ def gap(a: str, b: str) -> Column:
     return F.sqrt(squared_distance(F.col(a), F.col(b)))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """The rows as bytes; as single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return b"f" + small.tobytes() if (small == x).all() else b"d" + x.tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if data[:1] == b"f" else np.float64, offset=1).reshape(n, -1).astype(np.float64)
+
+
+class _Best:
+    """The ``k`` nearest so far of the rows of a block; only what is within ``kth`` of a row counts."""
+
+    def __init__(self, x: np.ndarray, kth: np.ndarray, k: int) -> None:
+        self.x, self.kth, self.k = x, kth.copy(), k
+        self.x2 = (x * x).sum(1)
+        self.left = np.concatenate((-2 * x, np.ones((len(x), 1))), 1)
+        self.row, self.id, self.far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def meet(self, y: np.ndarray, ids: np.ndarray) -> None:
+        """Products of matrices choose what is compared by differences: all within rounding of a row's limit."""
+        y2 = (y * y).sum(1)
+        limit = self.kth * self.kth - self.x2 + 1e-9 * (self.x2 + y2.max()) + 1e-12
+        row, col = np.nonzero(self.left @ np.concatenate((y, y2[:, None]), 1).T <= limit[:, None])
+        if not len(row):
+            return
+        far = np.concatenate([exact(self.x[row[i : i + 65536]], y[col[i : i + 65536]]) for i in range(0, len(row), 65536)])
+        near = far <= self.kth[row]
+        row, at, far = (np.concatenate(c) for c in ((self.row, row[near]), (self.id, ids[col[near]]), (self.far, far[near])))
+        order = np.lexsort((at, far, row))
+        row, at, far = row[order], at[order], far[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        last = place == self.k - 1
+        self.kth[row[last]] = np.minimum(self.kth[row[last]], far[last])
+        self.row, self.id, self.far = row[keep], at[keep], far[keep]
+
+
 def _cut(pivots: np.ndarray, block_rows: int):
     """Rows dealt by cell, in order of their distance from its pivot, cut into blocks."""
 
@@ -67,7 +106,7 @@ def _cut(pivots: np.ndarray, block_rows: int):
         def block() -> pa.RecordBatch:
             x = np.array(rows, np.float64)
             center = x.mean(0)
-            return pa.RecordBatch.from_pylist([{"block": made, "cell": cell, "ids": ids, "unit": x.tobytes(), "center": center.tolist(), "radius": float(exact(x, center).max()), "reach": None}], schema=_BLOCK)
+            return pa.RecordBatch.from_pylist([{"block": made, "cell": cell, "ids": ids, "unit": _packed(x), "center": center.tolist(), "radius": float(exact(x, center).max()), "reach": None}], schema=_BLOCK)
 
         for b in batches:
             for c, i, v in zip(*(b.column(n).to_pylist() for n in ("cell", "id", "vector")), strict=True):
@@ -94,13 +133,13 @@ def _near_pivot(pivots: np.ndarray):
     return run
 
 
-def vector_neighbors(rows: DataFrame, k: int = 15, block_rows: int = 1024, most_pivots: int = 256, seed: int = 7) -> DataFrame:
+def vector_neighbors(rows: DataFrame, k: int = 15, block_rows: int = 1024, most_pivots: int = 256, seed: int = 7, tile_rows: int | None = None) -> DataFrame:
     """(src, dst, dist, rank): the ``k`` nearest other rows of each row by Euclidean distance; equally near ones by obs_id (long).
 
     Rows are dealt to cells of the nearest pivot (a bounded sample) and cut into blocks of ``block_rows`` with a center and
     a radius.  Each block first searches itself; the largest k-th distance found is its reach.  A second block is searched only if
-    its center is not further than the two radii and that reach, which loses no neighbour.  Candidates of a row are k per
-    block met.  Rows whose vector is null are left out.
+    its center is not further than the two radii and that reach, which loses no neighbour.  Blocks travel once per pair of tiles of ``tile_rows`` rows
+    (a twelfth of all, 65,536 at most), and candidates of a row are k per tile at most.  Rows whose vector is null are left out.
     """
     ship(rows.sparkSession)
     spark = rows.sparkSession
@@ -119,13 +158,16 @@ def vector_neighbors(rows: DataFrame, k: int = 15, block_rows: int = 1024, most_
         for b in batches:
             for r in b.to_pylist():
                 ids = np.array(r["ids"], np.int64)
-                x = np.frombuffer(r["unit"], np.float64).reshape(len(ids), -1)
+                x = _unpacked(r["unit"], len(ids))
                 src, dst, far = nearest_of(x, ids, x, ids, k)
                 # fewer than k others in the block: any distance may be needed
-                reach = float(far.max()) if len(ids) > k else float("inf")
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([reach]), pa.array([ids[src].tolist()], pa.list_(pa.int64())), pa.array([dst.tolist()], pa.list_(pa.int64())), pa.array([far.tolist()], pa.list_(pa.float64()))], ["block", "reach", "src", "dst", "dist"])
+                kth = np.full(len(ids), np.inf)
+                if len(ids) > k:
+                    kth = np.zeros(len(ids))
+                    np.maximum.at(kth, src, far)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([float(kth.max())]), pa.array([kth.tolist()], pa.list_(pa.float64())), pa.array([ids[src].tolist()], pa.list_(pa.int64())), pa.array([dst.tolist()], pa.list_(pa.int64())), pa.array([far.tolist()], pa.list_(pa.float64()))], ["block", "reach", "kth", "src", "dst", "dist"])
 
-    first = materialize(plain.mapInArrow(inner, "block long, reach double, src array<long>, dst array<long>, dist array<double>"), "within")
+    first = materialize(plain.mapInArrow(inner, "block long, reach double, kth array<double>, src array<long>, dst array<long>, dist array<double>"), "within")
     # cells are met before blocks, so that far cells cost one row each
     blocks = plain.select("block", "cell", "center", "radius").join(first.select("block", "reach"), "block")
     cells = blocks.groupBy("cell").agg(F.max("reach").alias("reach"))
@@ -139,22 +181,36 @@ def vector_neighbors(rows: DataFrame, k: int = 15, block_rows: int = 1024, most_
     two = blocks.select(F.col("block").alias("block2"), F.col("cell").alias("cell2"), F.col("center").alias("c2"), F.col("radius").alias("r2"))
     pairs = one.join(F.broadcast(met), "cell1").join(two, "cell2").where("block1 != block2").where(gap("c1", "c2") <= F.col("r1") + F.col("r2") + F.col("reach") + 1e-9).select("block1", "block2")
     pairs = materialize(pairs, "block-pairs")
-    for i in "12":
-        pairs = pairs.join(plain.select(F.col("block").alias(f"block{i}"), F.col("ids").alias(f"ids{i}"), F.col("unit").alias(f"unit{i}")), f"block{i}")
-
-    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for j in range(b.num_rows):
-                r = {c: b.column(c)[j].as_py() for c in ("ids1", "unit1", "ids2", "unit2")}
-                a, z = np.array(r["ids1"], np.int64), np.array(r["ids2"], np.int64)
-                src, dst, far = nearest_of(np.frombuffer(r["unit1"], np.float64).reshape(len(a), -1), a, np.frombuffer(r["unit2"], np.float64).reshape(len(z), -1), z, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a[src]), pa.array(dst), pa.array(far)], ["src", "dst", "dist"])
-
+    size = min(1 << 16, max(4 * block_rows, -(-n // 12))) if tile_rows is None else tile_rows
+    # one row a block
+    tiles = materialize(plain.select("block", (F.sum(F.size("ids")).over(W.orderBy("block")) / size).cast("long").alias("tile")), "tiles")
+    met = pairs.join(F.broadcast(tiles.toDF("block1", "t1")), "block1").join(F.broadcast(tiles.toDF("block2", "t2")), "block2")
+    units = plain.select("block", "ids", "unit", "center", "radius").join(first.select("block", "reach", "kth"), "block")
+    asks = units.join(met.select(F.col("block1").alias("block"), "t1", "t2").distinct(), "block").withColumn("asks", F.lit(True))
+    asked = units.withColumn("kth", F.lit(None).cast("array<double>")).join(met.select(F.col("block2").alias("block"), "t1", "t2").distinct(), "block").withColumn("asks", F.lit(False))
+
+    def outer(t: pa.Table) -> pa.Table:
+        ids, kth = ([r.values.to_numpy() if r.is_valid else None for r in t.column(c)] for c in ("ids", "kth"))
+        center, block = np.array(t.column("center").to_pylist(), np.float64), t.column("block").to_numpy()
+        radius, reach, asks = (t.column(c).to_numpy() for c in ("radius", "reach", "asks"))
+        others = np.flatnonzero(~asks)
+        whole = {j: _unpacked(t.column("unit")[j].as_py(), len(ids[j])) for j in others.tolist()}
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for i in np.flatnonzero(asks).tolist():
+            best = _Best(_unpacked(t.column("unit")[i].as_py(), len(ids[i])), kth[i], k)
+            apart = exact(center[others], center[i])
+            for j in others[np.argsort(apart, kind="stable")].tolist():
+                if block[j] != block[i] and exact(center[j], center[i]) <= radius[i] + radius[j] + min(reach[i], best.kth.max()) + 1e-9:
+                    best.meet(whole[j], ids[j])
+            out.append((ids[i][best.row], best.id, best.far))
+        return pa.table(dict(zip(("src", "dst", "dist"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    columns = ["t1", "t2", "asks", "block", "ids", "unit", "center", "radius", "reach", "kth"]
+    found = asks.select(columns).unionByName(asked.select(columns)).groupBy("t1", "t2").applyInArrow(outer, _FOUND_SQL)
     near = first.select(F.explode(F.arrays_zip("src", "dst", "dist")).alias("e")).select("e.src", "e.dst", "e.dist")
-    found = near.unionByName(pairs.select("ids1", "unit1", "ids2", "unit2").mapInArrow(outer, _FOUND_SQL))
-    best = found.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst")))
+    best = near.unionByName(found).withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst")))
     out = materialize(best.where(F.col("rank") <= k).select("src", "dst", "dist", F.col("rank").cast("int").alias("rank")), "neighbors")
-    for t in (plain, first, cells):
+    for t in (plain, first, cells, tiles):
         drop(t)
     return out
 

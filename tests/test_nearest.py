@@ -60,3 +60,20 @@ def test_preservation_and_conservation(spark):
     assert nearest.neighbor_preservation(a.limit(2), b).first()[0] == 0.0
     assert nearest.vector_neighbors(a.limit(0)).count() == 0
     assert nearest.label_conservation(a.where(F.lit(False)), "label").first()[0] is None
+
+
+def test_tiles_equal_brute_force(spark):
+    """Blocks meet in pairs of tiles, singles and doubles, with ties by id; a row leaves a tile with no more than k candidates."""
+    r = np.random.default_rng(5)
+    x = r.integers(0, 4, size=(260, 3)).astype(float)
+    x[::5] += 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obs_id int, vector array<double>")
+    got = nearest.vector_neighbors(df, 6, 20, tile_rows=60).collect()
+    assert sorted((t["src"], t["dst"], t["rank"]) for t in got) == plain(list(range(260)), x, 6)
+    for y in (x[:4], np.floor(x[:4])):
+        assert (nearest._unpacked(nearest._packed(y), 4) == y).all()
+    assert len(nearest._packed(x[:4])) > len(nearest._packed(np.floor(x[:4])))
+    best = nearest._Best(x[:50], np.full(50, np.inf), 6)
+    for at in range(50, 260, 70):
+        best.meet(x[at : at + 70], np.arange(at, at + 70))
+    assert (np.bincount(best.row) == 6).all()
