@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortframe.functions import special
+from cohortframe.operators import neighborhood as N
 from cohortframe.operators.decisions import marker_genes
 from cohortframe.operators.decomposition import scores, sparse_rows, truncated_svd
 from cohortframe.operators.vectors import variable_genes
 from cohortframe.plans.ship import ship
+from cohortframe.plans.tables import materialize
 
 
 def quantile_state(value: Column, low: Column, high: Column, labels: tuple[str, str, str]) -> Column:
@@ -29,11 +31,28 @@ def motif_labels(spots: DataFrame, shares: DataFrame, entropy: DataFrame, densit
     equal means the smaller name leads; a single cell type is named twice.
     """
     m = spots.select(F.col("obs_id").alias("src"), F.col(motif).alias("motif_id"))
-    n = m.groupBy("motif_id").agg(F.count("*").alias("n"))
-    top = shares.join(m, "src").groupBy("motif_id", "label").agg(F.sum("share").alias("s")).join(n, "motif_id").withColumn("s", F.round(F.col("s") / F.col("n"), 12))
+    sums = shares.join(m, "src").groupBy("motif_id", "label").agg(F.sum("share").alias("s"))
+    means = m.join(entropy.select("src", "entropy"), "src").join(density.select("src", "area_density"), "src").groupBy("motif_id").agg(F.avg("entropy").alias("e"), F.avg("area_density").alias("d"))
+    return _motif_names(m.groupBy("motif_id").agg(F.count("*").alias("n")), sums, means)
+
+
+def neighborhood_labels(spots: DataFrame, k: int, label: str, categories: int, motif: str = "motif_id") -> DataFrame:
+    """:func:`motif_labels` of the ``k`` nearest: neighbours' lists carry labels and motifs, so only sums by motif are shuffled.
+
+    Spots have one sample each; a null label has a share in no motif.
+    """
+    rows = spots.withColumn("_motif", F.col(motif)).withColumn("_label", F.col(label))
+    t = materialize(N.list_statistics(N.knn_lists(rows, k, carry=("_label", "_motif")), rows, "_label", categories, (k,), carry=("_motif",)), "labels")
+    t = t.withColumnRenamed("_motif", "motif_id")
+    sums = t.select("motif_id", F.explode("shares").alias("e")).groupBy("motif_id", "e.label").agg(F.sum("e.share").alias("s"))
+    means = t.groupBy("motif_id").agg(F.avg("entropy").alias("e"), F.avg("area_density").alias("d"))
+    return _motif_names(t.groupBy("motif_id").agg(F.count("*").alias("n")), sums, means)
+
+
+def _motif_names(n: DataFrame, sums: DataFrame, means: DataFrame) -> DataFrame:
+    top = sums.join(n, "motif_id").withColumn("s", F.round(F.col("s") / F.col("n"), 12))
     top = top.withColumn("r", F.row_number().over(W.partitionBy("motif_id").orderBy(F.desc("s"), "label"))).where("r <= 2")
     names = top.groupBy("motif_id").agg(F.max(F.when(F.col("r") == 1, F.col("label"))).alias("one"), F.max(F.when(F.col("r") == 2, F.col("label"))).alias("two"))
-    means = m.join(entropy.select("src", "entropy"), "src").join(density.select("src", "area_density"), "src").groupBy("motif_id").agg(F.avg("entropy").alias("e"), F.avg("area_density").alias("d"))
     cuts = means.agg(*[F.percentile(c, q).alias(f"{c}{i}") for c in "ed" for i, q in ((1, 0.33), (2, 0.66))])
     out = names.join(means, "motif_id").crossJoin(F.broadcast(cuts))
     state = F.concat_ws(" ", quantile_state(F.col("d"), F.col("d1"), F.col("d2"), ("sparse", "mixed", "dense")), quantile_state(F.col("e"), F.col("e1"), F.col("e2"), ("lowE", "midE", "highE")))
