@@ -52,14 +52,26 @@ _ERF = np.array([erf(x) for x in _GRID])
 _SLOPE = 2 / sqrt(pi) * np.exp(-_GRID * _GRID)
 
 
+#: By grid piece, the four coefficients of the cubic in the place within the piece.
+_STEP = float(_GRID[1] - _GRID[0])
+_RISE, _S0, _S1 = _ERF[1:] - _ERF[:-1], _STEP * _SLOPE[:-1], _STEP * _SLOPE[1:]
+_CUBIC = np.stack([_ERF[:-1], _S0, 3 * _RISE - 2 * _S0 - _S1, _S0 + _S1 - 2 * _RISE], 1)
+
+
 def _erf(x: np.ndarray) -> np.ndarray:
     """The error function by cubic pieces over a grid of exact values and slopes."""
-    step = _GRID[1] - _GRID[0]
-    at = (np.clip(x, -6.0, 6.0) + 6.0) / step
-    i = np.minimum(at.astype(np.int64), len(_GRID) - 2)
-    t = at - i
-    u = 1 - t
-    return _ERF[i] * u * u * (1 + 2 * t) + _ERF[i + 1] * t * t * (3 - 2 * t) + step * t * u * (_SLOPE[i] * u - _SLOPE[i + 1] * t)
+    t = np.clip(x, -6.0, 6.0)
+    t += 6.0
+    t /= _STEP
+    i = np.minimum(t.astype(np.intp), len(_CUBIC) - 1)
+    t -= i
+    c = _CUBIC.take(i, 0)
+    out = c[..., 3] * t
+    for k in (2, 1):
+        out += c[..., k]
+        out *= t
+    out += c[..., 0]
+    return out
 
 
 def _gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +115,24 @@ class Adjacency:
         self.ways = [self._sorted(src, dst, weight), self._sorted(dst, src, weight)]
 
     @staticmethod
-    def _sorted(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _sorted(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple:
         order = np.argsort(a, kind="stable")
-        rows, starts = np.unique(a[order], return_index=True)
-        return rows, starts, b[order], weight[order, None]
+        rows, starts, n = np.unique(a[order], return_index=True, return_counts=True)
+        other, weight = b[order], weight[order, None]
+        if len(n) and n.max() > 32:
+            return rows, starts, other, weight
+        # the first edges of all rows, then the second ones, and so on: few gathers where degrees are small
+        return tuple((rows[n > j], other[starts[n > j] + j], weight[starts[n > j] + j]) for j in range(n.max() if len(n) else 0))
 
     def times(self, x: np.ndarray, transposed: bool = False) -> np.ndarray:
-        rows, starts, other, weight = self.ways[transposed]
-        out = np.zeros((self.n, x.shape[1]))
-        if len(rows):
+        way, out = self.ways[transposed], np.zeros((self.n, x.shape[1]))
+        if way and isinstance(way[0], tuple):
+            for rows, other, weight in way:
+                near = x[other]
+                near *= weight
+                out[rows] += near
+        elif way:
+            rows, starts, other, weight = way
             out[rows] = np.add.reduceat(weight * x[other], starts)
         return out
 
@@ -312,6 +333,10 @@ def neighborhoods(nodes: DataFrame, edges: DataFrame, batch_nodes: int = 256, st
     return materialize(inside.join(links, "batch", "left"), "batches")
 
 
+def _name(batch: int) -> int:
+    return int.from_bytes(hashlib.sha256(str(batch).encode()).digest()[:4], "little")
+
+
 def _read(row: dict) -> tuple[Batch, list[dict]]:
     nodes, edges = row["nodes"], row["edges"] or []
     at = {(r["sample_id"], r["obs_id"]): i for i, r in enumerate(nodes)}
@@ -319,12 +344,36 @@ def _read(row: dict) -> tuple[Batch, list[dict]]:
     near = Adjacency(src, dst, np.array([r["weight"] for r in edges], float), len(nodes))
     seeds = np.array([i for i, r in enumerate(nodes) if r["step"] == 0], np.int64)
     samples, conditions = (np.array([str(nodes[i][c]) for i in seeds]) for c in ("sample_id", "condition"))
-    name = int.from_bytes(hashlib.sha256(str(row["batch"]).encode()).digest()[:4], "little")
-    return Batch(name, np.array([r["x"] for r in nodes], float), near, seeds, samples, conditions), nodes
+    return Batch(_name(row["batch"]), np.array([r["x"] for r in nodes], float), near, seeds, samples, conditions), nodes
+
+
+_PACKED = "batch long, n long, seeds binary, x binary, src binary, dst binary, weight binary, samples array<string>, conditions array<string>"
+
+
+def packed(batches: DataFrame) -> DataFrame:
+    """The batches of :func:`neighborhoods` as arrays, so that a round reads numbers instead of looking nodes up again."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                own, _ = _read(row)
+                src, dst, weight = own.near.parts
+                values = {"batch": row["batch"], "n": len(own.x), "seeds": own.seeds.tobytes(), "x": own.x.tobytes(), "src": src.tobytes(), "dst": dst.tobytes(), "weight": weight.tobytes(), "samples": own.samples.tolist(), "conditions": own.conditions.tolist()}
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) if isinstance(v, bytes) else pa.array([v]) for v in values.values()], list(values))
+
+    return materialize(batches.mapInArrow(run, _PACKED), "packed")
+
+
+def _unpacked(row: dict) -> Batch:
+    """The batch of a row of :func:`packed`."""
+    seeds, src, dst = (np.frombuffer(row[c], np.int64) for c in ("seeds", "src", "dst"))
+    near = Adjacency(src, dst, np.frombuffer(row["weight"]), row["n"])
+    return Batch(_name(row["batch"]), np.frombuffer(row["x"]).reshape(row["n"], -1), near, seeds, np.array(row["samples"]), np.array(row["conditions"]))
 
 
 def total_loss(batches: DataFrame, flat: np.ndarray, s: Settings, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """The loss and the gradient over all batches, weighted by their seeds.
+    """The loss and the gradient over all batches, as they are or :func:`packed`, weighted by their seeds.
 
     A task gives one number per parameter, summed up by place on the executors.
     """
@@ -333,7 +382,8 @@ def total_loss(batches: DataFrame, flat: np.ndarray, s: Settings, turn: int) ->
         sums, weight = 0.0, 0
         for b in rows:
             for k in range(b.num_rows):
-                batch, _ = _read(b.slice(k, 1).to_pylist()[0])
+                row = b.slice(k, 1).to_pylist()[0]
+                batch = _unpacked(row) if "x" in row else _read(row)[0]
                 parts, gradient = batch_loss(flat, batch, s, turn)
                 sums, weight = sums + len(batch.seeds) * np.concatenate((parts, gradient)), weight + len(batch.seeds)
         if weight:
@@ -350,7 +400,8 @@ def fit(batches: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, list[
     Steps have decaying weights and bounded gradients; fitting ends after ``patience`` rounds without gain.
     """
     ship(batches.sparkSession)
-    first = batches.select(F.size(F.col("nodes")[0]["x"]).alias("d")).first()
+    width = F.octet_length("x") / 8 / F.col("n") if "x" in batches.columns else F.size(F.col("nodes")[0]["x"])
+    first = batches.select(width.cast("int").alias("d")).first()
     if first is None:
         return np.zeros(0), []
     flat = first_parameters(first["d"], s)
@@ -397,5 +448,5 @@ def graph_embedding(nodes: DataFrame, edges: DataFrame, s: Settings = Settings()
     nodes = nodes.where("sample_id is not null and obs_id is not null and features is not null").dropDuplicates(key)
     known = nodes.select("sample_id", F.col("obs_id").alias("dst"))
     batches = neighborhoods(nodes, edges.join(known, ["sample_id", "dst"], "left_semi"), batch_nodes)
-    flat, history = fit(batches, s)
+    flat, history = fit(packed(batches), s)
     return embed(batches, flat, s, nodes.schema["obs_id"].dataType.simpleString()), history

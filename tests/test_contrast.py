@@ -119,3 +119,29 @@ def test_nulls_repeats_lone_nodes_and_empty_tables(spark):
     assert sorted(r.obs_id for r in out.collect()) == [*range(9), 91]
     out, history = C.graph_embedding(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES), s)
     assert out.count() == 0 and history == []
+
+
+def test_packed_batches_are_those_read_and_give_the_same_loss(spark):
+    nodes, edges = ring(60)
+    n = spark.createDataFrame(nodes, "sample_id string, obs_id long, condition string, features array<double>")
+    e = spark.createDataFrame(edges, "sample_id string, src long, dst long, weight double")
+    s = C.Settings(hidden=8, width=4, rounds=2)
+    batches = C.neighborhoods(n, e, 20)
+    packed, own = C.packed(batches), {r["batch"]: C._read(r.asDict(True))[0] for r in batches.collect()}
+    assert packed.count() == len(own) == 3
+    for r in packed.collect():
+        got, want = C._unpacked(r.asDict()), own[r["batch"]]
+        assert (got.x == want.x).all() and (got.seeds == want.seeds).all() and got.name == want.name
+        assert all((a == b).all() for a, b in zip(got.near.parts, want.near.parts, strict=True))
+    flat = C.first_parameters(4, s)
+    for a, b in zip(C.total_loss(packed, flat, s, 1), C.total_loss(batches, flat, s, 1), strict=True):
+        assert np.allclose(a, b, rtol=1e-12, atol=1e-14)
+
+
+def test_neighbours_sums_with_and_without_a_hub():
+    r = np.random.default_rng(3)
+    for hub in (2, 50):
+        src, dst, w = np.concatenate((np.zeros(hub, int), r.integers(0, 9, 20))), r.integers(0, 60, hub + 20), r.random(hub + 20)
+        near, x, dense = C.Adjacency(src, dst, w, 60), r.normal(size=(60, 5)), np.zeros((60, 60))
+        np.add.at(dense, (src, dst), w)
+        assert np.allclose(near.times(x), dense @ x) and np.allclose(near.times(x, True), dense.T @ x)
