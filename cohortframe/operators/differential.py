@@ -157,6 +157,11 @@ def _thresholds(spots: DataFrame, sizes: dict[str, dict[str, int]], iterations:
     return found
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+
 def _told(d: str, m: str, it: np.ndarray, below: np.ndarray | None, x: np.ndarray | None) -> pa.RecordBatch:
     n = len(it)
     whole = [pa.nulls(n, pa.int64()) if v is None else pa.array(v.view(np.int64)) for v in (below, x)]
@@ -168,7 +173,8 @@ def _spatial_controls(spots: DataFrame, edges: DataFrame, iterations: int, seed:
 
     In each round a spot has one random number, from a hash, and the random set of a motif holds the spots with the smallest ones, as
     many as the motif has.  So all motifs and rounds are drawn in one pass over spots and one over edges, and only sums are kept: motifs times
-    rounds of them.  A set without inner edges counts as zero.
+    rounds of them.  A set without inner edges counts as zero.  Edges that carry dataset_id, motif_id and to_motif_id
+    (:func:`knn_weighted`) are joined with nothing.
     """
     ship(spots.sparkSession)
     named = spots.select("obs_id", F.col("dataset_id").cast("string").alias("dataset_id"), F.col("motif_id").cast("string").alias("motif_id"), F.xxhash64("obs_id", F.lit(seed)).alias("h"))
@@ -176,20 +182,34 @@ def _spatial_controls(spots: DataFrame, edges: DataFrame, iterations: int, seed:
     for r in named.groupBy(*_KEY).agg(F.count("*").alias("m")).collect():
         sizes.setdefault(r["dataset_id"], {})[r["motif_id"]] = r["m"]
     tops = _thresholds(named, sizes, iterations)
-    e = edges.select("src", "dst", "weight").join(named.select(F.col("obs_id").alias("src"), "dataset_id", F.col("motif_id").alias("m1"), F.col("h").alias("h1")), "src")
-    e = materialize(e.join(named.select(F.col("obs_id").alias("dst"), F.col("motif_id").alias("m2"), F.col("h").alias("h2")), "dst").select("dataset_id", "h1", "h2", "weight", "m1", "m2"), "edges")
+    carried = {"dataset_id", "motif_id", "to_motif_id"} <= set(edges.columns)
+    e = edges if carried else edges.select("src", "dst", "weight").join(named.select(F.col("obs_id").alias("src"), "dataset_id", F.col("motif_id").alias("m1"), F.col("h").alias("h1")), "src")
+    if carried:
+        kind = spots.schema["obs_id"].dataType
+        m1, m2 = (F.col(c).cast("string").alias(m) for c, m in (("motif_id", "m1"), ("to_motif_id", "m2")))
+        h1, h2 = (F.xxhash64(F.col(c).cast(kind), F.lit(seed)).alias(h) for c, h in (("src", "h1"), ("dst", "h2")))
+        e = e.select(F.col("dataset_id").cast("string").alias("dataset_id"), h1, h2, "weight", m1, m2)
+    else:
+        e = e.join(named.select(F.col("obs_id").alias("dst"), F.col("motif_id").alias("m2"), F.col("h").alias("h2")), "dst").select("dataset_id", "h1", "h2", "weight", "m1", "m2")
+    e = materialize(e, "edges")
     seen = e.groupBy("dataset_id", F.col("m1").alias("motif_id")).agg(F.sum(F.when(F.col("m1") == F.col("m2"), F.col("weight")).otherwise(0.0)).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {(d, m): np.zeros(iterations) for d, motifs in tops.items() for m in motifs}
         for b in batches:
-            names, h1, h2, weight = np.array(b.column(0).to_pylist(), object), *(b.column(c).to_numpy() for c in (1, 2, 3))
+            coded, (h1, h2, weight) = b.column(0).dictionary_encode(), (b.column(c).to_numpy() for c in (1, 2, 3))
+            known = coded.dictionary.to_pylist()
             for at in range(0, len(h1), 4096):
                 cut = slice(at, at + 4096)
-                u = np.maximum(_numbers(h1[cut], iterations), _numbers(h2[cut], iterations))
-                for d, m in sums:
-                    own = names[cut] == d
-                    sums[d, m] += weight[cut][own] @ (u[own] <= tops[d][m])
+                # edges of one spot stand together, so its numbers are drawn once
+                starts = _runs(h1[cut])
+                u = np.repeat(_numbers(h1[cut][starts], iterations), np.diff(np.append(starts, len(h1[cut]))), axis=0)
+                u, w, code = np.maximum(u, _numbers(h2[cut], iterations)), weight[cut], coded.indices.to_numpy()[cut]
+                for i, d in enumerate(known):
+                    on = slice(None) if len(known) == 1 else code == i
+                    x, weights = u[on], w[on]
+                    for m, top in tops.get(d, {}).items():
+                        sums[d, m] += weights @ (x <= top)
         for (d, m), x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([d] * iterations), pa.array([m] * iterations), pa.array(np.arange(iterations, dtype=np.int32)), pa.array(x)], ["dataset_id", "motif_id", "it", "w"])
 

@@ -51,3 +51,18 @@ def test_sets_have_the_exact_size(spark):
         u = differential._numbers(h[d], 30)
         for m, k in motifs.items():
             assert ((u <= tops[d][m]).sum(0) == k).all()
+
+
+def test_edges_that_carry_motifs_give_the_same_controls(spark):
+    """Two datasets; spots have nothing to be joined by when edges carry their ends' motifs."""
+    (s1, e1), (s2, e2) = ring(spark, 40, {1, 2, 3, 9}), ring(spark, 30, {4, 5, 20}, "other")
+    spots, edges = s1.unionByName(s2.withColumn("obs_id", s2.obs_id + 100)), e1.unionByName(e2.select(e2.src + 100, e2.dst + 100, "weight").toDF("src", "dst", "weight"))
+    ends = lambda c, m: spots.selectExpr(f"obs_id as {c}", f"motif_id as {m}", *(["dataset_id"] if c == "src" else []))
+    carried = edges.join(ends("src", "motif_id"), "src").join(ends("dst", "to_motif_id"), "dst")
+    counts = abundance.sample_motif_abundance(spots)
+    rows = lambda e: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in differential.null_controls(spots, e, counts, iterations=30).collect())
+    want = rows(edges)
+    assert rows(carried) == want and len(want) == 8
+    # what edges carry is what counts
+    changed = differential.null_controls(spots, carried.replace("rest", "m", "to_motif_id"), counts, iterations=30).where("motif_id = 'm' and dataset_id = 'd' and statistic_name = 'self_neighbor_fraction'").first()
+    assert changed["observed_value"] == 1.0
