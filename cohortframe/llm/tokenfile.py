@@ -200,7 +200,7 @@ class Pieces:
             letters = pa.array([t if b"<|" in t else t.lower() for t in texts.to_pylist()], pa.binary()).view(pa.string())
         parts = pc.ascii_split_whitespace(letters)
         coded, count = parts.flatten().dictionary_encode(), parts.value_lengths().to_numpy()
-        pieces, which = coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        pieces, which = _slices(coded.dictionary), coded.indices.to_numpy()
         if b"" in pieces:  # before the first piece of a text or after its last
             blank = which == pieces.index(b"")
             sums = np.concatenate(([0], np.cumsum(blank)))[np.concatenate(([0], np.cumsum(count)))]
@@ -224,6 +224,15 @@ class Pieces:
         return ids, np.diff(sums)
 
 
+def _slices(strings: pa.Array) -> list[bytes]:
+    """The bytes of each string, cut from one buffer."""
+    _, at, data = strings.buffers()
+    if data is None or not len(strings):
+        return [b""] * len(strings)
+    edge, data = np.frombuffer(at, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist(), data.to_pybytes()
+    return [data[a:z] for a, z in zip(edge, edge[1:], strict=False)]
+
+
 #: Bytes of a row group: a writer holds one for every task.
 ROW_GROUP = 16 << 20
 #: Bytes of text that are encoded together.

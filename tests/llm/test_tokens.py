@@ -91,3 +91,12 @@ def test_long_runs_without_a_break(spark):
 @given(st.text("abcdeh ", max_size=200))
 def test_counts_of_few_letters(text):
     assert _merger.texts([text]) == [len(_library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_bytes_of_strings_are_cut_from_one_buffer():
+    import pyarrow as pa
+
+    a = pa.array(["", "ab", "é\x00", "漢字", ""])
+    assert tokenfile._slices(a) == [v.encode() for v in a.to_pylist()]
+    assert tokenfile._slices(a.slice(1, 3)) == [v.encode() for v in a.slice(1, 3).to_pylist()]
+    assert tokenfile._slices(pa.array([], pa.string())) == [] and tokenfile._slices(pa.array([""])) == [b""]
