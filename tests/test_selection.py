@@ -32,6 +32,39 @@ def test_graph_locality(spark):
         assert np.allclose([t["locality"], t["residual"], t["score"]], [locality[j], residual[j], locality[j] - 0.18 * residual[j]], atol=1e-9)
 
 
+def test_graph_locality_moves_a_row_once_a_block(spark):
+    x, df = table(spark, 4, n=90)
+    n = len(x)
+    r = np.random.default_rng(5)
+    edges = [(i, j, float(r.random())) for i in range(n) for j in range(max(0, i - 6), min(n, i + 7)) if i != j]
+    edges += [edges[7], (3, 10_000, 0.5), (20_000, 4, 0.25)]  # one twice, an end and a start without values
+    a = np.zeros((n, n))
+    for i, j, w in edges:
+        if max(i, j) < n:
+            a[i, j] += w
+    e = spark.createDataFrame(edges, "src int, dst int, weight double")
+    nodes = spark.createDataFrame([(i, i // 30, i % 30) for i in range(n)], "obs int, block int, at int")
+    # blocks of 30 need their own rows and six on either side, not a row an edge
+    assert selection._wanted(e.where("src < 90 and dst < 90"), nodes).count() == 90 + 2 * 6 + 2 * 6
+    z_of = (x - x.mean(0)) / np.maximum(x.std(0), 1e-6)
+    s = a @ z_of
+    want = selection.graph_locality(df, e.where("src < 90 and dst < 90"), n, cells=200).collect()
+    assert len(want) == x.shape[1]
+    for t in want:
+        j = int(t["gene"][1:])
+        assert np.isclose(t["locality"], (z_of * s).mean(0)[j], atol=1e-9) and np.isclose(t["residual"], ((z_of - s) ** 2).mean(0)[j], atol=1e-9)
+    # ends and starts without values are nodes of zeros
+    b = np.zeros((n + 2, n + 2))
+    b[:n, :n], b[3, n], b[n + 1, 4] = a, 0.5, 0.25
+    x2 = np.vstack((x, np.zeros((2, x.shape[1]))))
+    z2 = (x2 - x2.mean(0)) / np.maximum(x2.std(0), 1e-6)
+    s2 = b @ z2
+    for cells in (100, 1 << 20):
+        for t in selection.graph_locality(df, e, n + 2, cells=cells).collect():
+            j = int(t["gene"][1:])
+            assert np.isclose(t["locality"], (z2 * s2).mean(0)[j], atol=1e-9) and np.isclose(t["residual"], ((z2 - s2) ** 2).mean(0)[j], atol=1e-9)
+
+
 def test_state_information(spark):
     x, df = table(spark, 2)
     n = len(x)
