@@ -6,7 +6,10 @@ Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, which is what
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,17 @@ __all__ = ["drop", "materialize", "shared_dir", "ship"]
 NULL_ID = (1 << 63) - 1
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system, at the end of a task that held large arrays.
+
+    A worker lives on for the next task, and its allocators keep what they once had.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def doc_key():
     """``doc_id`` as a non-null long; null becomes :data:`NULL_ID`."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))

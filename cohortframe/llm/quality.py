@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortframe.llm.classify import Adam, Network, drawn, held_out, labelled, sigmoid
-from cohortframe.llm.common import materialize
+from cohortframe.llm.common import give_back, materialize
 from cohortframe.plans.ship import ship
 
 #: Bytes by kind: lower, upper, digit, blank, stop, mark, bracket or sign, other ASCII, above ASCII.
@@ -167,6 +167,7 @@ def quality_rows(docs: DataFrame, labels: DataFrame, rows: int = 20_000, accept:
         for b in batches:
             x = np.array([features(t.as_py().encode()) for t in b.column(2)]).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fitted[0].logit(x) if fitted else np.zeros(len(x)), pa.float64())], ["doc_id", "text_key", "g"])
+        give_back()
 
     ship(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, text_key long, g double")

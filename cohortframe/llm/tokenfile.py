@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortframe.llm.bpe import byte_letters
-from cohortframe.llm.common import doc_key, drop, materialize, real_id, shared_dir
+from cohortframe.llm.common import doc_key, drop, give_back, materialize, real_id, shared_dir
 from cohortframe.plans.ship import ship
 
 _RAW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("tally", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))])
@@ -253,7 +253,10 @@ def _tokenise(shared, end_id: int, block_tokens: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         name = hashlib.sha256(vocabulary.encode()).hexdigest()
-        pieces = _kept.get(name) or _kept.setdefault(name, Pieces(vocabulary))
+        if name not in _kept:
+            _kept[name] = Pieces(vocabulary)
+            give_back()
+        pieces = _kept[name]
         part, seq = TaskContext.get().partitionId(), 0
         docs, counts, ids, held, total = [], [], [], 0, np.zeros(size, np.int64)
 
@@ -281,6 +284,8 @@ def _tokenise(shared, end_id: int, block_tokens: int, size: int):
                     docs, counts, ids = [], [], []
         if docs:
             yield block()
+        docs, counts, ids, got, lengths = [], [], [], None, None
+        give_back()
         seen = np.flatnonzero(total)
         if len(seen):
             tally = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.StructArray.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"]))
@@ -296,6 +301,7 @@ def _recode(ranks: np.ndarray):
                 ids = np.frombuffer(r["ids"], "<u4")
                 control, data = encode(ranks[ids])
                 yield pa.RecordBatch.from_pylist([{"part": r["part"], "seq": r["seq"], "n_tokens": len(ids), "docs": r["docs"], "counts": r["counts"], "control": control, "data": data}], schema=_BLOCK)
+        give_back()
 
     return run
 
@@ -352,6 +358,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 end = np.cumsum(count)
                 own = [ids[e - c : e].tobytes() for e, c in zip(end.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["docs"], "<i8")), pa.array(r["start"] + end - count), pa.array(own, pa.binary())], ["doc_id", "start", "ids"])
+        give_back()
 
     out = blocks.join(starts, ["part", "seq"]).select("start", "n_tokens", "docs", "counts", "control", "data").mapInArrow(run, "doc_id long, start long, ids binary")
     return out.withColumn("doc_id", real_id())
