@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortframe.llm.tokenfile import CHUNK, Pieces, _kept
+from cohortframe.llm.common import give_back
+from cohortframe.llm.tokenfile import CHUNK, pieces_of
 from cohortframe.plans.ship import ship
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -149,8 +149,7 @@ def pack_documents(docs: DataFrame, vocabulary_file: str, window: int = 4096, en
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = hashlib.sha256(shared.value.encode()).hexdigest()
-        pieces = _kept.get(name) or _kept.setdefault(name, Pieces(shared.value))
+        pieces = pieces_of(shared.value)
         packer, made = Packer(window), TaskContext.get().partitionId() << 32
         for b in batches:
             keys, sums, at = b.column(0).to_pylist(), np.cumsum(pc.binary_length(b.column(1)).to_numpy()), 0
@@ -169,6 +168,7 @@ def pack_documents(docs: DataFrame, vocabulary_file: str, window: int = 4096, en
                     made += len(full)
         if rest := packer.taken() + packer.finish():
             yield _rows(rest, made)
+        give_back()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(run, _PIECE_SQL)

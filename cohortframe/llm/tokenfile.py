@@ -247,16 +247,24 @@ _LETTER_OF_BYTE = [(chr(b), c) for b, c in enumerate(byte_letters()) if 0x9F <=
 _kept: dict[str, Pieces] = {}
 
 
+def pieces_of(vocabulary: str) -> Pieces:
+    """The pieces of a vocabulary, which all tasks of a worker share.
+
+    A task is pickled with copies of the variables it names, so it must come here by the name of this function.
+    """
+    name = hashlib.sha256(vocabulary.encode()).hexdigest()
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Pieces(vocabulary)
+        give_back()
+    return _kept[name]
+
+
 def _tokenise(shared, end_id: int, block_tokens: int, size: int):
     """Blocks of token ids, and a last row of each task with how often it met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        name = hashlib.sha256(vocabulary.encode()).hexdigest()
-        if name not in _kept:
-            _kept[name] = Pieces(vocabulary)
-            give_back()
-        pieces = _kept[name]
+        pieces = pieces_of(shared.value)
         part, seq = TaskContext.get().partitionId(), 0
         docs, counts, ids, held, total = [], [], [], 0, np.zeros(size, np.int64)
 
@@ -334,7 +342,8 @@ def write_token_file(docs: DataFrame, path: str, vocabulary_file: str, end_id: i
     ranks = np.empty(size, np.uint32)
     ranks[order] = np.arange(size, dtype=np.uint32)
     raw.where("ids is not null").drop("tally").mapInArrow(_recode(ranks), _sql("n_tokens long, ", "control binary, data binary")).write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
-    spark.createDataFrame([(bytearray(order.tobytes()),)], "ids binary").write.parquet(f"{path}/ranks")
+    # as an Arrow table, which needs no Python worker; those of rows would be others than the tasks above have
+    spark.createDataFrame(pa.table({"ids": pa.array([order.tobytes()], pa.binary())})).write.parquet(f"{path}/ranks")
     drop(raw)
     return path
 
